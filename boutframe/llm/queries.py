@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import bpe, packing
+from boutframe.llm import bpe, media, packing
 from boutframe.llm import exact_dedup as dedup
 
 
@@ -16,6 +16,10 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_dedup(_documents(spark, sf_dir))
 
 
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_features(_documents(spark, sf_dir))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(_documents(spark, sf_dir))
 
@@ -24,8 +28,11 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_media_columns, op8_bpe, op10_best_fit_packing)}
+
+
 def queries() -> dict:
-    return {"op1_exact_dedup": op1_exact_dedup, "op8_bpe": op8_bpe, "op10_best_fit_packing": op10_best_fit_packing}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
