@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import bpe, langid, media, packing, toxicity
+from boutframe.llm import bpe, langid, media, packing, secrets, toxicity
 from boutframe.llm import exact_dedup as dedup
 
 
@@ -20,6 +20,10 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_documents(spark, sf_dir))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(_documents(spark, sf_dir))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -36,7 +40,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_media_columns, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_media_columns, op5_secret_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
 
 
 def queries() -> dict:
