@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import bpe, langid, media, near_dedup, packing, secrets, toxicity
+from boutframe.llm import bpe, langid, lm, media, near_dedup, packing, secrets, toxicity
 from boutframe.llm import exact_dedup as dedup
 
 
@@ -20,6 +20,10 @@ def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf_dir))
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(_documents(spark, sf_dir))
+
+
 def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_features(_documents(spark, sf_dir))
 
@@ -44,7 +48,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op4_media_columns, op5_secret_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_lm_scoring, op4_media_columns, op5_secret_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
 
 
 def queries() -> dict:
