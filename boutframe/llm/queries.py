@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import bpe, langid, lm, media, near_dedup, packing, secrets, toxicity
+from boutframe.llm import bpe, langid, licenses, lm, media, near_dedup, packing, secrets, toxicity
 from boutframe.llm import exact_dedup as dedup
 
 
@@ -32,6 +32,10 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_documents(spark, sf_dir), licenses.document_path())
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_documents(spark, sf_dir))
 
@@ -48,7 +52,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_lm_scoring, op4_media_columns, op5_secret_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_lm_scoring, op4_media_columns, op5_secret_scan, op6_license_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
 
 
 def queries() -> dict:
