@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from boutframe.llm.idfilter import bitmap, hits
 from boutframe.session import ship
 
 BITMAP_BITS = 26
@@ -148,34 +149,12 @@ def repeated_fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(F.col(text_col).alias("text")).mapInArrow(blocks, "fp_range int, block binary").groupBy("fp_range").applyInArrow(merged, "fp long, copies long")
 
 
-def _bitmap(repeated: DataFrame, bits: int) -> np.ndarray:
-    """A bitmap of 2**bits bits with the top bits of each fingerprint set; made in chunks of 64 Ki bits."""
-    mask = (1 << bits) - 1
-    slot = F.shiftrightunsigned("fp", 64 - bits).bitwiseAND(F.lit(mask))
-    rows = repeated.groupBy(F.shiftright(slot, 16).alias("chunk")).agg(F.collect_set(slot.bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("low"))
-
-    def pack(batches):
-        for batch in batches:
-            out = []
-            for low in batch.column("low"):
-                flags = np.zeros(1 << 16, np.uint8)
-                flags[low.values.to_numpy()] = 1
-                out.append(np.packbits(flags, bitorder="little").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk").cast(pa.int64()), pa.array(out, pa.binary())], names=["chunk", "bytes"])
-
-    whole = np.zeros((max(1, 1 << (bits - 16)), 8192), np.uint8)
-    for row in rows.mapInArrow(pack, "chunk long, bytes binary").collect():  # 2**(bits-16) rows of 8 KiB at most
-        whole[row["chunk"]] = np.frombuffer(row["bytes"], np.uint8)
-    return whole.reshape(-1)
-
-
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256. See the module's docstring for the cases."""
     spark = docs.sparkSession
     ship(spark)
     slim = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    flags = spark.sparkContext.broadcast(_bitmap(repeated_fingerprints(slim), bitmap_bits))
-    shift = np.uint64(64 - bitmap_bits)
+    flags = spark.sparkContext.broadcast(bitmap(repeated_fingerprints(slim).select("fp"), bitmap_bits))
 
     def keys(batches):
         for batch in batches:
@@ -185,8 +164,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def routed(batches):
         for batch in batches:
             low, digests = _digests(batch.column(1))
-            slot = (_prints(digests) >> shift).astype(np.int64)
-            hit = pa.array((flags.value[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1)
+            hit = pa.array(hits(flags.value, _prints(digests), bitmap_bits))
             sha = pa.array([d.hex() for d in digests], pa.string())
             yield pa.RecordBatch.from_arrays([x.filter(hit) for x in (batch.column(0), sha, low.cast(pa.string()))], names=["doc_id", "text_sha256", "norm"])
 
@@ -205,16 +183,29 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input rows that stay, with all their columns: of equal texts the one with the largest doc_id."""
-    result = exact_dedup(docs, id_col, text_col)
-    dropped = result.where("not kept").select(F.col("doc_id").alias("__dropped")).distinct()
-    stay = docs.join(dropped, F.col(id_col) == F.col("__dropped"), "left_anti")
-    again = result.where("kept and group_size > 1").groupBy(F.col("doc_id").alias("__again")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
-    if again.isEmpty():
-        return stay
-    twice = stay.join(again.select("__again"), F.col(id_col).eqNullSafe(F.col("__again")), "left_semi")
-    return stay.join(again.select("__again"), F.col(id_col).eqNullSafe(F.col("__again")), "left_anti").unionByName(twice.dropDuplicates([id_col, text_col]))
+def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
+    """The input rows that stay, with all their columns: of equal texts one row with the largest doc_id.
+
+    Rows whose fingerprint is not repeated stay where they are; only the others are moved to be verified.
+    """
+    spark = docs.sparkSession
+    ship(spark)
+    flags = spark.sparkContext.broadcast(bitmap(repeated_fingerprints(docs, text_col).select("fp"), bitmap_bits))
+    place = docs.columns.index(text_col)
+
+    def pick(wanted: bool):
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(hits(flags.value, _prints(_digests(batch.column(place))[1]), bitmap_bits) == wanted))
+
+        return run
+
+    plain, doubtful = docs.mapInArrow(pick(False), docs.schema), docs.mapInArrow(pick(True), docs.schema)
+    norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
+    best = doubtful.groupBy(norm.alias("__norm")).agg(F.max(id_col).alias("__keep")).select(F.sha2("__norm", 256).alias("__sha"), "__keep")
+    stay = doubtful.withColumn("__sha", F.sha2(norm, 256))
+    stay = stay.join(best, (stay["__sha"] == best["__sha"]) & stay[id_col].eqNullSafe(best["__keep"]), "left_semi")
+    return plain.unionAll(stay.dropDuplicates([id_col, "__sha"]).drop("__sha"))
 
 
 def oracle(table: str = "documents") -> str:

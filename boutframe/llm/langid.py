@@ -143,6 +143,22 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, id_col: s
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
+    """The input rows, with all their columns, whose language is identified (``lang_pred`` is not ``und``)."""
+    ship(docs.sparkSession)
+    languages, matrix = prototypes(docs.where(fold("doc_id", 3) != 1).select("text", "lang"), dimensions)
+    place = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            kept = []
+            for vectors, has in _encoder(dimensions).unit(batch.column(place).to_pylist()):
+                kept += (has & (len(matrix) > 0)).tolist()
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def identify(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
     """Learn from the rows outside the held-out fold (all of them) and predict every row."""
     learned = docs.where(fold("doc_id", 3) != 1).select(F.col("text").alias("text"), F.col("lang").alias("lang"))

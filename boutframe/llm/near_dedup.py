@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
+from boutframe.llm.idfilter import bitmap, hits, without_ids
 from boutframe.llm.words import mix, shingle_sets
 from boutframe.session import materialize, ship
 
@@ -36,7 +37,6 @@ PERCENT = 80
 HEAVY = 1 << 18
 HEAVY_LEAST = 12
 MOST_MATCHES = 8
-FILTER_BITS = 26
 
 
 def need(n: int) -> int:
@@ -136,27 +136,6 @@ def _classes(batches):
         yield pa.RecordBatch.from_arrays([*empty, pa.array(values[part]), pa.array(counts[many][part])], names=names)
 
 
-def _wanted(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
-    """A bitmap of fixed size with the high bits of every class in ``a`` or ``b`` set."""
-    ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))
-    slot = F.shiftrightunsigned("id", 64 - bits)
-    rows = ids.select(F.shiftright(slot, 16).alias("chunk"), slot.bitwiseAND(F.lit(0xFFFF)).cast("int").alias("low")).groupBy("chunk").agg(F.collect_set("low").alias("low"))
-    whole = np.zeros((1 << (bits - 16), 8192), np.uint8)
-
-    def pack(batches):
-        for batch in batches:
-            out = []
-            for low in batch.column("low"):
-                flags = np.zeros(1 << 16, np.uint8)
-                flags[low.values.to_numpy()] = 1
-                out.append(np.packbits(flags).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column("chunk").cast(pa.int64()), pa.array(out, pa.binary())], names=["chunk", "bytes"])
-
-    for row in rows.mapInArrow(pack, "chunk long, bytes binary").collect():  # 2**(bits-16) rows of 8 KiB at most
-        whole[row["chunk"]] = np.frombuffer(row["bytes"], np.uint8)
-    return whole.reshape(-1)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, profiles: DataFrame) -> DataFrame:
     """Of candidate pairs ``a, b`` of classes those that are similar: first by bitmaps, then by the whole sets."""
     spark = pairs.sparkSession
@@ -170,7 +149,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, profiles: DataFrame) -> DataFr
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
     likely = materialize(sized.mapInArrow(screen, "a long, b long"), "pairs")
-    wanted = spark.sparkContext.broadcast(_wanted(likely))
+    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    wanted = spark.sparkContext.broadcast(bitmap(ids))
 
     def sets(batches):
         sent = set()
@@ -180,8 +160,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, profiles: DataFrame) -> DataFr
                 if not len(shingles):
                     continue
                 key = class_key(shingles)
-                slot = (key & 0xFFFFFFFFFFFFFFFF) >> (64 - FILTER_BITS)
-                if key not in sent and wanted.value[slot >> 3] >> (7 - (slot & 7)) & 1:
+                if key not in sent and hits(wanted.value, np.array([key], np.int64).view(np.uint64))[0]:
                     sent.add(key)
                     keys.append(key)
                     data.append(shingles.tobytes())
@@ -265,3 +244,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return rows.join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input rows that stay, with all their columns: of each component the row with the smallest doc_id; rows with a null id stay."""
+    result = near_duplicates(docs, id_col, text_col)
+    return without_ids(docs, result.where("doc_id <> component_id").select("doc_id"), id_col)
