@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE = Path(__file__).resolve().parent
 LOCAL_SCRATCH = "/tmp/boutframe-checkpoints"
+#: Batches to Python workers stay small whatever the rows' length.
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
 _shipped: set[str] = set()
 
 
@@ -32,7 +34,9 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it."""
+    """Send this package to the executors once per application, so that Python workers can import it, and bound their batches."""
+    for key, value in ARROW.items():
+        spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
