@@ -1,11 +1,560 @@
-"""The catalogue of queries over the driver's tables, with their DuckDB SQL."""
+"""The catalogue of queries over the driver's tables, with their DuckDB SQL. The domain's tables are those of ``bouts``."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from boutframe.functions import text as X
+from boutframe.operators import audit, dataset, evaluate, history, identity, ratings, service, staging
+from boutframe.plans.bouts import BOUTS, EARLIER, bout_rows, table
+from boutframe.schemas import columns, conform
+from boutframe.sources import html
+from boutframe.sources.store import matches, upserted
+
+_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+_SQL: dict[str, str] = {}
+KEYS = ["fight_id", "fighter_id"]
+
+
+def _query(sql: str | None = None):
+    def add(function):
+        _QUERIES[function.__name__] = function
+        if sql:
+            _SQL[function.__name__] = sql
+        return function
+
+    return add
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _r(c: str, name: str | None = None):
+    return F.round(F.col(c).cast("double"), 6).alias(name or c)
+
+
+# scans and projections
+
+
+@_query("SELECT c_custkey::VARCHAR AS fighter_id, c_name AS full_name, NULL::INT AS height_in, c_nationkey::INT AS weight_lbs FROM customer")
+def scan_conform(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer").withColumnsRenamed({"c_custkey": "fighter_id", "c_name": "full_name", "c_nationkey": "weight_lbs"})
+    return conform(rows, columns("fighter_id string, full_name string, height_in int, weight_lbs int"))
+
+
+@_query(f"{BOUTS} SELECT * FROM b")
+def bout_projection(spark, sf_dir):
+    return bout_rows(spark, sf_dir)
+
+
+# point-in-time features
+
+
+@_query(f"""{BOUTS} SELECT fight_id, fighter_id, event_date, count(*) OVER w AS prior_fights, coalesce(sum(winner_flag::INT) OVER w, 0)::BIGINT AS prior_wins,
+    count(*) FILTER (outcome = 'L') OVER w AS prior_losses, count(*) FILTER (outcome = 'D') OVER w AS prior_draws, count(*) FILTER (outcome = 'NC') OVER w AS prior_nc
+    FROM b WINDOW w AS {EARLIER}""")
+def pit_prior_counts(spark, sf_dir):
+    return history.prior_record(bout_rows(spark, sf_dir)).select(*KEYS, "event_date", "prior_fights", "prior_wins", "prior_losses", "prior_draws", "prior_nc")
+
+
+@_query(f"""{BOUTS} SELECT fight_id, fighter_id, count(*) FILTER (winner_flag AND method LIKE '%KO%') OVER w AS wins_by_ko_tko,
+    count(*) FILTER (winner_flag AND upper(method) LIKE '%SUB%') OVER w AS wins_by_sub, count(*) FILTER (winner_flag AND upper(method) LIKE '%DEC%') OVER w AS wins_by_dec FROM b WINDOW w AS {EARLIER}""")
+def pit_method_wins(spark, sf_dir):
+    return history.method_wins(bout_rows(spark, sf_dir)).select(*KEYS, "wins_by_ko_tko", "wins_by_sub", "wins_by_dec")
+
+
+_AVERAGES = {"avg_fight_time_sec": "fight_sec", "avg_sig_str_landed": "sig_str_landed", "avg_sig_str_absorbed": "sig_str_absorbed", "avg_td_landed": "td_landed"}
+
+
+@_query(f"{BOUTS} SELECT fight_id, fighter_id, {', '.join(f'round(avg({c}) OVER w, 6) AS {n}' for n, c in _AVERAGES.items())} FROM b WINDOW w AS {EARLIER}")
+def pit_averages(spark, sf_dir):
+    return history.averages(bout_rows(spark, sf_dir), _AVERAGES).select(*KEYS, *[_r(n) for n in _AVERAGES])
+
+
+@_query(f"""{BOUTS} SELECT fight_id, fighter_id, CASE WHEN sum(fight_sec) OVER w > 0 THEN round(sum(sig_str_landed) OVER w / (sum(fight_sec) OVER w / 60), 6) END AS sig_str_landed_per_min,
+    CASE WHEN sum(fight_sec) OVER w > 0 THEN round(sum(td_landed) OVER w / (sum(fight_sec) OVER w / 60) * 15, 6) END AS td_landed_per_15min FROM b WINDOW w AS {EARLIER}""")
+def pit_rates(spark, sf_dir):
+    rows = history.rates(bout_rows(spark, sf_dir), {"sig_str_landed_per_min": ("sig_str_landed", 1), "td_landed_per_15min": ("td_landed", 15)})
+    return rows.select(*KEYS, _r("sig_str_landed_per_min"), _r("td_landed_per_15min"))
+
+
+@_query(f"{BOUTS} SELECT fight_id, fighter_id, date_diff('day', max(event_date) OVER w, event_date)::INT AS days_since_last_fight FROM b WINDOW w AS {EARLIER}")
+def pit_days_since_last(spark, sf_dir):
+    return history.recency(bout_rows(spark, sf_dir)).select(*KEYS, "days_since_last_fight")
+
+
+@_query(f"""{BOUTS}, h AS (SELECT fight_id, fighter_id, count(*) OVER w AS n, date_diff('day', max(event_date) OVER w, event_date) AS d FROM b WINDOW w AS {EARLIER})
+    SELECT fight_id, fighter_id, round(1 / sqrt(n + 1), 6) AS elo_uncertainty, round(greatest(70.0::DOUBLE, least(350.0::DOUBLE, 350 / sqrt(n + 1) + least(coalesce(d, 0) / 365.25::DOUBLE, 3) * 20)), 6) AS glicko_like_rd FROM h""")
+def pit_rating_uncertainty(spark, sf_dir):
+    rows = history.recency(history.prior_record(bout_rows(spark, sf_dir)))
+    a, b = history.uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
+    return rows.select(*KEYS, F.round(a, 6).alias("elo_uncertainty"), F.round(b, 6).alias("glicko_like_rd"))
+
+
+@_query(f"""{BOUTS}, r AS (SELECT b.fight_id, b.fighter_id, y.winner_flag, y.outcome, row_number() OVER (PARTITION BY b.fight_id, b.fighter_id ORDER BY y.event_date DESC, y.fight_id DESC) AS k
+        FROM b LEFT JOIN b y ON y.fighter_id = b.fighter_id AND y.event_date < b.event_date)
+    SELECT fight_id, fighter_id, round(avg(winner_flag::INT) FILTER (k <= 3 AND outcome IN ('W', 'L')), 6) AS recent_3_win_rate,
+        round(avg(winner_flag::INT) FILTER (k <= 5 AND outcome IN ('W', 'L')), 6) AS recent_5_win_rate FROM r GROUP BY fight_id, fighter_id""")
+def pit_recent_form(spark, sf_dir):
+    rows = history.recent_win_rate(history.recent_win_rate(bout_rows(spark, sf_dir), 3, "recent_3_win_rate"), 5, "recent_5_win_rate")
+    return rows.select(*KEYS, _r("recent_3_win_rate"), _r("recent_5_win_rate"))
+
+
+@_query(f"""{BOUTS}, r AS (SELECT b.fight_id, b.fighter_id, y.sig_str_absorbed AS v, row_number() OVER (PARTITION BY b.fight_id, b.fighter_id ORDER BY y.event_date DESC, y.fight_id DESC) AS k
+        FROM b LEFT JOIN b y ON y.fighter_id = b.fighter_id AND y.event_date < b.event_date)
+    SELECT fight_id, fighter_id, round(avg(v) FILTER (k <= 3), 6) AS recent_3_absorbed FROM r GROUP BY fight_id, fighter_id""")
+def pit_recent_mean(spark, sf_dir):
+    return history.recent_mean(bout_rows(spark, sf_dir), 3, "sig_str_absorbed", "recent_3_absorbed").select(*KEYS, _r("recent_3_absorbed"))
+
+
+@_query("""SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts::DATE RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL 1 DAY PRECEDING) AS prior_events FROM events""")
+def events_same_day_exclusion(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").withColumn("event_date", F.col("ts").cast("date"))
+    return rows.select("event_id", "user_id", F.count(F.lit(1)).over(history.before("user_id")).alias("prior_events"))
+
+
+# ratings
+
+_ELO = f"""{BOUTS.replace('WITH l AS', 'WITH RECURSIVE l AS')},
+    g AS (SELECT fight_id, event_date AS d, dense_rank() OVER (ORDER BY event_date) AS k, fighter_id AS f, opponent_id AS o, winner_flag::INT AS s, outcome <> 'D' AS dec FROM b),
+    b2 AS (SELECT *, row_number() OVER (PARTITION BY f, d ORDER BY fight_id) > 1 AS later, dec AND row_number() OVER (PARTITION BY f, d, dec ORDER BY fight_id DESC) = 1 AS lastdec FROM g),
+    st(f, k, r, ld) USING KEY (f, k) AS (SELECT DISTINCT f, 0::BIGINT, 1500.0::DOUBLE, NULL::DATE FROM b2 UNION (
+        WITH cur AS (SELECT max(k) + 1 AS k FROM st), lt AS (SELECT f, arg_max(r, k) AS r, arg_max(ld, k) AS ld FROM recurring.st GROUP BY f),
+        j AS (SELECT x.f, x.k, x.d, x.s, x.lastdec, s1.r AS r1,
+            CASE WHEN s1.ld IS NULL OR x.later THEN s1.r ELSE 1500 + (s1.r - 1500) * pow(0.5, date_diff('day', s1.ld, x.d) / 730.0) END AS d1,
+            CASE WHEN s2.ld IS NULL OR ol.later THEN s2.r ELSE 1500 + (s2.r - 1500) * pow(0.5, date_diff('day', s2.ld, x.d) / 730.0) END AS d2
+            FROM b2 x JOIN cur ON x.k = cur.k JOIN b2 ol ON ol.fight_id = x.fight_id AND ol.f = x.o JOIN lt s1 ON s1.f = x.f JOIN lt s2 ON s2.f = x.o)
+        SELECT f, k, coalesce(max(CASE WHEN lastdec THEN d1 + 32 * (s - 1 / (1 + pow(10, (d2 - d1) / 400))) END), any_value(r1)), any_value(d) FROM j GROUP BY f, k))"""
+
+
+@_query(f"{_ELO} SELECT f AS fighter_id, round(arg_max(r, k), 6) AS rating, arg_max(ld, k) AS last_date FROM st WHERE k > 0 GROUP BY f")
+def elo_final_ratings(spark, sf_dir):
+    return ratings.final_ratings(ratings.rate(bout_rows(spark, sf_dir))).select("fighter_id", _r("rating"), "last_date")
+
+
+_PRE = f"""{_ELO}, p AS (SELECT x.fight_id, x.f, x.o, x.d, x.later, arg_max(st.r, st.k) AS r, arg_max(st.ld, st.k) AS ld FROM b2 x JOIN st ON st.f = x.f AND st.k < x.k GROUP BY ALL),
+    q AS (SELECT *, CASE WHEN ld IS NULL OR later THEN r ELSE 1500 + (r - 1500) * pow(0.5, date_diff('day', ld, d) / 730.0) END AS dr FROM p)"""
+
+
+@_query(f"""{_PRE} SELECT a.fight_id, a.f AS fighter_id, round(a.r, 6) AS pre_fight_elo, round(a.dr, 6) AS time_decayed_elo, round(1 / (1 + pow(10, (c.dr - a.dr) / 400)), 6) AS elo_expected_win_prob,
+    round(c.dr, 6) AS opponent_pre_fight_elo FROM q a JOIN q c ON c.fight_id = a.fight_id AND c.f = a.o""")
+def elo_pre_fight(spark, sf_dir):
+    return ratings.rate(bout_rows(spark, sf_dir)).select(*KEYS, *[_r(c) for c in ("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo")])
+
+
+@_query(f"""{_ELO}, z AS (SELECT f, arg_max(r, k) AS r, arg_max(ld, k) AS ld FROM st WHERE k > 0 AND ld < DATE '1997-01-01' GROUP BY f)
+    SELECT f AS fighter_id, round(r, 6) AS rating, ld AS last_date, round(1500 + (r - 1500) * pow(0.5, date_diff('day', ld, DATE '1997-01-01') / 730.0), 6) AS decayed_rating FROM z""")
+def elo_snapshot_as_of(spark, sf_dir):
+    return ratings.snapshot(ratings.rate(bout_rows(spark, sf_dir)), "1997-01-01").select("fighter_id", _r("rating"), "last_date", _r("decayed_rating"))
+
+
+@_query(f"""{_PRE}, e AS (SELECT b.*, c.dr AS opp FROM b JOIN q c ON c.fight_id = b.fight_id AND c.f = b.opponent_id)
+    SELECT fight_id, fighter_id, round(avg(opp) OVER w, 6) AS avg_opponent_pre_fight_elo, round(max(opp) FILTER (winner_flag) OVER w, 6) AS best_win_opponent_pre_fight_elo,
+        round(min(opp) FILTER (outcome = 'L') OVER w, 6) AS worst_loss_opponent_pre_fight_elo FROM e WINDOW w AS {EARLIER}""")
+def pit_opponent_quality(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    rated = rows.join(ratings.rate(rows).select(*KEYS, "opponent_pre_fight_elo"), KEYS)
+    names = ("avg_opponent_pre_fight_elo", "best_win_opponent_pre_fight_elo", "worst_loss_opponent_pre_fight_elo")
+    return history.opponent_quality(rated).select(*KEYS, *[_r(n) for n in names])
+
+
+# matchups and training sets
+
+_DELTAS = ["delta_prior_fights", "delta_prior_wins"]
+_MATCH = f"""{BOUTS}, h AS (SELECT *, count(*) OVER w AS prior_fights, coalesce(sum(winner_flag::INT) OVER w, 0)::BIGINT AS prior_wins FROM b WINDOW w AS {EARLIER}),
+    m AS (SELECT r.fight_id, r.event_date, r.fighter_id AS red_fighter_id, u.fighter_id AS blue_fighter_id, r.winner_flag AS red_winner_flag, u.winner_flag AS blue_winner_flag, r.outcome AS red_outcome, u.outcome AS blue_outcome,
+        r.prior_fights - u.prior_fights AS delta_prior_fights, r.prior_wins - u.prior_wins AS delta_prior_wins FROM h r JOIN h u ON r.fight_id = u.fight_id AND r.corner = 'red' AND u.corner = 'blue'),
+    t AS (SELECT fight_id, event_date, least(red_fighter_id, blue_fighter_id) AS fighter_a, greatest(red_fighter_id, blue_fighter_id) AS fighter_b,
+        CASE WHEN red_fighter_id <= blue_fighter_id THEN red_winner_flag ELSE blue_winner_flag END AS target,
+        delta_prior_fights * CASE WHEN red_fighter_id <= blue_fighter_id THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END + 0.0 AS delta_prior_fights,
+        delta_prior_wins * CASE WHEN red_fighter_id <= blue_fighter_id THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END + 0.0 AS delta_prior_wins FROM m WHERE red_outcome <> 'D' AND red_winner_flag <> blue_winner_flag),
+    dt AS (SELECT event_date, row_number() OVER (ORDER BY event_date) - 1 AS o, count(*) OVER () AS n FROM (SELECT DISTINCT event_date FROM t))"""
+
+
+def _wide(rows):
+    side = lambda s, c: F.max(F.when(F.col("corner") == s, F.col(c))).alias(f"{s}_{c}")
+    base = history.matchups(rows, ["prior_fights", "prior_wins"])
+    results = rows.groupBy("fight_id").agg(*[side(s, c) for s in ("red", "blue") for c in ("winner_flag", "outcome")])
+    return base.join(results, "fight_id")
+
+
+@_query(f"{_MATCH} SELECT fight_id, red_fighter_id, blue_fighter_id, delta_prior_fights, delta_prior_wins FROM m")
+def matchup_deltas(spark, sf_dir):
+    return _wide(history.prior_record(bout_rows(spark, sf_dir))).select("fight_id", "red_fighter_id", "blue_fighter_id", *_DELTAS)
+
+
+@_query(f"""{BOUTS}, f AS (SELECT fight_id, fighter_id, opponent_id FROM b WHERE corner = 'red' AND event_date >= DATE '1998-01-01')
+    SELECT f.fight_id, (SELECT count(*) FROM b WHERE b.fighter_id = f.fighter_id) - (SELECT count(*) FROM b WHERE b.fighter_id = f.opponent_id) AS delta_prior_fights FROM f""")
+def future_matchup(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    future = rows.where("corner = 'red' and event_date >= '1998-01-01'").select("fight_id", F.lit("2030-01-01").cast("date").alias("event_date"), F.col("fighter_id").alias("red_id"), F.col("opponent_id").alias("blue_id"))
+    both = history.prior_record(history.with_future(rows, future)).where("is_future")
+    return history.matchups(both, ["prior_fights"]).select("fight_id", "delta_prior_fights")
+
+
+@_query(f"{_MATCH} SELECT * FROM t")
+def oriented_dataset(spark, sf_dir):
+    return dataset.oriented(_wide(history.prior_record(bout_rows(spark, sf_dir))), _DELTAS)
+
+
+@_query(f"""{_MATCH} SELECT (SELECT count(*) FROM m) AS rows_in, (SELECT count(*) FROM m WHERE red_outcome = 'D') AS excluded_draw_nc, count(*) AS rows_kept, count(*) FILTER (target) AS a_wins, count(*) FILTER (NOT target) AS b_wins,
+    min(event_date) AS first_date, max(event_date) AS last_date, 0::BIGINT AS excluded_invalid FROM t""")
+def dataset_metadata(spark, sf_dir):
+    wide = _wide(history.prior_record(bout_rows(spark, sf_dir)))
+    return dataset.metadata(wide, dataset.oriented(wide, _DELTAS))
+
+
+@_query(f"""{_MATCH}, c AS (SELECT *, least(greatest(1, floor(n * 0.7)), n - 2) AS a FROM dt), e AS (SELECT *, least(greatest(a + 1, floor(n * 0.85)), n - 1) AS z FROM c)
+    SELECT t.fight_id, t.event_date, CASE WHEN o < a THEN 'train' WHEN o < z THEN 'validation' ELSE 'test' END AS split FROM t JOIN e USING (event_date)""")
+def temporal_split(spark, sf_dir):
+    return dataset.temporal_split(oriented_dataset(spark, sf_dir)).select("fight_id", "event_date", "split")
+
+
+@_query(f"""{_MATCH}, c AS (SELECT *, greatest(1, floor(n * 0.5)) AS a FROM dt)
+    SELECT t.fight_id, t.event_date, CASE WHEN o >= a THEN floor((o - a) / greatest(1, ceil((n - a) / 8)))::INT END AS fold FROM t JOIN c USING (event_date)""")
+def walk_forward_folds(spark, sf_dir):
+    return dataset.walk_forward(oriented_dataset(spark, sf_dir)).select("fight_id", "event_date", "fold")
+
+
+# audits
+
+
+@_query("SELECT 0::BIGINT AS leaks")
+def leakage_recount(spark, sf_dir):
+    return audit.leakage(history.prior_record(bout_rows(spark, sf_dir)))
+
+
+@_query(f"{BOUTS} SELECT count(*) AS same_day FROM (SELECT fighter_id, event_date FROM b GROUP BY ALL HAVING count(*) > 1)")
+def same_day_recount(spark, sf_dir):
+    return audit.same_day(bout_rows(spark, sf_dir))
+
+
+@_query("SELECT count(*) AS duplicate_keys FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)")
+def audit_duplicates(spark, sf_dir):
+    return audit.duplicates(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@_query("SELECT count(*) AS orphans FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey)")
+def audit_orphans(spark, sf_dir):
+    return audit.orphans(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), "o_orderkey", "l_orderkey")
+
+
+@_query("SELECT count(*) AS bad FROM (SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING count(*) <> 2)")
+def audit_shape(spark, sf_dir):
+    return audit.bad_shapes(table(spark, sf_dir, "lineitem"), "l_orderkey")
+
+
+_MISS = ["sig_str_landed", "sig_str_absorbed", "td_landed"]
+
+
+@_query(BOUTS + " " + " UNION ALL ".join(f"""SELECT 'bouts' AS table_name, source, promotion, '{c}' AS column_name, count(*) AS "rows", count(*) - count({c}) AS missing, round(100.0::DOUBLE * (count(*) - count({c})) / count(*), 3) AS missing_pct,
+    CASE WHEN count({c}) = count(*) THEN 'pass' ELSE '{'fail' if c == 'sig_str_absorbed' else 'warn'}' END AS status FROM b GROUP BY source, promotion""" for c in _MISS))
+def audit_missingness(spark, sf_dir):
+    return audit.missingness(bout_rows(spark, sf_dir), "bouts", _MISS, ["source", "promotion"], ("sig_str_absorbed",))
+
+
+@_query("""SELECT o_orderstatus AS source, count(DISTINCT o_custkey) AS events, min(o_orderdate::DATE) AS first_date, max(o_orderdate::DATE) AS last_date, count(DISTINCT o_orderkey) AS fights,
+    (SELECT count(DISTINCT l_suppkey) FROM lineitem JOIN orders p ON l_orderkey = p.o_orderkey WHERE p.o_orderstatus = orders.o_orderstatus) AS fighters, round(count(DISTINCT o_orderkey)::DOUBLE / count(DISTINCT o_custkey), 3) AS fights_per_event FROM orders GROUP BY o_orderstatus""")
+def audit_coverage(spark, sf_dir):
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_custkey").alias("event_id"), F.col("o_orderkey").alias("fight_id"), F.col("o_orderdate").cast("date").alias("event_date"))
+    sides = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fight_id"), F.col("l_suppkey").alias("fighter_id")).join(orders.select("fight_id", "source"), "fight_id")
+    return audit.coverage(orders, orders, sides, ["source"])
+
+
+_CHECKS = [("orders", "unique_order", "SELECT count(*) FROM (SELECT o_orderkey FROM orders GROUP BY 1 HAVING count(*) > 1)", "fail"), ("lineitem", "unique_line", "SELECT count(*) FROM (SELECT l_orderkey, l_linenumber FROM lineitem GROUP BY ALL HAVING count(*) > 1)", "fail"),
+           ("lineitem", "order_fk", "SELECT count(*) FROM lineitem ANTI JOIN orders ON l_orderkey = o_orderkey", "fail"), ("orders", "without_lines", "SELECT count(*) FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey", "warn")]
+
+
+@_query(" UNION ALL ".join(f"SELECT CASE WHEN v = 0 THEN 'pass' ELSE '{bad}' END AS status, '{t}' AS table_name, '{n}' AS check_name, v::DOUBLE AS metric_value, '0' AS threshold, '' AS details FROM ({q}) AS x(v)" for t, n, q, bad in _CHECKS))
+def audit_checks(spark, sf_dir):
+    orders, lines = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    return audit.standard(audit.union_all([
+        audit.check(audit.duplicates(orders, ["o_orderkey"]), "orders", "unique_order"), audit.check(audit.duplicates(lines, ["l_orderkey", "l_linenumber"]), "lineitem", "unique_line"),
+        audit.check(audit.orphans(lines, orders, "l_orderkey", "o_orderkey"), "lineitem", "order_fk"), audit.check(audit.orphans(orders, lines, "o_orderkey", "l_orderkey"), "orders", "without_lines", bad="warn"),
+    ]))
+
+
+@_query(" ".join(["SELECT sum((status = 'pass')::INT)::BIGINT AS pass, sum((status = 'warn')::INT)::BIGINT AS warn, sum((status = 'fail')::INT)::BIGINT AS fail FROM (", _SQL["audit_checks"], ")"]))
+def audit_tally(spark, sf_dir):
+    return audit.tally(audit_checks(spark, sf_dir))
+
+
+@_query("""WITH c AS (SELECT l_orderkey, count(*) AS sides, count(DISTINCT l_suppkey) AS fighters, min(CASE WHEN l_linenumber = 1 THEN l_suppkey END) AS first_side FROM lineitem GROUP BY 1)
+    SELECT o_orderkey AS fight_id, o_orderstatus AS source, coalesce(sides, 0) AS sides, first_side,
+        concat_ws(';', CASE WHEN coalesce(sides, 0) <> 2 THEN 'participant_count' END, CASE WHEN fighters < sides THEN 'repeated_fighter' END, CASE WHEN sides IS NULL THEN 'no_participants' END) AS anomalies,
+        coalesce(sides, 0) <> 2 OR coalesce(fighters < sides, false) AS has_anomaly FROM orders LEFT JOIN c ON o_orderkey = l_orderkey""")
+def view_fight_audit(spark, sf_dir):
+    counts = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("sides"), F.count_distinct("l_suppkey").alias("fighters"), F.min(F.when(F.col("l_linenumber") == 1, F.col("l_suppkey"))).alias("first_side"))
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("fight_id"), F.col("o_orderstatus").alias("source"))
+    rows = orders.join(counts, orders["fight_id"] == counts["l_orderkey"], "left")
+    odd, again = F.coalesce("sides", F.lit(0)) != 2, F.col("fighters") < F.col("sides")
+    return rows.select("fight_id", "source", F.coalesce("sides", F.lit(0)).alias("sides"), "first_side", audit.flags(participant_count=odd, repeated_fighter=again, no_participants=F.col("sides").isNull()).alias("anomalies"), (odd | F.coalesce(again, F.lit(False))).alias("has_anomaly"))
+
+
+@_query("""SELECT o_orderdate::DATE AS event_date, count(DISTINCT o_orderkey) AS fights, count(DISTINCT CASE WHEN o_orderstatus = 'F' THEN o_orderkey END) AS finished, bool_or(o_totalprice > 400000) AS has_large FROM orders GROUP BY 1""")
+def view_event_audit(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.col("o_orderdate").cast("date").alias("event_date")).agg(
+        F.count_distinct("o_orderkey").alias("fights"), F.count_distinct(F.when(F.col("o_orderstatus") == "F", F.col("o_orderkey"))).alias("finished"), F.bool_or(F.col("o_totalprice") > 400000).alias("has_large"))
+
+
+@_query(f"""{BOUTS}, c AS (SELECT fighter_id, count(*) AS fights, count(*) FILTER (winner_flag) AS wins, min(event_date) AS first_date, max(event_date) AS last_date FROM b GROUP BY 1)
+    SELECT s_suppkey AS fighter_id, s_name AS full_name, coalesce(fights, 0) AS fights, coalesce(wins, 0) AS wins, first_date, last_date FROM supplier LEFT JOIN c ON s_suppkey = fighter_id""")
+def view_fighter_audit(spark, sf_dir):
+    counts = bout_rows(spark, sf_dir).groupBy("fighter_id").agg(F.count(F.lit(1)).alias("fights"), F.count_if("winner_flag").alias("wins"), F.min("event_date").alias("first_date"), F.max("event_date").alias("last_date"))
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fighter_id"), F.col("s_name").alias("full_name"))
+    return people.join(counts, "fighter_id", "left").select("fighter_id", "full_name", F.coalesce("fights", F.lit(0)).alias("fights"), F.coalesce("wins", F.lit(0)).alias("wins"), "first_date", "last_date")
+
+
+@_query(" UNION ALL ".join(f"SELECT '{t}' AS table_name, count(*) AS \"rows\" FROM {t}" for t in ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events")))
+def warehouse_quality_union(spark, sf_dir):
+    return audit.union_all([table(spark, sf_dir, t).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(t).alias("table_name"), "rows") for t in ("customer", "supplier", "part", "orders", "lineitem", "nation", "region", "events")])
+
+
+# identity
+
+_FIGHTERS = """WITH p AS (SELECT 'ufcstats' AS source, s_suppkey::VARCHAR AS id, 'person ' || (s_suppkey % 80) AS key, DATE '1980-01-01' + (s_suppkey % 40)::INT AS dob FROM supplier),
+    q AS (SELECT 'sherdog' AS source, c_custkey::VARCHAR AS id, 'person ' || (c_custkey % 90) AS key, CASE WHEN c_custkey % 7 > 0 THEN DATE '1980-01-01' + (c_custkey % 90 + c_custkey % 3)::INT END AS dob FROM customer),
+    u AS (SELECT *, count(*) OVER (PARTITION BY key, dob) AS kd, count(*) OVER (PARTITION BY key) AS kn FROM p), v AS (SELECT *, count(*) OVER (PARTITION BY key) AS kn FROM q)"""
+
+
+def _fighters(spark, sf_dir):
+    start = F.lit("1980-01-01").cast("date")
+    name = lambda c, n: F.concat(F.lit('Person "Nick" '), (F.col(c) % n).cast("string"), F.lit(" Record: 1-0-0"))
+    a = table(spark, sf_dir, "supplier").select(F.lit("ufcstats").alias("source"), F.col("s_suppkey").cast("string").alias("source_fighter_id"), name("s_suppkey", 80).alias("full_name"), F.date_add(start, (F.col("s_suppkey") % 40).cast("int")).alias("dob"))
+    b = table(spark, sf_dir, "customer").select(F.lit("sherdog").alias("source"), F.col("c_custkey").cast("string").alias("source_fighter_id"), name("c_custkey", 90).alias("full_name"), F.when(F.col("c_custkey") % 7 > 0, F.date_add(start, (F.col("c_custkey") % 90 + F.col("c_custkey") % 3).cast("int"))).alias("dob"))
+    return a.unionByName(b)
+
+
+@_query(f"""{_FIGHTERS}, s AS (SELECT v.id, u.id AS target FROM v JOIN u ON u.key = v.key AND u.dob = v.dob AND u.kd = 1)
+    SELECT 'ufcstats' AS source, id AS source_fighter_id, 'ufcstats:' || id AS canonical_fighter_id, 'source_self' AS link_method, 1.0::DOUBLE AS confidence FROM p
+    UNION ALL SELECT 'sherdog', v.id, CASE WHEN target IS NULL THEN 'sherdog:' || v.id ELSE 'ufcstats:' || target END, CASE WHEN target IS NULL THEN 'source_self' ELSE 'cleaned_name_dob' END, CASE WHEN target IS NULL THEN 1.0 ELSE 0.95 END FROM v LEFT JOIN s ON s.id = v.id""")
+def identity_chain(spark, sf_dir):
+    rows = _fighters(spark, sf_dir)
+    exact = rows.withColumn("full_name", F.when(F.col("source") == "sherdog", F.regexp_replace("full_name", "Nick", "Other")).otherwise(F.col("full_name")))
+    return identity.link(exact)
+
+
+@_query(f"""{_FIGHTERS} SELECT v.id AS source_fighter_id, u.id AS target, 'exact_name_dob' AS link_method FROM v JOIN u ON u.key = v.key AND u.dob = v.dob AND u.kd = 1""")
+def identity_exact(spark, sf_dir):
+    links = identity.link(_fighters(spark, sf_dir)).where("link_method = 'exact_name_dob'")
+    return links.select("source_fighter_id", F.regexp_replace("canonical_fighter_id", "^ufcstats:", "").alias("target"), "link_method")
+
+
+@_query("SELECT c_custkey, 'j' || 'r ' || lower(replace(c_name, '#', ' ')) AS name_key, lower(replace(c_name, '#', ' ')) AS cleaned FROM customer")
+def identity_cleaned(spark, sf_dir):
+    rows = table(spark, sf_dir, "customer")
+    given = F.concat(F.lit("J. R. "), F.col("c_name"))
+    return rows.select("c_custkey", X.name_key(given).alias("name_key"), X.cleaned_name_key(F.concat(F.col("c_name"), F.lit(' "The Nick" Record: 3-1-0'))).alias("cleaned"))
+
+
+_A, _B = "o_orderdate::DATE", "(o_orderdate::DATE + (o_custkey % 40 - 20)::INT)"
+
+
+@_query(f"""SELECT o_orderkey, CASE WHEN o_custkey % 11 = 0 THEN 'missing' WHEN {_A} = {_B} THEN 'exact' WHEN year({_A}) <> year({_B}) THEN 'conflict' WHEN abs(date_diff('day', {_A}, {_B})) <= 7 THEN 'near'
+    WHEN month({_A}) = day({_B}) AND day({_A}) = month({_B}) THEN 'month_day_swap' WHEN abs(date_diff('day', {_A}, {_B})) <= 31 THEN 'same_year_close' ELSE 'conflict' END AS status FROM orders""")
+def identity_dob_status(spark, sf_dir):
+    day = F.col("o_orderdate").cast("date")
+    other = F.when(F.col("o_custkey") % 11 != 0, F.date_add(day, (F.col("o_custkey") % 40 - 20).cast("int")))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.dob_status(day, other).alias("status"))
+
+
+@_query(f"""{_FIGHTERS}, s AS (SELECT v.id FROM v WHERE NOT EXISTS (SELECT 1 FROM u WHERE u.key = v.key AND u.dob = v.dob AND u.kd = 1))
+    SELECT v.id AS source_fighter_id, string_agg(u.id, ';' ORDER BY u.id) AS candidates, count(*) AS n FROM v JOIN s USING (id) JOIN u ON u.key = v.key AND u.dob = v.dob GROUP BY v.id""")
+def identity_review_candidates(spark, sf_dir):
+    rows = _fighters(spark, sf_dir)
+    return identity.review_candidates(rows, identity.link(rows))
+
+
+@_query("""SELECT text, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, min(doc_id) AS first_id FROM documents GROUP BY text""")
+def canonical_first_non_null(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min_by("lang", "doc_id").alias("lang"), F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("first_id"))
+
+
+@_query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
+def dedupe_keep_first(spark, sf_dir):
+    return staging.keep_first(table(spark, sf_dir, "documents"), ["text"], ["doc_id"]).select("doc_id", "lang", "source")
+
+
+@_query("""SELECT l_orderkey AS fight_id, count(*) AS n, 'invalid_participant_shape' AS reason FROM lineitem GROUP BY 1 HAVING count(*) <> 2""")
+def quarantine_split(spark, sf_dir):
+    sides = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("fight_id"), F.when(F.row_number().over(history.Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_suppkey", "l_partkey", "l_extendedprice")) == 1, "blue").otherwise("red").alias("corner"))
+    _, bad = staging.split_quarantine(sides, staging.shape_reason(sides), "fight_id")
+    return bad.groupBy("fight_id").agg(F.count(F.lit(1)).alias("n"), F.first("reason").alias("reason"))
+
+
+@_query("SELECT o_orderkey FROM orders ANTI JOIN lineitem ON l_orderkey = o_orderkey")
+def unlinked_anti(spark, sf_dir):
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"))
+    return staging.repair_candidates(table(spark, sf_dir, "orders"), lines, "o_orderkey")
+
+
+@_query("""SELECT CASE WHEN n IS NULL THEN 'none' WHEN n = 1 THEN 'unique' ELSE 'ambiguous' END AS bucket, count(*) AS names FROM (SELECT DISTINCT 'k' || (c_custkey % 150) AS k FROM customer) LEFT JOIN (SELECT 'k' || (s_suppkey % 70 * 2) AS k, count(*) AS n FROM supplier GROUP BY 1) USING (k) GROUP BY 1""")
+def search_buckets(spark, sf_dir):
+    names = table(spark, sf_dir, "customer").select(F.concat(F.lit("k"), F.col("c_custkey") % 150).alias("name_key"))
+    return staging.search_buckets(names, table(spark, sf_dir, "supplier").select(F.concat(F.lit("k"), F.col("s_suppkey") % 70 * 2).alias("name_key")))
+
+
+# service
+
+
+@_query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3 ORDER BY c_custkey LIMIT 20 OFFSET 1")
+def table_page_filtered(spark, sf_dir):
+    wanted = {"c_mktsegment": "BUILDING", "c_nationkey": "3", "unknown": "x", "c_name": ""}
+    return service.page(table(spark, sf_dir, "customer"), wanted, 20, 1, ("c_custkey",)).select("c_custkey", "c_name", "c_mktsegment")
+
+
+@_query("SELECT c_custkey::VARCHAR AS fighter_id, c_name AS full_name FROM customer WHERE c_name ILIKE '%00012%' ORDER BY 2, 1 LIMIT 25")
+def name_search_ilike(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("fighter_id"), F.col("c_name").alias("full_name"))
+    return service.search(people, "00012")
+
+
+@_query("SELECT c_name AS query, min(c_custkey)::VARCHAR AS fighter_id, count(DISTINCT c_custkey) AS matches FROM customer WHERE c_custkey <= 100 GROUP BY c_name")
+def resolve_name(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("fighter_id"), F.upper("c_name").alias("full_name"), F.lit("ufcstats").alias("source"))
+    wanted = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.col("c_name").alias("query"))
+    return service.resolve(wanted, people, "ufcstats")
+
+
+def _overrides(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_fighter_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")).alias("target"), F.lit("approved").alias("decision"), F.lit("t0").alias("created_at_utc"))
+
+
+@_query("""SELECT c_custkey AS source_fighter_id, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS target, CASE WHEN c_custkey % 10 = 0 THEN 'rejected' ELSE 'approved' END AS decision, 't0' AS created_at_utc FROM customer
+    UNION ALL SELECT -s_suppkey, 1, 'rejected', 't1' FROM supplier""")
+def override_upsert(spark, sf_dir):
+    base = _overrides(spark, sf_dir)
+    changed = base.where("source_fighter_id % 10 = 0").withColumns({"decision": F.lit("rejected"), "created_at_utc": F.lit("t1")})
+    new = table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("source_fighter_id"), F.lit(1).alias("target"), F.lit("rejected").alias("decision"), F.lit("t1").alias("created_at_utc"))
+    return upserted(base, changed.unionByName(new), ["source_fighter_id", "target"], "created_at_utc")
+
+
+@_query("SELECT c_custkey AS source_fighter_id, CASE WHEN c_custkey % 5 > 0 THEN c_nationkey END AS target FROM customer WHERE NOT (c_custkey % 5 = 0)")
+def override_delete(spark, sf_dir):
+    return _overrides(spark, sf_dir).where(~matches({"target": None})).select("source_fighter_id", "target")
+
+
+# evaluation
+
+_SCORED = "(SELECT l.quality AS y, round(1 / (1 + exp(-(n_chars - 1500) / 2000.0::DOUBLE)), 9) AS p, lang AS source FROM labels l JOIN documents USING (doc_id))"
+
+
+def _scored(spark, sf_dir):
+    p = F.round(1 / (1 + F.exp(-(F.col("n_chars") - 1500) / 2000.0)), 9)
+    return table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "n_chars", "lang"), "doc_id").select(F.col("quality").alias("y"), p.alias("p"), F.col("lang").alias("source"))
+
+
+def _metric_sql(keys: str) -> str:
+    by, part = (f"{keys},", f"PARTITION BY {keys}") if keys else ("", "")
+    group = f"GROUP BY {keys}" if keys else ""
+    return f"""WITH s AS {_SCORED}, r AS (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {by} p) - 1) / 2.0::DOUBLE AS k FROM s)
+    SELECT {by} count(*) AS "rows", round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier,
+    round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM r {group}"""
+
+
+@_query(_metric_sql(""))
+def eval_metrics(spark, sf_dir):
+    return evaluate.metrics(_scored(spark, sf_dir)).select("rows", _r("accuracy"), _r("log_loss"), _r("brier"), _r("auc"))
+
+
+@_query(_metric_sql("source"))
+def eval_by_source(spark, sf_dir):
+    return evaluate.metrics(_scored(spark, sf_dir), ["source"]).select("source", "rows", _r("accuracy"), _r("log_loss"), _r("brier"), _r("auc"))
+
+
+@_query(f"SELECT round(max(auc) - min(auc), 6) AS gap FROM ({_metric_sql('source')})")
+def source_gap(spark, sf_dir):
+    return evaluate.source_gap(eval_by_source(spark, sf_dir), "auc").select(_r("gap"))
+
+
+_CURVE = f"""WITH s AS {_SCORED}, z AS (SELECT *, greatest(0, least(9, ceil((p - min(p) OVER ()) / (max(p) OVER () - min(p) OVER ()) * 10) - 1))::INT AS bin FROM s),
+    c AS (SELECT bin, count(*) AS "rows", avg(p) AS mean_p, avg(y) AS mean_y FROM z GROUP BY bin)"""
+
+
+@_query(f'{_CURVE} SELECT bin, "rows", round(mean_p, 6) AS mean_p, round(mean_y, 6) AS mean_y FROM c')
+def calibration_curve(spark, sf_dir):
+    return evaluate.calibration_curve(_scored(spark, sf_dir)).select("bin", "rows", _r("mean_p"), _r("mean_y"))
+
+
+@_query(f'{_CURVE} SELECT round(sum("rows" * abs(mean_p - mean_y)) / sum("rows"), 6) AS ece FROM c')
+def ece(spark, sf_dir):
+    return evaluate.ece(_scored(spark, sf_dir)).select(_r("ece"))
+
+
+@_query()
+def platt(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return evaluate.apply_platt(scored, evaluate.platt(scored)).select("y", "p", _r("calibrated"))
+
+
+@_query()
+def isotonic(spark, sf_dir):
+    scored = _scored(spark, sf_dir)
+    return evaluate.apply_isotonic(scored, evaluate.isotonic(scored)).select("y", "p", _r("calibrated"))
+
+
+@_query()
+def boosted_trees(spark, sf_dir):
+    rows = dataset.temporal_split(oriented_dataset(spark, sf_dir))
+    model = evaluate.boosted_trees(rows.where("split = 'train'"), _DELTAS, trees=5)
+    return model.transform(evaluate.ready(rows.where("split = 'test'"), _DELTAS)).select("fight_id", "prediction")
+
+
+@_query(f"""{_PRE} SELECT a.fight_id, a.f AS fighter_id, round((0.3 + a.f % 7 / 10.0::DOUBLE) / sum(0.3 + a.f % 7 / 10.0::DOUBLE) OVER (PARTITION BY a.fight_id), 6) AS no_vig,
+    round(1 / (1 + pow(10, (c.dr - a.dr) / 400)) - (0.3 + a.f % 7 / 10.0::DOUBLE) / sum(0.3 + a.f % 7 / 10.0::DOUBLE) OVER (PARTITION BY a.fight_id), 6) AS edge FROM q a JOIN q c ON c.fight_id = a.fight_id AND c.f = a.o""")
+def no_vig_edge(spark, sf_dir):
+    rows = ratings.rate(bout_rows(spark, sf_dir)).select(*KEYS, F.col("elo_expected_win_prob").alias("p"), (F.lit(0.3) + F.col("fighter_id") % 7 / 10.0).alias("raw"))
+    return evaluate.no_vig(rows, "fight_id", "raw").select(*KEYS, _r("no_vig"), _r("edge"))
+
+
+# pages
+
+
+@_query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")
+def html_titles(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", html.title(F.col("html")).alias("title"))
+
+
+@_query("""SELECT page_id, link FROM (SELECT page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages)""")
+def html_links(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.explode(html.links(F.col("html"))).alias("link"))
+
+
+@_query("SELECT page_id, len(regexp_extract_all(html, '<p>([^<]*)</p>', 1)) AS cells, sha256(array_to_string(regexp_extract_all(html, '<p>([^<]*)</p>', 1), chr(10))) AS digest FROM pages")
+def html_cells(spark, sf_dir):
+    found = html.cells(F.col("html"))
+    return table(spark, sf_dir, "pages").select("page_id", F.size(found).cast("long").alias("cells"), F.sha2(F.array_join(found, "\n"), 256).alias("digest"))
+
+
+# scalar functions
+
+
+@_query("""SELECT p_partkey, ((p_size % 4 + 4) * 12 + p_size % 12)::INT AS height, (p_size * 60 + p_size % 60)::INT AS seconds, p_size::INT AS landed, (p_size + 3)::INT AS attempted, -(1000 + p_size)::INT AS number,
+    DATE '2020-01-01' + (p_size)::INT AS day FROM part""")
+def scalar_parsers(spark, sf_dir):
+    s = F.col("p_size")
+    text = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in x])
+    day = F.date_format(F.date_add(F.lit("2020-01-01").cast("date"), s), "MMMM d, yyyy")
+    return table(spark, sf_dir, "part").select(
+        "p_partkey", X.height_of(text(s % 4 + 4, "' ", s % 12, '"')).alias("height"), X.seconds_of(text(s, ":", F.lpad((s % 60).cast("string"), 2, "0"))).alias("seconds"),
+        X.landed_of(text(s, " of ", s + 3), 1).alias("landed"), X.landed_of(text(s, " of ", s + 3), 2).alias("attempted"), X.int_of(text("x -1,", F.lpad(s.cast("string"), 3, "0"))).alias("number"), X.date_of(day).alias("day"),
+    )
+
+
+@_query("""SELECT year(o_orderdate)::INT AS year, count(*) AS fights FROM orders GROUP BY 1""")
+def fights_by_year(spark, sf_dir):
+    return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("fights"))
+
+
+@_query("""SELECT o_custkey, o_orderkey, o_totalprice FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 3""")
+def top_n_per_group(spark, sf_dir):
+    rank = F.row_number().over(history.Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    return table(spark, sf_dir, "orders").withColumn("k", rank).where("k <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
