@@ -278,3 +278,26 @@ def test_files(spark, tmp_path):
 def test_fold_is_a_plain_function():
     pdf = pd.DataFrame({"fight_id": [1], "event_date": [day(1)], "blue": [1], "red": [2], "blue_won": [False], "decided": [False]})
     assert ratings.fold(pdf)["post_elo"].isna().all()
+
+
+def link(kind, name, number):
+    return f"<a href='/{kind}/{name.replace(' ', '-')}-{number}'>{name}</a>"
+
+
+def test_results_site(spark):
+    def row(n, *people, extra=""):
+        return f"<tr><td>{n}</td>" + "".join(f"<td>{link('fighter', p, i)} {o}</td>" for p, i, o in people) + f"<td>Submission {extra}</td><td>1</td><td>2:10</td></tr>"
+
+    table = row(2, ("Al Ox", 1, "win"), ("Bo Xu", 2, "loss")) + row(1, ("Cy Oz", 3, "win"), ("Di Ko", 4, "loss")) + row(1, ("Ed Lo", 5, "win"), ("Fi Mo", 6, "loss"))
+    pages = spark.createDataFrame([("77", "Some FC", f"<table>{table}</table>"), ("78", "ONE", f"<table>{row(1, ('Al Ox', 1, 'win'), ('Bo Xu', 2, 'loss'), extra='Muay Thai')}</table>")], "entity_id string, promotion string, html string")
+    got = html.parse_results(pages).orderBy("fight_id", "fighter_id").collect()
+    reasons = {r.fight_id: r.reason for r in got}
+    assert reasons == {"77:1": "invalid_participant_shape", "77:2": None, "78:1": "ambiguous_or_non_mma_one_bout"}
+    assert [(r.fighter_id, r.opponent_id, r.corner, r.outcome, r["round"], r.time) for r in got if r.fight_id == "77:2"] == [("1", "2", "red", "W", 1, "2:10"), ("2", "1", "blue", "L", 1, "2:10")]
+    main = f"<h3>{link('fighter', 'Al Ox', 1)}</h3><p>win</p><h3>{link('fighter', 'Bo Xu', 2)}</h3><p>loss</p>"
+    assert {r["fight_id"] for r in html.result_bouts(main, "9", "X")} == {"9:1"}
+    events, older = html.organisation_events(f"<tr><td>Apr<br>11<br>2014</td><td>{link('events', 'Night One', 5)}</td><td>Here</td></tr><a href='/x/2'>Older Events</a>")
+    assert [(e["event_id"], e["event_date_text"]) for e in events] == [("5", "Apr 11, 2014")] and older == "/x/2"
+    bio = html.result_fighter("<h1>Al Ox</h1><p>Birthdate Jan 1, 1990 / AGE: 30</p><p>Height 5'11\" / 180 cm</p><p>Weight 170 lbs</p>", "1")
+    assert (bio["full_name"], bio["height_text"], bio["weight_text"], bio["dob_text"]) == ("Al Ox", "5'11", "170", "Jan 1, 1990")
+    assert html.exact_candidates(link("fighter", "AL OX", 1) + link("fighter", "Al Oxx", 2), "Al Ox") == [("1", "AL OX")]
