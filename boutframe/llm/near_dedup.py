@@ -104,14 +104,7 @@ def _classes(batches):
     """Rows of both kinds: a row for each document, and the task's shingles that two or more of its classes hold."""
     kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
     names = ["doc_id", "n", "class", "bitmap", "shingle", "held"]
-    seen, counted, counts, waiting, size = set(), np.zeros(0, np.uint64), np.zeros(0, np.int64), [], 0
-
-    def count(counted, counts, waiting):
-        # shingles held once so far are kept until the task ends: they may come again
-        both = np.concatenate([counted, *waiting])
-        weights = np.concatenate([counts, np.ones(len(both) - len(counts), np.int64)])
-        values, where = np.unique(both, return_inverse=True)
-        return values, np.bincount(where, weights, len(values)).astype(np.int64)
+    seen, tally, waiting, size = set(), _Tally(), [], 0
 
     for batch in batches:
         rows = []
@@ -123,17 +116,42 @@ def _classes(batches):
                 seen.add(key)
                 waiting.append(shingles)
                 size += len(shingles)
-                if size > 2_000_000:
-                    counted, counts = count(counted, counts, waiting)
+                if size > 500_000:
+                    tally.add(waiting)
                     waiting, size = [], 0
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
-    counted, counts = count(counted, counts, waiting)
-    many = counts > 1
-    values, n = counted[many].view(np.int64), int(many.sum())
-    for a in range(0, n, 100_000):
-        part = slice(a, min(n, a + 100_000))
-        empty = [pa.nulls(part.stop - a, k) for k in kinds[:4]]
-        yield pa.RecordBatch.from_arrays([*empty, pa.array(values[part]), pa.array(counts[many][part])], names=names)
+    tally.add(waiting)
+    for a in range(0, len(tally.many), 100_000):
+        values, counts = tally.many[a : a + 100_000], tally.counts[a : a + 100_000]
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(values), k) for k in kinds[:4]], pa.array(values.view(np.int64)), pa.array(counts)], names=names)
+
+
+class _Tally:
+    """Counts of shingles that came more than once, next to a sorted array of those that came once."""
+
+    def __init__(self):
+        self.once, self.many, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+
+    def add(self, sets: list[np.ndarray]) -> None:
+        values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
+        again = _holds(self.once, values)
+        self.once = self.once[~_holds(values[again], self.once)]
+        n = n + again
+        known = _holds(self.many, values)
+        self.counts[np.searchsorted(self.many, values[known])] += n[known]
+        fresh = ~known & (n > 1)
+        many = np.concatenate([self.many, values[fresh]])
+        order = np.argsort(many, kind="stable")
+        self.many, self.counts = many[order], np.concatenate([self.counts, n[fresh]])[order]
+        self.once = np.concatenate([self.once, values[~known & (n == 1)]])
+        self.once.sort(kind="stable")
+
+
+def _holds(array: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values a sorted array holds."""
+    if not len(array):
+        return np.zeros(len(values), bool)
+    return array[np.minimum(np.searchsorted(array, values), len(array) - 1)] == values
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, profiles: DataFrame) -> DataFrame:
