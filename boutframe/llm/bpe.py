@@ -29,10 +29,11 @@ from pyspark.sql import functions as F
 
 from boutframe.session import ship
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 450_000
 #: The split that byte-level BPE files of this kind assume; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NO_PAIR = 1 << 62
+_LATIN_END = "\u0250"  # below it, letters are the same in every version of Unicode in use
 _SPECIAL = "\0 "  # before a special token's string; no chunk of a text has a space after its first letter
 _ODD_SPACES = re.compile(r"\s (?!\S)")
 _SPACE_PAIRS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
@@ -241,9 +242,13 @@ class Encoder:
             plain = dict(zip(rest := [c for c in chunks if not c.startswith(_SPECIAL)], self._pack_chunks(rest), strict=True))
             plain.update((c, np.array([self.vocabulary.special[c.removeprefix(_SPECIAL)]], "<u4").tobytes()) for c in special)
             return [plain[c] for c in chunks]
-        split = [self._find(chunk[1:] if chunk[:1] == " " else " " + chunk) for chunk in chunks]
+        whole = [chunk for chunk in chunks if chunk.isalpha() and max(chunk) < _LATIN_END]  # one word after a space
+        done = dict(zip(whole, self._trees.merge([" " + chunk for chunk in whole]), strict=True))
+        mixed = [chunk for chunk in chunks if chunk not in done]
+        split = [self._find(chunk[1:] if chunk[:1] == " " else " " + chunk) for chunk in mixed]
         get = self._words.ready(split, self._trees.merge).__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        done.update(zip(mixed, (b"".join(map(get, words)) for words in split), strict=True))
+        return list(map(done.__getitem__, chunks))
 
     def packed(self, texts: list[str | None]) -> Iterator[bytes]:
         """Each text's ids as little-endian unsigned 32-bit numbers; about a megabyte of texts is taken at a time."""
