@@ -63,10 +63,17 @@ def walk_forward(df: DataFrame, folds: int = 8, initial: float = 0.5) -> DataFra
     return df.join(F.broadcast(ranked), "event_date").withColumn("fold", fold).drop("ordinal")  # dates: bounded
 
 
-def late_rows(train: DataFrame, share: float = 0.15, order: tuple[str, ...] = ("event_date", "fight_id")) -> DataFrame:
-    """Mark the last share of training rows (by row, so it may cut a date) as the calibrator's validation."""
-    rank = F.percent_rank().over(Window.orderBy(*order))
-    return train.withColumn("is_validation", rank >= 1 - share)
+def late_rows(train: DataFrame, share: float = 0.15, date: str = "event_date", then: str = "fight_id") -> DataFrame:
+    """Mark the last share of training rows (by row, so it may cut a date) as the calibrator's validation.
+
+    Rows are numbered within their date; what comes before a date is a running sum over the dates, of which there are few.
+    """
+    dates = train.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
+    every = Window.orderBy(date)
+    before = dates.select(date, (F.sum("__n").over(every) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
+    place = F.col("__before") + F.row_number().over(Window.partitionBy(date).orderBy(then))
+    rows = train.join(F.broadcast(before), date)  # dates: bounded
+    return rows.withColumn("is_validation", place > F.col("__all") * (1 - share)).drop("__before", "__all")
 
 
 def forbidden_features(columns: list[str]) -> list[str]:

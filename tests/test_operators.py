@@ -199,6 +199,11 @@ def test_splits_never_cut_a_date(spark):
     assert dataset.forbidden_features(["delta_age", "delta_winner"]) == ["delta_winner"]
 
 
+def test_late_rows_are_counted_by_row(spark):
+    df = spark.createDataFrame([(n, day(n // 8 + 1)) for n in range(20)], "fight_id long, event_date date")
+    assert sorted(r.fight_id for r in dataset.late_rows(df).where("is_validation").collect()) == [17, 18, 19]
+
+
 def test_metrics_and_calibration(spark):
     data = [(0, 0.1), (0, 0.4), (1, 0.4), (1, 0.8)]
     df = spark.createDataFrame(data, "y int, p double")
