@@ -3,11 +3,13 @@
 Equal sets are one *class*, named by a 64-bit key of the set. All classes order their shingles alike: shingles that few
 classes hold first (by hash), then the heavy ones by their estimated count, so prefixes keep to rare shingles. A class of
 n shingles has the prefix of the first ``n - ceil(0.8 n) + l`` of them. Two sets that are similar enough share at least
-``min(l_x, l_y)`` shingles of their prefixes, so a pair is verified only when it does. ``l`` is 1 for a class whose prefix
+``min(l_x, l_y)`` shingles of their prefixes, so a pair is verified only when it does; the smaller set has them in the
+*early* part of its prefix, ``n - ceil(8/9 n) + l`` shingles, because its partner is no smaller. ``l`` is 1 for a class whose prefix
 has no heavy shingle and grows with the logarithm of the estimated number of candidates that its prefix brings.
 
 Pairs come in two rounds, so that a group of thousands of near copies never makes all its pairs. First every class is
-paired with the least class that shares a prefix shingle; verified pairs join into clusters. Then all pairs of classes of
+paired with the most central class that shares a prefix shingle, the one with the fewest shingles that aren't heavy;
+verified pairs join into clusters. Then all pairs of classes of
 *different* clusters that share enough are looked at: within a cluster no further link can change a component. Parity
 bitmaps of the sets give an upper bound of the overlap that rules most pairs out before their sets are fetched; what is
 left is decided on the whole sets of 64-bit shingle hashes.
@@ -44,6 +46,11 @@ def need(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
+def need_beside_larger(n: int) -> int:
+    """The least overlap with a similar set of n shingles or more: ceil(0.8 / 1.8 * 2n)."""
+    return -(-2 * n * PERCENT // (100 + PERCENT))
+
+
 def similar(shared: int, n: int, m: int) -> bool:
     return 100 * shared >= PERCENT * (n + m - shared)
 
@@ -83,8 +90,8 @@ class Order:
         order = np.argsort(heavy)
         self.heavy, self.counts = heavy[order], counts[order].astype(np.int64)
 
-    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int]:
-        """The shingles of the prefix, and how many of them a similar set must share at least (its l)."""
+    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int, int, int]:
+        """The prefix in order, its l, how much of it is enough beside larger sets, and the number of shingles that aren't heavy."""
         n = len(shingles)
         base = n - need(n)
         if len(self.heavy):
@@ -92,12 +99,13 @@ class Order:
             weight = np.where(self.heavy[at] == shingles, self.counts[at], 0)
         else:
             weight = np.zeros(n, np.int64)
+        small = n - need_beside_larger(n)
         if not weight.any():
-            return shingles[: base + 1], 1  # sorted by hash already
+            return shingles[: base + 1], 1, small + 1, n  # sorted by hash already
         ranked = np.lexsort((shingles, weight))
         cost = int(weight[ranked[: base + 1]].sum())
         matches = min(1 + int(np.log2(1 + cost / (base + 1))), MOST_MATCHES, need(n)) if cost else 1
-        return shingles[ranked[: base + matches]], matches
+        return shingles[ranked[: base + matches]], matches, small + matches, int((weight == 0).sum())
 
 
 def _classes(batches):
@@ -218,40 +226,47 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     def prefixes(batches):
         sent = set()
         for batch in batches:
-            tokens, keys, matches = [], [], []
+            tokens, keys, matches, early, rare = [], [], [], [], []
             for shingles in shingle_sets(batch.column(0).to_pylist()):
                 if not len(shingles) or (key := class_key(shingles)) in sent:
                     continue
                 sent.add(key)
-                chosen, least = order.value.prefix(shingles)
+                chosen, least, short, plain = order.value.prefix(shingles)
                 tokens.append(chosen)
                 keys.append(np.full(len(chosen), key, np.int64))
                 matches.append(np.full(len(chosen), least, np.int8))
+                early.append(np.arange(len(chosen)) < short)
+                rare.append(np.full(len(chosen), plain, np.int32))
             if tokens:
-                flat = [np.concatenate(x) for x in (tokens, keys, matches)]
+                flat = [np.concatenate(x) for x in (tokens, keys, matches, early, rare)]
                 for a in range(0, len(flat[0]), 200_000):
-                    token, key, least = (x[a : a + 200_000] for x in flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(key), pa.array(least)], names=["token", "class", "l"])
+                    token, *rest = (x[a : a + 200_000] for x in flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, rest)], names=["token", "class", "l", "early", "rare"])
 
     by_token = Window.partitionBy("token")
-    postings = texts.select("text").mapInArrow(prefixes, "token long, class long, l byte")
-    least = F.min(F.struct("class", "l")).over(by_token)
-    shared = postings.withColumn("least", least).withColumn("most", F.max("class").over(by_token)).where("least.class <> most")
-    shared = materialize(shared.select("token", "class", "l", F.col("least.class").alias("a"), F.col("least.l").alias("l_a")), "postings")
+    postings = texts.select("text").mapInArrow(prefixes, "token long, class long, l byte, early boolean, rare int")
+    central = F.min(F.struct("rare", "class", "l")).over(by_token)  # of near copies the one that differs least from the rest
+    shared = postings.withColumns({"central": central, "low": F.min("class").over(by_token), "high": F.max("class").over(by_token)}).where("low <> high")
+    shared = materialize(shared.select("token", "class", "l", "early", F.col("central.class").alias("a"), F.col("central.l").alias("l_a")), "postings")
 
     enough = F.count_distinct("token") >= F.least(F.first("l_a"), F.first("l_b"))
     stars = shared.where("class <> a").select("a", F.col("class").alias("b"), "l_a", F.col("l").alias("l_b"), "token").groupBy("a", "b").agg(enough.alias("enough")).where("enough")
     first = materialize(_verified(stars.select("a", "b"), texts, profiles), "links")
     clusters = components(first)
 
-    slim = shared.select("token", "class", "l").distinct()
-    placed = slim.join(clusters, slim["class"] == clusters["node"], "left").select("token", "class", "l", F.coalesce("component", "class").alias("cluster"))
+    slim = shared.select("token", "class", "l", "early").distinct().join(profiles.select("class", "n"), "class")
+    placed = slim.join(clusters, slim["class"] == clusters["node"], "left").select("token", "class", "l", "early", "n", F.coalesce("component", "class").alias("cluster"))
     spread = placed.withColumn("low", F.min("cluster").over(by_token)).withColumn("high", F.max("cluster").over(by_token)).where("low <> high").drop("low", "high")
     spread = materialize(spread, "spread")
-    per_token = spread.select("token", "cluster").distinct()
-    two = per_token.select("token", F.col("cluster").alias("cluster_a")).join(per_token.select("token", F.col("cluster").alias("cluster_b")), "token").where("cluster_a < cluster_b")
-    side = lambda c: spread.select("token", F.col("cluster").alias(f"cluster_{c}"), F.col("class").alias(c), F.col("l").alias(f"l_{c}"))
-    across = two.join(side("a"), ["token", "cluster_a"]).join(side("b"), ["token", "cluster_b"])
+    # the smaller set of a pair holds a shared shingle in the early part of its prefix, and sizes are within the threshold
+    groups = spread.groupBy("token", "cluster").agg(F.bool_or("early").alias("early"), F.min("n").alias("least"), F.max("n").alias("most"))
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "token"])
+    near_sizes = lambda small, large: F.expr(f"100 * {large} >= {PERCENT} * {small}")
+    two = side(groups, "a").join(side(groups, "b"), "token").where("cluster_a < cluster_b and (early_a or early_b)").where(near_sizes("least_a", "most_b") & near_sizes("least_b", "most_a"))
+    two = two.select("token", "cluster_a", "cluster_b")
+    smaller = "(n_a <= n_b and early_a or n_b <= n_a and early_b)"
+    across = two.join(side(spread, "a"), ["token", "cluster_a"]).join(side(spread, "b"), ["token", "cluster_b"])
+    across = across.where(smaller).where(near_sizes("n_a", "n_b") & near_sizes("n_b", "n_a")).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "l_a", "l_b")
     pairs = across.groupBy("a", "b").agg((F.count(F.lit(1)) >= F.least(F.first("l_a"), F.first("l_b"))).alias("enough")).where("enough").select("a", "b")
     second = materialize(_verified(pairs, texts, profiles), "links")
 
