@@ -3,7 +3,10 @@
 Base spans are the leftmost non-overlapping matches of each kind (whole matches, code points, end exclusive): assignments
 of a value of 8 or more characters, access keys of 16 or more, hex strings of 32 or more.
 
-The battery looks at every other maximal run of 20 or more characters of the base-64 alphabets. Its encoding is inferred
+The battery looks at every other maximal run of 20 or more characters of the base-64 alphabets. An inner '=' ends a run, so a
+value is looked at apart from its name; '=' at the end is padding and belongs to the span. A run that holds characters of both
+base-64 alphabets ('+' or '/' as well as '-' or '_') is split twice, into the runs of 20 or more of the one and of the other,
+and all these parts are looked at; their spans may overlap. A token's encoding is inferred
 (hex, base 32, base 64) and its characters become numbers; three tests then ask whether they could be uniform draws:
 chi-squared uniformity over the alphabet, the runs test about the alphabet's middle, and lag-one serial correlation. Their
 smallest p-value times three is the token's. Tokens are declared *not random* by the Benjamini-Hochberg step over the
@@ -28,7 +31,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS, HEX = r"AKIA[A-Z0-9]{12,}", r"[0-9a-f]{32,}"
 ASSIGN_LEAST = 8
-TOKEN = r"[A-Za-z0-9+/_=-]{20,}"
+PADDING = r"(?:=+(?![A-Za-z0-9+/_=-]))?"
+TOKEN = r"[A-Za-z0-9+/_-]{20,}" + PADDING
+PARTS = (r"[A-Za-z0-9+/]{20,}" + PADDING, r"[A-Za-z0-9_-]{20,}" + PADDING)
 TOKEN_LEAST = 20
 FDR = 0.01
 BINS = 600
@@ -63,6 +68,17 @@ def _assignments(text: Column) -> Column:
     return _where(text, ASSIGN.removesuffix("+)") + "{" + str(ASSIGN_LEAST) + "})", found)
 
 
+def _tokens(text: Column) -> Column:
+    """Runs of the base-64 alphabets, with the parts of each alphabet in place of a run that mixes them."""
+
+    def parts(run: Column) -> Column:
+        found = F.concat(*[_positions(run["hit"], x, 3) for x in PARTS])
+        moved = F.transform(found, lambda s: F.struct((s["start"] + run["start"]).alias("start"), (s["end"] + run["start"]).alias("end"), s["kind"].alias("kind"), s["hit"].alias("hit")))
+        return F.when(run["hit"].rlike("[_-]") & run["hit"].rlike("[+/]"), F.array_distinct(moved)).otherwise(F.array(run))
+
+    return _where(text, TOKEN, F.flatten(F.transform(_positions(text, TOKEN, 3), parts)))
+
+
 def _tail(z: Column) -> Column:
     """The two-sided normal tail of z by a rational approximation of the error function (absolute error below 2e-7)."""
     x = F.least(F.abs(z), F.lit(36.0)) / F.lit(2.0**0.5)
@@ -133,7 +149,7 @@ def _runs_z(runs: Column, high: Column, n: Column) -> Column:
 def _found(text: Column) -> tuple[Column, Column]:
     """Base spans and judged tokens of a text (which must not be null)."""
     base = F.array_sort(F.concat(_assignments(text), _where(text, ACCESS, _positions(text, ACCESS, 1)), _where(text, HEX, _positions(text, HEX, 2))))
-    return base, _with(_judged(_where(text, TOKEN, _positions(text, TOKEN, 3))), ("start", "end", "n", "p"), kind=lambda t: F.lit(3))
+    return base, _with(_judged(_tokens(text)), ("start", "end", "n", "p"), kind=lambda t: F.lit(3))
 
 
 def _log_p(token: Column, mean_length: float) -> Column:

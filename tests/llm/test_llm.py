@@ -268,6 +268,22 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert [masked[k].text for k in range(5)] == ["see [SECRET] there", "[SECRET]!", "[SECRET] [SECRET]", None, "clean"]
 
 
+def test_random_values_beside_names_and_in_mixed_runs_are_found(spark):
+    rng = random.Random(6)
+    key, web = ("".join(rng.choice(x) for _ in range(60)) for x in (secrets.ALPHABETS[64], secrets.ALPHABETS[64].translate(str.maketrans("+/", "-_"))))
+    key, web = key[:30] + "+/" + key[32:], web[:30] + "-_" + web[32:]
+    plain = "ThisIsOneLongCamelCaseIdentifierThatNobodyWouldEverCallAKey1"
+    aws, sign = "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG/bPxRfiCYzEXAMPLEKEY", "signing_key=Zk3vQ9xT7bLm2Rw8Yc5Nd1Hs6Pf4Jg0A"
+    cases = {aws: aws[22:], "日本 " + sign + "== x": sign[12:] + "==", "my-key_" + key: key, "a+/" + web + ".": web, "=" + key + "=": key + "=", "k=" + key + "=" + web: key}
+    got = by_id(secrets.scan(table(spark, [*cases, *[f"{plain} {plain}"] * 20])))
+    for k, (text, value) in enumerate(cases.items()):
+        at = text.index(value)
+        assert f"random:{at}:{at + len(value)}" in got[k].spans.split(","), text
+    assert not any(got[k].spans for k in range(len(cases), len(got)))
+    masked = by_id(secrets.redact(table(spark, [aws, "日本 " + sign + "== x", *[f"{plain} {plain}"] * 20])))
+    assert masked[0].text == "AWS_SECRET_ACCESS_KEY=[SECRET]" and masked[1].text == "日本 signing_key=[SECRET] x"
+
+
 # 6
 
 
