@@ -7,7 +7,7 @@ The battery looks at every other maximal run of 20 or more characters of the bas
 value is looked at apart from its name; '=' at the end is padding and belongs to the span. A run that holds characters of both
 base-64 alphabets ('+' or '/' as well as '-' or '_') is split twice, into the runs of 20 or more of the one and of the other,
 and all these parts are looked at; their spans may overlap. A token's encoding is inferred
-(hex, base 32, base 64) and its characters become numbers; three tests then ask whether they could be uniform draws:
+from the characters present (hex, base 32, base 36, base 62, base 64; base 32 and 36 in either case), the smallest alphabet that has them all, and its characters become numbers; three tests then ask whether they could be uniform draws:
 chi-squared uniformity over the alphabet, the runs test about the alphabet's middle, and lag-one serial correlation. Their
 smallest p-value times three is the token's. Tokens are declared *not random* by the Benjamini-Hochberg step over the
 tokens of all documents at rate ``FDR``, each p-value weighted by the token's length over the mean length, because longer
@@ -37,7 +37,10 @@ PARTS = (r"[A-Za-z0-9+/]{20,}" + PADDING, r"[A-Za-z0-9_-]{20,}" + PADDING)
 TOKEN_LEAST = 20
 FDR = 0.01
 BINS = 600
-ALPHABETS = {16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+ALPHABETS = {
+    16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
+}
 NO_SPANS = "array<struct<start:int,end:int,kind:int,hit:string>>"
 
 
@@ -102,15 +105,17 @@ def _encoding(core: Column) -> Column:
     return (
         F.when(F.char_length(core) < TOKEN_LEAST, F.lit(None).cast("int"))
         .when(core.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), F.lit(16))
-        .when(core.rlike("^[A-Z2-7]+$") & digit & upper, F.lit(32))
+        .when(core.rlike("^([A-Z2-7]+|[a-z2-7]+)$") & digit & (lower | upper), F.lit(32))
+        .when(core.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & digit & (lower | upper), F.lit(36))
+        .when(core.rlike("^[A-Za-z0-9]+$") & lower & upper, F.lit(62))
         .when(core.rlike("^([A-Za-z0-9+/]+|[A-Za-z0-9_-]+)$") & ((digit & lower) | (digit & upper) | (lower & upper)), F.lit(64))
     )
 
 
 def _numbers(t: Column) -> Column:
-    plain = F.when(t["size"] == 16, F.lower(t["core"])).otherwise(F.translate(t["core"], "-_", "+/"))
+    plain = F.when(t["size"] == 16, F.lower(t["core"])).when(t["size"] <= 36, F.upper(t["core"])).otherwise(F.translate(t["core"], "-_", "+/"))
     letters = F.filter(F.split(plain, ""), lambda c: c != "")
-    alphabet = F.when(t["size"] == 16, F.lit(ALPHABETS[16])).when(t["size"] == 32, F.lit(ALPHABETS[32])).otherwise(F.lit(ALPHABETS[64]))
+    alphabet = F.try_element_at(F.create_map(*[F.lit(x) for pair in ALPHABETS.items() for x in pair]), t["size"])
     return F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
 
 

@@ -284,6 +284,18 @@ def test_random_values_beside_names_and_in_mixed_runs_are_found(spark):
     assert masked[0].text == "AWS_SECRET_ACCESS_KEY=[SECRET]" and masked[1].text == "日本 signing_key=[SECRET] x"
 
 
+def test_random_tokens_of_every_alphabet_are_found(spark):
+    rng = random.Random(7)
+    small, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    alphabets = {"base 32": secrets.ALPHABETS[32], "lower base 32": secrets.ALPHABETS[32].lower(), "base 36": small.upper() + digits, "lower base 36": small + digits, "base 62": small + small.upper() + digits, "base 64": secrets.ALPHABETS[64]}
+    cases = [(name, "".join(rng.choice(letters) for _ in range(n))) for name, letters in alphabets.items() for n in (20, 32, 40, 64, 100, 128) for _ in range(25)]
+    plain = ["ThisIsOneLongCamelCaseIdentifierThatNobodyWouldEverCallAKey1", "thisisonelonglowercaseidentifierthatnobodywouldevercallakey1", "THISISONELONGCONSTANTTHATNOBODYWOULDEVERCALLAKEY1"]
+    got = by_id(secrets.scan(table(spark, [*[f"see {token} there" for _, token in cases], *plain * 100])))
+    found = collections.Counter((name, len(token)) for k, (name, token) in enumerate(cases) if f"random:4:{4 + len(token)}" in got[k].spans)
+    assert all(found[name, n] >= 23 for name in alphabets for n in (20, 32, 40, 64, 100, 128)), found
+    assert not any(got[k].spans for k in range(len(cases), len(got)))
+
+
 # 6
 
 
