@@ -1,11 +1,18 @@
 """License scans: sparse TF-IDF cosine to templates, and inheritance from the nearest licensed directory. DataFrame functions only.
 
-Every line of a text is compared with the templates; a line states a license when its cosine with the best template is
-``THRESHOLD`` or more. Only lines with a *cue* word are compared: the cues are each template's heaviest words, taken until
-the rest of its vector is too short to reach the threshold, so a line without a cue can't reach it either.
-
-A document is a license *file* when its path's last part says so, or when stated lines hold ``FILE_SHARE`` of its words;
-otherwise stated lines are *headers*. A directory has the license of its best file. A document without a statement
+Every line of a text is compared with the templates, and so is every run of as many words as the template has (a *window*,
+which may begin or end inside a line or cross lines); a line or window states a license when its cosine with the best
+template is ``THRESHOLD`` or more, it has all numbers of the template, and it has no word of ``VARIANTS`` that the template
+lacks. Only lines and windows with a *cue* word are compared: the cues are each template's heaviest words, taken until the
+rest of its vector is too short to reach the threshold, so what has no cue can't reach it either. An SPDX tag states the
+license expression that it names, whether or not that has a template, with cosine 1. Full license texts are known by their
+titles and main sentences; they are not compared as a whole.
+
+"All rights reserved" counts only where nothing else is stated. The redistribution sentence of the BSD licenses is
+BSD-2-Clause where the text has the clause on binary forms and not the one on names.
+
+A document is a license *file* when its path's last part says so, or when stated lines, or stated windows, hold
+``FILE_SHARE`` of its words; otherwise stated lines are *headers*. A directory has the license of its best file. A document without a statement
 *inherits* from the nearest directory at or above its own that has one: directories are made distinct first, each is
 joined with its ancestors, and the deepest match counts.
 
@@ -41,13 +48,34 @@ TEMPLATES = [
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted"),
     ("BSD-3-Clause", "Released under the BSD 3-Clause License"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0"),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0"),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
+    *[(f"CC-{x}-{v}", f"Licensed under CC {x} {v}") for v in ("4.0", "3.0") for x in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND")],
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0"),
     ("Unlicense", "This is free and unencumbered software released into the public domain"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1"),
+    ("BSD-2-Clause", "Released under the BSD 2-Clause License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    ("EPL-2.0", "Made available under the terms of the Eclipse Public License 2.0"),
+    *[(f"CC-{x}-{v}", f"Creative Commons {name} {v} International License") for v in ("4.0",) for x, name in (
+        ("BY", "Attribution"), ("BY-SA", "Attribution-ShareAlike"), ("BY-NC", "Attribution-NonCommercial"), ("BY-ND", "Attribution-NoDerivatives"),
+        ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))],
+    *[(x, f"under the terms of the GNU {name} as published by the Free Software Foundation, either version {v} of the License") for x, name, v in (
+        ("GPL-3.0", "General Public License", "3"), ("GPL-2.0", "General Public License", "2"), ("LGPL-3.0", "Lesser General Public License", "3"),
+        ("LGPL-2.1", "Lesser General Public License", "2.1"), ("AGPL-3.0", "Affero General Public License", "3"))],
+    ("Apache-2.0", "Apache License, Version 2.0, January 2004"),
+    ("GPL-3.0", "GNU General Public License, Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License, Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License, Version 3, 29 June 2007"),
+    ("LGPL-2.1", "GNU Lesser General Public License, Version 2.1, February 1999"),
+    ("AGPL-3.0", "GNU Affero General Public License, Version 3, 19 November 2007"),
+    ("MPL-2.0", "Mozilla Public License, Version 2.0"),
     ("all-rights-reserved", "Copyright. All rights reserved"),
-]
+    ("all-rights-reserved", "All rights reserved"),
+]
+#: Words by which licenses of one family differ.
+VARIANTS = frozenset("lesser library affero sa nc nd sharealike noncommercial noderivatives".split())
+RESERVED, BSD = "all-rights-reserved", "Redistribution and use in source and binary forms, with or without modification, are permitted"
+BINARY_CLAUSE, NAME_CLAUSE = r"(?i)redistributions\W+in\W+binary\W+form", r"(?i)(neither\W+the\W+names?|names?\W+of\W+(its|the)\W+contributors)"
+SPDX = r"(?i:SPDX-License-Identifier):[\x20\t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:\x20+(?:AND|OR|WITH)\x20+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
 #: Function words, which carry a tenth of the weight that their rarity would give them.
 FUNCTION_WORDS = frozenset("a all and any are as at by for from in into is it of on or the this to use under with without work".split())
 
@@ -87,38 +115,100 @@ def _words(line: Column) -> Column:
     return F.filter(F.split(F.lower(line), "[^a-z0-9]+"), lambda w: w != "")
 
 
-def _judged(line: Column, idf: dict[str, float], vectors: list[dict[str, float]], names: list[str], unseen: float) -> Column:
-    """``cosine, rank, license, words`` of a line with its best template; built in steps so that nothing is computed twice."""
-    weights = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
-    counted = F.transform(F.array(line), lambda x: F.struct(_words(x).alias("words")))
-    counted = F.transform(
-        counted, lambda x: F.struct(F.size(x["words"]).alias("n"), F.transform(F.array_distinct(x["words"]), lambda w: F.struct(
-            w.alias("word"), (F.size(F.filter(x["words"], lambda y: y == w)) * F.coalesce(F.try_element_at(weights, w), F.lit(unseen))).alias("weight"))).alias("vector"))
-    )
-    sized = F.transform(counted, lambda x: F.struct(x["n"].alias("n"), x["vector"].alias("vector"), F.sqrt(F.aggregate(x["vector"], F.lit(0.0), lambda a, t: a + t["weight"] * t["weight"])).alias("norm")))
+def _vectors(words: Column, weights: Column, unseen: float) -> Column:
+    """Structs with ``n, words, vector, norm`` of an array of word arrays; built in steps so that nothing is computed twice."""
+    counted = F.transform(words, lambda x: F.struct(F.size(x).alias("n"), x.alias("words"), F.transform(F.array_distinct(x), lambda w: F.struct(
+        w.alias("word"), (F.size(F.filter(x, lambda y: y == w)) * F.coalesce(F.try_element_at(weights, w), F.lit(unseen))).alias("weight"))).alias("vector")))
+    return F.transform(counted, lambda x: F.struct(
+        x["n"].alias("n"), x["words"].alias("words"), x["vector"].alias("vector"), F.sqrt(F.aggregate(x["vector"], F.lit(0.0), lambda a, t: a + t["weight"] * t["weight"])).alias("norm")))
+
+
+def _cosine(x: Column, template: Column) -> Column:
+    """Cosine with a template; 0 where numbers of it are missing or words of another variant are there."""
+    product = F.aggregate(x["vector"], F.lit(0.0), lambda a, t: a + t["weight"] * F.coalesce(F.try_element_at(template["vector"], t["word"]), F.lit(0.0)))
+    fits = (F.size(F.array_except(template["numbers"], x["words"])) == 0) & ~F.arrays_overlap(template["others"], x["words"])
+    return F.when(fits, F.coalesce(F.round(product / x["norm"], 9), F.lit(0.0))).otherwise(F.lit(0.0))
+
+
+def _templates(templates, vectors: list[dict[str, float]]) -> Column:
+    """``license, size, vector, numbers, others`` of each template, as one constant array."""
+
+    def one(name: str, text: str, vector: dict[str, float]) -> Column:
+        numbers, others = [w for w in vector if w.isdigit()], sorted(VARIANTS - vector.keys())
+        return F.struct(
+            F.lit(name).alias("license"), F.lit(len(_split(text))).alias("size"), F.create_map(*[F.lit(x) for pair in vector.items() for x in pair]).alias("vector"),
+            F.array(*map(F.lit, numbers)).cast("array<string>").alias("numbers"), F.array(*map(F.lit, others)).alias("others"),
+        )
+
+    return F.array(*[one(name, text, vector) for (name, text), vector in zip(templates, vectors, strict=True)])
 
-    def against(x: Column, at: int) -> Column:
-        own = F.create_map(*[F.lit(v) for pair in vectors[at].items() for v in pair])
-        product = F.aggregate(x["vector"], F.lit(0.0), lambda a, t: a + t["weight"] * F.coalesce(F.try_element_at(own, t["word"]), F.lit(0.0)))
-        return F.struct(F.coalesce(F.round(product / x["norm"], 9), F.lit(0.0)).alias("cosine"), F.lit(-at).alias("rank"), F.lit(names[at]).alias("license"), x["n"].alias("words"))
 
-    return F.transform(sized, lambda x: F.array_max(F.array(*[against(x, at) for at in range(len(names))])))[0]
+def _lines(lines: Column, known: Column, weights: Column, unseen: float) -> Column:
+    """``cosine, rank, license, words`` of each line with its best template."""
+    sized = _vectors(F.transform(lines, _words), weights, unseen)
+    against = lambda x, t, at: F.struct(_cosine(x, t).alias("cosine"), (-at).alias("rank"), t["license"].alias("license"), x["n"].alias("words"))
+    return F.transform(sized, lambda x: F.array_max(F.transform(known, lambda t, at: against(x, t, at))))
+
+
+def _windows(words: Column, known: Column, weights: Column, unseen: float, threshold: float, templates, vectors: list[dict[str, float]]) -> Column:
+    """``cosine, rank, license, start, size`` of the runs of a template's length that reach the threshold with it."""
+    holders: dict[str, list[int]] = {}
+    for k, vector in enumerate(vectors):
+        for word in cues([vector], threshold):
+            holders.setdefault(word, []).append(k)
+    sizes = [len(_split(text)) for _, text in templates]
+    held = F.create_map(*[x for w, ks in holders.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sizes[k]).alias("size")) for k in ks]))])
+    places = F.filter(F.transform(words, lambda w, at: F.struct(at.alias("at"), F.try_element_at(held, w).alias("held"))), lambda x: x["held"].isNotNull())
+
+    def around(place: Column, k: Column) -> Column:
+        size = k["size"]
+        last = F.greatest(F.lit(0), F.least(place["at"], F.size(words) - size))
+        starts = F.sequence(F.least(last, F.greatest(F.lit(0), place["at"] - size + 1)), last)
+        return F.transform(starts, lambda a: k["k"].cast("long") * (1 << 32) + a)
+
+    tried = F.array_distinct(F.flatten(F.transform(places, lambda p: F.flatten(F.transform(p["held"], lambda k: around(p, k))))))
+    spots = F.transform(tried, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("k"), F.element_at(known, F.shiftright(x, 32).cast("int") + 1).alias("t"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("start")))
+    cut = F.transform(spots, lambda x: F.struct(x["k"].alias("k"), x["t"].alias("t"), x["start"].alias("start"), _vectors(F.array(F.slice(words, x["start"] + 1, x["t"]["size"])), weights, unseen)[0].alias("x")))
+    found = F.transform(cut, lambda c: F.struct(
+        _cosine(c["x"], c["t"]).alias("cosine"), (-c["k"]).alias("rank"), c["t"]["license"].alias("license"), c["start"].alias("start"), c["x"]["n"].alias("size")))
+    return F.filter(found, lambda x: x["cosine"] >= threshold)
+
+
+def _tags(text: Column) -> Column:
+    """What SPDX tags state; ``words`` counts those of the tag."""
+    named = F.regexp_extract_all(text, F.lit(SPDX), F.lit(1))
+    return F.transform(named, lambda x: F.struct(F.lit(1.0).alias("cosine"), F.lit(1).alias("rank"), x.alias("license"), (F.size(_words(x)) + 3).alias("words")))
 
 
 def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, templates=TEMPLATES) -> DataFrame:
     """``doc_id, path, license, kind, cosine, license_dir`` of each row; kind is file, header, inherited or none."""
     idf, vectors = model(templates)
-    names, unseen = [name for name, _ in templates], math.log(1 + len(templates)) + 1
+    known, unseen = _templates(templates, vectors), math.log(1 + len(templates)) + 1
+    weights = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
     cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(cues(vectors, threshold)) + r")(?![a-z0-9])"
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(cue))
-    stated = F.filter(F.transform(lines, lambda x: _judged(x, idf, vectors, names, unseen)), lambda x: x["cosine"] >= threshold)
+    stated = F.filter(_lines(lines, known, weights, unseen), lambda x: x["cosine"] >= threshold)
+    # the words once, by an array of one
+    parts = F.transform(F.array(_words(text)), lambda w: F.struct(_windows(w, known, weights, unseen, threshold, templates, vectors).alias("windows"), F.size(w).alias("n")))[0]
+    worth = text.rlike(cue) | text.rlike(SPDX)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"),
-        F.when(text.rlike(cue), stated).alias("stated"), F.when(text.rlike(cue), F.size(_words(text))).alias("words"),
+        F.when(worth, F.concat(_tags(text), stated)).alias("stated"), F.when(worth, parts).alias("parts"),
+        (worth & text.rlike(BINARY_CLAUSE) & ~text.rlike(NAME_CLAUSE)).alias("two_clauses"),
+    )
+    plain = lambda x: F.struct(x["cosine"].alias("cosine"), x["rank"].alias("rank"), x["license"].alias("license"))
+    covered = F.array_distinct(F.flatten(F.transform("parts.windows", lambda x: F.sequence(x["start"], x["start"] + x["size"] - 1))))
+    rows = rows.select(
+        "doc_id", "path", "two_clauses", F.concat(F.transform("stated", plain), F.transform("parts.windows", plain)).alias("stated"),
+        (F.greatest(F.aggregate("stated", F.lit(0), lambda a, x: a + x["words"]), F.size(covered)) / F.col("parts.n")).alias("share"),
     )
-    best = F.array_max(F.col("stated"))
-    share = F.aggregate("stated", F.lit(0), lambda a, x: a + x["words"]) / F.col("words")
+    shared = [-k for k, (_, x) in enumerate(templates) if x == BSD]
+    top = F.coalesce(F.array_max(F.filter("stated", lambda x: x["license"] != RESERVED)), F.array_max("stated"))
+    rows = rows.select("doc_id", "path", "two_clauses", "share", top.alias("top"))
+    named = F.when(F.col("two_clauses") & F.col("top.rank").isin(shared), F.lit("BSD-2-Clause")).otherwise(F.col("top.license"))
+    best = F.when(F.col("top").isNotNull(), F.struct(F.col("top.cosine").alias("cosine"), named.alias("license")))
+    share = F.col("share")
     parts = F.filter(F.split("path", "/"), lambda x: x != "")
     rows = rows.select(
         "doc_id", "path", F.array_join(F.slice(parts, 1, F.greatest(F.size(parts) - 1, F.lit(0))), "/").alias("dir"), best["license"].alias("own"), best["cosine"].alias("cosine"),

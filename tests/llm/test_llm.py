@@ -326,6 +326,24 @@ def test_license_cosine_matches_brute_force_and_cues_lose_nothing(spark):
         assert best < 0.75 or counts.keys() & cues
 
 
+def test_licenses_are_found_inside_paragraphs_and_near_ones_are_told_apart(spark):
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."
+    bsd = "Copyright (c) 2020, Jane Doe. All rights reserved.\nRedistribution and use in source and binary\nforms, with or without modification, are permitted provided that: 1. Redistributions of source code must retain this. 2. Redistributions in binary form must reproduce this."
+    gnu = "it under the terms of the GNU {} as published by\n# the Free Software Foundation, either version {} of the License, or (at your option) any later version"
+    cases = {
+        "Released under the MIT License. Some other words follow in the same paragraph of this text here": "MIT", mit: "MIT", "Licensed under the Apache License, Version 2.0. You may not use this file except in compliance with it.": "Apache-2.0",
+        "This work is licensed under the GNU General Public License, version 3. See the file for details": "GPL-3.0", "Copyright (c) 2020 Jane Doe. All rights reserved.": "all-rights-reserved",
+        "// SPDX-License-Identifier: Apache-2.0": "Apache-2.0", "SPDX-License-Identifier: (MIT OR Zlib)\nx": "(MIT OR Zlib)", "Mozilla Public License Version 2.0": "MPL-2.0",
+        "Licensed under the GNU Lesser General Public License, version 2.1": "LGPL-2.1", "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0", "words Licensed under CC BY-ND 4.0. words": "CC-BY-ND-4.0", "Released under the BSD 2-Clause License": "BSD-2-Clause",
+        bsd: "BSD-2-Clause", bsd + " 3. Neither the name of the holder nor the names of its contributors may be used.": "BSD-3-Clause",
+        gnu.format("General Public License", 2): "GPL-2.0", gnu.format("Lesser General Public License", 3): "LGPL-3.0", gnu.format("Affero General Public License", 3): "AGPL-3.0",
+        "Licensed under the Apache License, Version 1.1": None, "This work is licensed under the GNU General Public License, version 1": None, "der hund mit dem ball und mit dem mit": None, "1 2 3 4 0 1 2 3": None,
+    }
+    for lead in ("", "many words of some other text come first and they state nothing. "):
+        got = by_id(licenses.scan(table(spark, [lead + x for x in cases]), F.col("doc_id").cast("string") if lead else F.concat(F.lit("d"), F.col("doc_id"), F.lit("/x.txt"))))
+        assert {x: got[k].license if got[k].kind in ("file", "header") else None for k, x in enumerate(cases)} == cases
+
+
 # 7
 
 
