@@ -200,6 +200,15 @@ def future_matchup(spark, sf_dir):
     return history.matchups(both, ["prior_fights"]).select("fight_id", "delta_prior_fights")
 
 
+@_query(f"""{BOUTS}, n AS (SELECT fighter_id, count(*) AS fights FROM b GROUP BY 1)
+    SELECT fight_id, coalesce(r.fights, 0) - coalesce(o.fights, 0) AS delta_prior_fights FROM b LEFT JOIN n r USING (fighter_id) LEFT JOIN n o ON o.fighter_id = b.opponent_id WHERE corner = 'red'""")
+def future_matchup_every(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    future = rows.where("corner = 'red'").select("fight_id", F.lit("2030-01-01").cast("date").alias("event_date"), F.col("fighter_id").alias("red_id"), F.col("opponent_id").alias("blue_id"))
+    both = history.prior_record(history.with_future(rows, future)).where("is_future")
+    return history.matchups(both, ["prior_fights"]).select("fight_id", "delta_prior_fights")
+
+
 @_query(f"{_MATCH} SELECT * FROM t")
 def oriented_dataset(spark, sf_dir):
     return dataset.oriented(_wide(history.prior_record(bout_rows(spark, sf_dir))), _DELTAS)
@@ -424,6 +433,12 @@ def resolve_name(spark, sf_dir):
     return service.resolve(wanted, people, "ufcstats")
 
 
+@_query("SELECT c_name AS query, min(c_custkey)::VARCHAR AS fighter_id, count(DISTINCT c_custkey) AS matches FROM customer GROUP BY c_name")
+def resolve_every_name(spark, sf_dir):
+    people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("fighter_id"), F.upper("c_name").alias("full_name"), F.lit("ufcstats").alias("source"))
+    return service.resolve(table(spark, sf_dir, "customer").select(F.col("c_name").alias("query")), people, "ufcstats")
+
+
 def _overrides(spark, sf_dir):
     return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("source_fighter_id"), F.when(F.col("c_custkey") % 5 > 0, F.col("c_nationkey")).alias("target"), F.lit("approved").alias("decision"), F.lit("t0").alias("created_at_utc"))
 

@@ -53,3 +53,10 @@ def test_daily_records_of_a_stream(spark, tmp_path):
     query.stop()
     got = {(r.fighter_id, str(r.day)): (r.fights, r.wins) for r in spark.table("records").collect()}
     assert got == {(1, "2020-01-01"): (2, 1), (1, "2020-01-03"): (1, 1), (2, "2020-02-01"): (1, 0)}
+
+
+def test_every_name_is_resolved_and_every_bout_is_scored_as_a_card(spark):
+    names = spark.read.parquet(f"{SF}/customer.parquet").select("c_name").distinct().count()
+    assert catalogue.queries()["resolve_every_name"](spark, SF).count() == names
+    bouts = catalogue.queries()["bout_projection"](spark, SF).where("corner = 'red'").count()
+    assert catalogue.queries()["future_matchup_every"](spark, SF).count() == bouts
