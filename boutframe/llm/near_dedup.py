@@ -10,7 +10,8 @@ has no heavy shingle and grows with the logarithm of the estimated number of can
 Pairs come in two rounds, so that a group of thousands of near copies never makes all its pairs. First every class is
 paired with the most central class that shares a prefix shingle, the one with the fewest shingles that aren't heavy;
 verified pairs join into clusters. Then all pairs of classes of
-*different* clusters that share enough are looked at: within a cluster no further link can change a component. Parity
+*different* clusters that share enough are looked at: within a cluster no further link can change a component, so such links
+stay undecided, and the result has components but neither pairs nor link counts. Parity
 bitmaps of the sets give an upper bound of the overlap that rules most pairs out before their sets are fetched; what is
 left is decided on the whole sets of 64-bit shingle hashes.
 
