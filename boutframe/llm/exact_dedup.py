@@ -6,12 +6,13 @@ remainder together hold all 64 bits) in sorted order. Fingerprints whose merged
 verification: the rows that may carry such a fingerprint are grouped by the normalised text itself, with partial sums
 on the map side, so a group of any size leaves one row per task. A fixed-size bitmap of the repeated fingerprints
 (``bitmap_bits``, so its broadcast has a proven bound) only decides which rows skip verification; its false positives
-are verified like any other row.
+are verified like any other row. A verified group is then named by its SHA-256, by which its rows find it again: groups
+with over a ``1 / HOT``-th of all grouped rows, of which there are fewer than ``HOT``, are broadcast, the others are joined.
 
 Cases: a null text counts as empty; empty texts equal each other; a null doc_id sorts below all others and a group of
 nulls only has a null keep_id; rows that repeat both doc_id and text count one by one in group_size and all carry
-``kept``, while :func:`drop_exact_duplicates` lets one of them through; an empty table gives an empty result; other
-columns, whatever their names, are not read.
+``kept``, while :func:`drop_exact_duplicates` lets one of them through; empty tables and empty partitions give no rows;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,8 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from boutframe.llm.idfilter import bitmap, hits
-from boutframe.session import ship
+from boutframe.llm.idfilter import bitmap, hits, join_counted, spare
+from boutframe.session import materialize, ship
 
 BITMAP_BITS = 26
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,9 +47,11 @@ class CountingQuotientFilter:
 
     @classmethod
     def build(cls, fingerprints: np.ndarray, counts: np.ndarray | None = None, bits: int = 64) -> CountingQuotientFilter:
-        """From fingerprints in any order, with repeats; ``counts`` gives each one's weight."""
-        prints, where = np.unique(np.asarray(fingerprints, np.uint64), return_inverse=True)
-        counts = np.bincount(where, counts, len(prints)).astype(np.uint64) if counts is not None else np.bincount(where, minlength=len(prints)).astype(np.uint64)
+        """From fingerprints in any order, with repeats, or from distinct ascending ones with their ``counts``."""
+        prints = np.asarray(fingerprints, np.uint64)
+        if counts is None:
+            prints, counts = np.unique(prints, return_counts=True)
+        counts = counts.astype(np.uint64)
         wide = 1 + (counts > 1).astype(np.int64)
         total = int(wide.sum())
         q = max(1, int(np.ceil(np.log2(max(total, 1) / 0.85))))
@@ -86,23 +89,59 @@ class CountingQuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[CountingQuotientFilter], bits: int = 64) -> CountingQuotientFilter:
-        """Merge by their sorted remainders; counts of equal fingerprints add up, and nothing is lost."""
-        parts = [f.items() for f in filters]
-        return cls.build(np.concatenate([p for p, _ in parts]), np.concatenate([c for _, c in parts]).astype(np.float64), bits)
+        """Merge two by two in the order of the sorted remainders; counts of equal fingerprints add up, nothing is lost."""
+        parts = [f.items() for f in filters] or [(np.zeros(0, np.uint64),) * 2]
+        while len(parts) > 1:
+            parts = [_merged(*parts[k : k + 2]) if k + 1 < len(parts) else parts[k] for k in range(0, len(parts), 2)]
+        return cls.build(*parts[0], bits)
 
     def to_bytes(self) -> bytes:
-        head = np.array([self.q, self.r, len(self.slots)], "<i8").tobytes()
-        return head + b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.run_end, self.counter)) + self.slots.astype("<u8").tobytes()
+        """Remainders take r bits each; a counter takes the 64 bits of its own list."""
+        heads = self.slots[~self.counter]
+        head = np.array([self.q, self.r, len(self.slots), len(heads)], "<i8").tobytes()
+        marks = b"".join(np.packbits(x).tobytes() for x in (self.occupied, self.run_end, self.counter))
+        return head + marks + _pack_bits(heads, self.r) + self.slots[self.counter].astype("<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> CountingQuotientFilter:
-        q, r, n = (int(x) for x in np.frombuffer(data, "<i8", 3))
-        at, parts = 24, []
+        q, r, n, heads = (int(x) for x in np.frombuffer(data, "<i8", 4))
+        at, parts = 32, []
         for size in (1 << q, n, n):
             width = (size + 7) // 8
             parts.append(np.unpackbits(np.frombuffer(data, np.uint8, width, at), count=size).astype(bool))
             at += width
-        return cls(q, r, *parts, np.frombuffer(data, "<u8", n, at).astype(np.uint64))
+        slots, width = np.zeros(n, np.uint64), (heads * r + 7) // 8
+        slots[~parts[2]] = _unpack_bits(np.frombuffer(data, np.uint8, width, at), heads, r)
+        slots[parts[2]] = np.frombuffer(data, "<u8", n - heads, at + width)
+        return cls(q, r, *parts, slots)
+
+
+def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two ascending lists of fingerprints with counts as one."""
+    at = np.searchsorted(a[0], b[0])
+    same = at < len(a[0])
+    same[same] = a[0][at[same]] == b[0][same]
+    counts = a[1].copy()
+    counts[at[same]] += b[1][same]
+    return np.insert(a[0], at[~same], b[0][~same]), np.insert(counts, at[~same], b[1][~same])
+
+
+def _pack_bits(values: np.ndarray, width: int) -> bytes:
+    """``width`` bits of each value, the lowest first; 65,536 values at a time, which end at a whole byte."""
+    shifts, out = np.arange(width, dtype=np.uint64), []
+    for a in range(0, len(values), 1 << 16):
+        bits = (values[a : a + (1 << 16), None] >> shifts) & np.uint64(1)
+        out.append(np.packbits(bits.astype(np.uint8), bitorder="little").tobytes())
+    return b"".join(out)
+
+
+def _unpack_bits(data: np.ndarray, n: int, width: int) -> np.ndarray:
+    shifts, out = np.arange(width, dtype=np.uint64), [np.zeros(0, np.uint64)]
+    for a in range(0, n, 1 << 16):
+        k = min(1 << 16, n - a)
+        bits = np.unpackbits(data[a * width // 8 : (a * width + k * width + 7) // 8], count=k * width, bitorder="little")
+        out.append((bits.reshape(k, width).astype(np.uint64) << shifts).sum(1, dtype=np.uint64))
+    return np.concatenate(out)
 
 
 def _digests(texts: pa.Array) -> tuple[pa.Array, list[bytes]]:
@@ -120,6 +159,8 @@ def _blocks(batches: Iterator[pa.RecordBatch], range_bits: int) -> Iterator[pa.R
     for batch in batches:
         seen.append(_prints(_digests(batch.column(0))[1]))
     prints = np.sort(np.concatenate(seen))
+    if not len(prints):
+        return
     ranges = (prints >> np.uint64(64 - range_bits)).astype(np.int64)
     cuts = np.flatnonzero(np.diff(ranges, prepend=-1))
     for a, b in zip(cuts, [*cuts[1:], len(prints)], strict=True):
@@ -159,7 +200,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def keys(batches):
         for batch in batches:
             digests = _digests(batch.column(1))[1]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.hex() for d in digests], pa.string())], names=["doc_id", "text_sha256"])
+            hit = pa.array(hits(flags.value, _prints(digests), bitmap_bits))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d.hex() for d in digests], pa.string()), hit], names=["doc_id", "text_sha256", "doubtful"])
 
     def routed(batches):
         for batch in batches:
@@ -170,28 +212,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     verified = (
         slim.mapInArrow(routed, "doc_id long, text_sha256 string, norm string")
-        .groupBy("text_sha256", "norm")  # equality of the bytes; a digest alone never joins two texts
+        .groupBy("text_sha256", "norm")  # equality of the bytes decides; SHA-256 then only names the group
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
         .select("text_sha256", "keep_id", "group_size")
     )
-    rows = slim.mapInArrow(keys, "doc_id long, text_sha256 string").join(verified, "text_sha256", "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return rows.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256",
-    )
+    verified = materialize(verified, "groups")
+    rows = materialize(slim.mapInArrow(keys, "doc_id long, text_sha256 string, doubtful boolean"), "digests")
+    alone = rows.where("not doubtful").select("doc_id", "text_sha256", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    grouped = join_counted(rows.where("doubtful").drop("doubtful"), verified, "text_sha256", "group_size")
+    return alone.unionByName(grouped).select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bitmap_bits: int = BITMAP_BITS) -> DataFrame:
     """The input rows that stay, with all their columns: of equal texts one row with the largest doc_id.
 
-    Rows whose fingerprint is not repeated stay where they are; only the others are moved to be verified.
+    Rows whose fingerprint is not repeated stay where they are; only the others are moved to be verified. The join that picks
+    the row to stay is by text *and* id, so a group of any size spreads over all tasks.
     """
     spark = docs.sparkSession
     ship(spark)
     flags = spark.sparkContext.broadcast(bitmap(repeated_fingerprints(docs, text_col).select("fp"), bitmap_bits))
     place = docs.columns.index(text_col)
+    norm_name, sha, keep, name = (spare(docs.columns, x) for x in ("norm", "sha", "keep", "name"))
 
     def pick(wanted: bool):
         def run(batches):
@@ -202,10 +244,10 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     plain, doubtful = docs.mapInArrow(pick(False), docs.schema), docs.mapInArrow(pick(True), docs.schema)
     norm = F.translate(F.coalesce(F.col(text_col), F.lit("")), UPPER, LOWER)
-    best = doubtful.groupBy(norm.alias("__norm")).agg(F.max(id_col).alias("__keep")).select(F.sha2("__norm", 256).alias("__sha"), "__keep")
-    stay = doubtful.withColumn("__sha", F.sha2(norm, 256))
-    stay = stay.join(best, (stay["__sha"] == best["__sha"]) & stay[id_col].eqNullSafe(best["__keep"]), "left_semi")
-    return plain.unionAll(stay.dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    best = doubtful.groupBy(norm.alias(norm_name)).agg(F.max(id_col).alias(keep)).select(F.sha2(norm_name, 256).alias(name), keep)
+    stay = doubtful.withColumn(sha, F.sha2(norm, 256))
+    stay = stay.join(best, (F.col(sha) == F.col(name)) & F.col(id_col).eqNullSafe(F.col(keep)), "left_semi")
+    return plain.unionAll(stay.dropDuplicates([id_col, sha]).drop(sha))
 
 
 def oracle(table: str = "documents") -> str:

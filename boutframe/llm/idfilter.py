@@ -1,4 +1,4 @@
-"""Dropping rows by id without moving the rows that stay.
+"""Dropping rows by id without moving the rows that stay, and joins with counted keys.
 
 A bitmap of fixed size (``2**bits`` bits, so its broadcast is bounded) holds the hashes of the ids to drop. Rows that miss
 it stay where they are; rows that hit it, the dropped ones and few others, meet the exact ids in a join. A full bitmap
@@ -16,6 +16,27 @@ from boutframe.llm.words import mix
 from boutframe.session import ship
 
 BITS = 26
+HOT = 1000
+
+
+def spare(columns: list[str], name: str) -> str:
+    """A column name that a table doesn't have yet, in either case of letters."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> DataFrame:
+    """Inner join of ``rows`` with a table of one row a key whose column ``count`` is the number of the key's rows.
+
+    Keys with more than a ``1 / HOT``-th of all counted rows, fewer than ``HOT`` whatever the input, are broadcast, so their
+    rows are not moved; all other keys are joined by a shuffle in which none of them is large. ``rows`` is read twice.
+    """
+    total = counted.agg(F.sum(count)).first()[0] or 0
+    hot, cold = counted.where(F.col(count) * HOT > total), counted.where(F.col(count) * HOT <= total)
+    spread = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return rows.join(F.broadcast(hot), key).unionByName(spread)
 
 
 def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
@@ -49,7 +70,8 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
     """The rows of ``docs`` whose id is not in the one column of ``dropped``; rows with a null id stay."""
     spark = docs.sparkSession
     ship(spark)
-    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias("__dropped")).where("__dropped is not null").distinct()
+    gone = spare(docs.columns, "gone")
+    ids = dropped.select(F.col(dropped.columns[0]).cast("long").alias(gone)).where(F.col(gone).isNotNull()).distinct()
 
     def scramble(batches):
         for batch in batches:
@@ -69,4 +91,4 @@ def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") ->
         return run
 
     plain, doubtful = docs.mapInArrow(pick(False), docs.schema), docs.mapInArrow(pick(True), docs.schema)
-    return plain.unionAll(doubtful.join(ids, doubtful[id_col] == ids["__dropped"], "left_anti"))
+    return plain.unionAll(doubtful.join(ids, F.col(id_col) == F.col(gone), "left_anti"))
