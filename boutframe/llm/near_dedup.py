@@ -1,45 +1,49 @@
 """Near duplicates: an exact join of shingle sets at Jaccard 0.8 by adaptive multi-match prefixes.
 
-Equal sets are one *class*, named by a 64-bit key of the set. All classes order their shingles alike: shingles that few
-classes hold first (by hash), then the heavy ones by their estimated count, so prefixes keep to rare shingles. A class of
-n shingles has the prefix of the first ``n - ceil(0.8 n) + l`` of them. Two sets that are similar enough share at least
-``min(l_x, l_y)`` shingles of their prefixes, so a pair is verified only when it does; the smaller set has them in the
-*early* part of its prefix, ``n - ceil(8/9 n) + l`` shingles, because its partner is no smaller. ``l`` is 1 for a class whose prefix
-has no heavy shingle and grows with the logarithm of the estimated number of candidates that its prefix brings.
-
-Pairs come in two rounds, so that a group of thousands of near copies never makes all its pairs. First every class is
-paired with the most central class that shares a prefix shingle, the one with the fewest shingles that aren't heavy;
-verified pairs join into clusters. Then all pairs of classes of
-*different* clusters that share enough are looked at: within a cluster no further link can change a component, so such links
-stay undecided, and the result has components but neither pairs nor link counts. Parity
-bitmaps of the sets give an upper bound of the overlap that rules most pairs out before their sets are fetched; what is
-left is decided on the whole sets of 64-bit shingle hashes.
-
-Heavy counts come from all documents (each task reports the shingles that two or more of its classes hold); at most
-``HEAVY`` shingles are broadcast, which bounds the broadcast and changes speed only.
+Equal sets are one *class*, named by a 64-bit key of the set; each class's set is stored once. Every task sorts the shingles
+of its classes and sends them, range by range, to be counted; a *sketch* of fixed size keeps the magnitude of the count of
+each shingle that two or more classes hold (a cell keeps the largest that falls on it). All classes order their shingles
+alike, the rarest magnitude first, then by hash, so a set's own shingles come before those that it shares with many.
+
+Two sets of n and m shingles that are similar enough share at least ``ceil(4 / 9 * (n + m))``, so the first shingle that they
+share stands among the first ``n - ceil(0.8 n) + 1`` of either set, its *base prefix*, and leaves enough behind it in both
+(``reach``). Pairs are made from base prefixes only, and only on shingles that the sketch counts twice or more. A class whose
+base prefix brings many candidates by the sketch's estimate has a prefix that is ``l - 1`` shingles longer, ``l`` growing with
+the logarithm of that cost; two sets share at least ``min(l_x, l_y)`` shingles of their longer prefixes, and a pair that doesn't
+is not verified. Parity bitmaps of the sets then give an upper bound of the overlap that rules most other pairs out before
+their sets are fetched; what is left is decided on the whole sets of 64-bit shingle hashes.
+
+Components need fewer pairs than all links. In a *star round* each class is paired with one central class only, the one with
+which it shares most base shingles among the classes that are central for one of them (fewest shingles of their own); verified
+pairs are contracted to clusters and rounds are repeated on shingles that still meet different clusters, ``ROUNDS`` of them at
+most. Then all pairs of classes of *different* clusters are looked at, so that no component is missed. So a group of thousands
+of near copies doesn't make all its pairs. :func:`links` looks at all pairs of classes instead and returns every link.
 
 Cases: null and empty texts and texts without words have an empty set, n_shingles 0 and are a component of their own (two
 of them are not linked); shorter texts than five words are one shingle; a null doc_id takes part, and component_id is the
-smallest id that is not null; repeated rows have the same component; an empty table gives an empty result; other columns
-are not read.
+smallest id that is not null; repeated rows have the same component; empty tables and empty partitions give no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
-from boutframe.llm.idfilter import bitmap, hits, without_ids
+from boutframe.llm.idfilter import bitmap, hits, join_counted, without_ids
 from boutframe.llm.words import mix, shingle_sets
 from boutframe.session import materialize, ship
 
 PERCENT = 80
-HEAVY = 1 << 18
-HEAVY_LEAST = 12
-MOST_MATCHES = 8
+#: The sketch has 2**SKETCH_BITS cells of four bits, so its broadcast is 32 MiB whatever the input.
+SKETCH_BITS = 26
+#: Bits of a shingle that are counted; shingles that agree in them count together, which changes speed only.
+COUNTED_BITS = 48
+ROUNDS = 3
 
 
 def need(n: int) -> int:
@@ -47,9 +51,9 @@ def need(n: int) -> int:
     return -(-n * PERCENT // 100)
 
 
-def need_beside_larger(n: int) -> int:
-    """The least overlap with a similar set of n shingles or more: ceil(0.8 / 1.8 * 2n)."""
-    return -(-2 * n * PERCENT // (100 + PERCENT))
+def reach(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set that one of n shingles can be similar to when the first shingle that they share is at ``place``."""
+    return ((100 + PERCENT) * (n - place) - PERCENT * n) // PERCENT
 
 
 def similar(shared: int, n: int, m: int) -> bool:
@@ -84,203 +88,313 @@ def may_be_similar(a: bytes, n: int, b: bytes, m: int) -> bool:
     return similar((n + m - differ) // 2, n, m)
 
 
-class Order:
-    """The order of shingles that all classes share, and the length of a class's prefix."""
-
-    def __init__(self, heavy: np.ndarray, counts: np.ndarray):
-        order = np.argsort(heavy)
-        self.heavy, self.counts = heavy[order], counts[order].astype(np.int64)
-
-    def prefix(self, shingles: np.ndarray) -> tuple[np.ndarray, int, int, int]:
-        """The prefix in order, its l, how much of it is enough beside larger sets, and the number of shingles that aren't heavy."""
-        n = len(shingles)
-        base = n - need(n)
-        if len(self.heavy):
-            at = np.minimum(np.searchsorted(self.heavy, shingles), len(self.heavy) - 1)
-            weight = np.where(self.heavy[at] == shingles, self.counts[at], 0)
-        else:
-            weight = np.zeros(n, np.int64)
-        small = n - need_beside_larger(n)
-        if not weight.any():
-            return shingles[: base + 1], 1, small + 1, n  # sorted by hash already
-        ranked = np.lexsort((shingles, weight))
-        cost = int(weight[ranked[: base + 1]].sum())
-        matches = min(1 + int(np.log2(1 + cost / (base + 1))), MOST_MATCHES, need(n)) if cost else 1
-        return shingles[ranked[: base + matches]], matches, small + matches, int((weight == 0).sum())
-
-
-def _classes(batches):
-    """Rows of both kinds: a row for each document, and the task's shingles that two or more of its classes hold."""
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64())
-    names = ["doc_id", "n", "class", "bitmap", "shingle", "held"]
-    seen, tally, waiting, size = set(), _Tally(), [], 0
+def common(x: np.ndarray, y: np.ndarray) -> int:
+    """How many values two ascending arrays of distinct values share."""
+    if not len(x) or not len(y):
+        return 0
+    return int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
 
+
+# The sketch of counts
+
+
+def _counted(batches, range_bits: int, flush: int = 8_000_000):
+    """``range, block``: the counted bits of this task's shingles, ascending within each range, repeats kept."""
+    width = (COUNTED_BITS - range_bits + 7) // 8  # bytes of a value within its range
+
+    def blocks(parts: list[np.ndarray]):
+        values = np.sort(np.concatenate(parts) >> np.uint64(64 - COUNTED_BITS))
+        edges = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(COUNTED_BITS - range_bits))
+        low = (values & np.uint64((1 << (COUNTED_BITS - range_bits)) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+        for k in np.flatnonzero(np.diff(edges)).tolist():
+            data = np.ascontiguousarray(low[edges[k] : edges[k + 1]]).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["range", "block"])
+
+    parts, size = [], 0
+    for batch in batches:
+        for data in batch.column(0):
+            parts.append(np.frombuffer(data.as_buffer(), np.uint64))
+            size += len(parts[-1])
+        if size > flush:
+            yield from blocks(parts)
+            parts, size = [], 0
+    if size:
+        yield from blocks(parts)
+
+
+def _cells(table: pa.Table, range_bits: int, sketch_bits: int) -> bytes:
+    """A range's part of the sketch: two cells a byte, each the magnitude of the largest count above one that falls on it."""
+    width, local = (COUNTED_BITS - range_bits + 7) // 8, sketch_bits - range_bits
+    parts = []
+    for block in table.column("block"):
+        raw = np.frombuffer(block.as_buffer(), np.uint8).reshape(-1, width)
+        wide = np.zeros((len(raw), 8), np.uint8)
+        wide[:, :width] = raw
+        parts.append(wide.view("<u8").reshape(-1))
+    values = np.sort(np.concatenate(parts))
+    first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
+    counts = np.diff(np.append(first, len(values)))
+    many = counts > 1
+    cells = np.zeros(1 << local, np.uint8)
+    np.maximum.at(cells, (values[first[many]] >> np.uint64(COUNTED_BITS - sketch_bits)).astype(np.int64), np.minimum(15, np.log2(counts[many])).astype(np.uint8))
+    return (cells[::2] | cells[1::2] << 4).tobytes()
+
+
+def sketch(sets: DataFrame) -> np.ndarray:
+    """The sketch of the shingles of all ``sets.shingles`` (a row a class), with ``2**SKETCH_BITS`` cells."""
+    spark, bits = sets.sparkSession, SKETCH_BITS
+    range_bits = min(bits - 1, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # two ranges or more for each task
+
+    def blocks(batches):
+        return _counted(batches, range_bits)
+
+    def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([_cells(table, range_bits, bits)], pa.binary())})
+
+    rows = sets.select("shingles").mapInArrow(blocks, "range int, block binary").groupBy("range").applyInArrow(merged, "range int, cells binary").toArrow()
+    out = np.zeros((1 << range_bits, (1 << (bits - 1)) >> range_bits), np.uint8)  # 32 MiB in all
+    for k, data in zip(rows.column("range").to_pylist(), rows.column("cells"), strict=True):
+        out[k] = np.frombuffer(data.as_buffer(), np.uint8)
+    return out.reshape(-1)
+
+
+def magnitudes(cells: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """0 for a shingle that one class holds, else the whole part of the logarithm (base 2) of an estimate of the count."""
+    at = shingles >> np.uint64(64 - len(cells).bit_length())
+    return (cells[(at >> np.uint64(1)).astype(np.int64)] >> ((at & np.uint64(1)) << np.uint64(2)).astype(np.uint8)) & 15
+
+
+def prefix(shingles: np.ndarray, magnitude: np.ndarray) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """The longer prefix in order with its magnitudes, the length of the base prefix, and l."""
+    n = len(shingles)
+    base = n - need(n) + 1
+    order = np.argsort(magnitude, kind="stable")[: base + n.bit_length() + 32]  # sorted by hash already
+    weight = np.where(magnitude[order[:base]] > 0, 1 << magnitude[order[:base]].astype(np.int64), 0).sum()
+    matches = min(need(n), 1 + int(np.log2(1 + weight / base)))
+    chosen = order[: base + matches - 1]
+    return shingles[chosen], magnitude[chosen], base, matches
+
+
+# Sets and prefixes of classes
+
+
+def _sets(batches):
+    """A row for each document; the first document of each class in a task brings the set."""
+    seen = set()
     for batch in batches:
-        rows = []
-        for doc, shingles in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1).to_pylist()), strict=True):
+        sizes, keys, data = [], [], []
+        for shingles in shingle_sets(batch.column(1).to_pylist()):
             key = class_key(shingles) if len(shingles) else None
-            fresh = key is not None and key not in seen
-            rows.append((doc, len(shingles), key, parity_bitmap(shingles) if fresh else None, None, None))
-            if fresh:
-                seen.add(key)
-                waiting.append(shingles)
-                size += len(shingles)
-                if size > 500_000:
-                    tally.add(waiting)
-                    waiting, size = [], 0
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 6, kinds, strict=True)], names=names)
-    tally.add(waiting)
-    for a in range(0, len(tally.many), 100_000):
-        values, counts = tally.many[a : a + 100_000], tally.counts[a : a + 100_000]
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(len(values), k) for k in kinds[:4]], pa.array(values.view(np.int64)), pa.array(counts)], names=names)
-
-
-class _Tally:
-    """Counts of shingles that came more than once, next to a sorted array of those that came once."""
-
-    def __init__(self):
-        self.once, self.many, self.counts = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
-
-    def add(self, sets: list[np.ndarray]) -> None:
-        values, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_counts=True)
-        again = _holds(self.once, values)
-        self.once = self.once[~_holds(values[again], self.once)]
-        n = n + again
-        known = _holds(self.many, values)
-        self.counts[np.searchsorted(self.many, values[known])] += n[known]
-        fresh = ~known & (n > 1)
-        many = np.concatenate([self.many, values[fresh]])
-        order = np.argsort(many, kind="stable")
-        self.many, self.counts = many[order], np.concatenate([self.counts, n[fresh]])[order]
-        self.once = np.concatenate([self.once, values[~known & (n == 1)]])
-        self.once.sort(kind="stable")
-
-
-def _holds(array: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values a sorted array holds."""
-    if not len(array):
-        return np.zeros(len(values), bool)
-    return array[np.minimum(np.searchsorted(array, values), len(array) - 1)] == values
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, profiles: DataFrame) -> DataFrame:
-    """Of candidate pairs ``a, b`` of classes those that are similar: first by bitmaps, then by the whole sets."""
+            sizes.append(len(shingles))
+            keys.append(key)
+            data.append(shingles.tobytes() if key is not None and key not in seen else None)
+            seen.add(key)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n", "class", "shingles"])
+
+
+def _picked(sets: DataFrame, flags, wanted: bool = True) -> DataFrame:
+    """The rows ``class, shingles`` whose class is in the bitmap, or isn't."""
+
+    def run(batches):
+        for batch in batches:
+            found = hits(flags.value, batch.column(0).to_numpy().view(np.uint64))
+            yield batch.filter(pa.array(found == wanted))
+
+    return sets.select("class", "shingles").mapInArrow(run, "class long, shingles binary")
+
+
+class _Corpus:
+    """``rows`` (doc_id, n, class), ``sets`` (class, shingles; one row a class), ``profiles`` and ``postings``."""
+
+    def __init__(self, docs: DataFrame, id_col: str, text_col: str):
+        spark = docs.sparkSession
+        ship(spark)
+        texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        whole = materialize(texts.mapInArrow(_sets, "doc_id long, n long, class long, shingles binary"), "sets")
+        self.rows = whole.select("doc_id", "n", "class")
+        given = whole.where("shingles is not null")
+        again = given.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class")
+        flags = spark.sparkContext.broadcast(bitmap(again))
+        several = materialize(_picked(given, flags).groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
+        self.sets = _picked(given, flags, False).unionByName(several)
+        self.least = materialize(self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id")), "classes")
+        cells = spark.sparkContext.broadcast(sketch(self.sets))
+
+        def prefixes(batches):
+            for batch in batches:
+                keys, sizes, own, matches, tokens, bitmaps, posted = [], [], [], [], [], [], []
+                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+                level = magnitudes(cells.value, np.concatenate(held)) if held else None
+                at = 0
+                for key, shingles in zip(batch.column(0).to_pylist(), held, strict=True):
+                    mine = level[at : at + len(shingles)]
+                    at += len(shingles)
+                    chosen, magnitude, base, least = prefix(shingles, mine)
+                    if not magnitude[base - 1]:
+                        continue  # no shingle of the base prefix is held by another class
+                    keys.append(key)
+                    sizes.append(len(shingles))
+                    own.append(int((mine == 0).sum()))
+                    matches.append(least)
+                    first = int((magnitude[:base] == 0).sum())
+                    posted.append([(int(t), k) for k, t in zip(range(first, base), chosen[first:base].view(np.int64), strict=True)])
+                    tokens.append(np.sort(chosen).tobytes())
+                    bitmaps.append(parity_bitmap(shingles))
+                kind = pa.list_(pa.struct([("token", pa.int64()), ("place", pa.int64())]))
+                columns = [pa.array(c, t) for c, t in ((keys, pa.int64()), (sizes, pa.int64()), (own, pa.int64()), (matches, pa.int64()))]
+                flat = pa.array([x for p in posted for x in p], kind.value_type)
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, posted)]), pa.int32()), flat).cast(kind)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(tokens, pa.binary()), pa.array(bitmaps, pa.binary()), lists], names=["class", "n", "own", "l", "tokens", "bitmap", "posted"])
+
+        schema = "class long, n long, own long, l long, tokens binary, bitmap binary, posted array<struct<token:long,place:long>>"
+        self.profiles = materialize(self.sets.mapInArrow(prefixes, schema), "profiles")
+        posted = self.profiles.select("class", "n", "own", F.explode("posted").alias("x")).select("class", "n", "own", F.col("x.token").alias("token"), F.col("x.place").alias("place"))
+        reached = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
+        posted = posted.select("token", "class", "n", "own", F.floor(reached / PERCENT).cast("long").alias("reach"))
+        self.postings = _shared(posted, "postings")
+
+
+def _shared(postings: DataFrame, name: str, by: str = "class", least: str = "own") -> DataFrame:
+    """Postings of tokens that meet two values of ``by`` or more, with the central class of each token."""
+    tokens = postings.groupBy("token").agg(
+        F.count(F.lit(1)).alias("held"), F.min(by).alias("low"), F.max(by).alias("high"), F.min(F.struct(F.col(least), "class", "n", "reach", *([by] if by != "class" else []))).alias("central")
+    )
+    tokens = materialize(tokens.where("low <> high").drop("low", "high"), f"{name}-tokens")
+    return materialize(join_counted(postings.drop("held", "central"), tokens, "token", "held"), name)
+
+
+def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
+    """Of candidate pairs ``a, b`` of classes the similar ones with ``shared``: by longer prefixes and bitmaps, then by whole sets."""
     spark = pairs.sparkSession
-    side = lambda c: profiles.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("bitmap").alias(f"bits_{c}"))
+    side = lambda c: corpus.profiles.select(F.col("class").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "l", "tokens", "bitmap")])
 
     def screen(batches):
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("bits_a", "n_a", "bits_b", "n_b")]
-            keep = pa.array([may_be_similar(*row) for row in zip(*columns, strict=True)], pa.bool_())
+            keep = []
+            for k in range(batch.num_rows):
+                n, m, l_a, l_b = (batch.column(c)[k].as_py() for c in ("n_a", "n_b", "l_a", "l_b"))
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in ("tokens_a", "tokens_b"))
+                keep.append(common(x, y) >= min(l_a, l_b) and may_be_similar(batch.column("bitmap_a")[k].as_buffer(), n, batch.column("bitmap_b")[k].as_buffer(), m))
+            keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
 
-    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(n_a, n_b) >= {PERCENT} * greatest(n_a, n_b)")
-    likely = materialize(sized.mapInArrow(screen, "a long, b long"), "pairs")
-    ids = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id")))
+    likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(screen, "a long, b long"), "pairs")
+    ids = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class")))
     wanted = spark.sparkContext.broadcast(bitmap(ids))
-
-    def sets(batches):
-        sent = set()
-        for batch in batches:
-            keys, data = [], []
-            for shingles in shingle_sets(batch.column(0).to_pylist()):
-                if not len(shingles):
-                    continue
-                key = class_key(shingles)
-                if key not in sent and hits(wanted.value, np.array([key], np.int64).view(np.uint64))[0]:
-                    sent.add(key)
-                    keys.append(key)
-                    data.append(shingles.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["class", "shingles"])
-
-    members = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class"))).distinct()
-    held = texts.select("text").mapInArrow(sets, "class long, shingles binary").join(members, "class", "left_semi").groupBy("class").agg(F.first("shingles").alias("shingles"))
-    held = materialize(held, "sets")
+    held = materialize(_picked(corpus.sets, wanted), "wanted")
 
     def decide(batches):
         for batch in batches:
-            keep = []
+            shared, keep = [], []
             for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
                 x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                keep.append(similar(int((y[at] == x).sum()), len(x), len(y)))
+                shared.append(common(x, y))
+                keep.append(similar(shared[-1], len(x), len(y)))
             keep = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in ("a", "b")], names=["a", "b"])
+            columns = [batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())]
+            yield pa.RecordBatch.from_arrays([c.filter(keep) for c in columns], names=["a", "b", "shared"])
 
     with_a = likely.join(held.select(F.col("class").alias("a"), F.col("shingles").alias("x")), "a")
-    return with_a.join(held.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long")
+    return with_a.join(held.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, shared long")
+
+
+def _across(postings: DataFrame, cluster: str = "class") -> DataFrame:
+    """Pairs ``a, b`` of classes in different clusters whose first shared shingle may be the posting's, each pair once."""
+    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "token"])
+    fits = "n_a <= reach_b and n_b <= reach_a"
+    if cluster == "class":
+        slim = postings.select("token", "class", "n", "reach")
+        pairs = side(slim, "a").join(side(slim, "b"), "token").where("class_a < class_b").where(fits)
+    else:
+        slim = postings.select("token", cluster, "class", "n", "reach")
+        groups = slim.groupBy("token", cluster).agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+        two = side(groups, "a").join(side(groups, "b"), "token").where(f"{cluster}_a < {cluster}_b").where(fits).select("token", f"{cluster}_a", f"{cluster}_b")
+        pairs = two.join(side(slim, "a"), ["token", f"{cluster}_a"]).join(side(slim, "b"), ["token", f"{cluster}_b"]).where(fits)
+    return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
+
+
+def _clusters(corpus: _Corpus) -> DataFrame:
+    """``node, component`` of all classes that are linked with another one; components are those of all links."""
+    postings, found, clusters, tried = corpus.postings, None, None, None
+    for _ in range(ROUNDS):
+        by = "class" if clusters is None else "cluster"
+        centre = F.col(f"central.{by}")
+        stars = postings.where(F.col(by) != centre).where("n <= central.reach and central.n <= reach").select("class", F.col("central.class").alias("centre"))
+        stars = stars.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("shared"))
+        best = stars.groupBy("class").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
+        pairs = best.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "stars")
+        links = materialize(_verified(pairs, corpus).select("a", "b"), "links")
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        if links.isEmpty():
+            break
+        found = links if found is None else found.unionByName(links)
+        clusters = components(found)
+        postings = _placed(postings, clusters)
+    last = _across(postings) if clusters is None else _across(postings, "cluster")
+    last = materialize(_verified(materialize(last.join(tried, ["a", "b"], "left_anti"), "across"), corpus).select("a", "b"), "links")
+    if last.isEmpty():
+        return clusters if clusters is not None else components(last)
+    return components(last if found is None else found.unionByName(last))
+
+
+def _placed(postings: DataFrame, clusters: DataFrame) -> DataFrame:
+    """Postings with the clusters of their classes, of tokens that still meet two clusters or more."""
+    slim = postings.select("token", "class", "n", "own", "reach")
+    placed = slim.join(clusters, slim["class"] == clusters["node"], "left").select("token", "class", "n", "own", "reach", F.coalesce("component", "class").alias("cluster"))
+    return _shared(materialize(placed, "placed"), "postings", "cluster")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_shingles, component_id, class_id`` of each row; equal class_id means equal sets."""
-    spark = docs.sparkSession
-    ship(spark)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    parts = materialize(texts.mapInArrow(_classes, "doc_id long, n long, class long, bitmap binary, shingle long, held long"), "classes")
-    rows = parts.where("shingle is null").select("doc_id", "n", "class", "bitmap")
-    profiles = rows.where("class is not null").groupBy("class").agg(F.first("n").alias("n"), F.max("bitmap").alias("bitmap"), F.min("doc_id").alias("least_id"))
-    profiles = materialize(profiles, "profiles")
-    heavy = parts.where("shingle is not null").groupBy("shingle").agg(F.sum("held").alias("held")).where(f"held >= {HEAVY_LEAST}")
-    top = heavy.orderBy(F.col("held").desc(), "shingle").limit(HEAVY).collect()  # HEAVY rows at most
-    order = spark.sparkContext.broadcast(Order(np.array([r["shingle"] for r in top], np.int64).view(np.uint64), np.array([r["held"] for r in top], np.int64)))
-
-    def prefixes(batches):
-        sent = set()
-        for batch in batches:
-            tokens, keys, matches, early, rare = [], [], [], [], []
-            for shingles in shingle_sets(batch.column(0).to_pylist()):
-                if not len(shingles) or (key := class_key(shingles)) in sent:
-                    continue
-                sent.add(key)
-                chosen, least, short, plain = order.value.prefix(shingles)
-                tokens.append(chosen)
-                keys.append(np.full(len(chosen), key, np.int64))
-                matches.append(np.full(len(chosen), least, np.int8))
-                early.append(np.arange(len(chosen)) < short)
-                rare.append(np.full(len(chosen), plain, np.int32))
-            if tokens:
-                flat = [np.concatenate(x) for x in (tokens, keys, matches, early, rare)]
-                for a in range(0, len(flat[0]), 200_000):
-                    token, *rest = (x[a : a + 200_000] for x in flat)
-                    yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), *map(pa.array, rest)], names=["token", "class", "l", "early", "rare"])
-
-    by_token = Window.partitionBy("token")
-    postings = texts.select("text").mapInArrow(prefixes, "token long, class long, l byte, early boolean, rare int")
-    central = F.min(F.struct("rare", "class", "l")).over(by_token)  # of near copies the one that differs least from the rest
-    shared = postings.withColumns({"central": central, "low": F.min("class").over(by_token), "high": F.max("class").over(by_token)}).where("low <> high")
-    shared = materialize(shared.select("token", "class", "l", "early", F.col("central.class").alias("a"), F.col("central.l").alias("l_a")), "postings")
-
-    enough = F.count_distinct("token") >= F.least(F.first("l_a"), F.first("l_b"))
-    stars = shared.where("class <> a").select("a", F.col("class").alias("b"), "l_a", F.col("l").alias("l_b"), "token").groupBy("a", "b").agg(enough.alias("enough")).where("enough")
-    first = materialize(_verified(stars.select("a", "b"), texts, profiles), "links")
-    clusters = components(first)
-
-    slim = shared.select("token", "class", "l", "early").distinct().join(profiles.select("class", "n"), "class")
-    placed = slim.join(clusters, slim["class"] == clusters["node"], "left").select("token", "class", "l", "early", "n", F.coalesce("component", "class").alias("cluster"))
-    spread = placed.withColumn("low", F.min("cluster").over(by_token)).withColumn("high", F.max("cluster").over(by_token)).where("low <> high").drop("low", "high")
-    spread = materialize(spread, "spread")
-    # the smaller set of a pair holds a shared shingle in the early part of its prefix, and sizes are within the threshold
-    groups = spread.groupBy("token", "cluster").agg(F.bool_or("early").alias("early"), F.min("n").alias("least"), F.max("n").alias("most"))
-    side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "token"])
-    near_sizes = lambda small, large: F.expr(f"100 * {large} >= {PERCENT} * {small}")
-    two = side(groups, "a").join(side(groups, "b"), "token").where("cluster_a < cluster_b and (early_a or early_b)").where(near_sizes("least_a", "most_b") & near_sizes("least_b", "most_a"))
-    two = two.select("token", "cluster_a", "cluster_b")
-    smaller = "(n_a <= n_b and early_a or n_b <= n_a and early_b)"
-    across = two.join(side(spread, "a"), ["token", "cluster_a"]).join(side(spread, "b"), ["token", "cluster_b"])
-    across = across.where(smaller).where(near_sizes("n_a", "n_b") & near_sizes("n_b", "n_a")).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"), "l_a", "l_b")
-    pairs = across.groupBy("a", "b").agg((F.count(F.lit(1)) >= F.least(F.first("l_a"), F.first("l_b"))).alias("enough")).where("enough").select("a", "b")
-    second = materialize(_verified(pairs, texts, profiles), "links")
-
-    whole = components(first.unionByName(second))
-    least_ids = profiles.join(whole, profiles["class"] == whole["node"], "left").select("class", F.coalesce("component", "class").alias("root"), "least_id")
-    roots = least_ids.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = least_ids.join(roots, "root").select("class", "component_id", F.col("least_id").alias("class_id"))
-    return rows.join(named, "class", "left").select(
+    corpus = _Corpus(docs, id_col, text_col)
+    whole = _clusters(corpus)
+    least_ids = corpus.least.join(whole, corpus.least["class"] == whole["node"], "left").select("class", F.coalesce("component", "class").alias("root"), "least_id", F.col("component").isNotNull().alias("linked"))
+    roots = least_ids.where("linked").groupBy("root").agg(F.min("least_id").alias("component_id"))
+    named = least_ids.join(roots, "root", "left").select("class", F.coalesce("component_id", "least_id").alias("component_id"), F.col("least_id").alias("class_id"))
+    return corpus.rows.join(named, "class", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.coalesce("class_id", "doc_id").alias("class_id")
     )
 
 
+def links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The whole join, as pairs of classes and membership.
+
+    First ``class_a, class_b, shared, n_a, n_b``: every pair of different sets that are similar, each once. Then ``doc_id,
+    n_shingles, class, class_size, n_links`` of each row: rows of equal class have equal sets (and link with each other), and
+    n_links is the number of other rows that the row links with, equal sets included. Class is null for empty sets.
+    """
+    corpus = _Corpus(docs, id_col, text_col)
+    found = materialize(_verified(materialize(_across(corpus.postings), "across"), corpus), "links")
+    sizes = materialize(corpus.rows.where("class is not null").groupBy("class").agg(F.count(F.lit(1)).alias("class_size"), F.first("n").alias("n")), "sizes")
+    size = lambda c: sizes.select(F.col("class").alias(c), F.col("n").alias(f"n_{c}"), F.col("class_size").alias(f"size_{c}"))
+    pairs = materialize(found.join(size("a"), "a").join(size("b"), "b"), "pairs")
+    both = pairs.select(F.col("a").alias("class"), F.col("size_b").alias("more")).unionByName(pairs.select(F.col("b").alias("class"), F.col("size_a").alias("more")))
+    linked = sizes.join(both.groupBy("class").agg(F.sum("more").alias("more")), "class", "left").select("class", "class_size", (F.coalesce("more", F.lit(0)) + F.col("class_size") - 1).alias("n_links"))
+    rows = corpus.rows.join(linked, "class", "left").select("doc_id", F.col("n").alias("n_shingles"), "class", "class_size", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    return pairs.select(F.col("a").alias("class_a"), F.col("b").alias("class_b"), "shared", "n_a", "n_b"), rows
+
+
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input rows that stay, with all their columns: of each component the row with the smallest doc_id; rows with a null id stay."""
     result = near_duplicates(docs, id_col, text_col)
     return without_ids(docs, result.where("doc_id <> component_id").select("doc_id"), id_col)
+
+
+def oracle(table: str = "documents") -> str:
+    """doc_id, n_shingles, component_id and class_id as DuckDB SQL (pairs by a plain join, so for small tables)."""
+    low = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+        WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array({low}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM {table}),
+        s AS (SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k : k + 4], ' '))
+            WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS s FROM w),
+        c AS (SELECT s, min(doc_id) AS class_id FROM s WHERE len(s) > 0 GROUP BY s),
+        u AS (SELECT class_id, len(s) AS n, unnest(s) AS g FROM c),
+        p AS (SELECT a.class_id AS a, b.class_id AS b FROM u a JOIN u b ON a.g = b.g AND a.class_id <> b.class_id
+            GROUP BY a.class_id, b.class_id HAVING 100 * count(*) >= {PERCENT} * (any_value(a.n) + any_value(b.n) - count(*))),
+        r AS (SELECT class_id AS a, class_id AS b FROM c UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+        m AS (SELECT a AS class_id, min(b) AS component_id FROM r GROUP BY a)
+        SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(m.component_id, s.doc_id) AS component_id, coalesce(c.class_id, s.doc_id) AS class_id
+        FROM s LEFT JOIN c ON s.s = c.s LEFT JOIN m ON c.class_id = m.class_id"""
