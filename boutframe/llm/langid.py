@@ -3,8 +3,9 @@
 Every letter has a fixed random vector of +1 and -1 in ``DIMENSIONS`` dimensions. An n-gram's vector binds (multiplies)
 its letters' vectors, each rotated by its place; a document bundles (adds) the vectors of its n-grams; a language's
 prototype bundles the unit vectors of its training documents. A document gets the language of the prototype with the
-largest cosine. Bundling is linear, so a batch of documents is one matrix product of n-gram counts with the vectors of the
-n-grams that the batch holds.
+largest cosine. Bundling is linear, so a batch of documents is a matrix product of n-gram counts with the vectors of the
+n-grams that the batch holds. It is made ``BLOCK_GRAMS`` n-grams and ``BLOCK_LETTERS`` letters at a time, so memory grows
+with neither a text's length nor its number of different n-grams, but for the text's own letters.
 
 Letters are lower-cased; a-z have vectors of their own, all other letters share ``LETTERS - 27`` slots by code point, and
 any run of other characters is one separator. Training sums are integers (unit vectors times 2**20), so their order has
@@ -30,7 +31,13 @@ GRAM = 3
 LETTERS = 128
 SEED = 20_11
 BATCH_CHARS = 600_000
+BLOCK_GRAMS = 4096
+BLOCK_LETTERS = 2_000_000
 MAX_LANGUAGES = 1_000
+#: A cosine up to so many standard deviations of the cosine of unrelated vectors (1 / sqrt(DIMENSIONS)) tells no language.
+CHANCE = 3.0
+#: Texts of fewer letters are too short to be told from chance.
+LEAST_LETTERS = 20
 UNKNOWN = "und"
 
 
@@ -50,39 +57,61 @@ class Encoder:
         self.slot[alpha] = 27 + np.flatnonzero(alpha) % (LETTERS - 27)
         self.slot[97:123] = np.arange(1, 27)
 
+    def letters(self, text: str) -> np.ndarray:
+        """The text's letter slots with one 0 at each end and for each run of other characters."""
+        codes = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        slots = np.zeros(len(codes) + 2, np.uint8)
+        slots[1:-1] = self.slot[codes]
+        keep = np.ones(len(slots), bool)
+        keep[1:] = (slots[1:] != 0) | (slots[:-1] != 0)
+        return slots[keep]
+
     def vectors(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """A row for each text, and whether it has a letter."""
-        parts = [self.slot[np.frombuffer(x.lower().encode("utf-32-le", "surrogatepass"), np.uint32)] for x in texts]
-        flat = np.concatenate([np.concatenate([[0], p, [0]]) for p in parts] or [np.zeros(0, np.uint8)]).astype(np.int32)
-        owner = np.repeat(np.arange(len(texts)), [len(p) + 2 for p in parts])
-        keep = np.ones(len(flat), bool)
-        keep[1:] = (flat[1:] != 0) | (flat[:-1] != 0) | (owner[1:] != owner[:-1])
-        flat, owner = flat[keep], owner[keep]
-        has = np.bincount(owner[flat > 0], minlength=len(texts)) > 0
-        gram = np.zeros(max(0, len(flat) - GRAM + 1), np.int32)
+        """A row for each text, and its number of letters."""
+        parts = [self.letters(x) for x in texts]
+        count = np.array([np.count_nonzero(p) for p in parts], np.int64)
+        total = np.zeros((len(texts), self.places[0].shape[1]))
+        flat, owner = np.concatenate(parts or [np.zeros(0, np.uint8)]), np.repeat(np.arange(len(texts), dtype=np.int32), [len(p) for p in parts])
+        for a in range(0, len(flat), BLOCK_LETTERS):
+            b = a + BLOCK_LETTERS + GRAM - 1
+            self._bundle(total, flat[a:b].astype(np.int32), owner[a:b])
+        return total, count
+
+    def _bundle(self, total: np.ndarray, letters: np.ndarray, owner: np.ndarray) -> None:
+        """Add the vectors of all n-grams of some letters to their texts' rows; sums are whole numbers, so their order has no effect."""
+        gram = np.zeros(max(0, len(letters) - GRAM + 1), np.int32)
         for k in range(GRAM):
-            gram = gram * LETTERS + flat[k : k + len(gram)]
-        inside = owner[: len(gram)] == owner[GRAM - 1 :] if len(gram) else np.zeros(0, bool)
-        gram, owner = gram[inside], owner[: len(inside)][inside]
-        present = np.bincount(gram, minlength=LETTERS**GRAM) > 0
-        grams = np.flatnonzero(present)
-        column = np.zeros(LETTERS**GRAM, np.int64)
+            gram = gram * LETTERS + letters[k : k + len(gram)]
+        inside = owner[: len(gram)] == owner[GRAM - 1 :]
+        gram, owner = gram[inside], owner[: len(gram)][inside]
+        if not len(gram):
+            return
+        grams = np.flatnonzero(np.bincount(gram, minlength=LETTERS**GRAM))
+        column = np.zeros(LETTERS**GRAM, np.int32)
         column[grams] = np.arange(len(grams))
-        counts = np.bincount(owner * len(grams) + column[gram], minlength=len(texts) * len(grams)).reshape(len(texts), len(grams)).astype(np.float32)
-        bound = np.ones((len(grams), self.places[0].shape[1]), np.int8)
-        for k in range(GRAM):
-            bound *= self.places[k][grams // LETTERS ** (GRAM - 1 - k) % LETTERS]
-        return counts @ bound.astype(np.float32), has
+        low, high = int(owner[0]), int(owner[-1]) + 1
+        at, row = column[gram], owner - low
+        if len(grams) > BLOCK_GRAMS:
+            order = np.argsort(at, kind="stable")
+            at, row = at[order], row[order]
+        edges = np.searchsorted(at, np.arange(0, len(grams) + BLOCK_GRAMS, BLOCK_GRAMS)) if len(grams) > BLOCK_GRAMS else [0, len(at)]
+        for first, a, b in zip(range(0, len(grams), BLOCK_GRAMS), edges, edges[1:], strict=False):
+            block = grams[first : first + BLOCK_GRAMS]
+            counts = np.bincount(row[a:b] * len(block) + (at[a:b] - first), minlength=(high - low) * len(block)).reshape(high - low, len(block))
+            bound = np.ones((len(block), total.shape[1]), np.int8)
+            for k in range(GRAM):
+                bound *= self.places[k][block // LETTERS ** (GRAM - 1 - k) % LETTERS]
+            total[low:high] += counts.astype(np.float32) @ bound.astype(np.float32)
 
     def unit(self, texts: list[str | None]):
-        """Unit vectors of all texts in order, about ``BATCH_CHARS`` characters at a time."""
+        """Unit vectors and numbers of letters of all texts in order, about ``BATCH_CHARS`` characters at a time."""
         start = size = 0
         for stop, text in enumerate(texts, 1):
             size += len(text or "")
             if size >= BATCH_CHARS or stop - start >= 512 or stop == len(texts):
-                vectors, has = self.vectors([x or "" for x in texts[start:stop]])
+                vectors, count = self.vectors([x or "" for x in texts[start:stop]])
                 norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-                yield vectors / np.where(norm > 0, norm, 1), has
+                yield (vectors / np.where(norm > 0, norm, 1)).astype(np.float32), count
                 start, size = stop, 0
 
 
@@ -103,7 +132,8 @@ def prototypes(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             at, langs = 0, np.array(batch.column(1).to_pylist(), object)
-            for vectors, has in _encoder(dimensions).unit(batch.column(0).to_pylist()):
+            for vectors, count in _encoder(dimensions).unit(batch.column(0).to_pylist()):
+                has = count > 0
                 whole = np.rint(vectors * (1 << 20)).astype(np.int64)
                 own = langs[at : at + len(whole)]
                 for lang in set(own[has]):
@@ -131,10 +161,10 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, id_col: s
     def run(batches):
         for batch in batches:
             names, scores = [], []
-            for vectors, has in _encoder(dimensions).unit(batch.column(2).to_pylist()):
+            for vectors, count in _encoder(dimensions).unit(batch.column(2).to_pylist()):
                 cosine = vectors @ matrix.T if languages else np.zeros((len(vectors), 1))
                 best = cosine.argmax(1)
-                known = has & bool(languages)
+                known = (count > 0) & bool(languages)
                 names += [languages[b] if k else UNKNOWN for b, k in zip(best, known, strict=True)]
                 scores += np.where(known, np.clip(cosine[np.arange(len(best)), best].astype(np.float64), 0, 1), 0).tolist()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "held_out", "lang_pred", "score"])
@@ -143,17 +173,24 @@ def predict(docs: DataFrame, languages: list[str], matrix: np.ndarray, id_col: s
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, dimensions: int = DIMENSIONS) -> DataFrame:
-    """The input rows, with all their columns, whose language is identified (``lang_pred`` is not ``und``)."""
+def keep_identified(docs: DataFrame, dimensions: int = DIMENSIONS, chance: float = CHANCE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The input rows, with all their columns, whose language is identified.
+
+    A row stays when its best cosine is above ``chance`` standard deviations of the cosine between unrelated vectors, or when
+    it has letters but fewer than ``LEAST_LETTERS``. So text without letters, and text whose letters are in no known
+    language's order, goes. Where nothing can be learned, no row stays.
+    """
     ship(docs.sparkSession)
-    languages, matrix = prototypes(docs.where(fold("doc_id", 3) != 1).select("text", "lang"), dimensions)
-    place = docs.columns.index("text")
+    learned = docs.where(fold(id_col, 3) != 1).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+    languages, matrix = prototypes(learned, dimensions)
+    place, least = docs.columns.index(text_col), chance / dimensions**0.5
 
     def run(batches):
         for batch in batches:
             kept = []
-            for vectors, has in _encoder(dimensions).unit(batch.column(place).to_pylist()):
-                kept += (has & (len(matrix) > 0)).tolist()
+            for vectors, count in _encoder(dimensions).unit(batch.column(place).to_pylist()):
+                near = (vectors @ matrix.T).max(1) > least if languages else np.zeros(len(count), bool)
+                kept += (near | ((count > 0) & (count < LEAST_LETTERS) & bool(languages))).tolist()
             yield batch.filter(pa.array(kept, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -14,7 +14,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+
 from boutframe.llm import bpe, exact_dedup, idfilter, langid, licenses, lm, media, near_dedup, packing, secrets, toxicity, words
+from boutframe.llm import queries as llm_queries
 from boutframe.llm.components import components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -51,7 +53,7 @@ def test_quotient_filter_is_lossless_and_merges():
     want = collections.Counter(np.concatenate(parts).tolist())
     assert dict(zip(prints.tolist(), counts.tolist(), strict=True)) == want
     empty = exact_dedup.CountingQuotientFilter.build(np.zeros(0, np.uint64))
-    assert len(exact_dedup.CountingQuotientFilter.from_bytes(empty.to_bytes()).items()[0]) == 0
+    assert len(exact_dedup.CountingQuotientFilter.from_bytes(empty.to_bytes()).items()[0]) == 0 and exact_dedup.CountingQuotientFilter.merge([]).items()[0].size == 0
 
 
 def test_exact_dedup_matches_brute_force(spark):
@@ -76,14 +78,44 @@ def test_exact_dedup_repeated_rows_null_ids_and_empty_tables(spark):
     assert exact_dedup.exact_dedup(df.where("false")).count() == 0
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(0, 200), max_size=300), st.lists(st.integers(0, 200), max_size=300), st.integers(8, 60))
+def test_quotient_filters_of_every_width_merge_by_sorted_remainders(left, right, bits):
+    filters = [exact_dedup.CountingQuotientFilter.build(np.array(x, np.uint64), bits=bits) for x in (left, right, [])]
+    packed = [f.to_bytes() for f in filters]
+    prints, counts = exact_dedup.CountingQuotientFilter.merge([exact_dedup.CountingQuotientFilter.from_bytes(x) for x in packed], bits).items()
+    assert dict(zip(prints.tolist(), counts.tolist(), strict=True)) == collections.Counter(left + right) and prints.tolist() == sorted(prints.tolist())
+
+
+def test_quotient_filter_is_smaller_than_its_fingerprints():
+    prints = np.random.default_rng(2).integers(0, 1 << 63, 100_000, dtype=np.uint64)
+    assert len(exact_dedup.CountingQuotientFilter.build(prints).to_bytes()) < 0.82 * prints.nbytes
+
+
+def test_exact_dedup_keeps_clashing_columns_and_hot_groups(spark, monkeypatch):
+    texts = [*["the same text"] * 60, *make(9, 40), *["Twice over"] * 2]
+    df = table(spark, texts).withColumns({c: F.lit(c) for c in ("sha", "norm", "keep", "name", "__sha", "text_sha256", "group_size", "copies", "fp")}).repartition(7)
+    for hot in (1, 10, 1000):
+        monkeypatch.setattr(idfilter, "HOT", hot)
+        got = by_id(exact_dedup.exact_dedup(df))
+        assert [got[k].group_size for k in range(len(texts))] == [60] * 60 + [1] * 40 + [2] * 2 and sum(r.kept for r in got.values()) == 42
+    stay = exact_dedup.drop_exact_duplicates(df)
+    assert stay.columns == df.columns and sorted(r.doc_id for r in stay.collect()) == [*range(59, 100), 101]
+
+
 # 2
 
 
-def brute_components(texts):
+def brute_sets(texts):
     sets = []
     for t in texts:
         w = WORD.findall((t or "").translate(AZ))
         sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set())
+    return sets
+
+
+def brute_components(texts):
+    sets = brute_sets(texts)
     parent = list(range(len(texts)))
 
     def find(x):
@@ -113,34 +145,82 @@ def near_texts():
     return texts
 
 
-def test_near_duplicates_match_brute_force(spark, monkeypatch):
-    texts = near_texts()
+def groups_of_near_copies():
+    """Copies of one text with 0 to 9 changed words, short texts around a common passage, and copies of copies."""
+    rng = random.Random(13)
+    base = make(14, 1, 121, 900)[0].split() + make(15, 1, 121, 900)[0].split()
+    texts = []
+    for k in range(70):
+        own = list(base)
+        for _ in range(k % 10):
+            own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    chain = list(base[::-1])
+    for k in range(25):
+        chain[rng.randrange(len(chain))] = f"c{k}"
+        texts.append(" ".join(chain))
+    passage = " ".join(f"q{k}" for k in range(60))
+    return texts + [" ".join([passage, *(f"z{rng.randrange(10**6)}" for _ in range(k % 14))]) for k in range(40)]
+
+
+@pytest.mark.parametrize("make_texts", [near_texts, groups_of_near_copies])
+def test_near_duplicates_match_brute_force(spark, monkeypatch, make_texts):
+    texts = make_texts()
     roots, sizes = brute_components(texts)
     assert 0 < sum(r != k for k, r in enumerate(roots))
-    for heavy_least in (near_dedup.HEAVY_LEAST, 2):
-        monkeypatch.setattr(near_dedup, "HEAVY_LEAST", heavy_least)
-        got = by_id(near_dedup.near_duplicates(table(spark, texts)))
-        assert [got[k].component_id for k in range(len(texts))] == roots and [got[k].n_shingles for k in range(len(texts))] == sizes
-    stay = near_dedup.drop_near_duplicates(table(spark, texts))
-    assert sorted(r.doc_id for r in stay.collect()) == [k for k, r in enumerate(roots) if k == r]
-    assert near_dedup.near_duplicates(table(spark, texts).where("false")).count() == 0
+    df = table(spark, texts).repartition(5)
+    got = by_id(near_dedup.near_duplicates(df))
+    assert [got[k].component_id for k in range(len(texts))] == roots and [got[k].n_shingles for k in range(len(texts))] == sizes
+    monkeypatch.setattr(near_dedup, "SKETCH_BITS", 16)  # cells that many shingles share
+    pairs, rows = near_dedup.links(df)
+    sets = brute_sets(texts)
+    want = {(i, j) for i in range(len(texts)) for j in range(i) if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    member = by_id(rows)
+    assert [member[k].n_links for k in range(len(texts))] == [sum(k in pair for pair in want) for k in range(len(texts))]
+    classes = {member[k].__getitem__("class"): sets[k] for k in range(len(texts)) if sets[k]}
+    found = {frozenset((r.class_a, r.class_b)): r.shared for r in pairs.collect()}
+    assert found == {frozenset(member[k].__getitem__("class") for k in pair): len(sets[pair[0]] & sets[pair[1]]) for pair in want if sets[pair[0]] != sets[pair[1]]}
+    assert all(len(classes[a] & classes[b]) == n for (a, b), n in ((tuple(x), n) for x, n in found.items()))
+
+
+def test_near_duplicates_are_dropped_but_for_the_least_id(spark):
+    texts = near_texts()
+    roots, _ = brute_components(texts)
+    stay = near_dedup.drop_near_duplicates(table(spark, texts).withColumns({"gone": F.lit(1), "__dropped": F.lit(2)}))
+    assert sorted(r.doc_id for r in stay.collect()) == [k for k, r in enumerate(roots) if k == r] and {"gone", "__dropped"} <= set(stay.columns)
 
 
-@settings(max_examples=60, deadline=None)
+@settings(max_examples=100, deadline=None)
 @given(st.integers(1, 120), st.integers(0, 40), st.integers(0, 40), st.integers(0, 9))
-def test_prefixes_and_bitmaps_lose_no_link(common, left, right, seed):
+def test_prefixes_and_bitmaps_lose_no_link(shared, left, right, seed):
     rng = np.random.default_rng(seed)
-    x = rng.choice(1 << 62, common + left + right, replace=False).astype(np.uint64)
-    a, b = np.sort(x[: common + left]), np.sort(np.concatenate([x[:common], x[common + left :]]))
-    heavy = rng.choice(x, max(1, len(x) // 2), replace=False)
-    order = near_dedup.Order(heavy, rng.integers(2, 5000, len(heavy)))
-    a, b = sorted((a, b), key=len)
-    (pa_, la, early, _), (pb_, lb, _, _) = order.prefix(a), order.prefix(b)
-    if near_dedup.similar(common, len(a), len(b)):
-        assert len(np.intersect1d(pa_[:early], pb_)) >= min(la, lb)
+    x = rng.choice(1 << 62, shared + left + right, replace=False).astype(np.uint64)
+    a, b = np.sort(x[: shared + left]), np.sort(np.concatenate([x[:shared], x[shared + left :]]))
+    cells = rng.integers(0, 256, 1 << (near_dedup.SKETCH_BITS - 1), np.uint8) if seed % 2 else np.zeros(1 << (near_dedup.SKETCH_BITS - 1), np.uint8)
+    (long_a, level_a, base_a, l_a), (long_b, level_b, base_b, l_b) = (near_dedup.prefix(v, near_dedup.magnitudes(cells, v)) for v in (a, b))
+    if near_dedup.similar(shared, len(a), len(b)):
+        assert near_dedup.common(np.sort(long_a), np.sort(long_b)) >= min(l_a, l_b)
+        both = [(i, j) for i, v in enumerate(long_a[:base_a]) for j, w in enumerate(long_b[:base_b]) if v == w]
+        assert any(len(b) <= near_dedup.reach(len(a), i) and len(a) <= near_dedup.reach(len(b), j) for i, j in both)
         assert near_dedup.may_be_similar(near_dedup.parity_bitmap(a), len(a), near_dedup.parity_bitmap(b), len(b))
 
 
+def test_sketch_counts_all_classes_whatever_the_partitions(spark):
+    rng = np.random.default_rng(5)
+    pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([rng.choice(pool[: 1 + k % 400], 3), rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for k in range(500)]
+    counts = collections.Counter(v for x in sets for v in x.tolist())
+    df = spark.createDataFrame([(x.tobytes(),) for x in sets], "shingles binary")
+    many = [near_dedup.sketch(df.repartition(n)) for n in (1, 40)]
+    assert (many[0] == many[1]).all()
+    values = np.array(list(counts), np.uint64)
+    cell = values >> np.uint64(64 - near_dedup.SKETCH_BITS)
+    top = collections.defaultdict(int)
+    for c, v in zip(cell.tolist(), values.tolist(), strict=True):
+        top[c] = max(top[c], counts[v])
+    assert near_dedup.magnitudes(many[0], values).tolist() == [min(15, int(math.log2(top[c]))) for c in cell.tolist()]
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(k, k + 1) for k in range(30)] + [(100, 200 + k) for k in range(5)] + [(204, 50)]
     df = spark.createDataFrame(edges, "a long, b long")
@@ -360,12 +440,45 @@ def test_language_is_learned_and_und_is_kept_for_no_letters(spark):
     assert all(got[k].held_out == (zlib.crc32(str(k).encode()) % 3 == 1) for k in got)
     assert all(got[k].lang_pred == langs[k] for k in range(150)) and all(0 <= r.score <= 1 for r in got.values())
     assert all((got[150 + k].lang_pred == "und") == (not any(c.isalpha() for c in t or "")) for k, t in enumerate([*ODD, "12 34", "!!"]))
-    kept = {r.doc_id for r in langid.keep_identified(table(spark, texts, langs)).collect()}
-    assert kept == {k for k, r in got.items() if r.lang_pred != "und"}
+    junk = ["".join(rng.choice("zqxjvkwyz") for _ in range(400)), "zqxj vk"]
+    kept = {r.doc_id for r in langid.keep_identified(table(spark, [*texts, *junk], [*langs, None, None])).collect()}
+    assert kept == {k for k, r in got.items() if r.lang_pred != "und"} - {len(texts)} - {k for k, t in enumerate(texts) if len(t or "") == 5000} | {len(texts) + 1}
     assert langid.identify(table(spark, texts, langs).where("false")).count() == 0
     assert {r.lang_pred for r in langid.identify(table(spark, ["abc"], [None])).collect()} == {"und"}
 
 
+def brute_profile(encoder, text):
+    """Sum over all trigrams of the product of rotated letter vectors, letter by letter."""
+    slots = [0]
+    for c in text.lower():
+        slot = int(encoder.slot[ord(c)])
+        if slot or slots[-1]:
+            slots.append(slot)
+    slots += [0] * bool(slots[-1])
+    letters = encoder.places[2].astype(int)  # the last letter of a trigram is not rotated
+    return sum((np.roll(letters[a], 2) * np.roll(letters[b], 1) * letters[c] for a, b, c in zip(slots, slots[1:], slots[2:], strict=False)), np.zeros(letters.shape[1], int))
+
+
+def test_language_equals_brute_force(spark, monkeypatch):
+    texts = [*make(20, 20), *[x.upper().replace("1", "é ß") for x in make(21, 20)], *[x.replace("w", "日本 ") for x in make(22, 20)], *ODD, "a" * 9000 + " bc"]
+    langs = ["x"] * 20 + ["y"] * 20 + ["z"] * 20 + [None] * (len(texts) - 60)
+    encoder = langid.Encoder()
+    monkeypatch.setattr(langid, "BLOCK_GRAMS", 7)
+    monkeypatch.setattr(langid, "BLOCK_LETTERS", 50)
+    profiles = [brute_profile(encoder, t or "") for t in texts]
+    assert (encoder.vectors([t or "" for t in texts])[0] == np.array(profiles)).all()
+    monkeypatch.undo()
+    units = [p / (np.linalg.norm(p) or 1) for p in profiles]
+    train = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1]
+    prototypes = {x: sum(units[k] for k in train if langs[k] == x) for x in "xyz"}
+    got = by_id(langid.identify(table(spark, texts, langs)))
+    for k, t in enumerate(texts):
+        cosines = {x: float(units[k] @ p / np.linalg.norm(p)) for x, p in prototypes.items()}
+        best = max(sorted(cosines), key=cosines.get)
+        letters = any(c.isalpha() for c in t or "")
+        assert got[k].lang_pred == (best if letters else "und") and abs(got[k].score - (min(1, max(0, cosines[best])) if letters else 0)) < 1e-4
+
+
 # 8
 
 
@@ -480,10 +593,16 @@ def test_packing_is_gapless_and_carries_the_ids(spark, reference):
 
 
 def test_pipeline_matches_brute_force(spark, tmp_path):
-    texts = [*near_texts(), "12 34", "my token = abcdefghij0123 is here and that is all", "x " * 2500]
+    lead, tail = make(30, 2)
+    texts = [*near_texts(), "12 34", f"{lead} token = abcdefghij0123 {tail}", "x " * 2500]
     table(spark, texts).drop("kept", "class", "h").write.parquet(f"{tmp_path}/documents.parquet")
     docs, path = spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)
-    kept = [k for k, t in enumerate(texts) if any(c.isalpha() for c in t or "")]
+    profiles = [brute_profile(langid.Encoder(), t or "") for t in texts]
+    units = [p / (np.linalg.norm(p) or 1) for p in profiles]
+    known = sum(u for k, u in enumerate(units) if zlib.crc32(str(k).encode()) % 3 != 1)
+    near = [float(u @ known / np.linalg.norm(known)) > langid.CHANCE / langid.DIMENSIONS**0.5 for u in units]
+    letters = [sum(c.isalpha() for c in t or "") for t in texts]
+    kept = [k for k in range(len(texts)) if letters[k] and (near[k] or letters[k] < langid.LEAST_LETTERS)]
     last = {(texts[k] or "").translate(AZ): k for k in kept}
     kept = sorted(last.values())
     roots, _ = brute_components([texts[k] for k in kept])
@@ -494,11 +613,48 @@ def test_pipeline_matches_brute_force(spark, tmp_path):
     clean = by_id(docs)
     assert sorted(clean) == kept
     secret = len(texts) - 2
-    assert clean[secret].text == "my [SECRET] is here and that is all" and clean[secret].n_chars == len(clean[secret].text)
+    assert clean[secret].text == f"{lead} [SECRET] {tail}" and clean[secret].n_chars == len(clean[secret].text)
     packed = corpus_pipeline.run(spark, path).collect()
     assert {r.doc_id for r in packed} == set(kept)
 
 
+EMPTY_QUERIES = {
+    **{name: f for name, f in llm_queries.QUERIES.items()},
+    "pipeline": corpus_pipeline.run,
+}
+
+
+@pytest.mark.parametrize("name", EMPTY_QUERIES)
+def test_empty_partitions_nulls_and_empty_tables(spark, tmp_path, name):
+    """Two rows in six partitions, rows with nulls in every column, and a table without rows."""
+    rows = [(1, "some words to begin with, of a few letters", "en", "s", 5), (None, None, None, None, None), (None, "some words to begin with, of a few letters", None, None, None), (7, "", "en", None, 0)]
+    for at, few in (("few", rows[:1] * 2), ("nulls", rows), ("none", [])):
+        folder = tmp_path / at
+        for k, row in enumerate(few or [None]):  # a file each, so that some partitions are empty
+            df = spark.createDataFrame([row] if row else [], SCHEMA).repartition(6)
+            df.write.mode("append").option("spark.sql.files.maxRecordsPerFile", 1).parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(1, 1, None), (None, None, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        out = EMPTY_QUERIES[name](spark, str(folder)).collect()
+        if name == "pipeline":
+            assert len(out) == (at != "none") and not any(r.doc_id == 7 for r in out)
+        else:
+            assert sorted(str(r.doc_id) for r in out) == sorted(str(r[0]) for r in few)
+
+
+OPERATORS = {
+    "op1": lambda df: exact_dedup.exact_dedup(df), "op2": lambda df: near_dedup.near_duplicates(df), "op3": lambda df: lm.score(df), "op4": lambda df: media.media_features(df),
+    "op5": lambda df: secrets.scan(df), "op6": lambda df: licenses.scan(df, licenses.document_path()), "op7": lambda df: langid.identify(df), "op8": lambda df: bpe.bpe_digests(df),
+    "op9": lambda df: toxicity.toxicity(df, df.select("doc_id", F.lit(1).alias("toxic"))), "op10": lambda df: packing.pack(df),
+    **{f"stage {name}": lambda df, f=f: f(df.sparkSession, df, "") for name, f in corpus_pipeline.STAGES},
+}
+
+
+@pytest.mark.parametrize("name", OPERATORS)
+def test_operators_run_over_empty_partitions(spark, name):
+    df = table(spark, ["some words to begin with", "other words, to end with"]).repartition(6)
+    assert len(OPERATORS[name](df).collect()) == 2 and OPERATORS[name](df.where("doc_id < 0")).count() == 0
+
+
 def test_shingle_sets_and_words():
     sets = list(words.shingle_sets(ODD, chars=3))
     assert [len(s) for s in sets] == [0, 0, 0, 0, 1, 1, 1, 1, 1, 1, 1] and sets[4] == sets[5] and sets[7] == sets[8] and len(set(map(bytes, sets[6:]))) == 4
