@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +40,8 @@ from boutframe.session import materialize, ship
 PERCENT = 80
 #: The sketch has 2**SKETCH_BITS cells of four bits, so its broadcast is 32 MiB whatever the input.
 SKETCH_BITS = 26
-#: Bits of a shingle that are counted; shingles that agree in them count together, which changes speed only.
-COUNTED_BITS = 48
+#: Bits of a shingle within its range that are counted; shingles that agree in them count together, which changes speed only.
+COUNTED_BITS = 32
 ROUNDS = 3
 
 
@@ -98,21 +97,21 @@ def common(x: np.ndarray, y: np.ndarray) -> int:
 # The sketch of counts
 
 
-def _counted(batches, range_bits: int, flush: int = 8_000_000):
+def _counted(batches, range_bits: int, flags, flush: int = 2_000_000):
     """``range, block``: the counted bits of this task's shingles, ascending within each range, repeats kept."""
-    width = (COUNTED_BITS - range_bits + 7) // 8  # bytes of a value within its range
 
     def blocks(parts: list[np.ndarray]):
-        values = np.sort(np.concatenate(parts) >> np.uint64(64 - COUNTED_BITS))
-        edges = np.searchsorted(values, np.arange((1 << range_bits) + 1, dtype=np.uint64) << np.uint64(COUNTED_BITS - range_bits))
-        low = (values & np.uint64((1 << (COUNTED_BITS - range_bits)) - 1)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
-        for k in np.flatnonzero(np.diff(edges)).tolist():
-            data = np.ascontiguousarray(low[edges[k] : edges[k + 1]]).tobytes()
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([data], pa.binary())], names=["range", "block"])
+        values = np.concatenate(parts)
+        values.sort()
+        edges = np.searchsorted(values, np.arange(1 << range_bits, dtype=np.uint64) << np.uint64(64 - range_bits))
+        low = (values >> np.uint64(64 - range_bits - COUNTED_BITS)).astype("<u4")
+        for k, (a, b) in enumerate(zip(edges, np.append(edges[1:], len(values)), strict=True)):
+            if a < b:
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([low[a:b].tobytes()], pa.binary())], names=["range", "block"])
 
     parts, size = [], 0
     for batch in batches:
-        for data in batch.column(0):
+        for data in _fresh(batch, flags).column("shingles"):
             parts.append(np.frombuffer(data.as_buffer(), np.uint64))
             size += len(parts[-1])
         if size > flush:
@@ -124,34 +123,28 @@ def _counted(batches, range_bits: int, flush: int = 8_000_000):
 
 def _cells(table: pa.Table, range_bits: int, sketch_bits: int) -> bytes:
     """A range's part of the sketch: two cells a byte, each the magnitude of the largest count above one that falls on it."""
-    width, local = (COUNTED_BITS - range_bits + 7) // 8, sketch_bits - range_bits
-    parts = []
-    for block in table.column("block"):
-        raw = np.frombuffer(block.as_buffer(), np.uint8).reshape(-1, width)
-        wide = np.zeros((len(raw), 8), np.uint8)
-        wide[:, :width] = raw
-        parts.append(wide.view("<u8").reshape(-1))
-    values = np.sort(np.concatenate(parts))
+    values = np.concatenate([np.frombuffer(block.as_buffer(), "<u4") for block in table.column("block")])
+    values.sort()
     first = np.flatnonzero(np.append(True, values[1:] != values[:-1]))
     counts = np.diff(np.append(first, len(values)))
     many = counts > 1
-    cells = np.zeros(1 << local, np.uint8)
-    np.maximum.at(cells, (values[first[many]] >> np.uint64(COUNTED_BITS - sketch_bits)).astype(np.int64), np.minimum(15, np.log2(counts[many])).astype(np.uint8))
+    cells = np.zeros(1 << (sketch_bits - range_bits), np.uint8)
+    np.maximum.at(cells, values[first[many]] >> np.uint32(COUNTED_BITS - sketch_bits + range_bits), np.minimum(15, np.log2(counts[many])).astype(np.uint8))
     return (cells[::2] | cells[1::2] << 4).tobytes()
 
 
-def sketch(sets: DataFrame) -> np.ndarray:
-    """The sketch of the shingles of all ``sets.shingles`` (a row a class), with ``2**SKETCH_BITS`` cells."""
+def sketch(sets: DataFrame, flags) -> np.ndarray:
+    """The sketch of the shingles of all ``sets`` (see :func:`_fresh`), with ``2**SKETCH_BITS`` cells."""
     spark, bits = sets.sparkSession, SKETCH_BITS
     range_bits = min(bits - 1, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # two ranges or more for each task
 
     def blocks(batches):
-        return _counted(batches, range_bits)
+        return _counted(batches, range_bits, flags)
 
     def merged(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([_cells(table, range_bits, bits)], pa.binary())})
 
-    rows = sets.select("shingles").mapInArrow(blocks, "range int, block binary").groupBy("range").applyInArrow(merged, "range int, cells binary").toArrow()
+    rows = sets.mapInArrow(blocks, "range int, block binary").groupBy("range").applyInArrow(merged, "range int, cells binary").toArrow()
     out = np.zeros((1 << range_bits, (1 << (bits - 1)) >> range_bits), np.uint8)  # 32 MiB in all
     for k, data in zip(rows.column("range").to_pylist(), rows.column("cells"), strict=True):
         out[k] = np.frombuffer(data.as_buffer(), np.uint8)
@@ -192,19 +185,14 @@ def _sets(batches):
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.int64()), pa.array(data, pa.binary())], names=["doc_id", "n", "class", "shingles"])
 
 
-def _picked(sets: DataFrame, flags, wanted: bool = True) -> DataFrame:
-    """The rows ``class, shingles`` whose class is in the bitmap, or isn't."""
-
-    def run(batches):
-        for batch in batches:
-            found = hits(flags.value, batch.column(0).to_numpy().view(np.uint64))
-            yield batch.filter(pa.array(found == wanted))
-
-    return sets.select("class", "shingles").mapInArrow(run, "class long, shingles binary")
+def _fresh(batch: pa.RecordBatch, flags) -> pa.RecordBatch:
+    """Of rows ``class, shingles, first`` the ones to count: those that are ``first`` in their task only where no other task has the class."""
+    found = hits(flags.value, batch.column("class").to_numpy().view(np.uint64))
+    return batch.filter(pa.array(~(found & batch.column("first").to_numpy(zero_copy_only=False))))
 
 
 class _Corpus:
-    """``rows`` (doc_id, n, class), ``sets`` (class, shingles; one row a class), ``profiles`` and ``postings``."""
+    """``rows`` (doc_id, n, class), ``sets`` (class, shingles, first; one row a class once it went through :func:`_fresh`), ``profiles`` and ``postings``."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str):
         spark = docs.sparkSession
@@ -214,19 +202,25 @@ class _Corpus:
         self.rows = whole.select("doc_id", "n", "class")
         given = whole.where("shingles is not null")
         again = given.groupBy("class").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("class")
-        flags = spark.sparkContext.broadcast(bitmap(again))
-        several = materialize(_picked(given, flags).groupBy("class").agg(F.first("shingles").alias("shingles")), "sets")
-        self.sets = _picked(given, flags, False).unionByName(several)
+        self.flags = flags = spark.sparkContext.broadcast(bitmap(again))
+
+        def doubtful(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(hits(flags.value, batch.column(0).to_numpy().view(np.uint64))))
+
+        several = given.select("class", "shingles").mapInArrow(doubtful, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
+        self.sets = given.select("class", "shingles", F.lit(True).alias("first")).unionByName(materialize(several, "sets").withColumn("first", F.lit(False)))
         self.least = materialize(self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id")), "classes")
-        cells = spark.sparkContext.broadcast(sketch(self.sets))
+        cells = spark.sparkContext.broadcast(sketch(self.sets, flags))
 
         def prefixes(batches):
             for batch in batches:
+                batch = _fresh(batch, flags)
                 keys, sizes, own, matches, tokens, bitmaps, posted = [], [], [], [], [], [], []
-                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column(1)]
+                held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
                 level = magnitudes(cells.value, np.concatenate(held)) if held else None
                 at = 0
-                for key, shingles in zip(batch.column(0).to_pylist(), held, strict=True):
+                for key, shingles in zip(batch.column("class").to_pylist(), held, strict=True):
                     mine = level[at : at + len(shingles)]
                     at += len(shingles)
                     chosen, magnitude, base, least = prefix(shingles, mine)
@@ -251,16 +245,15 @@ class _Corpus:
         posted = self.profiles.select("class", "n", "own", F.explode("posted").alias("x")).select("class", "n", "own", F.col("x.token").alias("token"), F.col("x.place").alias("place"))
         reached = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
         posted = posted.select("token", "class", "n", "own", F.floor(reached / PERCENT).cast("long").alias("reach"))
-        self.postings = _shared(posted, "postings")
+        self.tokens, self.postings = _shared(posted.withColumn("cluster", F.col("class")), "postings", "class")
 
 
-def _shared(postings: DataFrame, name: str, by: str = "class", least: str = "own") -> DataFrame:
-    """Postings of tokens that meet two values of ``by`` or more, with the central class of each token."""
-    tokens = postings.groupBy("token").agg(
-        F.count(F.lit(1)).alias("held"), F.min(by).alias("low"), F.max(by).alias("high"), F.min(F.struct(F.col(least), "class", "n", "reach", *([by] if by != "class" else []))).alias("central")
-    )
-    tokens = materialize(tokens.where("low <> high").drop("low", "high"), f"{name}-tokens")
-    return materialize(join_counted(postings.drop("held", "central"), tokens, "token", "held"), name)
+def _shared(postings: DataFrame, name: str, by: str) -> tuple[DataFrame, DataFrame]:
+    """Tokens that meet two values of ``by`` or more, with their central class; and the postings of these tokens."""
+    centre = F.min(F.struct("own", "class", "n", "reach", F.col(by).alias("group"))).alias("central")
+    tokens = postings.groupBy("token").agg(F.count(F.lit(1)).alias("held"), F.min(by).alias("low"), F.max(by).alias("high"), centre)
+    tokens = materialize(tokens.where("low <> high").select("token", "held", F.col("central.class").alias("centre"), F.col("central.n").alias("n_c"), F.col("central.reach").alias("reach_c"), F.col("central.group").alias("group_c")), f"{name}-tokens")
+    return tokens, materialize(join_counted(postings, tokens.select("token", "held"), "token", "held").drop("held"), name)
 
 
 def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
@@ -280,8 +273,14 @@ def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
 
     likely = materialize(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(screen, "a long, b long"), "pairs")
     ids = likely.select(F.col("a").alias("class")).unionByName(likely.select(F.col("b").alias("class")))
-    wanted = spark.sparkContext.broadcast(bitmap(ids))
-    held = materialize(_picked(corpus.sets, wanted), "wanted")
+    wanted, flags = spark.sparkContext.broadcast(bitmap(ids)), corpus.flags
+
+    def pick(batches):
+        for batch in batches:
+            batch = _fresh(batch, flags).select(["class", "shingles"])
+            yield batch.filter(pa.array(hits(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
+
+    held = materialize(corpus.sets.mapInArrow(pick, "class long, shingles binary"), "wanted")
 
     def decide(batches):
         for batch in batches:
@@ -298,53 +297,42 @@ def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
     return with_a.join(held.select(F.col("class").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y").mapInArrow(decide, "a long, b long, shared long")
 
 
-def _across(postings: DataFrame, cluster: str = "class") -> DataFrame:
+def _across(postings: DataFrame) -> DataFrame:
     """Pairs ``a, b`` of classes in different clusters whose first shared shingle may be the posting's, each pair once."""
     side = lambda df, c: df.select("token", *[F.col(x).alias(f"{x}_{c}") for x in df.columns if x != "token"])
     fits = "n_a <= reach_b and n_b <= reach_a"
-    if cluster == "class":
-        slim = postings.select("token", "class", "n", "reach")
-        pairs = side(slim, "a").join(side(slim, "b"), "token").where("class_a < class_b").where(fits)
-    else:
-        slim = postings.select("token", cluster, "class", "n", "reach")
-        groups = slim.groupBy("token", cluster).agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
-        two = side(groups, "a").join(side(groups, "b"), "token").where(f"{cluster}_a < {cluster}_b").where(fits).select("token", f"{cluster}_a", f"{cluster}_b")
-        pairs = two.join(side(slim, "a"), ["token", f"{cluster}_a"]).join(side(slim, "b"), ["token", f"{cluster}_b"]).where(fits)
+    slim = postings.select("token", "cluster", "class", "n", "reach")
+    groups = slim.groupBy("token", "cluster").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    two = side(groups, "a").join(side(groups, "b"), "token").where("cluster_a < cluster_b").where(fits).select("token", "cluster_a", "cluster_b")
+    pairs = two.join(side(slim, "a"), ["token", "cluster_a"]).join(side(slim, "b"), ["token", "cluster_b"]).where(fits)
     return pairs.select(F.least("class_a", "class_b").alias("a"), F.greatest("class_a", "class_b").alias("b")).distinct()
 
 
+def _stars(tokens: DataFrame, postings: DataFrame) -> DataFrame:
+    """One pair ``a, b`` for each class that isn't in the cluster of a central class: with the one it shares most tokens with."""
+    near = join_counted(postings, tokens, "token", "held").where("cluster <> group_c and n <= reach_c and n_c <= reach")
+    shared = near.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("shared"))
+    best = shared.groupBy("class").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
+    return best.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
+
+
 def _clusters(corpus: _Corpus) -> DataFrame:
     """``node, component`` of all classes that are linked with another one; components are those of all links."""
-    postings, found, clusters, tried = corpus.postings, None, None, None
+    tokens, postings, found, tried = corpus.tokens, corpus.postings, None, None
     for _ in range(ROUNDS):
-        by = "class" if clusters is None else "cluster"
-        centre = F.col(f"central.{by}")
-        stars = postings.where(F.col(by) != centre).where("n <= central.reach and central.n <= reach").select("class", F.col("central.class").alias("centre"))
-        stars = stars.groupBy("class", "centre").agg(F.count(F.lit(1)).alias("shared"))
-        best = stars.groupBy("class").agg(F.max_by("centre", F.struct("shared", "centre")).alias("centre"))
-        pairs = best.select(F.least("class", "centre").alias("a"), F.greatest("class", "centre").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "stars")
+        pairs = _stars(tokens, postings)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "stars")
         links = materialize(_verified(pairs, corpus).select("a", "b"), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if links.isEmpty():
             break
         found = links if found is None else found.unionByName(links)
         clusters = components(found)
-        postings = _placed(postings, clusters)
-    last = _across(postings) if clusters is None else _across(postings, "cluster")
-    last = materialize(_verified(materialize(last.join(tried, ["a", "b"], "left_anti"), "across"), corpus).select("a", "b"), "links")
-    if last.isEmpty():
-        return clusters if clusters is not None else components(last)
-    return components(last if found is None else found.unionByName(last))
-
-
-def _placed(postings: DataFrame, clusters: DataFrame) -> DataFrame:
-    """Postings with the clusters of their classes, of tokens that still meet two clusters or more."""
-    slim = postings.select("token", "class", "n", "own", "reach")
-    placed = slim.join(clusters, slim["class"] == clusters["node"], "left").select("token", "class", "n", "own", "reach", F.coalesce("component", "class").alias("cluster"))
-    return _shared(materialize(placed, "placed"), "postings", "cluster")
+        placed = postings.drop("cluster").join(clusters, postings["class"] == clusters["node"], "left").select("token", "class", "n", "own", "reach", F.coalesce("component", "class").alias("cluster"))
+        tokens, postings = _shared(placed, "postings", "cluster")
+    rest = materialize(_across(postings).join(tried, ["a", "b"], "left_anti"), "across")
+    links = materialize(_verified(rest, corpus).select("a", "b"), "links")
+    return components(links if found is None else found.unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
