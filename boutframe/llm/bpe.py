@@ -6,10 +6,14 @@ each change climbs one path: n symbols take O(n log n), also for a single word o
 is a parameter (the JSON of the tokenizers library); special tokens' literal strings in a text become their single id,
 as that library does by default.
 
-Words are encoded once and kept in a bounded table (two generations of ``CACHE_WORDS`` entries); that changes no result.
+Texts are cut before spaces where no token can go over the cut. The different pieces of about ``GROUP_CHARS`` characters of
+texts are told apart by Arrow's dictionary, encoded once, and the texts' ids are gathered from them by number. Pieces of up
+to ``KEPT_CHARS`` characters are kept for later texts until they take ``CACHE_BYTES``; then all are forgotten. That changes
+no result.
 
 Cases: a null text counts as empty and has no tokens (the digests are those of the empty string); a null doc_id passes
-through; repeated rows are encoded each; whole texts are encoded, however long; other columns are not read.
+through; repeated rows are encoded each; whole texts are encoded, however long; empty tables and empty partitions give no
+rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -19,24 +23,29 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import filterfalse
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.session import ship
 
-CACHE_WORDS = 450_000
+CACHE_BYTES = 160 << 20
+KEPT_CHARS = 64
+GROUP_CHARS = 8_000_000
 #: The split that byte-level BPE files of this kind assume; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NO_PAIR = 1 << 62
+_NO_LEAF = (1 << 31) - 1
 _LATIN_END = "\u0250"  # below it, letters are the same in every version of Unicode in use
-_SPECIAL = "\0 "  # before a special token's string; no chunk of a text has a space after its first letter
-_ODD_SPACES = re.compile(r"\s (?!\S)")
-_SPACE_PAIRS = [" " + chr(c) for c in range(0x3001) if chr(c).isspace()]
+_MARK = "\0"  # before a piece that doesn't follow a space; pieces that do come without their space
+_CUT = regex.compile(r"(?<=\S) | (?=\S)")  # spaces before which every token ends
+_WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_ODD = f"{_WHITE} (?:{_WHITE}|$)|\\x{{00}}"  # texts that need more care than a cut before each space
+_STOPS = frozenset(".,;:!?")
 
 
 def default_vocabulary() -> str:
@@ -52,26 +61,6 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(0x100 + k): b for k, b in enumerate(rest)}
 
 
-class _Table:
-    """A bounded table: two generations of about ``limit`` entries, of which the older one is dropped when the newer is full."""
-
-    def __init__(self, limit: int = CACHE_WORDS):
-        self.limit, self.newer, self.older = limit, {}, {}
-
-    def ready(self, groups: list[list[str]], make) -> dict[str, bytes]:
-        """A table with the values of all keys in all groups; ``make`` gets the list of those that it lacks."""
-        if len(self.newer) > self.limit:
-            self.older, self.newer = self.newer, {}
-        known, pending = self.newer.__contains__, set()
-        for keys in groups:
-            pending.update(filterfalse(known, keys))
-        found = {key: value for key in pending if (value := self.older.get(key)) is not None}
-        lacking = list(pending - found.keys())
-        self.newer.update(found)
-        self.newer.update(zip(lacking, make(lacking), strict=True))
-        return self.newer
-
-
 class Vocabulary:
     """Token ids, their bytes and the merge ranks of a byte-level BPE file."""
 
@@ -155,54 +144,88 @@ class MergeTrees:
 
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
-        keys = np.array([left << 16 | right for left, right in vocabulary.pairs], np.int64)
+        keys = np.array([left << 32 | right for left, right in vocabulary.pairs], np.int64)
         ranks, made = (np.array(x, np.int64) for x in zip(*vocabulary.pairs.values(), strict=True))
-        order = np.argsort(keys)
-        self._keys, self._ranks = keys[order], ranks[order]
-        self._made = np.zeros(int(ranks.max()) + 1, np.int64)
+        if ranks.max() >= _NO_LEAF >> 6:
+            raise ValueError("too many merges")
+        self._made = np.zeros(int(ranks.max()) + 1, np.int32)
         self._made[ranks] = made
-        self._byte_ids = np.array(vocabulary.byte_ids, np.int64)
-
-    def merge(self, words: list[str]) -> list[bytes]:
-        """The ids of each word as little-endian unsigned 32-bit numbers."""
-        raw = [word.encode() for word in words]
-        out: list[bytes] = [b""] * len(raw)
-        classes: dict[int, list[int]] = {}
-        for at, data in enumerate(raw):
-            classes.setdefault(max(3, len(data).bit_length()), []).append(at)
-        for bits, members in classes.items():
-            if bits > 6:
-                for at in members:
-                    out[at] = np.array(merge_symbols([self.vocabulary.byte_ids[b] for b in raw[at]], self.vocabulary.pairs), "<u4").tobytes()
-                continue
-            for at, data in zip(members, self._rows([raw[at] for at in members], 1 << bits), strict=True):
-                out[at] = data
-        return out
+        self._byte_ids = np.array(vocabulary.byte_ids, np.int32)
+        # a table by hash, with the pairs that share a place in a sorted list of their own
+        self._shift = 64 - max(10, (8 * len(keys)).bit_length())
+        slot = self._slots(keys)
+        order = np.argsort(slot, kind="stable")
+        first = np.append(True, slot[order][1:] != slot[order][:-1])
+        own, rest = order[first], order[~first]
+        self._keys, self._ranks = np.full(1 << (64 - self._shift), -1, np.int64), np.zeros(1 << (64 - self._shift), np.int32)
+        self._keys[slot[own]], self._ranks[slot[own]] = keys[own], ranks[own]
+        self._crowded = np.zeros(len(self._keys), bool)
+        self._crowded[slot[rest]] = True
+        rest = rest[np.argsort(keys[rest])]
+        self._rest_keys, self._rest_ranks = keys[rest], ranks[rest].astype(np.int32)
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(self._shift)).view(np.int64)
 
     def _leaves(self, left: np.ndarray, right: np.ndarray, position: np.ndarray) -> np.ndarray:
-        key = left << 16 | right
-        at = np.minimum(np.searchsorted(self._keys, key), len(self._keys) - 1)
-        return np.where((self._keys[at] == key) & (left >= 0) & (right >= 0), self._ranks[at] << 6 | position, _NO_PAIR)
-
-    def _rows(self, raw: list[bytes], width: int) -> list[bytes]:
+        """rank << 6 | position of each pair of ids, or ``_NO_LEAF`` where it doesn't merge or an id is -1."""
+        key = left.astype(np.int64) << 32 | right
+        slot = self._slots(key)
+        found, rank = self._keys[slot] == key, self._ranks[slot]
+        late = np.flatnonzero(self._crowded[slot] & ~found)
+        if len(late):
+            at = np.minimum(np.searchsorted(self._rest_keys, key[late]), len(self._rest_keys) - 1)
+            found[late], rank[late] = self._rest_keys[at] == key[late], self._rest_ranks[at]
+        return np.where(found & (left >= 0) & (right >= 0), rank << 6 | position, _NO_LEAF).astype(np.int32)
+
+    def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words, one after the other, and the number of ids of each."""
+        array = pa.array(words, pa.large_string())
+        if not words:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        offsets = np.frombuffer(array.buffers()[1], np.int64, len(words) + 1)
+        data = np.frombuffer(array.buffers()[2], np.uint8, offsets[-1]) if offsets[-1] else np.zeros(0, np.uint8)
+        lengths = np.diff(offsets)
+        bits = np.maximum(3, np.frexp(lengths)[1])  # as int.bit_length
+        order, parts, counts = [], [], []
+        for at in np.flatnonzero(bits > 6).tolist():
+            order.append(np.array([at]))
+            parts.append(np.array(merge_symbols([self.vocabulary.byte_ids[b] for b in data[offsets[at] : offsets[at + 1]].tolist()], self.vocabulary.pairs), np.uint32))
+            counts.append(np.array([len(parts[-1])], np.int64))
+        for width in (3, 4, 5, 6):
+            members = np.flatnonzero(bits == width)
+            for a in range(0, len(members), 20_000):
+                at = members[a : a + 20_000]
+                ids, n = self._rows(_gather(data, offsets[at], lengths[at]), lengths[at], 1 << width)
+                order.append(at)
+                parts.append(ids)
+                counts.append(n)
+        ids, n, order = np.concatenate(parts), np.concatenate(counts), np.concatenate(order)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        starts = np.cumsum(n) - n
+        return _gather(ids, starts[place], n[place]), n[place]
+
+    def _rows(self, data: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
         """Words of fewer than ``width`` bytes: ``width`` leaves each, so that a leaf past the end always exists."""
-        count, lengths = len(raw), np.array([len(x) for x in raw])
-        symbols = np.full((count, width), -1, np.int64)
+        count = len(lengths)
+        symbols = np.full((count, width), -1, np.int32)
         alive = np.arange(width) < lengths[:, None]
-        symbols[alive] = self._byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
-        place = np.arange(width)
-        tree = np.full((count, 2 * width), _NO_PAIR, np.int64)
-        tree[:, width:-1] = self._leaves(symbols[:, :-1], symbols[:, 1:], place[:-1])
+        symbols[alive] = self._byte_ids[data]
+        place = np.arange(width, dtype=np.int32)
+        tree = np.full((count, 2 * width), _NO_LEAF, np.int32)
+        tree[:, width:-1] = self._leaves(symbols[:, :-1].reshape(-1), symbols[:, 1:].reshape(-1), np.tile(place[:-1], count)).reshape(count, width - 1)
         half = width // 2
         while half:
             tree[:, half : 2 * half] = np.minimum(tree[:, 2 * half : 4 * half : 2], tree[:, 2 * half + 1 : 4 * half : 2])
             half //= 2
-        after, before = np.tile(np.minimum(place + 1, width - 1), (count, 1)), np.tile(np.where(place, place - 1, width - 1), (count, 1))
-        flat, nodes, after1, before1 = symbols.reshape(-1), tree.reshape(-1), after.reshape(-1), before.reshape(-1)
+        after, before = np.tile(np.minimum(place + 1, width - 1), (count, 1)), np.tile(np.where(place, place - 1, width - 1).astype(np.int32), (count, 1))
+        flat, nodes, after1, before1, alive1 = (x.reshape(-1) for x in (symbols, tree, after, before, alive))
         rows = np.arange(count)
         while True:
-            top = tree[rows, 1]
-            rows, top = rows[top != _NO_PAIR], top[top != _NO_PAIR]
+            top = nodes[rows * (2 * width) + 1]
+            merging = top != _NO_LEAF
+            rows, top = rows[merging], top[merging]
             if not len(rows):
                 break
             base, root = rows * width, rows * (2 * width)
@@ -212,18 +235,34 @@ class MergeTrees:
             made = self._made[top >> 6]
             flat[base + i], flat[base + j] = made, -1
             after1[base + i] = k
-            alive[rows, j] = False
-            ends = k == width - 1
-            before1[(base + k)[~ends]] = i[~ends]
-            for leaf, value in ((j, _NO_PAIR), (i, self._leaves(made, flat[base + k], i)), (h, self._leaves(flat[base + h], made, h))):
-                node = width + leaf
-                nodes[root + node] = value
-                while node[0] > 1:
-                    node = node >> 1
-                    nodes[root + node] = np.minimum(nodes[root + 2 * node], nodes[root + 2 * node + 1])
-        packed = symbols[alive].astype("<u4").tobytes()
-        stops = np.cumsum(alive.sum(1)) * 4
-        return [packed[a:b] for a, b in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True)]
+            alive1[base + j] = False
+            inner = np.flatnonzero(k != width - 1)
+            before1[(base + k)[inner]] = i[inner]
+            n = len(rows)
+            pairs = self._leaves(np.concatenate([made, flat[base + h]]), np.concatenate([flat[base + k], made]), np.concatenate([i, h]))
+            three, node = np.concatenate([root, root, root]), np.concatenate([j, i, h]) + width
+            nodes[three[:n] + node[:n]] = _NO_LEAF
+            nodes[three[n:] + node[n:]] = pairs
+            while node[0] > 1:
+                node = node >> 1
+                down = three + 2 * node
+                nodes[three + node] = np.minimum(nodes[down], nodes[down + 1])
+        return symbols[alive].astype(np.uint32), alive.sum(1)
+
+
+def _gather(values: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The slices of ``counts`` values from ``starts``, one after the other."""
+    ends = np.cumsum(counts)
+    return values[np.repeat(starts - ends + counts, counts) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+def _key(word: str) -> str:
+    """How a word is written in the table: without its space, or with the mark where it has none."""
+    return word[1:] if word[0] == " " and word[1:2] != _MARK else _MARK + word
+
+
+def _raw(key: str) -> str:
+    return key[1:] if key.startswith(_MARK) else " " + key
 
 
 class Encoder:
@@ -232,47 +271,122 @@ class Encoder:
     def __init__(self, path: str):
         self.vocabulary = Vocabulary(path)
         self._find = regex.compile(PATTERN).findall
-        self._trees, self._words, self._chunks = MergeTrees(self.vocabulary), _Table(), _Table()
+        self._trees = MergeTrees(self.vocabulary)
         self._names = [str(i) for i in range(max(self.vocabulary.bytes) + 1)]
+        self._special = "|".join(re.escape(s) for s in self.vocabulary.special)
+        self._forget()
+
+    def _forget(self) -> None:
+        """An empty table: piece -> number, and each number's slice of the pool of ids."""
+        self._table: dict[str, int] = {}
+        self._long: list[str] = []
+        self._pool, self._starts, self._counts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self._used = self._bytes = self._numbers_used = 0
+
+    def _append(self, keys: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
+        first, used = self._numbers_used, self._used
+        while len(self._pool) < used + len(ids):
+            self._pool = np.concatenate([self._pool, np.zeros_like(self._pool)])
+        while len(self._starts) < first + len(keys):
+            self._starts, self._counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self._starts, self._counts))
+        self._pool[used : used + len(ids)] = ids
+        self._starts[first : first + len(keys)] = used + np.cumsum(counts) - counts
+        self._counts[first : first + len(keys)] = counts
+        self._table.update(zip(keys, range(first, first + len(keys)), strict=True))
+        self._used, self._numbers_used = used + len(ids), first + len(keys)
+        self._bytes += 4 * len(ids) + 180 * len(keys)
+        self._long += [k for k in keys if len(k) > KEPT_CHARS]
+
+    def _numbers(self, keys: list[str], single: bool = False) -> np.ndarray:
+        """Each piece's number; those that the table lacks are encoded. ``single``: each is one word."""
+        table = self._table
+        lacking = [k for k in keys if k not in table]
+        words, several, split = [], [], []
+        for key in lacking:
+            if single or (key.isalpha() and (key.isascii() or max(key) < _LATIN_END)):
+                words.append(key)
+            elif key[-1:] in _STOPS and key[:-1].isalpha() and (key.isascii() or max(key) < _LATIN_END):
+                several.append(key)
+                split.append([key[:-1], _MARK + key[-1]])
+            elif key.startswith(_MARK + _MARK) and key[2:] in self.vocabulary.special:
+                self._append([key], np.array([self.vocabulary.special[key[2:]]], np.uint32), np.ones(1, np.int64))
+            else:
+                found = self._find(_raw(key))
+                if len(found) == 1:
+                    words.append(key)
+                else:
+                    several.append(key)
+                    split.append([_key(w) for w in found])
+        if words:
+            self._append(words, *self._trees.merge([_raw(k) for k in words]))
+        if several:
+            parts = [w for ws in split for w in ws]
+            distinct = list(dict.fromkeys(parts))
+            number = dict(zip(distinct, self._numbers(distinct, True).tolist(), strict=True))
+            at = np.fromiter(map(number.__getitem__, parts), np.int64, len(parts))
+            counts = self._counts[at]
+            ids, ends = _gather(self._pool, self._starts[at], counts), np.append(0, np.cumsum(counts))
+            stops = np.append(0, np.cumsum([len(ws) for ws in split]))
+            self._append(several, ids, np.diff(ends[stops]))
+        return np.fromiter(map(table.__getitem__, keys), np.int64, len(keys))
+
+    def _pieces(self, text: str) -> list[str]:
+        """The pieces of a text of any kind."""
+        out = []
+        for part in self.vocabulary.split_special.split(text) if self._special else [text]:
+            if part in self.vocabulary.special:
+                out.append(_MARK + _MARK + part)
+            elif _MARK in part:
+                out.append(_MARK + part)
+            else:
+                first, *rest = _CUT.split(part)
+                out += [_MARK + first, *rest]
+        return out
 
-    def _pack_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Each chunk is split into words; the words' ids are joined."""
-        special = [chunk for chunk in chunks if chunk.startswith(_SPECIAL)]
-        if special:
-            plain = dict(zip(rest := [c for c in chunks if not c.startswith(_SPECIAL)], self._pack_chunks(rest), strict=True))
-            plain.update((c, np.array([self.vocabulary.special[c.removeprefix(_SPECIAL)]], "<u4").tobytes()) for c in special)
-            return [plain[c] for c in chunks]
-        whole = [chunk for chunk in chunks if chunk.isalpha() and max(chunk) < _LATIN_END]  # one word after a space
-        done = dict(zip(whole, self._trees.merge([" " + chunk for chunk in whole]), strict=True))
-        mixed = [chunk for chunk in chunks if chunk not in done]
-        split = [self._find(chunk[1:] if chunk[:1] == " " else " " + chunk) for chunk in mixed]
-        get = self._words.ready(split, self._trees.merge).__getitem__
-        done.update(zip(mixed, (b"".join(map(get, words)) for words in split), strict=True))
-        return list(map(done.__getitem__, chunks))
-
-    def packed(self, texts: list[str | None]) -> Iterator[bytes]:
-        """Each text's ids as little-endian unsigned 32-bit numbers; about a megabyte of texts is taken at a time."""
+    def groups(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``ids, number of ids of each text`` for about ``GROUP_CHARS`` characters of texts at a time."""
         start = size = 0
         for stop, text in enumerate(texts, 1):
             size += len(text or "")
-            if size > 1_000_000 or stop == len(texts):
-                yield from self._packed(texts[start:stop])
+            if size > GROUP_CHARS or stop == len(texts):
+                yield self._group(texts[start:stop])
                 start, size = stop, 0
 
-    def _packed(self, texts: list[str | None]) -> Iterator[bytes]:
-        special, lists = self.vocabulary.special, []
-        for text in texts:
-            if text and any(s in text for s in special):
-                parts = self.vocabulary.split_special.split(text)
-                lists.append([c for part in parts for c in ([_SPECIAL + part] if part in special else chunks_of(part))])
-            else:
-                lists.append(chunks_of(text or ""))
-        get = self._chunks.ready(lists, self._pack_chunks).__getitem__
-        for chunks in lists:
-            yield b"".join(map(get, chunks))
+    def _group(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        if self._bytes + 200 * len(self._long) > CACHE_BYTES:
+            self._forget()
+        array = pa.array([x or "" for x in texts], pa.large_string())
+        odd = pc.match_substring_regex(array, f"{_ODD}|{self._special}" if self._special else _ODD)
+        lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_MARK, pa.large_string()), array.filter(pc.invert(odd)), pa.scalar("", pa.large_string())), " ")
+        others = [self._pieces(texts[k]) for k in np.flatnonzero(odd.to_numpy(zero_copy_only=False))]
+        flat = pa.concat_arrays([lists.flatten(), pa.array([p for ps in others for p in ps], pa.large_string())]).dictionary_encode()
+        numbers = self._numbers(flat.dictionary.to_numpy(zero_copy_only=False).tolist())[flat.indices.to_numpy()]
+        counts = self._counts[numbers]
+        ids = _gather(self._pool, self._starts[numbers], counts)
+        pieces = np.concatenate([pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64), np.array([len(ps) for ps in others], np.int64)])
+        ends = np.append(0, np.cumsum(counts))
+        per_text = np.diff(ends[np.append(0, np.cumsum(pieces))])
+        for key in self._long:
+            del self._table[key]
+        self._long = []
+        if not others:
+            return ids, per_text
+        where = odd.to_numpy(zero_copy_only=False)
+        order = np.concatenate([np.flatnonzero(~where), np.flatnonzero(where)])
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        starts = np.cumsum(per_text) - per_text
+        return _gather(ids, starts[place], per_text[place]), per_text[place]
+
+    def packed(self, texts: list[str | None]) -> Iterator[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit numbers."""
+        for ids, counts in self.groups(texts):
+            data, ends = memoryview(ids.astype("<u4").tobytes()), np.append(0, 4 * np.cumsum(counts)).tolist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield bytes(data[a:b])
 
     def encode(self, text: str | None) -> list[int]:
-        return np.frombuffer(next(self._packed([text])), "<u4").tolist()
+        return np.frombuffer(next(self.packed([text])), "<u4").tolist()
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.vocabulary.bytes.__getitem__, ids)).decode("utf-8", "replace")
@@ -281,21 +395,6 @@ class Encoder:
         return ",".join(map(self._names.__getitem__, ids))
 
 
-def chunks_of(text: str) -> list[str]:
-    """Pieces of a text that no word goes over: cut before each space, or the whole text where that isn't safe.
-
-    A piece that follows a space comes without it; a piece that doesn't comes with a space in front as its mark.
-    """
-    if not text:
-        return []
-    if any(x in text for x in _SPACE_PAIRS) or text[-1] == " ":
-        if _ODD_SPACES.search(text):  # a run of spaces would go over a cut
-            return [" " + text]
-    chunks = text.split(" ")
-    chunks[0] = " " + chunks[0]
-    return chunks
-
-
 @lru_cache(maxsize=2)
 def encoder(path: str) -> Encoder:
     """One encoder for each Python worker and vocabulary file."""

@@ -90,23 +90,28 @@ def _tighter_pair(sizes: list[int], left: dict[int, int], used: Counter, smalles
 def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Tokenised pieces: doc_id, piece, start, length, ids_crc32, and the task with the rank among its equal lengths."""
     ship(docs.sparkSession)
-    path, end = vocabulary or default_vocabulary(), np.array([end_id], "<u4").tobytes()
+    path, end = vocabulary or default_vocabulary(), end_id
 
     def run(batches):
         coder, task, seen = encoder(path), TaskContext.get().partitionId(), Counter()
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+        names = [x.split()[0] for x in PIECE.split(", ")]
         for batch in batches:
-            rows = []
-            for doc, ids in zip(batch.column(0).to_pylist(), coder.packed(batch.column(1).to_pylist()), strict=True):
-                data = ids + end
-                n = len(data) // 4
-                stops = [*range((n - 1) % capacity + 1, n + 1, capacity)]
-                for piece, stop in enumerate(stops):
-                    start = stops[piece - 1] if piece else 0
-                    rows.append((doc, piece, start, stop - start, zlib.crc32(data[4 * start : 4 * stop]), task, seen[stop - start]))
-                    seen[stop - start] += 1
-            columns = zip(*rows, strict=True) if rows else [()] * 7
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[x.split()[0] for x in PIECE.split(", ")])
+            at = 0
+            for ids, counts in coder.groups(batch.column(1).to_pylist()):
+                docs_here = batch.column(0).slice(at, len(counts)).to_pylist()
+                at += len(counts)
+                data = memoryview(np.insert(ids, np.cumsum(counts), end).astype("<u4").tobytes())
+                rows, first = [], 0
+                for doc, n in zip(docs_here, (counts + 1).tolist(), strict=True):
+                    start = 0
+                    for piece, stop in enumerate(range((n - 1) % capacity + 1, n + 1, capacity)):
+                        length = stop - start
+                        rows.append((doc, piece, start, length, zlib.crc32(data[4 * (first + start) : 4 * (first + stop)]), task, seen[length]))
+                        seen[length] += 1
+                        start = stop
+                    first += n
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE)
 

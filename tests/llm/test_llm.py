@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import json
 import math
 import random
 import re
@@ -210,8 +211,9 @@ def test_sketch_counts_all_classes_whatever_the_partitions(spark):
     pool = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
     sets = [np.unique(np.concatenate([rng.choice(pool[: 1 + k % 400], 3), rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for k in range(500)]
     counts = collections.Counter(v for x in sets for v in x.tolist())
-    df = spark.createDataFrame([(x.tobytes(),) for x in sets], "shingles binary")
-    many = [near_dedup.sketch(df.repartition(n)) for n in (1, 40)]
+    df = spark.createDataFrame([(k, x.tobytes(), True) for k, x in enumerate(sets)], "class long, shingles binary, first boolean")
+    flags = spark.sparkContext.broadcast(np.zeros(1 << (idfilter.BITS - 3), np.uint8))
+    many = [near_dedup.sketch(df.repartition(n), flags) for n in (1, 40)]
     assert (many[0] == many[1]).all()
     values = np.array(list(counts), np.uint64)
     cell = values >> np.uint64(64 - near_dedup.SKETCH_BITS)
@@ -514,8 +516,43 @@ def test_bpe_special_tokens_long_words_and_table(spark, coder, reference):
 def test_trees_agree_with_the_scalar_tree(coder):
     rng = random.Random(2)
     sample = ["".join(rng.choice("thenaigro e") for _ in range(rng.randrange(1, 80))) for _ in range(400)]
-    for word, packed in zip(sample, coder._trees.merge(sample), strict=True):
-        assert np.frombuffer(packed, "<u4").tolist() == bpe.merge_symbols([coder.vocabulary.byte_ids[b] for b in word.encode()], coder.vocabulary.pairs)
+    ids, counts = coder._trees.merge(sample)
+    for word, own in zip(sample, np.split(ids, np.cumsum(counts)[:-1]), strict=True):
+        assert own.tolist() == bpe.merge_symbols([coder.vocabulary.byte_ids[b] for b in word.encode()], coder.vocabulary.pairs)
+
+
+def test_bpe_of_code_long_lines_and_a_full_table(coder, reference, monkeypatch):
+    rng = random.Random(6)
+    code = "".join(" " * rng.choice((0, 2, 4, 8, 12)) + f"value_{rng.randrange(99)} = other(x, {rng.randrange(10**6)})  # note\n" + "\n" * (rng.random() < 0.1) for _ in range(25_000))
+    lines = ["\n".join(make(33, 3000, 7)), "\0".join(make(34, 50)), "a\0\0 \0b  \0", "<|endoftext|>\0 <|endoftext|>  ", "   x", "x   ", " \n \n ", code]
+    assert len(code) > 1_000_000 and max(map(len, coder._pieces(code))) < 100
+    monkeypatch.setattr(bpe, "CACHE_BYTES", 1 << 14)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 3000)
+    small = bpe.Encoder(bpe.default_vocabulary())
+    for coded in (coder, small):
+        got = [np.frombuffer(x, "<u4").tolist() for x in coded.packed([*lines, *make(35, 300), None])]
+        assert got == [x.ids for x in reference.encode_batch([*lines, *make(35, 300), ""], add_special_tokens=False)]
+    assert small._bytes < 1 << 18  # the limit and one group of texts
+
+
+def test_bpe_takes_ids_above_two_bytes(tmp_path):
+    from tokenizers import Tokenizer
+
+    letters = sorted(bpe.byte_alphabet())
+    vocab = {c: 70_000 + k for k, c in enumerate(letters)}
+    vocab |= {f"{a}{b}": 4_464 + 256 * i + j for i, a in enumerate("abcdefgh") for j, b in enumerate("abcdefgh")}  # 70,000 - 65,536 = 4,464
+    merges = [[a, b] for a in "abcdefgh" for b in "abcdefgh"]
+    with open(bpe.default_vocabulary(), encoding="utf-8") as file:
+        data = json.load(file)
+    data["model"] |= {"vocab": vocab, "merges": merges}
+    data["added_tokens"] = []
+    path = f"{tmp_path}/wide.json"
+    with open(path, "w", encoding="utf-8") as file:
+        json.dump(data, file)
+    library, own, rng = Tokenizer.from_file(path), bpe.Encoder(path), random.Random(3)
+    for _ in range(50):
+        text = "".join(rng.choice("abcdefgh xyz") for _ in range(200))
+        assert own.encode(text) == library.encode(text, add_special_tokens=False).ids
 
 
 # 9
