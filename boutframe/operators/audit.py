@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,11 +64,21 @@ def coverage(events: DataFrame, fights: DataFrame, participants: DataFrame, grou
     return out.withColumn("fights_per_event", F.round(F.col("fights").cast("double") / F.col("events"), 3))
 
 
+def recounted(rows: DataFrame, participants: DataFrame | None = None) -> DataFrame:
+    """Rows with ``expected_prior_fights`` and ``same_day_history_count``, from counts by day that meet the rows in a join.
+
+    The recount doesn't share the features' window: bouts are counted by fighter and day first, running sums go over days.
+    """
+    days = (rows if participants is None else participants).groupBy("fighter_id", "event_date").agg(F.count(F.lit(1)).alias("that_day"))
+    past = Window.partitionBy("fighter_id").orderBy("event_date").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("expected_prior_fights", F.coalesce(F.sum("that_day").over(past), F.lit(0)))
+    joined = rows.join(days, ["fighter_id", "event_date"], "left")
+    return joined.withColumns({"expected_prior_fights": F.coalesce("expected_prior_fights", F.lit(0)), "same_day_history_count": F.greatest(F.coalesce("that_day", F.lit(0)) - 1, F.lit(0))}).drop("that_day")
+
+
 def leakage(rows: DataFrame) -> DataFrame:
-    """How many rows' prior_fights differ from a recount by join over strictly earlier dates; independent of the window."""
-    now, past = rows.select("fight_id", "fighter_id", "event_date", "prior_fights"), rows.select("fighter_id", F.col("event_date").alias("past_date"))
-    recount = now.join(past, "fighter_id").groupBy("fight_id", "fighter_id", "prior_fights").agg(F.count_if(F.col("past_date") < F.col("event_date")).alias("expected"))
-    return recount.where("prior_fights <> expected").agg(F.count(F.lit(1)).alias("leaks"))
+    """How many rows' prior_fights differ from a recount over strictly earlier dates."""
+    return recounted(rows).agg(F.count_if(F.col("prior_fights") != F.col("expected_prior_fights")).alias("leaks"))
 
 
 def same_day(rows: DataFrame) -> DataFrame:
@@ -87,3 +97,78 @@ def tally(checks: DataFrame) -> DataFrame:
 
 def standard(checks: DataFrame) -> DataFrame:
     return conform(checks, CHECK)
+
+
+def pit(rows: DataFrame, participants: DataFrame, matchups: DataFrame) -> DataFrame:
+    """Checks of the as-of features: as many rows as sides, recounted priors, same-day history left out, one matchup a bout."""
+    counts = recounted(rows, participants).agg(
+        F.count_if(F.col("prior_fights") != F.col("expected_prior_fights")).alias("leaks"),
+        F.count_if((F.col("same_day_history_count") > 0) & (F.col("prior_fights") != F.col("expected_prior_fights"))).alias("same_day"),
+    )
+    parity = rows.select(F.lit(1).alias("v")).unionAll(participants.select(F.lit(-1))).agg(F.abs(F.coalesce(F.sum("v"), F.lit(0))).alias("v"))
+    return union_all([
+        check(parity, "pit_fighter_features", "pit_rows_match_participants"), check(counts.select("leaks"), "pit_fighter_features", "pit_prior_fights_no_leakage"),
+        check(counts.select("same_day"), "pit_fighter_features", "pit_same_day_history_excluded"), check(duplicates(matchups, ["fight_id"]), "pit_matchup_features", "pit_matchup_unique_fight_id"),
+    ])
+
+
+def pit_view(rows: DataFrame, participants: DataFrame) -> DataFrame:
+    """Every side with its recount and whether it differs."""
+    named = recounted(rows, participants).withColumn("has_anomaly", F.col("prior_fights") != F.col("expected_prior_fights"))
+    wanted = "fight_id event_id event_date fighter_id opponent_id source promotion full_name prior_fights expected_prior_fights same_day_history_count has_anomaly".split()
+    return named.select(*[c for c in wanted if c in named.columns])
+
+
+def identity(links: DataFrame) -> DataFrame:
+    """Fighters by source and link method: with and without a birth date, a sample name, and with a note."""
+    noted = F.coalesce(F.col("override_note"), F.lit("")) != ""
+    return links.groupBy("source", "link_method").agg(
+        F.count(F.lit(1)).alias("fighters"), F.count("dob").alias("with_dob"), F.count_if(F.col("dob").isNull()).alias("missing_dob"),
+        F.min("full_name").alias("sample_name"), F.count_if(noted).alias("with_override_note"),
+    )
+
+
+def summary(tables: dict[str, DataFrame], events: DataFrame | None = None, links: DataFrame | None = None, overrides: DataFrame | None = None, review: DataFrame | None = None) -> DataFrame:
+    """``section, metric_name, metric_value, details``: row counts and counts by source, promotion, link, decision and review status.
+
+    What a run alone knows (the clock, file sizes) is left to the caller.
+    """
+
+    def rows(df: DataFrame, section: str, name: Column, details: Column, *keys: str, agg: tuple[Column, ...] = ()) -> DataFrame:
+        counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *agg)
+        return counted.select(F.lit(section).alias("section"), name.alias("metric_name"), F.col("n").cast("string").alias("metric_value"), details.alias("details"))
+
+    two = lambda a, b: F.concat_ws("::", a, b)
+    parts = [rows(df, "row_counts", F.lit(name), F.lit("")) for name, df in tables.items()]
+    if events is not None:
+        dates = F.concat(F.col("first").cast("string"), F.lit(" to "), F.col("last").cast("string"))
+        parts.append(rows(events, "source_coverage", F.concat("source", F.lit("_events")), dates, "source", agg=(F.min("event_date").alias("first"), F.max("event_date").alias("last"))))
+        parts.append(rows(events, "source_promotion", two("source", "promotion"), F.lit("event count"), "source", "promotion"))
+    if links is not None:
+        parts.append(rows(links, "identity_links", two("source", "link_method"), F.lit("fighters by link method"), "source", "link_method"))
+    if overrides is not None:
+        parts.append(rows(overrides, "manual_overrides", F.col("decision"), F.lit("manual identity overrides by decision"), "decision"))
+    if review is not None:
+        parts.append(rows(review, "identity_review", F.col("review_status"), F.lit("fighters by review status"), "review_status"))
+    return union_all(parts)
+
+
+def identity_checks(review: DataFrame, overrides: DataFrame) -> DataFrame:
+    """A warning for fighters left unresolved or to be reviewed, and a failure for two approved targets of one fighter."""
+    open_ = review.agg(F.count_if(F.col("review_status").isin("candidate_review", "unresolved")).alias("v"))
+    several = overrides.where("decision = 'approved'").groupBy("source", "source_fighter_id").agg(F.count_distinct("target_source_fighter_id").alias("n")).where("n > 1").agg(F.count(F.lit(1)).alias("v"))
+    return union_all([check(open_, "fighter_identity_links", "unresolved_identities", bad="warn"), check(several, "fighter_identity_manual_overrides", "single_approved_target")])
+
+
+def not_null_checks(df: DataFrame, table: str, columns: list[str]) -> DataFrame:
+    """A failure for each required column with a null, from one aggregation."""
+    wide = df.agg(*[F.count_if(F.col(c).isNull()).cast("double").alias(c) for c in columns])
+    long = wide.unpivot([], columns, "column_name", "v")
+    return long.select(F.when(F.col("v") == 0, "pass").otherwise("fail").alias("status"), F.lit(table).alias("table_name"), F.concat(F.lit("required_"), "column_name").alias("check_name"), F.col("v").alias("metric_value"), F.lit("0").alias("threshold"), F.lit("").alias("details"))
+
+
+def schema_check(df: DataFrame, table: str, schema: T.StructType) -> DataFrame:
+    """A failure that names the columns that are missing or of another type."""
+    wrong = schema_mismatches(df, schema)
+    one = df.sparkSession.range(1).select(F.lit(float(len(wrong))).alias("v"))
+    return check(one, table, "schema", details=",".join(wrong))

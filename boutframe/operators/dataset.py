@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Words that may not be in a feature's name, because they tell the result.
-FORBIDDEN = ("winner", "outcome", "result", "target", "method", "round", "time_sec")
+#: What may not be in a feature's name, because it tells the result, the side or where the row came from.
+FORBIDDEN = ("red_", "blue_", "corner", "winner", "outcome", "source", "promotion")
 
 
 def oriented(matchups: DataFrame, deltas: list[str]) -> DataFrame:
@@ -36,31 +36,28 @@ def metadata(matchups: DataFrame, dataset: DataFrame) -> DataFrame:
     return both.withColumn("excluded_invalid", F.col("rows_in") - F.col("excluded_draw_nc") - F.col("rows_kept"))
 
 
-def ranked_dates(df: DataFrame) -> tuple[DataFrame, int]:
-    """Distinct dates with their rank from 0, and how many there are. Dates are days: a few ten thousand at most."""
-    dates = df.select("event_date").distinct()
-    ranked = dates.withColumn("ordinal", F.row_number().over(Window.orderBy("event_date")) - 1)
-    return ranked, dates.count()
+def ranked_dates(df: DataFrame) -> DataFrame:
+    """Distinct dates with their rank from 0 (``ordinal``) and how many there are (``dates``). Days: a few ten thousand at most."""
+    dates = df.groupBy("event_date").agg(F.lit(1).alias("one"))
+    return dates.select("event_date", (F.row_number().over(Window.orderBy("event_date")) - 1).alias("ordinal"), F.count(F.lit(1)).over(Window.partitionBy("one")).alias("dates"))
 
 
 def temporal_split(df: DataFrame, train: float = 0.7, validation: float = 0.15) -> DataFrame:
-    """Add ``split``; every part has a date, and no date is in two."""
-    ranked, n = ranked_dates(df)
-    if n < 3:
-        raise ValueError("at least three dates are needed")
-    first = min(max(1, int(n * train)), n - 2)
-    second = min(max(first + 1, int(n * (train + validation))), n - 1)
-    part = F.when(F.col("ordinal") < first, "train").when(F.col("ordinal") < second, "validation").otherwise("test")
-    return df.join(F.broadcast(ranked), "event_date").withColumn("split", part).drop("ordinal")  # dates: bounded
+    """Add ``split``; every part has a date, and no date is in two. Fewer than three dates are an error when the rows are read."""
+    n = F.when(F.col("dates") >= 3, F.col("dates")).otherwise(F.raise_error("at least three dates are needed").cast("long"))
+    first = F.least(F.greatest(F.lit(1), F.floor(n * train)), n - 2)
+    second = F.least(F.greatest(F.col("first") + 1, F.floor(n * (train + validation))), n - 1)
+    part = F.when(F.col("ordinal") < F.col("first"), "train").when(F.col("ordinal") < second, "validation").otherwise("test")
+    parts = ranked_dates(df).withColumn("first", first).select("event_date", part.alias("split"))
+    return df.join(F.broadcast(parts), "event_date")  # dates: bounded
 
 
 def walk_forward(df: DataFrame, folds: int = 8, initial: float = 0.5) -> DataFrame:
     """Add ``fold`` (from 0; null for dates that are only ever trained on). Fold k trains on all dates before its own."""
-    ranked, n = ranked_dates(df)
-    start = max(1, int(n * initial))
-    block = max(1, -(-(n - start) // folds))
+    start = F.greatest(F.lit(1), F.floor(F.col("dates") * initial))
+    block = F.greatest(F.lit(1), F.ceil((F.col("dates") - start) / folds))
     fold = F.when(F.col("ordinal") >= start, F.floor((F.col("ordinal") - start) / block).cast("int"))
-    return df.join(F.broadcast(ranked), "event_date").withColumn("fold", fold).drop("ordinal")  # dates: bounded
+    return df.join(F.broadcast(ranked_dates(df).select("event_date", fold.alias("fold"))), "event_date")  # dates: bounded
 
 
 def late_rows(train: DataFrame, share: float = 0.15, date: str = "event_date", then: str = "fight_id") -> DataFrame:
@@ -69,7 +66,7 @@ def late_rows(train: DataFrame, share: float = 0.15, date: str = "event_date", t
     Rows are numbered within their date; what comes before a date is a running sum over the dates, of which there are few.
     """
     dates = train.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
-    every = Window.orderBy(date)
+    every = Window.orderBy(date)  # over dates: bounded
     before = dates.select(date, (F.sum("__n").over(every) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
     place = F.col("__before") + F.row_number().over(Window.partitionBy(date).orderBy(then))
     rows = train.join(F.broadcast(before), date)  # dates: bounded

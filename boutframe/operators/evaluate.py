@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,14 +83,15 @@ def isotonic(df: DataFrame) -> tuple[list[float], list[float]]:
 
 
 def apply_isotonic(df: DataFrame, curve: tuple[list[float], list[float]]) -> DataFrame:
-    """Linear between thresholds, clipped outside to the first and last value."""
-    x, y = curve
-    p, out = F.col("p"), F.lit(y[-1])
-    for k in range(len(x) - 1, 0, -1):
-        width = x[k] - x[k - 1]
-        inside = F.lit(y[k - 1]) + (p - x[k - 1]) * ((y[k] - y[k - 1]) / width if width else 0.0)
-        out = F.when(p <= x[k], inside).otherwise(out)
-    return df.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(p <= x[0], F.lit(y[0])).otherwise(out))))
+    """Linear between thresholds, clipped outside to the first and last value; a search in the thresholds, a batch at a time."""
+    x, y = (np.array(v, float) for v in curve)
+
+    @F.pandas_udf("double")
+    def between(p: pd.Series) -> pd.Series:
+        known = p.notna().to_numpy()
+        return pd.Series(np.where(known, np.interp(p.fillna(0.0), x, y), np.nan)).where(known)
+
+    return df.withColumn("calibrated", F.greatest(F.lit(0.0), F.least(F.lit(1.0), between(F.col("p").cast("double")))))
 
 
 def boosted_trees(train: DataFrame, features: list[str], label: str = "target", trees: int = 20):

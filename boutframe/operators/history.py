@@ -1,7 +1,8 @@
 """As-of features: what was known strictly before a bout's date.
 
 One RANGE window per fighter, ending the day before, gives every additive feature in a single sort; rows of the same date
-never see each other. Forms of the last N bouts come from the same window's ordered list, cut to N.
+never see each other. What the last N bouts tell is summed over N rows by rank first, and the as-of value is that of the last
+row before the date, so no row carries a list of the rows before it.
 """
 
 from __future__ import annotations
@@ -66,26 +67,20 @@ def uncertainty(prior_fights: Column, days: Column) -> tuple[Column, Column]:
     return 1 / root, F.greatest(F.lit(70.0), F.least(F.lit(350.0), 350 / root + years * 20))
 
 
-def last_n(rows: DataFrame, n: int, fields: list[str]) -> Column:
-    """The last n earlier bouts by date and bout, as structs; cut before any condition is applied."""
-    listed = F.array_sort(F.collect_list(F.struct("event_date", "fight_id", *fields)).over(before()))
-    return F.slice(listed, F.greatest(F.size(listed) - n + 1, F.lit(1)), n)
-
-
-def _mean(values: Column) -> Column:
-    total = F.aggregate(values, F.struct(F.lit(0.0).alias("s"), F.lit(0).alias("n")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["n"] + 1).alias("n")))
-    return F.when(total["n"] > 0, total["s"] / total["n"])
+def _last(rows: DataFrame, n: int, value: Column, name: str) -> DataFrame:
+    """Mean of ``value`` (where it is known) over the last n earlier bouts by date and bout; null if it is known in none."""
+    frame = Window.partitionBy("fighter_id").orderBy("event_date", "fight_id").rowsBetween(1 - n, Window.currentRow)
+    ending_here = F.struct("event_date", "fight_id", F.avg(value).over(frame).alias("mean"))
+    return rows.withColumn(name, ending_here).withColumn(name, F.max(name).over(before())["mean"])
 
 
 def recent_win_rate(rows: DataFrame, n: int, name: str) -> DataFrame:
     """Share of wins among those of the last n that were won or lost; null if none was."""
-    decided = F.filter(F.col("__last"), lambda x: x["outcome"].isin("W", "L"))
-    return rows.withColumn("__last", last_n(rows, n, ["outcome", "winner_flag"])).withColumn(name, _mean(F.transform(decided, lambda x: F.coalesce(x["winner_flag"], F.lit(False)).cast("double")))).drop("__last")
+    return _last(rows, n, F.when(F.col("outcome").isin("W", "L"), _won().cast("double")), name)
 
 
 def recent_mean(rows: DataFrame, n: int, column: str, name: str) -> DataFrame:
-    known = F.filter(F.transform("__last", lambda x: x[column].cast("double")), lambda x: x.isNotNull())
-    return rows.withColumn("__last", last_n(rows, n, [column])).withColumn(name, _mean(known)).drop("__last")
+    return _last(rows, n, F.col(column).cast("double"), name)
 
 
 def opponent_quality(rows: DataFrame) -> DataFrame:
@@ -98,6 +93,58 @@ def opponent_quality(rows: DataFrame) -> DataFrame:
     return recent_mean(rows, 3, "opponent_pre_fight_elo", "recent_3_opponent_pre_fight_elo")
 
 
+#: Names of the features of one side, in their order.
+FEATURES = (
+    "prior_fights prior_wins prior_losses prior_draws prior_nc days_since_last_fight age_years height_in reach_in wins_by_ko_tko wins_by_sub wins_by_dec"
+    " avg_fight_time_sec avg_sig_str_landed avg_sig_str_absorbed avg_td_landed avg_td_attempted avg_sub_attempts avg_ctrl_sec"
+    " sig_str_landed_per_min sig_str_absorbed_per_min td_landed_per_15min td_attempted_per_15min sub_attempts_per_15min ctrl_sec_per_min"
+    " pre_fight_elo time_decayed_elo elo_expected_win_prob elo_uncertainty glicko_like_rd"
+    " avg_opponent_pre_fight_elo recent_3_opponent_pre_fight_elo best_win_opponent_pre_fight_elo worst_loss_opponent_pre_fight_elo recent_3_win_rate recent_5_win_rate"
+).split()
+AVERAGES = {
+    "avg_fight_time_sec": "fight_sec", "avg_sig_str_landed": "sig_str_landed", "avg_sig_str_absorbed": "sig_str_absorbed", "avg_td_landed": "td_landed",
+    "avg_td_attempted": "td_attempted", "avg_sub_attempts": "sub_att", "avg_ctrl_sec": "ctrl_sec",
+}
+RATES = {
+    "sig_str_landed_per_min": ("sig_str_landed", 1), "sig_str_absorbed_per_min": ("sig_str_absorbed", 1), "td_landed_per_15min": ("td_landed", 15),
+    "td_attempted_per_15min": ("td_attempted", 15), "sub_attempts_per_15min": ("sub_att", 15), "ctrl_sec_per_min": ("ctrl_sec", 1),
+}
+
+
+def features(rows: DataFrame, rated: DataFrame) -> DataFrame:
+    """All of ``FEATURES`` for every side: bout rows with bio columns (dob, height_in, reach_in), and their ratings before the bout.
+
+    All windows partition by fighter and order by date, so the rows are shuffled once after the join.
+    """
+    rows = rows.join(rated.select("fight_id", "fighter_id", "pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo"), ["fight_id", "fighter_id"], "left")
+    rows = rows.withColumns({c: F.coalesce(c, F.lit(1500.0)) for c in ("pre_fight_elo", "time_decayed_elo")})
+    rows = rates(averages(method_wins(recency(prior_record(rows))), AVERAGES), RATES)
+    doubt, deviation = uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
+    rows = opponent_quality(rows).withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
+    return recent_win_rate(recent_win_rate(rows, 3, "recent_3_win_rate"), 5, "recent_5_win_rate")
+
+
+def future_features(rows: DataFrame, rated: DataFrame, future: DataFrame) -> DataFrame:
+    """The features of both sides of bouts that are still to come (see :func:`with_future`), by the same windows.
+
+    Ratings are those after the last decided bout, decayed to the date; bio columns come from ``future`` (red_dob and so on) if
+    it has them.
+    """
+    both = with_future(rows, future)
+    both = both.join(rated.select("fight_id", "fighter_id", "opponent_pre_fight_elo", "post_elo"), ["fight_id", "fighter_id"], "left")
+    h = before()
+    last = F.max(F.when(F.col("post_elo").isNotNull(), F.struct("event_date", "fight_id", "post_elo"))).over(h)
+    days = F.datediff("event_date", F.max("event_date").over(h))
+    both = both.withColumn("pre_fight_elo", F.coalesce(last["post_elo"], F.lit(1500.0)))
+    both = both.withColumn("time_decayed_elo", 1500.0 + (F.col("pre_fight_elo") - 1500.0) * F.pow(F.lit(0.5), F.coalesce(days, F.lit(0)) / 730.0))
+    both = rates(averages(method_wins(recency(prior_record(both))), AVERAGES), RATES)
+    doubt, deviation = uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
+    both = opponent_quality(both).withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
+    both = recent_win_rate(recent_win_rate(both, 3, "recent_3_win_rate"), 5, "recent_5_win_rate").where("is_future")
+    other = F.sum("time_decayed_elo").over(Window.partitionBy("fight_id")) - F.col("time_decayed_elo")
+    return both.withColumn("elo_expected_win_prob", 1 / (1 + F.pow(F.lit(10.0), (other - F.col("time_decayed_elo")) / 400)))
+
+
 def matchups(rows: DataFrame, features: list[str], keep: list[str] = ("event_date",)) -> DataFrame:
     """One row a bout: red and blue features and their difference; one grouping instead of a self-join."""
     side = lambda corner, c: F.max(F.when(F.col("corner") == corner, F.col(c)))
@@ -109,7 +156,10 @@ def matchups(rows: DataFrame, features: list[str], keep: list[str] = ("event_dat
 def with_future(rows: DataFrame, future: DataFrame) -> DataFrame:
     """Base rows and two synthetic rows for each future bout (fight_id, event_date, red_id, blue_id), so both take one path."""
     sides = [
-        future.select(F.col("fight_id"), F.col("event_date"), F.lit(c).alias("corner"), F.col(f"{c}_id").alias("fighter_id"), F.col(f"{o}_id").alias("opponent_id"), F.lit(True).alias("is_future"))
+        future.select(
+            F.col("fight_id"), F.col("event_date"), F.lit(c).alias("corner"), F.col(f"{c}_id").alias("fighter_id"), F.col(f"{o}_id").alias("opponent_id"), F.lit(True).alias("is_future"),
+            *[F.col(f"{c}_{x}").alias(x) for x in ("dob", "height_in", "reach_in") if f"{c}_{x}" in future.columns],
+        )
         for c, o in (("red", "blue"), ("blue", "red"))
     ]
     return rows.withColumn("is_future", F.lit(False)).unionByName(sides[0].unionByName(sides[1]), allowMissingColumns=True)

@@ -113,3 +113,44 @@ def review_candidates(fighters: DataFrame, links: DataFrame, primary: str = PRIM
     rows = keyed.join(alone, ["source", "source_fighter_id"], "left_semi").select("source_fighter_id", "clean_key", "dob")
     main = keyed.where(F.col("source") == primary).select(F.col("source_fighter_id").alias("candidate"), "clean_key", "dob")
     return rows.join(main, ["clean_key", "dob"]).groupBy("source_fighter_id").agg(F.expr("listagg(candidate, ';') within group (order by candidate)").alias("candidates"), F.count(F.lit(1)).alias("n"))
+
+
+def review(fighters: DataFrame, links: DataFrame, overrides: DataFrame, primary: str = PRIMARY, secondary: str = SECONDARY, strict: bool = False) -> DataFrame:
+    """Every fighter of the secondary source with its link, its candidates, and what was decided by hand.
+
+    ``overrides``: source, source_fighter_id, target_source, target_source_fighter_id, decision, note, created_at_utc and
+    updated_at_utc. Candidates are the primary fighters of the same cleaned name and birth date that were not rejected, for
+    fighters left on their own. Links by a near birth date show as unresolved unless ``strict``, then as linked_near.
+    Decisions are grouped by fighter first, so that nothing fans out.
+    """
+    keyed = with_keys(fighters).join(links, ["source", "source_fighter_id"])
+    main = keyed.where(F.col("source") == primary).select(F.col("source_fighter_id").alias("candidate"), F.col("canonical_fighter_id").alias("candidate_canonical"), F.col("full_name").alias("candidate_name"), "clean_key", "dob")
+    rows = keyed.where(F.col("source") == secondary)
+    rejected = overrides.where((F.col("decision") == "rejected") & (F.col("source") == secondary) & (F.col("target_source") == primary))
+    pairs = rows.where("link_method = 'source_self'").select("source_fighter_id", "clean_key", "dob").join(main, ["clean_key", "dob"])
+    pairs = pairs.join(rejected.select("source_fighter_id", F.col("target_source_fighter_id").alias("candidate")), ["source_fighter_id", "candidate"], "left_anti")
+    joined = lambda c, by: F.expr(f"listagg({c}, '{by}') within group (order by {c})")
+    candidates = pairs.groupBy("source_fighter_id").agg(
+        F.count(F.lit(1)).alias("candidate_count"), joined("candidate", ", ").alias("candidate_source_fighter_ids"), joined("candidate_canonical", ", ").alias("candidate_canonical_fighter_ids"),
+        joined("candidate_name", " | ").alias("candidate_full_names"),
+    )
+    approved, alone = F.col("decision") == "approved", F.col("decision") == "accepted_unresolved"
+    first = lambda c: F.coalesce(F.max(F.when(approved, F.col(c))), F.max(F.when(alone, F.col(c))))
+    decided = overrides.groupBy("source_fighter_id").agg(
+        F.bool_or(approved).alias("is_approved"), F.bool_or(alone).alias("is_alone"), F.max(F.when(approved, F.col("target_source_fighter_id"))).alias("approved_target_source_fighter_id"),
+        first("note").alias("manual_note"), first("created_at_utc").alias("manual_created_at_utc"), first("updated_at_utc").alias("manual_updated_at_utc"),
+        F.count_if(F.col("decision") == "rejected").alias("rejected_pair_count"),
+    )
+    out = rows.join(candidates, "source_fighter_id", "left").join(decided, "source_fighter_id", "left")
+    count, method = F.coalesce("candidate_count", F.lit(0)), F.col("link_method")
+    status = F.when(method == "manual_override", "linked_manual").when(method == "manual_unresolved", "accepted_unresolved").when(method == "exact_name_dob", "linked_exact").when(method == "cleaned_name_dob", "linked_cleaned")
+    if strict:
+        status = status.when(method.rlike("^(exact|cleaned)_name_dob_"), "linked_near")
+    decision = F.when(F.col("is_approved"), "approved").when(F.col("is_alone"), "accepted_unresolved").otherwise("none")
+    return out.select(
+        "source", "source_fighter_id", "canonical_fighter_id", "full_name", "dob", "link_method", "confidence", F.col("exact_key").alias("exact_name_key"), F.col("clean_key").alias("cleaned_name_key"),
+        status.when(count > 0, "candidate_review").otherwise("unresolved").alias("review_status"), count.alias("candidate_count"), (count > 0).alias("has_candidate"),
+        "candidate_source_fighter_ids", "candidate_canonical_fighter_ids", "candidate_full_names", decision.alias("decision_status"), "approved_target_source_fighter_id",
+        canonical_id(F.lit(primary), F.col("approved_target_source_fighter_id")).alias("approved_target_canonical_fighter_id"),
+        "manual_note", "manual_created_at_utc", "manual_updated_at_utc", F.coalesce("rejected_pair_count", F.lit(0)).alias("rejected_pair_count"),
+    )

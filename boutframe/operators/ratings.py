@@ -1,19 +1,24 @@
 """Time-decayed Elo ratings. Everything of a date depends only on what was known before it.
 
-The fold is sequential in time along connected bouts, which no built-in operator expresses: it is the one Python kernel of
-the rating path, over a slim projection (two numbers, two ids and two flags a bout). ``group`` shards it by components.
+The fold is sequential in time along connected bouts. Up to ``MOST`` bouts, which is checked, it is one pass over a slim
+projection (an id, a date, two fighters and two flags a bout). Beyond that it runs date by date over a table of ratings keyed
+by fighter: a date's bouts look up their two fighters by joins, and the changed ratings are laid over the older ones, which are
+merged into one table every ``COMPACT`` dates. A column of components, where one is known, folds components apart.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from boutframe.session import ship
+from boutframe.session import materialize, ship
 
 INITIAL, K, HALF_LIFE = 1500.0, 32.0, 730.0
-PRE = "fight_id long, fighter_id long, pre_fight_elo double, time_decayed_elo double, elo_expected_win_prob double, opponent_pre_fight_elo double, post_elo double, event_date date"
+MOST = 2_000_000
+COMPACT = 20
+RATED = ("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo", "post_elo")
 
 
 def expected(own, other):
@@ -30,24 +35,26 @@ def fold(bouts: pd.DataFrame) -> pd.DataFrame:
     Of several bouts of a fighter on one date all start from the rating before it; the later ones are not decayed again,
     and the last decided one sets the rating after it.
     """
-    rating: dict[int, float] = {}
-    seen: dict[int, object] = {}
-    out = []
-    for date, day in bouts.sort_values(["event_date", "fight_id"], kind="stable").groupby("event_date", sort=True):
-        after = {}
-        for b in day.itertuples(index=False):
-            raw = [rating.get(f, INITIAL) for f in (b.blue, b.red)]
-            own = [decayed(r, None if f not in seen else (date - seen[f]).days) for f, r in zip((b.blue, b.red), raw, strict=True)]
-            chance = expected(own[0], own[1])
-            seen[b.blue] = seen[b.red] = date
-            new = [None, None]
-            if b.decided:
-                new = [own[0] + K * (float(b.blue_won) - chance), own[1] + K * (float(not b.blue_won) - (1 - chance))]
-                after[b.blue], after[b.red] = new
-            for s, f in enumerate((b.blue, b.red)):
-                out.append((b.fight_id, f, raw[s], own[s], chance if s == 0 else 1 - chance, own[1 - s], new[s], date))
-        rating.update(after)
-    return pd.DataFrame(out, columns=[c.split()[0] for c in PRE.split(", ")])
+    bouts = bouts.sort_values(["event_date", "fight_id"], kind="stable")
+    rating: dict = {}
+    seen: dict = {}
+    after: dict = {}
+    out, today = [], None
+    for fight, date, blue, red, won, decided in zip(*(bouts[c].tolist() for c in ("fight_id", "event_date", "blue", "red", "blue_won", "decided")), strict=True):
+        if date != today:
+            rating.update(after)
+            after, today = {}, date
+        raw = [rating.get(blue, INITIAL), rating.get(red, INITIAL)]
+        own = [decayed(r, (date - seen[f]).days if f in seen else None) for f, r in zip((blue, red), raw, strict=True)]
+        chance = expected(own[0], own[1])
+        seen[blue] = seen[red] = date
+        new = [None, None]
+        if decided:
+            new = [own[0] + K * (float(won) - chance), own[1] + K * (float(not won) - (1 - chance))]
+            after[blue], after[red] = new
+        out.append((fight, blue, raw[0], own[0], chance, own[1], new[0], date))
+        out.append((fight, red, raw[1], own[1], 1 - chance, own[0], new[1], date))
+    return pd.DataFrame(out, columns=["fight_id", "fighter_id", *RATED, "event_date"])
 
 
 def bout_pairs(rows: DataFrame) -> DataFrame:
@@ -61,16 +68,77 @@ def bout_pairs(rows: DataFrame) -> DataFrame:
     return pairs.where("sides = 2 and blue is not null and red is not null").select("fight_id", "event_date", "blue", "red", F.coalesce("blue_won", F.lit(False)).alias("blue_won"), decided.alias("decided"))
 
 
-def rate(rows: DataFrame, group: str | None = None) -> DataFrame:
-    """Ratings before each bout, a row a side. ``group`` names a column that holds each bout's component, to fold components apart."""
-    ship(rows.sparkSession)
-    pairs = bout_pairs(rows) if group is None else bout_pairs(rows).join(rows.select("fight_id", group).distinct(), "fight_id")
+def _schema(pairs: DataFrame) -> T.StructType:
+    """Ids keep the types that they have in the input."""
+    kinds = {f.name: f.dataType for f in pairs.schema}
+    numbers = [T.StructField(c, T.DoubleType()) for c in RATED]
+    return T.StructType([T.StructField("fight_id", kinds["fight_id"]), T.StructField("fighter_id", kinds["blue"]), *numbers, T.StructField("event_date", T.DateType())])
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        return fold(pdf)
 
-    group = group or "__all"
-    return (pairs if group in pairs.columns else pairs.withColumn(group, F.lit(0))).groupBy(group).applyInPandas(run, PRE)
+def rate(rows: DataFrame, group: str | None = None, most: int = MOST) -> DataFrame:
+    """Ratings before each bout, a row a side. ``group`` names a column that holds each bout's component, to fold components apart."""
+    ship(rows.sparkSession)
+    if group is not None:
+        pairs = bout_pairs(rows).join(rows.select("fight_id", F.col(group).alias("component")).distinct(), "fight_id")
+        return pairs.groupBy("component").applyInPandas(lambda pdf: fold(pdf), _schema(pairs))
+    pairs = materialize(bout_pairs(rows), "bouts")
+    if pairs.count() > most:
+        return rate_by_date(pairs)
+    return pairs.withColumn("component", F.lit(0)).groupBy("component").applyInPandas(lambda pdf: fold(pdf), _schema(pairs))
+
+
+def rate_by_date(pairs: DataFrame) -> DataFrame:
+    """The same rows as :func:`rate` from ``bout_pairs``, by joins with a table of ratings; no task holds more than its share of a date."""
+    columns = ["fight_id", "event_date", "decided"]
+    sides = pairs.select(*columns, F.col("blue").alias("fighter_id"), F.col("red").alias("other"), F.col("blue_won").alias("won"), F.lit(True).alias("first"))
+    sides = sides.unionByName(pairs.select(*columns, F.col("red").alias("fighter_id"), F.col("blue").alias("other"), (~F.col("blue_won")).alias("won"), F.lit(False).alias("first")))
+    day = Window.partitionBy("fighter_id", "event_date")
+    sides = sides.withColumns({"later": F.row_number().over(day.orderBy("fight_id")) > 1, "last": F.col("fight_id") == F.max(F.when(F.col("decided"), F.col("fight_id"))).over(day)})
+    sides = materialize(sides.repartitionByRange("event_date").sortWithinPartitions("event_date"), "sides")  # a date's rows stand together, so a filter by date reads little
+    dates = [r["event_date"] for r in sides.select("event_date").distinct().orderBy("event_date").collect()]  # days: a few ten thousand at most
+    state, recent, done = None, [], []
+
+    def ratings_now():
+        tables = ([state] if state is not None else []) + recent
+        if not tables:
+            return None
+        every = tables[0]
+        for table in tables[1:]:
+            every = every.unionByName(table)
+        return every.groupBy("fighter_id").agg(F.max_by("rating", F.col("at")).alias("rating"), F.max("at").alias("at"))
+
+    for n, date in enumerate(dates):
+        now, today = ratings_now(), sides.where(F.col("event_date") == F.lit(date))
+        for key, rating, at in (("fighter_id", "raw", "seen"), ("other", "other_raw", "other_seen")):
+            if now is None:
+                today = today.withColumns({rating: F.lit(None).cast("double"), at: F.lit(None).cast("date")})
+            else:
+                today = today.join(now.select(F.col("fighter_id").alias(key), F.col("rating").alias(rating), F.col("at").alias(at)), key, "left")
+        late = today.select("fight_id", F.col("fighter_id").alias("other"), F.col("later").alias("other_later"))
+        today = today.join(late, ["fight_id", "other"])
+        fade = lambda r, at, later: F.when(F.col(later) | F.col(at).isNull(), F.coalesce(r, F.lit(INITIAL))).otherwise(INITIAL + (F.col(r) - INITIAL) * F.pow(F.lit(0.5), F.datediff("event_date", at) / HALF_LIFE))
+        today = today.withColumns({"own": fade("raw", "seen", "later"), "opp": fade("other_raw", "other_seen", "other_later")})
+        blue = 1 / (1 + F.pow(F.lit(10.0), F.when(F.col("first"), F.col("opp") - F.col("own")).otherwise(F.col("own") - F.col("opp")) / 400))
+        today = today.withColumn("chance", F.when(F.col("first"), blue).otherwise(1 - blue))
+        new = F.when(F.col("decided"), F.col("own") + K * (F.col("won").cast("double") - F.col("chance")))
+        rated = materialize(today.select(
+            "fight_id", "fighter_id", F.coalesce("raw", F.lit(INITIAL)).alias("pre_fight_elo"), F.col("own").alias("time_decayed_elo"), F.col("chance").alias("elo_expected_win_prob"),
+            F.col("opp").alias("opponent_pre_fight_elo"), new.alias("post_elo"), "event_date", F.coalesce("last", F.lit(False)).alias("last")), "rated")
+        changed = rated.groupBy("fighter_id").agg(F.coalesce(F.max(F.when(F.col("last"), F.col("post_elo"))), F.max("pre_fight_elo")).alias("rating"), F.max("event_date").alias("at"))
+        recent.append(changed)
+        done.append(rated.drop("last"))
+        if len(recent) == COMPACT:
+            state, recent = materialize(ratings_now(), "ratings"), []
+        if len(done) == COMPACT:
+            done = [materialize(_union(done), "rated")]
+    return _union(done) if done else pairs.sparkSession.createDataFrame([], _schema(pairs))
+
+
+def _union(tables: list[DataFrame]) -> DataFrame:
+    whole = tables[0]
+    for table in tables[1:]:
+        whole = whole.unionByName(table)
+    return whole
 
 
 def final_ratings(rated: DataFrame) -> DataFrame:
@@ -85,5 +153,3 @@ def snapshot(rated: DataFrame, as_of) -> DataFrame:
     state = final_ratings(rated.where(F.col("event_date") < when))
     left = F.pow(F.lit(0.5), F.greatest(F.datediff(when, "last_date"), F.lit(0)) / HALF_LIFE)
     return state.withColumn("decayed_rating", INITIAL + (F.col("rating") - INITIAL) * left)
-
-

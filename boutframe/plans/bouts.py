@@ -34,6 +34,9 @@ def bout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_quantity") > other("l_quantity"), "W").when(F.col("l_quantity") < other("l_quantity"), "L").otherwise("D").alias("outcome"),
         method.alias("method"), ((F.col("l_linenumber1") - 1) * 300 + F.col("l_quantity1") * 5).alias("fight_sec"),
         F.col("landed").alias("sig_str_landed"), other("landed").alias("sig_str_absorbed"), F.col("l_linenumber").cast("double").alias("td_landed"),
+        (F.col("l_linenumber") + F.col("l_partkey") % 3).cast("double").alias("td_attempted"), F.when(F.col("l_partkey") % 7 > 0, (F.col("l_partkey") % 4).cast("double")).alias("sub_att"),
+        F.when(F.col("l_partkey") % 5 > 0, (F.col("l_partkey") % 300).cast("double")).alias("ctrl_sec"), F.date_add(F.lit("1950-01-01").cast("date"), (F.col("l_suppkey") % 9000).cast("int")).alias("dob"),
+        (F.lit(60) + F.col("l_suppkey") % 20).cast("int").alias("height_in"), F.when(F.col("l_suppkey") % 6 > 0, (F.lit(62) + F.col("l_suppkey") % 18).cast("int")).alias("reach_in"),
     )
 
 
@@ -45,7 +48,9 @@ b AS (SELECT x.l_orderkey AS fight_id, o.o_orderdate::DATE AS event_date, o.o_or
     CASE WHEN x.rn = 1 THEN 'blue' ELSE 'red' END AS corner, x.l_suppkey AS fighter_id, y.l_suppkey AS opponent_id, x.l_quantity > y.l_quantity AS winner_flag,
     CASE WHEN x.l_quantity > y.l_quantity THEN 'W' WHEN x.l_quantity < y.l_quantity THEN 'L' ELSE 'D' END AS outcome,
     CASE f.l_returnflag WHEN 'A' THEN 'KO/TKO' WHEN 'N' THEN 'Submission' ELSE 'Decision' END AS method,
-    (f.l_linenumber - 1) * 300 + f.l_quantity * 5 AS fight_sec, x.landed AS sig_str_landed, y.landed AS sig_str_absorbed, x.l_linenumber::DOUBLE AS td_landed
+    (f.l_linenumber - 1) * 300 + f.l_quantity * 5 AS fight_sec, x.landed AS sig_str_landed, y.landed AS sig_str_absorbed, x.l_linenumber::DOUBLE AS td_landed,
+    (x.l_linenumber + x.l_partkey % 3)::DOUBLE AS td_attempted, CASE WHEN x.l_partkey % 7 > 0 THEN (x.l_partkey % 4)::DOUBLE END AS sub_att, CASE WHEN x.l_partkey % 5 > 0 THEN (x.l_partkey % 300)::DOUBLE END AS ctrl_sec,
+    DATE '1950-01-01' + (x.l_suppkey % 9000)::INT AS dob, (60 + x.l_suppkey % 20)::INT AS height_in, CASE WHEN x.l_suppkey % 6 > 0 THEN (62 + x.l_suppkey % 18)::INT END AS reach_in
     FROM l x JOIN l y ON x.l_orderkey = y.l_orderkey AND x.rn <> y.rn JOIN l f ON f.l_orderkey = x.l_orderkey AND f.rn = 1 JOIN orders o ON o.o_orderkey = x.l_orderkey
     WHERE x.n = 2 AND x.low <> x.high)"""
 #: The frame of all rows of the same fighter on strictly earlier dates.

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from boutframe.functions import text as X
-from boutframe.operators import audit, dataset, evaluate, history, identity, ratings, service, staging
+from boutframe.operators import audit, dataset, evaluate, history, identity, models, ratings, service, staging
 from boutframe.plans.bouts import BOUTS, EARLIER, bout_rows, table
 from boutframe.schemas import columns, conform
+from boutframe.session import materialize
 from boutframe.sources import html
 from boutframe.sources.store import matches, upserted
 
@@ -166,6 +167,59 @@ def pit_opponent_quality(spark, sf_dir):
     return history.opponent_quality(rated).select(*KEYS, *[_r(n) for n in names])
 
 
+_BY_RANK = {"recent_3_opponent_pre_fight_elo": ("opponent_pre_fight_elo", 3, "true"), "recent_3_win_rate": ("winner_flag::INT", 3, "outcome IN ('W', 'L')"), "recent_5_win_rate": ("winner_flag::INT", 5, "outcome IN ('W', 'L')")}
+_FULL = f"""{_PRE}, e AS (SELECT b.*, a.r AS pre_fight_elo, a.dr AS time_decayed_elo, 1 / (1 + pow(10, (c.dr - a.dr) / 400)) AS elo_expected_win_prob, c.dr AS opponent_pre_fight_elo
+        FROM b JOIN q a ON a.fight_id = b.fight_id AND a.f = b.fighter_id JOIN q c ON c.fight_id = b.fight_id AND c.f = b.opponent_id),
+    y AS (SELECT e.fight_id, e.fighter_id, h.winner_flag, h.outcome, h.opponent_pre_fight_elo, row_number() OVER (PARTITION BY e.fight_id, e.fighter_id ORDER BY h.event_date DESC, h.fight_id DESC) AS k
+        FROM e LEFT JOIN e h ON h.fighter_id = e.fighter_id AND h.event_date < e.event_date),
+    z AS (SELECT fight_id, fighter_id, {', '.join(f'avg({v}) FILTER (k <= {n} AND {test}) AS {name}' for name, (v, n, test) in _BY_RANK.items())} FROM y GROUP BY ALL),
+    pf AS (SELECT e.*, count(*) OVER w AS prior_fights, coalesce(sum(winner_flag::INT) OVER w, 0)::BIGINT AS prior_wins, count(*) FILTER (outcome = 'L') OVER w AS prior_losses, count(*) FILTER (outcome = 'D') OVER w AS prior_draws,
+        count(*) FILTER (outcome = 'NC') OVER w AS prior_nc, date_diff('day', max(event_date) OVER w, event_date) AS days_since_last_fight, round(date_diff('day', dob, event_date) / 365.25::DOUBLE, 3) AS age_years,
+        count(*) FILTER (winner_flag AND method LIKE '%KO%') OVER w AS wins_by_ko_tko, count(*) FILTER (winner_flag AND upper(method) LIKE '%SUB%') OVER w AS wins_by_sub, count(*) FILTER (winner_flag AND upper(method) LIKE '%DEC%') OVER w AS wins_by_dec,
+        {', '.join(f'avg({c}) OVER w AS {n}' for n, c in history.AVERAGES.items())},
+        {', '.join(f'CASE WHEN sum(fight_sec) OVER w > 0 THEN sum({c}) OVER w / (sum(fight_sec) OVER w / 60) * {by} END AS {n}' for n, (c, by) in history.RATES.items())},
+        1 / sqrt(count(*) OVER w + 1) AS elo_uncertainty,
+        greatest(70.0::DOUBLE, least(350.0::DOUBLE, 350 / sqrt(count(*) OVER w + 1) + least(coalesce(date_diff('day', max(event_date) OVER w, event_date), 0) / 365.25::DOUBLE, 3) * 20)) AS glicko_like_rd,
+        avg(opponent_pre_fight_elo) OVER w AS avg_opponent_pre_fight_elo, max(opponent_pre_fight_elo) FILTER (winner_flag) OVER w AS best_win_opponent_pre_fight_elo, min(opponent_pre_fight_elo) FILTER (outcome = 'L') OVER w AS worst_loss_opponent_pre_fight_elo,
+        {', '.join(_BY_RANK)} FROM e JOIN z USING (fight_id, fighter_id) WINDOW w AS {EARLIER})"""
+
+
+def _full(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    return history.features(rows, ratings.rate(rows))
+
+
+@_query(f"{_FULL} SELECT fight_id, fighter_id, event_date, {', '.join(f'round({f}::DOUBLE, 6) AS {f}' for f in history.FEATURES)} FROM pf")
+def pit_features_full(spark, sf_dir):
+    return _full(spark, sf_dir).select(*KEYS, "event_date", *[_r(f) for f in history.FEATURES])
+
+
+@_query(f"""{_FULL} SELECT r.fight_id, r.event_date, r.fighter_id AS red_fighter_id, u.fighter_id AS blue_fighter_id, {', '.join(f'round((r.{f} - u.{f})::DOUBLE, 6) AS delta_{f}' for f in history.FEATURES)}
+    FROM pf r JOIN pf u ON r.fight_id = u.fight_id AND r.corner = 'red' AND u.corner = 'blue'""")
+def matchup_features_full(spark, sf_dir):
+    wide = history.matchups(_full(spark, sf_dir), history.FEATURES)
+    return wide.select("fight_id", "event_date", "red_fighter_id", "blue_fighter_id", *[_r(d) for d in models.DELTAS])
+
+
+_CARD_FEATURES = ["delta_time_decayed_elo", "delta_prior_fights", "delta_reach_in"]
+
+
+@_query(f"""{_ELO}, fr AS (SELECT f, 1500 + (arg_max(r, k) - 1500) * pow(0.5, date_diff('day', arg_max(ld, k), DATE '2030-01-01') / 730.0) AS dr FROM st WHERE k > 0 GROUP BY f),
+    n AS (SELECT fighter_id, any_value(reach_in) AS reach FROM b GROUP BY 1), c AS (SELECT b.fight_id AS bout, b.fighter_id AS a, b.opponent_id AS o, x.dr - y.dr AS d, n1.reach - n2.reach AS reach
+        FROM b JOIN fr x ON x.f = b.fighter_id JOIN fr y ON y.f = b.opponent_id JOIN n n1 ON n1.fighter_id = b.fighter_id JOIN n n2 ON n2.fighter_id = b.opponent_id WHERE corner = 'red')
+    SELECT bout, DATE '2030-01-01' AS event_date, a::VARCHAR AS fighter_a_id, o::VARCHAR AS fighter_b_id, round(1 / (1 + pow(10, -d / 400)), 6) AS fighter_a_win_probability, round(1 - 1 / (1 + pow(10, -d / 400)), 6) AS fighter_b_win_probability,
+        'rating_only' AS model_version, CASE WHEN reach IS NULL THEN 2 ELSE 3 END AS present_count, CASE WHEN reach IS NULL THEN 'delta_reach_in' ELSE '' END AS missing FROM c""")
+def predict_card(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("fighter_id"), F.col("s_name").alias("full_name"), F.lit("ufcstats").alias("source"))
+    bio = rows.select(F.col("fighter_id").cast("string").alias("fighter_id"), "dob", "height_in", "reach_in").distinct()
+    card = rows.where("corner = 'red'").join(people.withColumn("fighter_id", F.col("fighter_id").cast("long")), "fighter_id")  # one side by its name, the other by its id
+    card = card.select(F.col("fight_id").alias("bout"), F.upper("full_name").alias("fighter_a"), F.col("opponent_id").cast("string").alias("fighter_b"), F.lit("2030-01-01").cast("date").alias("event_date"))
+    model = models.expression_model("rating_only", _CARD_FEATURES, 1 / (1 + F.pow(F.lit(10.0), -F.col("delta_time_decayed_elo") / 400)))
+    scored = models.predict_card(card, people.join(bio, "fighter_id"), rows, ratings.rate(rows), model, "ufcstats")
+    return scored.select("bout", "event_date", "fighter_a_id", "fighter_b_id", _r("fighter_a_win_probability"), _r("fighter_b_win_probability"), "model_version", "present_count", F.array_join("missing_features", ",").alias("missing"))
+
+
 # matchups and training sets
 
 _DELTAS = ["delta_prior_fights", "delta_prior_wins"]
@@ -191,11 +245,11 @@ def matchup_deltas(spark, sf_dir):
     return _wide(history.prior_record(bout_rows(spark, sf_dir))).select("fight_id", "red_fighter_id", "blue_fighter_id", *_DELTAS)
 
 
-@_query(f"""{BOUTS}, f AS (SELECT fight_id, fighter_id, opponent_id FROM b WHERE corner = 'red' AND event_date >= DATE '1998-01-01')
+@_query(f"""{BOUTS}, f AS (SELECT fight_id, fighter_id, opponent_id FROM b WHERE corner = 'red')
     SELECT f.fight_id, (SELECT count(*) FROM b WHERE b.fighter_id = f.fighter_id) - (SELECT count(*) FROM b WHERE b.fighter_id = f.opponent_id) AS delta_prior_fights FROM f""")
 def future_matchup(spark, sf_dir):
     rows = bout_rows(spark, sf_dir)
-    future = rows.where("corner = 'red' and event_date >= '1998-01-01'").select("fight_id", F.lit("2030-01-01").cast("date").alias("event_date"), F.col("fighter_id").alias("red_id"), F.col("opponent_id").alias("blue_id"))
+    future = rows.where("corner = 'red'").select("fight_id", F.lit("2030-01-01").cast("date").alias("event_date"), F.col("fighter_id").alias("red_id"), F.col("opponent_id").alias("blue_id"))
     both = history.prior_record(history.with_future(rows, future)).where("is_future")
     return history.matchups(both, ["prior_fights"]).select("fight_id", "delta_prior_fights")
 
@@ -236,9 +290,36 @@ def walk_forward_folds(spark, sf_dir):
 # audits
 
 
-@_query("SELECT 0::BIGINT AS leaks")
+_RECOUNT = f"""{BOUTS}, x AS (SELECT fight_id, fighter_id, opponent_id, event_date, source, promotion, count(*) OVER w AS prior_fights FROM b WINDOW w AS {EARLIER}),
+    e AS (SELECT x.fight_id, x.fighter_id, count(*) FILTER (y.event_date < x.event_date) AS expected, count(*) FILTER (y.event_date = x.event_date AND y.fight_id <> x.fight_id) AS same_day FROM x JOIN b y ON y.fighter_id = x.fighter_id GROUP BY ALL)"""
+
+
+def _spoilt(rows):
+    """Priors that are one too high in every tenth bout."""
+    return rows.withColumn("prior_fights", F.col("prior_fights") + (F.col("fight_id") % 10 == 0).cast("long"))
+
+
+@_query(f"""{_RECOUNT} SELECT count(*) FILTER (prior_fights <> expected) AS leaks, count(*) FILTER (prior_fights + (fight_id % 10 = 0)::INT <> expected) AS planted FROM x JOIN e USING (fight_id, fighter_id)""")
 def leakage_recount(spark, sf_dir):
-    return audit.leakage(history.prior_record(bout_rows(spark, sf_dir)))
+    """Of the features as they are, and of ones with planted errors."""
+    counted = audit.recounted(history.prior_record(bout_rows(spark, sf_dir)))
+    wrong = lambda extra: F.count_if(F.col("prior_fights") + extra != F.col("expected_prior_fights"))
+    return counted.agg(wrong(F.lit(0)).alias("leaks"), wrong((F.col("fight_id") % 10 == 0).cast("int")).alias("planted"))
+
+
+@_query(f"""{_RECOUNT} SELECT fight_id, event_date, fighter_id, opponent_id, source, promotion, prior_fights + (fight_id % 10 = 0)::INT AS prior_fights, expected AS expected_prior_fights, same_day AS same_day_history_count,
+    prior_fights + (fight_id % 10 = 0)::INT <> expected AS has_anomaly FROM x JOIN e USING (fight_id, fighter_id)""")
+def view_pit_audit(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    return audit.pit_view(_spoilt(history.prior_record(rows)), rows)
+
+
+@_query(f"""{_RECOUNT}, v AS (SELECT count(*) FILTER (bad) AS leaks, count(*) FILTER (bad AND same_day > 0) AS same_day FROM (SELECT prior_fights + (fight_id % 10 = 0)::INT <> expected AS bad, same_day FROM x JOIN e USING (fight_id, fighter_id)))
+    SELECT CASE WHEN v = 0 THEN 'pass' ELSE 'fail' END AS status, t AS table_name, n AS check_name, v::DOUBLE AS metric_value, '0' AS threshold, '' AS details FROM (SELECT 'pit_fighter_features' AS t, 'pit_rows_match_participants' AS n, 0 AS v
+    UNION ALL SELECT 'pit_fighter_features', 'pit_prior_fights_no_leakage', leaks FROM v UNION ALL SELECT 'pit_fighter_features', 'pit_same_day_history_excluded', same_day FROM v UNION ALL SELECT 'pit_matchup_features', 'pit_matchup_unique_fight_id', 0)""")
+def audit_pit(spark, sf_dir):
+    rows = bout_rows(spark, sf_dir)
+    return audit.standard(audit.pit(_spoilt(history.prior_record(rows)), rows, rows.select("fight_id").distinct()))
 
 
 @_query(f"{BOUTS} SELECT count(*) AS same_day FROM (SELECT fighter_id, event_date FROM b GROUP BY ALL HAVING count(*) > 1)")
@@ -382,9 +463,107 @@ def identity_review_candidates(spark, sf_dir):
     return identity.review_candidates(rows, identity.link(rows))
 
 
-@_query("""SELECT text, arg_min(lang, doc_id) AS lang, arg_min(source, doc_id) AS source, min(doc_id) AS first_id FROM documents GROUP BY text""")
+@_query(f"""{_FIGHTERS}, s AS (SELECT v.id, u.id AS target FROM v JOIN u ON u.key = v.key AND u.dob = v.dob AND u.kd = 1),
+    f AS (SELECT 'ufcstats:' || id AS c, 0 AS rank, id, NULL::VARCHAR AS stance, CASE WHEN id::INT % 3 > 0 THEN dob END AS dob, key AS full_name FROM p
+        UNION ALL SELECT CASE WHEN target IS NULL THEN 'sherdog:' || q.id ELSE 'ufcstats:' || target END, 1, q.id, CASE WHEN q.id::INT % 4 > 0 THEN 'stance ' || q.id END, dob, key FROM q LEFT JOIN s ON s.id = q.id)
+    SELECT c AS canonical_fighter_id, arg_min(full_name, (rank, id)) AS full_name, arg_min(stance, (rank, id)) FILTER (stance IS NOT NULL) AS stance, arg_min(dob, (rank, id)) FILTER (dob IS NOT NULL) AS dob FROM f GROUP BY c""")
 def canonical_first_non_null(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("text").agg(F.min_by("lang", "doc_id").alias("lang"), F.min_by("source", "doc_id").alias("source"), F.min("doc_id").alias("first_id"))
+    rows = _fighters(spark, sf_dir)
+    links = identity.link(rows)
+    number, main = F.col("source_fighter_id").cast("int"), F.col("source") == "ufcstats"
+    rows = rows.select(
+        "source", "source_fighter_id", F.lower(F.regexp_replace("full_name", ' "Nick"| Record: 1-0-0', "")).alias("full_name"),
+        F.when(~main & (number % 4 > 0), F.concat(F.lit("stance "), "source_fighter_id")).alias("stance"), F.when(~main | (number % 3 > 0), F.col("dob")).alias("dob"),
+    )
+    return identity.canonical_fighters(rows, links)
+
+
+#: Fighters of the primary source have names of their own; each has a namesake in the secondary source, half of them with a
+#: nickname, and a birth date that is equal, near, swapped, close, in conflict or missing. Some have a decision.
+_RUNGS = """WITH a AS (SELECT c_custkey AS k, make_date(1980, 3, 1) + (c_custkey % 11)::INT AS dob FROM customer),
+    g AS (SELECT c_custkey AS id, c_custkey AS k, c_custkey // 3 % 2 = 1 AS nick, c_custkey % 6 AS how, c_custkey % 50 AS dec FROM customer),
+    h AS (SELECT g.*, a.dob AS d0, CASE how WHEN 0 THEN a.dob WHEN 1 THEN a.dob + 4 WHEN 2 THEN make_date(1980, day(a.dob), month(a.dob)) WHEN 3 THEN a.dob + 20 WHEN 4 THEN a.dob + 400 END AS dob FROM g JOIN a USING (k)),
+    t AS (SELECT *, CASE WHEN dob IS NULL THEN 'missing' WHEN dob = d0 THEN 'exact' WHEN year(dob) <> year(d0) THEN 'conflict' WHEN abs(date_diff('day', dob, d0)) <= 7 THEN 'near'
+        WHEN month(dob) = day(d0) AND day(dob) = month(d0) THEN 'month_day_swap' WHEN abs(date_diff('day', dob, d0)) <= 31 THEN 'same_year_close' ELSE 'conflict' END AS st FROM h),
+    r AS (SELECT *, CASE WHEN dec = 10 THEN 'manual_override' WHEN dec = 20 THEN 'manual_unresolved' WHEN dec IN (30, 31, 32, 33) THEN 'source_self' WHEN st = 'exact' THEN CASE WHEN nick THEN 'cleaned' ELSE 'exact' END || '_name_dob'
+        WHEN st IN ('near', 'month_day_swap', 'same_year_close') THEN CASE WHEN nick THEN 'cleaned' ELSE 'exact' END || '_name_dob_' || st ELSE 'source_self' END AS link_method FROM t)"""
+
+
+def _rungs(spark, sf_dir):
+    """Fighters of both sources and decisions by hand."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_custkey").alias("k"))
+    given, how, number = F.date_add(F.lit("1980-03-01").cast("date"), (F.col("k") % 11).cast("int")), F.col("c_custkey") % 6, F.col("k").cast("string")
+    main = rows.select(F.lit("ufcstats").alias("source"), number.alias("source_fighter_id"), F.concat(F.lit("Person "), number).alias("full_name"), given.alias("dob"))
+    dob = F.when(how == 0, given).when(how == 1, F.date_add(given, 4)).when(how == 2, F.make_date(F.lit(1980), F.dayofmonth(given), F.month(given))).when(how == 3, F.date_add(given, 20)).when(how == 4, F.date_add(given, 400))
+    nick = F.floor(F.col("c_custkey") / 3) % 2 == 1
+    second = rows.select(F.lit("sherdog").alias("source"), number.alias("source_fighter_id"), F.concat(F.lit("Person "), F.when(nick, F.lit('"The Name" ')).otherwise(F.lit("")), number).alias("full_name"), dob.alias("dob"))
+    part = F.col("c_custkey") % 50
+    decision = F.when(part == 10, "approved").when(part == 20, "accepted_unresolved").when(part.isin(30, 31, 32, 33), "rejected")
+    target = F.when(part == 10, F.lit("1")).when(part != 20, F.col("k").cast("string"))
+    decided = rows.where(decision.isNotNull()).select(
+        F.lit("sherdog").alias("source"), F.col("c_custkey").cast("string").alias("source_fighter_id"), F.lit("ufcstats").alias("target_source"), target.alias("target_source_fighter_id"), decision.alias("decision"),
+        F.concat(F.lit("note "), F.col("c_custkey").cast("string")).alias("note"), F.lit("t0").alias("created_at_utc"), F.lit("t1").alias("updated_at_utc"),
+    )
+    return main.unionByName(second), decided
+
+
+@_query(f"""{_RUNGS} SELECT id::VARCHAR AS source_fighter_id, CASE WHEN link_method IN ('source_self', 'manual_unresolved') THEN 'sherdog:' || id WHEN dec = 10 THEN 'ufcstats:1' ELSE 'ufcstats:' || k END AS canonical_fighter_id, link_method,
+    CASE WHEN link_method IN ('source_self', 'manual_override', 'manual_unresolved', 'exact_name_dob') THEN 1.0 WHEN link_method = 'cleaned_name_dob' THEN 0.95 WHEN nick THEN 0.9 ELSE 0.92 END::DOUBLE AS confidence FROM r""")
+def identity_rungs(spark, sf_dir):
+    """Every rung of the chain, and rejections that keep a fighter on its own."""
+    rows, decided = _rungs(spark, sf_dir)
+    overrides = identity.normalize_overrides(decided)
+    return identity.link(rows, overrides).where("source = 'sherdog'").drop("source")
+
+
+_REVIEW = f"""{_RUNGS}, c AS (SELECT id, 1 AS n FROM r WHERE link_method = 'source_self' AND st = 'exact' AND dec NOT IN (30, 31, 32, 33)),
+    w AS (SELECT r.*, coalesce(c.n, 0)::BIGINT AS n FROM r LEFT JOIN c USING (id)),
+    z AS (SELECT *, CASE link_method WHEN 'manual_override' THEN 'linked_manual' WHEN 'manual_unresolved' THEN 'accepted_unresolved' WHEN 'exact_name_dob' THEN 'linked_exact' WHEN 'cleaned_name_dob' THEN 'linked_cleaned'
+        ELSE CASE WHEN n > 0 THEN 'candidate_review' ELSE 'unresolved' END END AS review_status FROM w)"""
+
+
+@_query(f"""{_REVIEW} SELECT id::VARCHAR AS source_fighter_id, link_method, review_status, n AS candidate_count, n > 0 AS has_candidate, CASE WHEN n > 0 THEN k::VARCHAR END AS candidate_source_fighter_ids,
+    CASE WHEN dec = 10 THEN 'approved' WHEN dec = 20 THEN 'accepted_unresolved' ELSE 'none' END AS decision_status, CASE WHEN dec = 10 THEN 'ufcstats:1' END AS approved_target_canonical_fighter_id,
+    CASE WHEN dec IN (10, 20) THEN 'note ' || id END AS manual_note, (dec IN (30, 31, 32, 33))::BIGINT AS rejected_pair_count FROM z""")
+def view_identity_review(spark, sf_dir):
+    rows, decided = _rungs(spark, sf_dir)
+    view = identity.review(rows, identity.link(rows, identity.normalize_overrides(decided)), decided)
+    return view.select("source_fighter_id", "link_method", "review_status", "candidate_count", "has_candidate", "candidate_source_fighter_ids", "decision_status", "approved_target_canonical_fighter_id", "manual_note", "rejected_pair_count")
+
+
+def _links(spark, sf_dir):
+    rows, decided = _rungs(spark, sf_dir)
+    links = identity.link(rows, identity.normalize_overrides(decided))
+    notes = decided.where("decision <> 'rejected'").select("source", "source_fighter_id", F.col("note").alias("override_note"))
+    return rows, decided, links, rows.join(links, ["source", "source_fighter_id"]).join(notes, ["source", "source_fighter_id"], "left")
+
+
+@_query(f"""{_RUNGS} SELECT 'ufcstats' AS source, 'source_self' AS link_method, count(*) AS fighters, count(*) AS with_dob, 0::BIGINT AS missing_dob, min('Person ' || k) AS sample_name, 0::BIGINT AS with_override_note FROM a
+    UNION ALL SELECT 'sherdog', link_method, count(*), count(dob), count(*) - count(dob), min('Person ' || CASE WHEN nick THEN '"The Name" ' ELSE '' END || k), count(*) FILTER (dec IN (10, 20)) FROM r GROUP BY link_method""")
+def audit_identity(spark, sf_dir):
+    return audit.identity(_links(spark, sf_dir)[3])
+
+
+@_query(f"""{_REVIEW} SELECT 'row_counts' AS section, 'fighters' AS metric_name, ((SELECT count(*) FROM a) + (SELECT count(*) FROM r))::VARCHAR AS metric_value, '' AS details UNION ALL SELECT 'row_counts', 'orders', count(*)::VARCHAR, '' FROM orders
+    UNION ALL SELECT 'source_coverage', o_orderstatus || '_events', count(*)::VARCHAR, min(o_orderdate::DATE) || ' to ' || max(o_orderdate::DATE) FROM orders GROUP BY o_orderstatus
+    UNION ALL SELECT 'source_promotion', o_orderstatus || '::' || o_orderpriority, count(*)::VARCHAR, 'event count' FROM orders GROUP BY o_orderstatus, o_orderpriority
+    UNION ALL SELECT 'identity_links', 'sherdog::' || link_method, count(*)::VARCHAR, 'fighters by link method' FROM r GROUP BY link_method UNION ALL SELECT 'identity_links', 'ufcstats::source_self', count(*)::VARCHAR, 'fighters by link method' FROM a
+    UNION ALL SELECT 'manual_overrides', CASE WHEN dec = 10 THEN 'approved' WHEN dec = 20 THEN 'accepted_unresolved' ELSE 'rejected' END AS d, count(*)::VARCHAR, 'manual identity overrides by decision' FROM r WHERE dec IN (10, 20, 30, 31, 32, 33) GROUP BY d
+    UNION ALL SELECT 'identity_review', review_status, count(*)::VARCHAR, 'fighters by review status' FROM z GROUP BY review_status""")
+def audit_summary(spark, sf_dir):
+    rows, decided, links, joined = _links(spark, sf_dir)
+    events = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("source"), F.col("o_orderpriority").alias("promotion"), F.col("o_orderdate").cast("date").alias("event_date"))
+    return audit.summary({"fighters": rows, "orders": events}, events, joined, decided, identity.review(rows, links, decided))
+
+
+@_query(f"""{_REVIEW} SELECT CASE WHEN v > 0 THEN 'warn' ELSE 'pass' END AS status, 'fighter_identity_links' AS table_name, 'unresolved_identities' AS check_name, v::DOUBLE AS metric_value, '0' AS threshold, '' AS details
+    FROM (SELECT count(*) FROM z WHERE review_status IN ('candidate_review', 'unresolved')) AS x(v) UNION ALL SELECT 'pass', 'fighter_identity_manual_overrides', 'single_approved_target', 0, '0', ''
+    UNION ALL SELECT CASE WHEN c = 0 THEN 'pass' ELSE 'fail' END, 'source_fighters', n, c, '0', '' FROM (SELECT 'required_full_name' AS n, 0 AS c UNION ALL SELECT 'required_dob', count(*) FROM r WHERE dob IS NULL)
+    UNION ALL SELECT 'pass', 'source_fighters', 'schema', 0, '0', ''""")
+def audit_identity_checks(spark, sf_dir):
+    rows, decided, links, _ = _links(spark, sf_dir)
+    wanted = columns("source string, source_fighter_id string, full_name string, dob date")
+    return audit.standard(audit.union_all([audit.identity_checks(identity.review(rows, links, decided), decided), audit.not_null_checks(rows, "source_fighters", ["full_name", "dob"]), audit.schema_check(rows, "source_fighters", wanted)]))
 
 
 @_query("SELECT doc_id, lang, source FROM documents QUALIFY row_number() OVER (PARTITION BY text ORDER BY doc_id) = 1")
@@ -426,10 +605,10 @@ def name_search_ilike(spark, sf_dir):
     return service.search(people, "00012")
 
 
-@_query("SELECT c_name AS query, min(c_custkey)::VARCHAR AS fighter_id, count(DISTINCT c_custkey) AS matches FROM customer WHERE c_custkey <= 100 GROUP BY c_name")
+@_query("SELECT c_name AS query, min(c_custkey)::VARCHAR AS fighter_id, count(DISTINCT c_custkey) AS matches FROM customer GROUP BY c_name")
 def resolve_name(spark, sf_dir):
     people = table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("fighter_id"), F.upper("c_name").alias("full_name"), F.lit("ufcstats").alias("source"))
-    wanted = table(spark, sf_dir, "customer").where("c_custkey <= 100").select(F.col("c_name").alias("query"))
+    wanted = table(spark, sf_dir, "customer").select(F.col("c_name").alias("query"))
     return service.resolve(wanted, people, "ufcstats")
 
 
@@ -472,7 +651,7 @@ def _metric_sql(keys: str) -> str:
     group = f"GROUP BY {keys}" if keys else ""
     return f"""WITH s AS {_SCORED}, r AS (SELECT *, rank() OVER ({part} ORDER BY p) + (count(*) OVER (PARTITION BY {by} p) - 1) / 2.0::DOUBLE AS k FROM s)
     SELECT {by} count(*) AS "rows", round(avg(((p >= 0.5)::INT = y)::INT), 6) AS accuracy, round(avg(-(y * ln(p) + (1 - y) * ln(1 - p))), 6) AS log_loss, round(avg((p - y) * (p - y)), 6) AS brier,
-    round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) AS auc FROM r {group}"""
+    CASE WHEN min(y) < max(y) THEN round((sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)), 6) END AS auc FROM r {group}"""
 
 
 @_query(_metric_sql(""))
@@ -504,13 +683,19 @@ def ece(spark, sf_dir):
     return evaluate.ece(_scored(spark, sf_dir)).select(_r("ece"))
 
 
-@_query()
+@_query(f"""WITH RECURSIVE s AS {_SCORED}, it(k, a, b) AS (SELECT 0, 1.0::DOUBLE, 0.0::DOUBLE UNION ALL
+        SELECT k + 1, a + (hbb * ga - hab * gb) / (haa * hbb - hab * hab), b + (haa * gb - hab * ga) / (haa * hbb - hab * hab) FROM (SELECT k, a, b, sum((y - q) * p) AS ga, sum(y - q) AS gb,
+            sum(q * (1 - q) * p * p) + 1e-9 AS haa, sum(q * (1 - q) * p) AS hab, sum(q * (1 - q)) + 1e-9 AS hbb FROM (SELECT k, a, b, y, p, 1 / (1 + exp(-(p * a + b))) AS q FROM it, s WHERE k < 25) GROUP BY k, a, b))
+    SELECT y, p, round(1 / (1 + exp(-(p * a + b))), 6) AS calibrated FROM s, it WHERE k = 25""")
 def platt(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     return evaluate.apply_platt(scored, evaluate.platt(scored)).select("y", "p", _r("calibrated"))
 
 
-@_query()
+@_query(f"""WITH s AS {_SCORED}, g AS (SELECT p, row_number() OVER (ORDER BY p) AS i, sum(n) OVER (ORDER BY p) AS n, sum(t) OVER (ORDER BY p) AS t FROM (SELECT p, count(*) AS n, sum(y) AS t FROM s GROUP BY p)),
+    m AS (SELECT a.i AS a, b.i AS b, (b.t - coalesce(z.t, 0))::DOUBLE / (b.n - coalesce(z.n, 0)) AS v FROM g a JOIN g b ON a.i <= b.i LEFT JOIN g z ON z.i = a.i - 1),
+    l AS (SELECT a, b, min(v) OVER (PARTITION BY a ORDER BY b DESC) AS v FROM m), f AS (SELECT b AS i, max(v) AS v FROM l GROUP BY b)
+    SELECT y, p, round(v, 6) AS calibrated FROM s JOIN g USING (p) JOIN f USING (i)""")
 def isotonic(spark, sf_dir):
     scored = _scored(spark, sf_dir)
     return evaluate.apply_isotonic(scored, evaluate.isotonic(scored)).select("y", "p", _r("calibrated"))
@@ -518,9 +703,37 @@ def isotonic(spark, sf_dir):
 
 @_query()
 def boosted_trees(spark, sf_dir):
-    rows = dataset.temporal_split(oriented_dataset(spark, sf_dir))
-    model = evaluate.boosted_trees(rows.where("split = 'train'"), _DELTAS, trees=5)
-    return model.transform(evaluate.ready(rows.where("split = 'test'"), _DELTAS)).select("fight_id", "prediction")
+    """Trees over all delta features, trained on the first part of the dates; p of the bouts of the last part."""
+    rows = dataset.temporal_split(_training_rows(spark, sf_dir))
+    model = models.tree_model("boosted_trees", rows.where("split = 'train'"), models.DELTAS)
+    return models.predict(rows.where("split = 'test'"), model).select("fight_id", "fighter_a_win_probability", "fighter_b_win_probability", "present_count")
+
+
+def _training_rows(spark, sf_dir):
+    """Oriented rows with all delta features and the source, kept because models read them again and again."""
+    wide = _full(spark, sf_dir)
+    side = lambda s, c: F.max(F.when(F.col("corner") == s, F.col(c))).alias(f"{s}_{c}")
+    results = wide.groupBy("fight_id").agg(*[side(s, c) for s in ("red", "blue") for c in ("winner_flag", "outcome")])
+    rows = dataset.oriented(history.matchups(wide, history.FEATURES).join(results, "fight_id"), models.DELTAS)
+    return materialize(rows.join(wide.where("corner = 'red'").select("fight_id", "source"), "fight_id"), "training")
+
+
+@_query(f"""{_MATCH}, s AS (SELECT t.target::INT AS y, 1 / (1 + exp(-0.1 * delta_prior_wins)) AS p, b.source FROM t JOIN b USING (fight_id) WHERE b.corner = 'red'),
+    k AS (SELECT *, rank() OVER (PARTITION BY source ORDER BY p) + (count(*) OVER (PARTITION BY source, p) - 1) / 2.0::DOUBLE AS k FROM s),
+    u AS (SELECT source, avg(((p >= 0.5)::INT = y)::INT) AS accuracy, CASE WHEN min(y) < max(y) THEN (sum(k) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * sum(1 - y)) END AS auc FROM k GROUP BY source),
+    gap AS (SELECT round(max(auc) - min(auc), 6) AS v, CASE WHEN count(auc) >= 2 AND max(auc) - min(auc) <= 0.05 AND max(accuracy) - min(accuracy) <= 0.05 THEN 'pass' ELSE 'warn' END AS st FROM u),
+    o AS (SELECT max(o) + 1 AS n FROM dt), fo AS (SELECT least(8, ceil((n - greatest(1, floor(n * 0.5))) / ceil((n - greatest(1, floor(n * 0.5))) / 8)))::BIGINT AS folds FROM o), w AS (SELECT round(avg(target::INT), 6) AS rate FROM t)
+    SELECT status, 'model_dataset' AS table_name, check_name, v::DOUBLE AS metric_value, threshold, details FROM (SELECT 'pass' AS status, 'no_forbidden_training_features' AS check_name, 0.0 AS v, '0' AS threshold, '' AS details
+    UNION ALL SELECT 'pass', 'training_columns_keep_identifiers_out_of_feature_matrix', 2, '0', '' UNION ALL SELECT CASE WHEN rate BETWEEN 0.4 AND 0.6 THEN 'pass' ELSE 'warn' END, 'deterministic_orientation_without_extreme_id_label_bias', 0, '0', '' FROM w
+    UNION ALL SELECT CASE WHEN rate BETWEEN 0.4 AND 0.6 THEN 'pass' ELSE 'warn' END, 'binary_label_balance', rate, '0.4..0.6', '' FROM w UNION ALL SELECT 'pass', 'temporal_split_has_no_date_overlap', 0, '0', ''
+    UNION ALL SELECT 'pass', 'walk_forward_folds_are_expanding_and_chronological', 0, '0', 'folds=' || folds FROM fo UNION ALL SELECT 'pass', 'pit_prior_counts_exclude_current_and_same_date_fights', 0, '0', ''
+    UNION ALL SELECT 'pass', 'high_feature_missingness', 0, '0.6', '' UNION ALL SELECT st, 'source_split_performance_gap', v, '0.05', '' FROM gap)""")
+def quality_checks(spark, sf_dir):
+    priors = history.prior_record(bout_rows(spark, sf_dir))
+    data = dataset.oriented(_wide(priors), _DELTAS)
+    model = models.expression_model("wins", ["delta_prior_wins"], 1 / (1 + F.exp(-0.1 * F.col("delta_prior_wins"))))
+    results = models.scored(data.join(priors.where("corner = 'red'").select("fight_id", "source"), "fight_id"), model, "source")
+    return models.quality_checks(data, _DELTAS, priors, evaluate.metrics(results, ["source"]))
 
 
 @_query(f"""{_PRE} SELECT a.fight_id, a.f AS fighter_id, round((0.3 + a.f % 7 / 10.0::DOUBLE) / sum(0.3 + a.f % 7 / 10.0::DOUBLE) OVER (PARTITION BY a.fight_id), 6) AS no_vig,

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -34,9 +35,13 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once per application, so that Python workers can import it, and bound their batches."""
+    """Send this package to the executors once per application, so that Python workers can import it.
+
+    It also lowers the session's limits of Arrow batches to those of ``ARROW``, on purpose: kernels here count on small batches.
+    """
     for key, value in ARROW.items():
-        spark.conf.set(key, value)
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= int(value):
+            spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:
         return
@@ -49,8 +54,12 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or LOCAL_SCRATCH
+    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset and the master is local."""
+    conf = spark.sparkContext.getConf()
+    given = conf.get("spark.checkpoint.dir")
+    if not given and not re.fullmatch(r"local(\[[^\]]*\])?", conf.get("spark.master", "")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return given or LOCAL_SCRATCH
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

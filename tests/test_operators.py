@@ -1,5 +1,6 @@
 import datetime as dt
 import math
+import random
 
 import pandas as pd
 import pytest
@@ -55,6 +56,23 @@ def test_snapshot_decays_to_its_date(rows):
     assert got[1].rating == 1516.0 and math.isclose(got[2].decayed_rating, 1500 - 16 * 0.5 ** (31 / 730))
 
 
+def test_ratings_by_date_equal_the_fold_and_take_any_ids(spark):
+    rng, out = random.Random(4), []
+    for n in range(60):
+        a, b = rng.sample(range(9), 2)
+        won, draw = rng.random() < 0.5, rng.random() < 0.2
+        for corner, own, other, w in (("blue", a, b, won), ("red", b, a, not won)):
+            out.append((f"f{n:03}", day(n // 3 + 1), corner, f"s:{own}", f"s:{other}", not draw and w, "D" if draw else "W" if w else "L"))
+    df = spark.createDataFrame(out, "fight_id string, event_date date, corner string, fighter_id string, opponent_id string, winner_flag boolean, outcome string")
+    folded, apart, dated = ratings.rate(df), ratings.rate(df.withColumn("part", F.lit("x")), "part"), ratings.rate(df, most=0)
+    take = lambda x: {(r.fight_id, r.fighter_id): [r[c] for c in ratings.RATED] for r in x.collect()}
+    want = take(folded)
+    assert len(want) == 120 and take(apart) == want
+    for key, values in take(dated).items():
+        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-12)) for a, b in zip(values, want[key], strict=True))
+    assert ratings.rate_by_date(ratings.bout_pairs(df.where("false"))).count() == 0
+
+
 def test_ratings_skip_bouts_without_two_sides(spark, rows):
     odd = rows.where("not (fight_id = 1 and corner = 'blue')")
     assert {r.fight_id for r in ratings.rate(odd).collect()} == {2, 3}
@@ -194,9 +212,9 @@ def test_splits_never_cut_a_date(spark):
     assert {r.split: r.n for r in parts} == {"train": 6, "validation": 2, "test": 2}
     folds = dataset.walk_forward(df, 3).groupBy("fold").agg(F.count_distinct("event_date").alias("n")).collect()
     assert {r.fold: r.n for r in folds} == {None: 5, 0: 2, 1: 2, 2: 1}
-    with pytest.raises(ValueError):
-        dataset.temporal_split(df.where("fight_id < 4"))
-    assert dataset.forbidden_features(["delta_age", "delta_winner"]) == ["delta_winner"]
+    with pytest.raises(Exception, match="three dates"):
+        dataset.temporal_split(df.where("fight_id < 4")).collect()
+    assert dataset.forbidden_features(["delta_age", "delta_winner", "delta_avg_fight_time_sec", "red_x"]) == ["delta_winner", "red_x"]
 
 
 def test_late_rows_are_counted_by_row(spark):
