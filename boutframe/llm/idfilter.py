@@ -7,6 +7,8 @@ would only send more rows to the join.
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,7 +41,20 @@ def join_counted(rows: DataFrame, counted: DataFrame, key: str, count: str) -> D
     return rows.join(F.broadcast(hot), key).unionByName(spread)
 
 
-def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
+class Packed:
+    """An array of bytes that travels compressed, so that a sparse one takes little of a broadcast and of its copies on disk."""
+
+    def __init__(self, array: np.ndarray):
+        self.array = array
+
+    def __getstate__(self) -> bytes:
+        return zlib.compress(self.array.tobytes(), 1)
+
+    def __setstate__(self, data: bytes) -> None:
+        self.array = np.frombuffer(zlib.decompress(data), np.uint8)
+
+
+def bitmap(hashes: DataFrame, bits: int = BITS) -> Packed:
     """Bytes in which the bit of each row's 64-bit number (its one column) is set: the number's highest bits count."""
     (name,) = hashes.columns
     slot = F.shiftrightunsigned(name, 64 - bits)
@@ -57,13 +72,13 @@ def bitmap(hashes: DataFrame, bits: int = BITS) -> np.ndarray:
     whole = np.zeros((1 << (bits - 16), 8192), np.uint8)
     for row in rows.mapInArrow(pack, "chunk long, bytes binary").collect():  # 2**(bits-16) rows of 8 KiB at most
         whole[row["chunk"]] = np.frombuffer(row["bytes"], np.uint8)
-    return whole.reshape(-1)
+    return Packed(whole.reshape(-1))
 
 
-def hits(flags: np.ndarray, numbers: np.ndarray, bits: int = BITS) -> np.ndarray:
+def hits(flags: Packed, numbers: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Whether each unsigned 64-bit number's bit is set."""
     slot = (numbers >> np.uint64(64 - bits)).astype(np.int64)
-    return (flags[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+    return (flags.array[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
 
 
 def without_ids(docs: DataFrame, dropped: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -33,12 +33,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from boutframe.llm.components import components
-from boutframe.llm.idfilter import bitmap, hits, join_counted, without_ids
+from boutframe.llm.idfilter import Packed, bitmap, hits, join_counted, without_ids
 from boutframe.llm.words import mix, shingle_sets
 from boutframe.session import materialize, ship
 
 PERCENT = 80
-#: The sketch has 2**SKETCH_BITS cells of four bits, so its broadcast is 32 MiB whatever the input.
+#: The sketch has at most 2**SKETCH_BITS cells of four bits, so its broadcast is 32 MiB at most whatever the input.
 SKETCH_BITS = 26
 #: Bits of a shingle within its range that are counted; shingles that agree in them count together, which changes speed only.
 COUNTED_BITS = 32
@@ -133,9 +133,9 @@ def _cells(table: pa.Table, range_bits: int, sketch_bits: int) -> bytes:
     return (cells[::2] | cells[1::2] << 4).tobytes()
 
 
-def sketch(sets: DataFrame, flags) -> np.ndarray:
-    """The sketch of the shingles of all ``sets`` (see :func:`_fresh`), with ``2**SKETCH_BITS`` cells."""
-    spark, bits = sets.sparkSession, SKETCH_BITS
+def sketch(sets: DataFrame, flags, shingles: int) -> Packed:
+    """The sketch of the shingles of all ``sets`` (see :func:`_fresh`), with up to ``2**SKETCH_BITS`` cells, four or more for each shingle if there are few."""
+    spark, bits = sets.sparkSession, min(SKETCH_BITS, max(16, (4 * shingles).bit_length()))
     range_bits = min(bits - 1, max(8, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())  # two ranges or more for each task
 
     def blocks(batches):
@@ -148,7 +148,7 @@ def sketch(sets: DataFrame, flags) -> np.ndarray:
     out = np.zeros((1 << range_bits, (1 << (bits - 1)) >> range_bits), np.uint8)  # 32 MiB in all
     for k, data in zip(rows.column("range").to_pylist(), rows.column("cells"), strict=True):
         out[k] = np.frombuffer(data.as_buffer(), np.uint8)
-    return out.reshape(-1)
+    return Packed(out.reshape(-1))
 
 
 def magnitudes(cells: np.ndarray, shingles: np.ndarray) -> np.ndarray:
@@ -211,14 +211,15 @@ class _Corpus:
         several = given.select("class", "shingles").mapInArrow(doubtful, "class long, shingles binary").groupBy("class").agg(F.first("shingles").alias("shingles"))
         self.sets = given.select("class", "shingles", F.lit(True).alias("first")).unionByName(materialize(several, "sets").withColumn("first", F.lit(False)))
         self.least = materialize(self.rows.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least_id")), "classes")
-        cells = spark.sparkContext.broadcast(sketch(self.sets, flags))
+        size = given.agg(F.sum("n")).first()[0] or 0
+        cells = spark.sparkContext.broadcast(sketch(self.sets, flags, size))
 
         def prefixes(batches):
             for batch in batches:
                 batch = _fresh(batch, flags)
                 keys, sizes, own, matches, tokens, bitmaps, posted = [], [], [], [], [], [], []
                 held = [np.frombuffer(x.as_buffer(), np.uint64) for x in batch.column("shingles")]
-                level = magnitudes(cells.value, np.concatenate(held)) if held else None
+                level = magnitudes(cells.value.array, np.concatenate(held)) if held else None
                 at = 0
                 for key, shingles in zip(batch.column("class").to_pylist(), held, strict=True):
                     mine = level[at : at + len(shingles)]
