@@ -1,23 +1,26 @@
 """Media columns over archive directories, through a custom Spark data source.
 
 ``media_archive`` is a Python data source. Its writer puts each task's members into one tar file of greyscale PNG images
-(192 samples a row, so the stored form is lossless) with a sidecar of member offsets, and commits a manifest. Its reader
-plans byte ranges over the archives from their sizes alone: a range owns the members whose headers start inside it, found
-by binary search in the sidecar (or by walking the headers where a tar has none). Payloads stream in Arrow batches of
+(192 samples a row, so the stored form is lossless) with a sidecar of member offsets. Each write commits a manifest of its
+own, so appends add up; an overwrite then removes the older manifests and their archives. Its reader plans byte ranges over
+the archives from their sizes alone: a range owns the members whose headers start inside it, found by binary search in the
+sidecar (or by walking the headers where a tar has none). Payloads stream in Arrow batches of
 ``batch_bytes``. A member is read by its own offset; a failed or damaged read of one member is repeated ``retries`` times
-with the archive opened anew, without touching the others, and then fails the task with the path and offset.
+with the archive opened anew, without touching the others, and then fails the task with the path and offset. Reading checks
+a member by the checksums of its header and chunks and leaves its pixels packed; they are decoded once, by :func:`measure`.
 
 Archives live below the shared folder; any file system that ``pyarrow.fs`` opens by URI can hold them.
 
 Cases: a null text counts as empty; the payload of an empty text is 192 spaces; equal texts give equal stored bytes and
 features (the image holds nothing but the payload, ids are in member names); a null doc_id is kept as null; repeated rows
-are stored each; an empty table gives archives without members and an empty result; other columns are not read.
+are stored each; empty tables and empty partitions give archives without members and no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
+import re
 import struct
 import tarfile
 import time
@@ -63,24 +66,33 @@ def to_png(payload: bytes, level: int = 1) -> bytes:
     return _SIGNATURE + _chunk(b"IHDR", header) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), level)) + _chunk(b"IEND", b"")
 
 
-def from_png(data: bytes) -> np.ndarray:
-    """The samples of an image that :func:`to_png` made, rows by columns; checks every chunk's CRC."""
+def chunks_of(data: bytes) -> Iterator[tuple[bytes, bytes]]:
+    """Kind and content of each chunk of an image, whose checksums are compared."""
     if data[:8] != _SIGNATURE:
         raise ValueError("not a PNG image")
-    at, body, shape = 8, [], None
+    at, kind = 8, b""
     while at < len(data):
         (size,), kind = struct.unpack_from(">I", data, at), data[at + 4 : at + 8]
-        chunk = data[at + 8 : at + 8 + size]
-        if struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(kind + chunk):
+        content = data[at + 8 : at + 8 + size]
+        if struct.unpack_from(">I", data, at + 8 + size)[0] != zlib.crc32(kind + content):
             raise ValueError(f"damaged {kind!r} chunk")
+        yield kind, content
+        at += 12 + size
+    if kind != b"IEND":
+        raise ValueError("the image is cut short")
+
+
+def from_png(data: bytes) -> np.ndarray:
+    """The samples of an image that :func:`to_png` made, rows by columns; checks every chunk's CRC."""
+    body, shape = [], None
+    for kind, content in chunks_of(data):
         if kind == b"IHDR":
-            width, height, depth, colour = struct.unpack_from(">IIBB", chunk)
+            width, height, depth, colour = struct.unpack_from(">IIBB", content)
             if (width, depth, colour) != (ROW, 8, 0):
                 raise ValueError("not 8-bit grey samples of the expected width")
             shape = (height, width + 1)
         elif kind == b"IDAT":
-            body.append(chunk)
-        at += 12 + size
+            body.append(content)
     lines = np.frombuffer(zlib.decompress(b"".join(body)), np.uint8).reshape(shape)
     if lines[:, 0].any():
         raise ValueError("filtered rows are not supported")
@@ -118,8 +130,8 @@ class _Written(WriterCommitMessage):
 class _Writer(DataSourceArrowWriter):
     """Rows ``name string, payload binary`` to one archive a task."""
 
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, overwrite: bool):
+        self.path, self.overwrite = path, overwrite
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         fs, root = _open_fs(self.path)
@@ -141,18 +153,38 @@ class _Writer(DataSourceArrowWriter):
         return _Written(archive, len(offsets), at)
 
     def commit(self, messages: list[WriterCommitMessage | None]) -> None:
-        """Only archives named in the manifest count, so what a lost or repeated task left behind is never read."""
+        """Only archives named in a manifest count, so what a lost or repeated task left behind is never read."""
         fs, root = _open_fs(self.path)
         done = [{"archive": m.archive, "members": m.members, "bytes": m.size} for m in messages if m]
         fs.create_dir(root, recursive=True)
-        with fs.open_output_stream(f"{root}/_manifest.json") as out:
+        older = _manifests(fs, root) if self.overwrite else []
+        with fs.open_output_stream(f"{root}/_manifest-{uuid.uuid4().hex}.json") as out:
             out.write(json.dumps(done).encode())
+        for manifest in older:
+            entries = _entries(fs, manifest)
+            fs.delete_file(manifest)
+            _remove(fs, root, [x["archive"] for x in entries])
 
     def abort(self, messages: list[WriterCommitMessage | None]) -> None:
         fs, root = _open_fs(self.path)
-        for message in messages:
-            if message:
-                fs.delete_file(f"{root}/{message.archive}")
+        _remove(fs, root, [m.archive for m in messages if m])
+
+
+def _manifests(fs: pafs.FileSystem, root: str) -> list[str]:
+    files = fs.get_file_info(pafs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in files if re.fullmatch(r"_manifest.*\.json", f.base_name))
+
+
+def _entries(fs: pafs.FileSystem, manifest: str) -> list[dict]:
+    with fs.open_input_stream(manifest) as file:
+        return json.loads(file.read())
+
+
+def _remove(fs: pafs.FileSystem, root: str, archives: list[str]) -> None:
+    for name in archives:
+        for path in (f"{root}/{name}", f"{root}/{name}.idx"):
+            if fs.get_file_info(path).type == pafs.FileType.File:
+                fs.delete_file(path)
 
 
 @dataclass
@@ -173,9 +205,9 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         fs, root = _open_fs(self.path)
-        if fs.get_file_info(f"{root}/_manifest.json").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{root}/_manifest.json") as file:
-                found = [(x["archive"], x["bytes"]) for x in json.loads(file.read()) if x["members"]]
+        manifests = _manifests(fs, root)
+        if manifests:
+            found = [(x["archive"], x["bytes"]) for m in manifests for x in _entries(fs, m) if x["members"]]
         else:
             files = fs.get_file_info(pafs.FileSelector(root, recursive=True))
             found = sorted((f.path.removeprefix(root).lstrip("/"), f.size) for f in files if f.path.endswith(".tar"))
@@ -201,9 +233,10 @@ class _Reader(DataSourceReader):
 
     def _offsets(self, fs: pafs.FileSystem, path: str, part: ByteRange) -> Iterator[int]:
         if fs.get_file_info(f"{path}.idx").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{path}.idx") as file:
-                offsets = np.frombuffer(file.read(), "<i8")
-            yield from offsets[np.searchsorted(offsets, part.start) : np.searchsorted(offsets, part.end)].tolist()
+            with fs.open_input_file(f"{path}.idx") as file:
+                first, last = (_search(file, at) for at in (part.start, part.end))
+                file.seek(8 * first)
+                yield from np.frombuffer(file.read(8 * (last - first)), "<i8").tolist()
             return
         at = 0
         with fs.open_input_file(path) as file:
@@ -228,7 +261,8 @@ class _Reader(DataSourceReader):
                 if len(data) != info.size:
                     raise OSError("short read")
                 if info.name.endswith(".png"):
-                    from_png(data)
+                    for _ in chunks_of(data):
+                        pass
                 return info.name, data
             except (OSError, ValueError, tarfile.HeaderError, zlib.error, struct.error) as error:
                 if attempt == self.retries:
@@ -237,6 +271,19 @@ class _Reader(DataSourceReader):
         raise AssertionError
 
 
+def _search(file: pa.NativeFile, value: int) -> int:
+    """How many of a sidecar's ascending offsets are below a value; reads as many of them as a binary search takes."""
+    low, high = 0, file.size() // 8
+    while low < high:
+        middle = (low + high) // 2
+        file.seek(8 * middle)
+        if struct.unpack("<q", file.read(8))[0] < value:
+            low = middle + 1
+        else:
+            high = middle
+    return low
+
+
 class MediaArchive(DataSource):
     """``spark.read.format("media_archive").load(directory)`` gives archive, offset, name, media of each member."""
 
@@ -251,7 +298,7 @@ class MediaArchive(DataSource):
         return _Reader(self.options["path"], dict(self.options))
 
     def writer(self, schema, overwrite: bool) -> DataSourceArrowWriter:
-        return _Writer(self.options["path"])
+        return _Writer(self.options["path"], overwrite)
 
 
 def register(spark: SparkSession) -> None:
@@ -259,8 +306,8 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(MediaArchive)
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write each text as a PNG member ``<doc_id>.<bytes>.png`` of the archives in ``path``."""
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", mode: str = "append") -> None:
+    """Write each text as a PNG member ``<doc_id>.<bytes>.png`` of the archives in ``path``; ``mode`` is append or overwrite."""
     register(docs.sparkSession)
 
     def members(batches):
@@ -272,7 +319,7 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(payloads, pa.binary())], names=["name", "payload"])
 
     rows = docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(members, "name string, payload binary")
-    rows.write.format("media_archive").mode("append").save(path)
+    rows.write.format("media_archive").mode(mode).save(path)
 
 
 def measure(spark: SparkSession, path: str, **options) -> DataFrame:
