@@ -212,11 +212,11 @@ def test_sketch_counts_all_classes_whatever_the_partitions(spark):
     sets = [np.unique(np.concatenate([rng.choice(pool[: 1 + k % 400], 3), rng.integers(0, 1 << 63, 5, dtype=np.uint64)])) for k in range(500)]
     counts = collections.Counter(v for x in sets for v in x.tolist())
     df = spark.createDataFrame([(k, x.tobytes(), True) for k, x in enumerate(sets)], "class long, shingles binary, first boolean")
-    flags = spark.sparkContext.broadcast(np.zeros(1 << (idfilter.BITS - 3), np.uint8))
-    many = [near_dedup.sketch(df.repartition(n), flags) for n in (1, 40)]
-    assert (many[0] == many[1]).all()
+    flags = spark.sparkContext.broadcast(idfilter.Packed(np.zeros(1 << (idfilter.BITS - 3), np.uint8)))
+    many = [near_dedup.sketch(df.repartition(n), flags, 4000).array for n in (1, 40)]
+    assert (many[0] == many[1]).all() and len(many[0]) * 2 >= 4 * 4000
     values = np.array(list(counts), np.uint64)
-    cell = values >> np.uint64(64 - near_dedup.SKETCH_BITS)
+    cell = values >> np.uint64(64 - len(many[0]).bit_length())
     top = collections.defaultdict(int)
     for c, v in zip(cell.tolist(), values.tolist(), strict=True):
         top[c] = max(top[c], counts[v])
@@ -298,7 +298,7 @@ def test_media_features_come_from_stored_bytes(spark, tmp_path):
 def test_media_members_are_retried_alone_and_walked_without_index(spark, tmp_path):
     path = f"file://{tmp_path}/media"
     media.store(table(spark, make(11, 20)), path)
-    for name in [*tmp_path.glob("media/*.idx"), tmp_path / "media" / "_manifest.json"]:
+    for name in [*tmp_path.glob("media/*.idx"), *tmp_path.glob("media/_manifest*.json")]:
         name.unlink()
     reader = media._Reader(path, {"retries": "2"})
     ranges = reader.partitions()
@@ -313,6 +313,22 @@ def test_media_members_are_retried_alone_and_walked_without_index(spark, tmp_pat
                 list(reader.read(r))
 
 
+def test_media_appends_add_up_and_overwrites_replace(spark, tmp_path):
+    path = f"file://{tmp_path}/media"
+    first, second, third = (table(spark, make(seed, 3)).withColumn("doc_id", F.col("doc_id") + 10 * seed) for seed in (1, 2, 3))
+    media.store(first, path)
+    media.store(second, path)
+    assert sorted(by_id(media.measure(spark, path))) == [10, 11, 12, 20, 21, 22]
+    media.store(third, path, mode="overwrite")
+    assert sorted(by_id(media.measure(spark, path, range_bytes=700))) == [30, 31, 32]
+    assert len([*tmp_path.glob("media/_manifest*.json")]) == 1 and len([*tmp_path.glob("media/*.idx")]) == len([*tmp_path.glob("media/*.tar")])
+    writer = media._Writer(path, False)
+    writer.abort([media._Written(next(tmp_path.glob("media/*.tar")).name, 1, 1), None])
+    assert len([*tmp_path.glob("media/*.idx")]) == len([*tmp_path.glob("media/*.tar")])
+    with pytest.raises(ValueError, match="short"):
+        list(media.chunks_of(media.to_png(b" " * 192)[:-12]))
+
+
 # 5
 
 
@@ -574,10 +590,47 @@ def test_toxic_lexicon_folds_exceptions_and_length(spark):
     got = by_id(toxicity.toxicity(table(spark, texts), spark.createDataFrame([*labels, (0, 1, None), (3, 1, 0)], "doc_id long, quality int, toxic int")))
     assert all(got[k].predicted == t for k, _, t in labels) and all(got[k].held_out == (zlib.crc32(str(k).encode()) % 5 == 0) for k in got)
     assert [got[300 + k].predicted for k in range(5)] == [1, 0, 0, 1, 0] and all(0 <= r.score <= 1 for r in got.values())
+    assert toxicity.folded("S.c.u.m g\u200brum@le x@y.z m0r$n \u0441l\u043ewn caf\u0301e a-b don$$$") == "scum grumale xay z morsn clown cafe a b don   "
     none = toxicity.toxicity(table(spark, texts), spark.createDataFrame([], "doc_id long, toxic int"))
     assert {r.score for r in none.collect()} == {0.0}
 
 
+def test_lexicon_matching_equals_brute_force():
+    rng = random.Random(9)
+    letters = "abc"
+    weights = {"".join(rng.choice(letters) for _ in range(rng.randrange(4, 6))) + rng.choice([" ", ""]): rng.random() + 0.1 for _ in range(60)}
+    exceptions = ["".join(rng.choice(letters + " ") for _ in range(9)).strip() for _ in range(40)]
+    exceptions = [e for e in exceptions if len(e.split()) == 2]
+    lexicon = toxicity.Lexicon(weights, exceptions, 1.0, 0.0)
+    for _ in range(200):
+        words = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 8))) for _ in range(rng.randrange(0, 30))]
+        total = 0.0
+        for k, word in enumerate(words):
+            for term, weight in weights.items():
+                if word == term[:-1] if term.endswith(" ") else word.startswith(term):
+                    phrases = [" ".join(words[k + a : k + a + 2]) for a in (-1, 0) if 0 <= k + a and k + a + 1 < len(words)]
+                    total += 0 if any(p in exceptions for p in phrases) else weight
+        assert math.isclose(lexicon.raw(" ".join(words).upper()), math.log1p(100 * total / len(words)) if words else 0.0, abs_tol=1e-9)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_toxic_documents_are_found_at_every_size(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.toxicity(docs, labels).join(labels.select("doc_id", "toxic"), "doc_id").select("held_out", "predicted", "toxic").collect()
+    assert sum(r.predicted for r in rows if not r.toxic) <= 0.01 * sum(not r.toxic for r in rows)  # false alarms
+    for held in (False, True) if sf == "sf0.01" else (False,):
+        toxic = [r.predicted for r in rows if r.toxic and r.held_out == held]
+        assert sum(toxic) >= (0.6 if sf == "sf0.01" else 0.5) * len(toxic)  # a third of them hold no word that enough labelled documents hold
+
+
+def test_labels_of_equal_texts_are_settled(spark):
+    df = spark.createDataFrame([(k, "same text here") for k in range(9)] + [(20, "other"), (21, "third")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k in (1, 2, 3, 4, 6, 7))) for k in range(9)] + [(20, 1), (21, 0)], "doc_id long, toxic int")
+    rows = {r.text: r.toxic for r in toxicity.training_rows(df, labels).collect()}
+    known = [k for k in range(9) if zlib.crc32(str(k).encode()) % 5]
+    assert rows["same text here"] == (2 * sum(k in (1, 2, 3, 4, 6, 7) for k in known) >= len(known))
+
+
 # 10
 
 
