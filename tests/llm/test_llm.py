@@ -254,8 +254,9 @@ def test_lm_base_is_exact_and_model_is_better_and_normalised(spark):
         assert math.isclose(r.base_score, sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t), rel_tol=1e-9)
     out = [k for k, h in enumerate(held) if h]
     assert sum(got[k].score for k in out) > sum(got[k].base_score for k in out)
-    table_ = lm.train_nce(np.array([1, 5, 300]), np.array([3, 1, 9]), steps=5)
-    assert np.allclose((10**table_).sum(1), 1)
+    fitted = lm.train_nce(np.array([1, 5, 300]), np.array([3, 1, 9]), 40, steps=5)
+    contexts = np.arange(33 * 40)
+    assert np.allclose((10 ** fitted.table(contexts)).sum(1), 1, atol=1e-5) and np.allclose(fitted.log10(contexts, contexts % 40), fitted.table(contexts)[contexts, contexts % 40], atol=1e-5)
     assert lm.score(table(spark, texts).where("false"), steps=5).count() == 0
 
 
@@ -268,6 +269,52 @@ def test_lm_tail_words_meet_their_counts_in_a_join(spark, monkeypatch):
     assert all(math.isclose(whole[k].base_score, cut[k].base_score, rel_tol=1e-9) and whole[k].n_known == cut[k].n_known for k in whole)
 
 
+def test_lm_scores_equal_brute_force_and_sum_to_one(spark, monkeypatch):
+    rng = random.Random(18)
+    texts = [*ODD, *[" ".join(rng.choice([f"w{rng.randrange(30)}", f"Long{rng.randrange(400)}.", "é"]) for _ in range(rng.randrange(1, 60))) for _ in range(60)]]
+    tokens = [[*WORD.findall((t or "").translate(AZ)), "\n"] for t in texts]
+    train = [t for k, t in enumerate(tokens) if zlib.crc32(str(k).encode()) % 7 != 2]
+    monkeypatch.setattr(lm, "FREQUENT", 12)
+    monkeypatch.setattr(lm, "BROADCAST_WORDS", 60)
+    got = by_id(lm.score(table(spark, texts), steps=30))
+    c = collections.Counter(w for t in train for w in t)
+    hashed = {w: int(lm.hashes_of([w.encode()])[0].astype(np.int64)) for t in tokens for w in t}
+    spelling = {}
+    for t in {w for x in tokens for w in x} - {"\n"}:
+        spelling[t] = int(next(lm.tokens_of([t]))[1][0])
+    spelling["\n"] = lm.END
+    ranked = sorted((w for w in c if w != "\n"), key=lambda w: (-c[w], hashed[w]))
+    own = {w: k for k, w in enumerate(ranked[:12])} | {"\n": 12}
+    cls = lambda w: own.get(w, 13 + spelling[w])
+    size, cells = 45, collections.Counter()
+
+    def contexts(t):
+        padded = [None, None, *t]
+        for two, one, w in zip(padded, padded[1:], t, strict=False):
+            yield (lm.END if two is None else spelling[two]) * size + (12 if one is None else cls(one)), w
+
+    for t in train:
+        cells.update(x * size + cls(w) for x, w in contexts(t))
+    keys = np.array(sorted(cells))
+    model = lm.train_nce(keys, np.array([cells[k] for k in keys.tolist()]), size, 30)
+    inside = collections.defaultdict(dict)
+    for w, n in c.items():
+        if w not in own:
+            inside[spelling[w]][w] = n
+
+    def word(w, s):
+        words = inside[s]
+        n, once, twice = sum(words.values()), sum(x == 1 for x in words.values()), sum(x == 2 for x in words.values())
+        d = min(0.9, max(0.1, once / (once + 2 * twice))) if once else 0.5
+        return (words[w] - d) / n if w in words else d * len(words) / n if n else 1.0
+
+    for s, words in inside.items():
+        assert math.isclose(sum(word(w, s) for w in words) + word("unseen", s), 1)
+    for k, t in enumerate(tokens):
+        want = sum(float(model.log10(np.array([x]), np.array([cls(w)]))[0]) + (0 if w in own else math.log10(word(w, spelling[w]))) for x, w in contexts(t))
+        assert math.isclose(got[k].score, want, rel_tol=1e-4, abs_tol=1e-4), k
+
+
 # 4
 
 
