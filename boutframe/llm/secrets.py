@@ -9,21 +9,29 @@ base-64 alphabets ('+' or '/' as well as '-' or '_') is split twice, into the ru
 and all these parts are looked at; their spans may overlap. A token's encoding is inferred
 from the characters present (hex, base 32, base 36, base 62, base 64; base 32 and 36 in either case), the smallest alphabet that has them all, and its characters become numbers; three tests then ask whether they could be uniform draws:
 chi-squared uniformity over the alphabet, the runs test about the alphabet's middle, and lag-one serial correlation. Their
-smallest p-value times three is the token's. Tokens are declared *not random* by the Benjamini-Hochberg step over the
-tokens of all documents at rate ``FDR``, each p-value weighted by the token's length over the mean length, because longer
-tokens carry more evidence; what remains is a secret of kind ``random``. The step works on a histogram of at most
-``BINS`` log-scaled p-values, so nothing that grows with the input meets in one task.
+smallest p-value times three is the token's; below ``UNIFORM`` the token is not random, whatever else speaks for it.
+
+A token that passes is a secret of kind ``random`` when that is a *discovery* against text as people write it: names, words,
+paths, dates. Under such text (letters by their usual frequency, and steps between lower case, upper case, digits and marks as
+in identifiers) the ratio of the token's probability as uniform draws to its probability as text is over ``1 / p`` with a
+chance of at most p, so one over the ratio is a p-value. It falls with every character that text would hardly have, so the
+control is aware of length: the same oddness that says nothing over 20 characters is a discovery over 60. The
+Benjamini-Hochberg step over the tokens of all documents keeps the share of false discoveries at ``FDR``. The step works on a
+histogram of at most ``BINS`` log-scaled p-values, so nothing that grows with the input meets in one task.
 
 Cases: a null text counts as empty and has no spans; a null doc_id passes through; repeated rows are scanned each; equal
-starts are ordered by kind; an empty table gives an empty result; columns of any other name are kept by
+starts are ordered by kind; empty tables and empty partitions give no rows; columns of any other name are kept by
 :func:`redact` and not read by :func:`scan`.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from boutframe.llm.idfilter import spare
 from boutframe.session import materialize
 
 KINDS = ("assign", "access", "hex", "random")
@@ -36,7 +44,16 @@ TOKEN = r"[A-Za-z0-9+/_-]{20,}" + PADDING
 PARTS = (r"[A-Za-z0-9+/]{20,}" + PADDING, r"[A-Za-z0-9_-]{20,}" + PADDING)
 TOKEN_LEAST = 20
 FDR = 0.01
+UNIFORM = 0.001
 BINS = 600
+#: Percentages of the letters a to z in English text (a tenth of the weight is spread evenly, for other languages).
+LETTERS = (8.2, 1.5, 2.8, 4.3, 12.7, 2.2, 2.0, 6.1, 7.0, 0.15, 0.77, 4.0, 2.4, 6.7, 7.5, 1.9, 0.095, 6.0, 6.3, 9.1, 2.8, 0.98, 2.4, 0.15, 2.0, 0.074)
+#: Shares of the marks in names and paths.
+MARKS = {"/": 0.38, "-": 0.30, "_": 0.30, "+": 0.02}
+#: How often each kind of character (lower case, upper case, digit, mark) begins an identifier, follows a kind that has just begun, and follows one that has lasted.
+FIRST = {"l": 0.5, "u": 0.3, "d": 0.15, "s": 0.05}
+BEGUN = {"l": {"l": 0.90, "u": 0.03, "d": 0.03, "s": 0.04}, "u": {"l": 0.80, "u": 0.12, "d": 0.04, "s": 0.04}, "d": {"l": 0.14, "u": 0.10, "d": 0.60, "s": 0.16}, "s": {"l": 0.50, "u": 0.20, "d": 0.25, "s": 0.05}}
+LASTED = {"l": {"l": 0.79, "u": 0.11, "d": 0.04, "s": 0.06}, "u": {"l": 0.33, "u": 0.55, "d": 0.06, "s": 0.06}, "d": {"l": 0.09, "u": 0.07, "d": 0.72, "s": 0.12}, "s": {"l": 0.35, "u": 0.13, "d": 0.12, "s": 0.40}}
 ALPHABETS = {
     16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
@@ -119,12 +136,34 @@ def _numbers(t: Column) -> Column:
     return F.transform(letters, lambda c: F.instr(alphabet, c) - 1)
 
 
+def text_bits() -> tuple[dict[str, float], dict[str, float], dict[str, float]]:
+    """Minus log2 of the probabilities of each character within its kind, of the first kind, and of each kind after the one or two before it."""
+    total = sum(LETTERS)
+    own = {chr(97 + k): -math.log2(0.9 * x / total + 0.1 / 26) for k, x in enumerate(LETTERS)} | {c: math.log2(10) for c in "0123456789"} | {c: -math.log2(x) for c, x in MARKS.items()}
+    steps = {b + c: -math.log2(x) for b, row in BEGUN.items() for c, x in row.items()}
+    steps |= {a + b + c: -math.log2((LASTED if a == b else BEGUN)[b][c]) for a in "luds" for b in "luds" for c in "luds"}
+    return own, {k: -math.log2(x) for k, x in FIRST.items()}, steps
+
+
+def _bits(t: Column) -> Column:
+    """log2 of how much likelier a token is as uniform draws than as text; a token of capitals only is read as lower case."""
+    own, first, steps = (F.create_map(*[F.lit(x) for pair in m.items() for x in pair]) for m in text_bits())
+    core = F.when(t["core"].rlike("[a-z]"), t["core"]).otherwise(F.lower(t["core"]))
+    letters = F.filter(F.split(F.lower(core), ""), lambda c: c != "")
+    lower, digits = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+    kinds = F.translate(core, lower + lower.upper() + digits + "+/-_", "l" * 26 + "u" * 26 + "d" * 10 + "s" * 4)
+    later = F.transform(F.sequence(F.lit(1), F.char_length(kinds) - 2), lambda k: F.substring(kinds, k, F.lit(3)))
+    as_text = _total(letters, lambda c: F.try_element_at(own, c)) + F.try_element_at(first, F.left(kinds, F.lit(1))) + F.try_element_at(steps, F.left(kinds, F.lit(2))) + _total(later, lambda m: F.try_element_at(steps, m))
+    return as_text - F.char_length(core) * F.log2(t["size"].cast("double"))
+
+
 def _judged(spans: Column) -> Column:
-    """Tokens that have an encoding, with length and p-value: three times the smallest of the battery's three."""
+    """Tokens that have an encoding, with length, p-value (three times the smallest of the battery's three) and bits of evidence against text."""
     at = ("start", "end")
     rows = _with(spans, at, core=lambda t: F.regexp_replace(t["hit"], "=+$", ""))
     rows = F.filter(_with(rows, (*at, "core"), size=lambda t: _encoding(t["core"])), lambda t: t["size"].isNotNull())
-    rows = _with(rows, (*at, "size"), x=_numbers)
+    rows = _with(rows, (*at, "size"), x=_numbers, bits=_bits)
+    at = (*at, "bits")
     rows = _with(
         rows, (*at, "size", "x"), n=lambda t: F.size(t["x"]), mean=lambda t: _total(t["x"], lambda x: x) / F.size(t["x"]),
         high=lambda t: _total(t["x"], lambda x: (x * 2 >= t["size"]).cast("int")), heads=lambda t: F.slice(t["x"], 1, F.size(t["x"]) - 1), tails=lambda t: F.slice(t["x"], 2, F.size(t["x"]) - 1),
@@ -154,35 +193,29 @@ def _runs_z(runs: Column, high: Column, n: Column) -> Column:
 def _found(text: Column) -> tuple[Column, Column]:
     """Base spans and judged tokens of a text (which must not be null)."""
     base = F.array_sort(F.concat(_assignments(text), _where(text, ACCESS, _positions(text, ACCESS, 1)), _where(text, HEX, _positions(text, HEX, 2))))
-    return base, _with(_judged(_tokens(text)), ("start", "end", "n", "p"), kind=lambda t: F.lit(3))
+    return base, _with(_judged(_tokens(text)), ("start", "end", "n", "p", "bits"), kind=lambda t: F.lit(3))
 
 
-def _log_p(token: Column, mean_length: float) -> Column:
-    """log10 of the length-weighted p-value, from -300 up to 0."""
-    return F.greatest(F.lit(-300.0), F.least(F.lit(0.0), F.log10(F.greatest(token["p"], F.lit(1e-300)) * mean_length / token["n"])))
+def _edge(token: Column) -> Column:
+    """The number of the bin of a token's p-value as text: log10 from -300 up to 0, rounded up, so that no p-value counts as smaller than it is."""
+    return F.ceil(F.greatest(F.lit(-300.0), F.least(F.lit(0.0), -token["bits"] * math.log10(2))) * (BINS / 300))
 
 
-def cut_off(found: DataFrame, fdr: float = FDR) -> tuple[float, float]:
-    """Mean token length and the log10 weighted p-value up to which tokens count as not random; from ``found.tokens``."""
-    tokens = found.select(F.explode("tokens").alias("token"))
-    mean = tokens.agg(F.avg("token.n")).first()[0]
-    if mean is None:
-        return 1.0, -301.0
-    edge = F.ceil(_log_p(F.col("token"), mean) * (BINS / 300))  # rounded up: never counts a p-value as smaller than it is
-    rows = sorted((r["edge"] * 300 / BINS, r["n"]) for r in tokens.groupBy(edge.alias("edge")).agg(F.count(F.lit(1)).alias("n")).collect())
-    total, seen, cut = sum(n for _, n in rows), 0, -301.0
-    for at, n in rows:
+def cut_off(found: DataFrame, fdr: float = FDR) -> int:
+    """The bin of p-values up to which tokens are discoveries; from ``found.tokens``."""
+    bins = found.select(F.explode("tokens").alias("token")).groupBy(_edge(F.col("token")).alias("edge")).agg(F.count(F.lit(1)).alias("n")).collect()
+    rows = sorted((r["edge"], r["n"]) for r in bins)
+    total, seen, cut = sum(n for _, n in rows), 0, -BINS - 1
+    for edge, n in rows:
         seen += n
-        if 10**at <= fdr * seen / total:
-            cut = at
-    return mean, cut
+        if 10 ** (edge * 300 / BINS) <= fdr * seen / total:
+            cut = edge
+    return cut
 
 
-def _random(base: Column, tokens: Column, mean: float, cut: float) -> Column:
-    """Tokens that stay random and touch no base span."""
-    return F.filter(
-        tokens, lambda t: (F.ceil(_log_p(t, mean) * (BINS / 300)) * (300 / BINS) > cut) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
-    )
+def _random(base: Column, tokens: Column, cut: int) -> Column:
+    """Tokens that are discoveries, look uniform, and touch no base span."""
+    return F.filter(tokens, lambda t: (_edge(t) <= cut) & (t["p"] >= UNIFORM) & ~F.exists(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
 
 
 def _written(spans: Column) -> Column:
@@ -198,9 +231,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
     """``doc_id, n_assign, n_access, n_hex, base_sha256, spans`` of each row."""
     base, tokens = _found(F.coalesce(F.col(text_col), F.lit("")))
     found = materialize(docs.select(F.col(id_col).cast("long").alias("doc_id"), _slim(base).alias("base"), tokens.alias("tokens")), "secrets")
-    mean, cut = cut_off(found, fdr)
+    cut = cut_off(found, fdr)
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    every = F.array_sort(F.concat("base", _slim(_random(F.col("base"), F.col("tokens"), mean, cut))))
+    every = F.array_sort(F.concat("base", _slim(_random(F.col("base"), F.col("tokens"), cut))))
     return found.select(
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(_written(F.col("base")), 256).alias("base_sha256"), _written(every).alias("spans"),
@@ -208,17 +241,21 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", fdr: float = FDR) -> DataFrame:
-    """All rows and columns, with every secret in the text replaced by ``mark``; overlapping spans become one mark."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    """All rows and columns, with every secret in the text replaced by ``mark``; overlapping spans become one mark.
+
+    Spans and judged tokens are written beside the rows once, so patterns go over each text one time.
+    """
+    text, names = F.coalesce(F.col(text_col), F.lit("")), [spare(docs.columns, x) for x in ("base", "tokens")]
     base, tokens = _found(text)
-    mean, cut = cut_off(docs.select(tokens.alias("tokens")), fdr)
+    found = materialize(docs.withColumns({names[0]: _slim(base), names[1]: tokens}), "secrets")
+    cut = cut_off(found.select(F.col(names[1]).alias("tokens")), fdr)
 
     def cut_out(state: Column, span: Column) -> Column:
         clear = span["start"] >= state["at"]
         gap = F.concat(state["out"], F.when(clear, F.concat(F.substring(text, state["at"] + 1, span["start"] - state["at"]), F.lit(mark))).otherwise(F.lit("")))
         return F.struct(F.greatest(state["at"], span["end"]).alias("at"), gap.alias("out"))
 
-    every = F.array_sort(F.concat(_slim(base), _slim(_random(base, tokens, mean, cut))))
+    every = F.array_sort(F.concat(names[0], _slim(_random(F.col(names[0]), F.col(names[1]), cut))))
     clean = F.aggregate(every, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), cut_out, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
-    worth = text.rlike(ASSIGN) | text.rlike(ACCESS) | text.rlike(HEX) | text.rlike(TOKEN)
-    return docs.withColumn(text_col, F.when(worth, clean).otherwise(F.col(text_col)))
+    worth = (F.size(names[0]) > 0) | (F.size(names[1]) > 0)
+    return found.withColumn(text_col, F.when(worth, clean).otherwise(F.col(text_col))).drop(*names)

@@ -413,6 +413,72 @@ def test_battery_tells_random_tokens_from_words(spark):
     assert [masked[k].text for k in range(5)] == ["see [SECRET] there", "[SECRET]!", "[SECRET] [SECRET]", None, "clean"]
 
 
+def brute_token(hit):
+    """Alphabet size, p-value of the battery and bits of evidence against text."""
+    core = hit.rstrip("=")
+    low, up, dig = (bool(re.search(x, core)) for x in ("[a-z]", "[A-Z]", "[0-9]"))
+    sizes = [(16, "[0-9a-f]+|[0-9A-F]+", dig and (low or up)), (32, "[A-Z2-7]+|[a-z2-7]+", dig and (low or up)), (36, "[A-Z0-9]+|[a-z0-9]+", dig and (low or up)), (62, "[A-Za-z0-9]+", low and up), (64, "[A-Za-z0-9+/]+|[A-Za-z0-9_-]+", dig + low + up > 1)]
+    size = next((n for n, rx, fits in sizes if fits and re.fullmatch(rx, core)), None)
+    if size is None or len(core) < 20:
+        return None
+    plain = core.lower() if size == 16 else core.upper() if size <= 36 else core.translate(str.maketrans("-_", "+/"))
+    x, n = [secrets.ALPHABETS[size].index(c) for c in plain], len(core)
+    tail = lambda z: math.erfc(min(abs(z), 36) / math.sqrt(2))
+    squares = sum(k * k for k in collections.Counter(x).values())
+    chi = (squares * size / n - n - (size - 1)) / math.sqrt(2 * (size - 1) * (n - 1) / n)
+    side = [2 * v >= size for v in x]
+    high, runs = sum(side), 1 + sum(a != b for a, b in zip(side, side[1:], strict=False))
+    middle = 2 * high * (n - high) / n + 1
+    z = 36.0 if high in (0, n) else (runs - middle) / math.sqrt(max((middle - 1) * (middle - 2) / (n - 1), 1e-9))
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    serial = 36.0 if not spread else (sum((a - mean) * (b - mean) for a, b in zip(x, x[1:], strict=False)) / spread + 1 / n) * math.sqrt(n)
+    own, first, steps = secrets.text_bits()
+    core = core if low else core.lower()
+    kinds = ["l" if c.islower() else "u" if c.isupper() else "d" if c.isdigit() else "s" for c in core]
+    bits = sum(own[c.lower()] for c in core) + first[kinds[0]] + steps[kinds[0] + kinds[1]] + sum(steps[a + b + c] for a, b, c in zip(kinds, kinds[1:], kinds[2:], strict=False)) - n * math.log2(size)
+    return n, min(1, 3 * min(tail(chi), tail(z), tail(serial))), bits
+
+
+def test_battery_evidence_and_cut_equal_brute_force(spark):
+    rng = random.Random(11)
+    letters = list(secrets.ALPHABETS.values()) + [secrets.ALPHABETS[64].translate(str.maketrans("+/", "-_"))]
+    hits = ["".join(rng.choice(rng.choice(letters) if k % 3 else letters[k % 6]) for _ in range(rng.randrange(20, 70))) for k in range(60)]
+    hits = [h for h in hits if not (set(h) & set("+/") and set(h) & set("-_"))]
+    hits += ["TheQuickBrownFoxJumpsOverTheLazyDog", "a1" * 20, "com/example/projects/Main2", "a-long-slug-2020-01-05-part-2", "0f" * 20, "ABCDEFGHIJKLMNOPQRSTUVWX12"]
+    texts = [f"see {h} there" for h in hits]
+    df = table(spark, texts)
+    base, tokens = secrets._found(F.col("text"))
+    got = {r.doc_id: r.tokens for r in df.select("doc_id", tokens.alias("tokens")).collect()}
+    want = {k: brute_token(h) for k, h in enumerate(hits)}
+    for k, h in enumerate(hits):
+        assert (want[k] is None) == (not got[k]), h
+        if want[k]:
+            n, p, bits = want[k]
+            assert got[k][0].n == n and abs(got[k][0].p - p) < 1e-5 and abs(got[k][0].bits - bits) < 1e-6, h
+    judged = [x for x in want.values() if x]
+    binned = lambda bits: 10.0 ** (math.ceil(max(-300.0, min(0.0, -bits * math.log10(2))) * secrets.BINS / 300) * 300 / secrets.BINS)
+    values = sorted(binned(bits) for _, _, bits in judged)
+    limit = values[max((k for k, p in enumerate(values, 1) if p <= secrets.FDR * k / len(judged)), default=0) - 1]
+    found = {r.doc_id: r.spans for r in secrets.scan(df).collect()}
+    for k, h in enumerate(hits):
+        inside = want[k] and binned(want[k][2]) <= limit and want[k][1] >= secrets.UNIFORM
+        touches = any(b < 4 + len(h) and 4 < e for b, _, e in brute_base(texts[k]))
+        assert ("random:4" in found[k]) == bool(inside and not touches), h
+
+
+def test_planted_tokens_are_found_and_names_are_not(spark):
+    """Recall and precision on tokens planted into real texts, and a verdict that doesn't hang on other documents."""
+    rng = random.Random(12)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    keys = {10**6 + k: "".join(rng.choice(secrets.ALPHABETS[rng.choice((32, 36, 62, 64))]) for _ in range(rng.choice((24, 32, 40, 64)))) for k in range(100)}
+    names = {2 * 10**6 + k: "".join(rng.choice(["get", "set", "value", "of", "the", "user", "first", "time", "2", "table", "row", "xml"]).capitalize() for _ in range(9)) for k in range(100)}
+    planted = spark.createDataFrame([(k, f"words {v} words") for k, v in (keys | names).items()], "doc_id long, text string")
+    got = by_id(secrets.scan(docs.unionByName(planted)))
+    assert sum("random" in got[k].spans for k in keys) >= 95 and not any("random" in got[k].spans for k in names)
+    assert by_id(secrets.scan(table(spark, ["TheQuickBrownFoxJumpsOverTheLazyDog"])))[0].spans == ""
+
+
 def test_random_values_beside_names_and_in_mixed_runs_are_found(spark):
     rng = random.Random(6)
     key, web = ("".join(rng.choice(x) for _ in range(60)) for x in (secrets.ALPHABETS[64], secrets.ALPHABETS[64].translate(str.maketrans("+/", "-_"))))
