@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 PACKAGE = Path(__file__).resolve().parent
 LOCAL_SCRATCH = "/tmp/boutframe-checkpoints"
 #: Batches to Python workers stay small whatever the rows' length.
-ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20)}
+ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 _shipped: set[str] = set()
 
 
