@@ -243,6 +243,7 @@ class _Corpus:
 
         schema = "class long, n long, own long, l long, tokens binary, bitmap binary, posted array<struct<token:long,place:long>>"
         self.profiles = materialize(self.sets.mapInArrow(prefixes, schema), "profiles")
+        cells.unpersist()
         posted = self.profiles.select("class", "n", "own", F.explode("posted").alias("x")).select("class", "n", "own", F.col("x.token").alias("token"), F.col("x.place").alias("place"))
         reached = (100 + PERCENT) * (F.col("n") - F.col("place")) - PERCENT * F.col("n")
         posted = posted.select("token", "class", "n", "own", F.floor(reached / PERCENT).cast("long").alias("reach"))
@@ -282,6 +283,7 @@ def _verified(pairs: DataFrame, corpus: _Corpus) -> DataFrame:
             yield batch.filter(pa.array(hits(wanted.value, batch.column(0).to_numpy().view(np.uint64))))
 
     held = materialize(corpus.sets.mapInArrow(pick, "class long, shingles binary"), "wanted")
+    wanted.unpersist()
 
     def decide(batches):
         for batch in batches:

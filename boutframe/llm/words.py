@@ -36,7 +36,7 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return hash_array(flat, categorize=False)
 
 
-def shingle_sets(texts: list[str | None], size: int = SHINGLE, chars: int = 2_000_000) -> Iterator[np.ndarray]:
+def shingle_sets(texts: list[str | None], size: int = SHINGLE, chars: int = 500_000) -> Iterator[np.ndarray]:
     """For each text the sorted distinct hashes of its shingles; fewer words than ``size`` are one shingle, none are none."""
     pending: list[list[bytes]] = []
     held = 0
