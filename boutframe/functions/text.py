@@ -55,6 +55,12 @@ def entity_id(url: Column, entity: str) -> Column:
     return first_group(url, rf"{entity}-details/([A-Za-z0-9]+)")
 
 
+def absolute_url(page: Column, link: Column) -> Column:
+    """A link as a page's reader would follow it: whole links stay, others start at the page's host or folder."""
+    host, folder = F.regexp_extract(page, r"^[A-Za-z]+://[^/]+", 0), F.regexp_extract(page, r"^.*/", 0)
+    return F.when(link.rlike("^[A-Za-z]+:"), link).when(link.startswith("/"), F.concat(host, link)).otherwise(F.concat(folder, link))
+
+
 def slug_id(url: Column) -> Column:
     """The number that ends a slug."""
     return first_group(url, r"-(\d+)/?$")

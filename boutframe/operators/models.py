@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from boutframe.operators import audit, dataset, evaluate, history, service
 from boutframe.schemas import CHECK
+from boutframe.session import materialize
 
 DELTAS = [f"delta_{f}" for f in history.FEATURES]
 #: Groups of features that an ablation leaves out or keeps.
@@ -89,19 +90,20 @@ def card_features(card: DataFrame, fighters: DataFrame, rows: DataFrame, rated:
     ``fighters``: fighter_id, full_name, source. An unknown or ambiguous side raises before anything is computed.
     """
     names = card.select(F.col("fighter_a").alias("query")).union(card.select("fighter_b")).distinct()
-    known = service.resolve(names, fighters, prefer)
+    known = materialize(service.resolve(names, fighters, prefer), "sides")
     wrong = known.where("matches <> 1").first()
     if wrong is not None:
         raise (service.Conflict if wrong["matches"] else service.NotFound)(wrong["query"])
     side = lambda s: known.select(F.col("query").alias(f"fighter_{s}"), F.col("fighter_id").alias(f"{s}_id"))
     kind = rows.schema["fighter_id"].dataType
-    ids = card.join(side("a"), "fighter_a").join(side("b"), "fighter_b")
+    ids = materialize(card.join(side("a"), "fighter_a").join(side("b"), "fighter_b"), "card")
     future = ids.select(F.col("bout").alias("fight_id"), F.col("event_date").cast("date").alias("event_date"), F.col("a_id").cast(kind).alias("red_id"), F.col("b_id").cast(kind).alias("blue_id"))
     bio = [c for c in ("dob", "height_in", "reach_in") if c in fighters.columns]
     if bio:
         for s in ("red", "blue"):
             future = future.join(fighters.select(F.col("fighter_id").cast(kind).alias(f"{s}_id"), *[F.col(c).alias(f"{s}_{c}") for c in bio]), f"{s}_id", "left")
-    wide = history.matchups(history.future_features(rows, rated, future), history.FEATURES)
+    sides = materialize(history.future_features(rows, rated, future).select("fight_id", "event_date", "corner", "fighter_id", *history.FEATURES), "sides")
+    wide = history.matchups(sides, history.FEATURES)
     return ids.join(wide.select(F.col("fight_id").alias("bout"), *DELTAS), "bout")
 
 

@@ -87,3 +87,24 @@ def save_decision(store, row: dict, stamp: str, table: str = "fighter_identity_m
     if row["decision"] != "rejected" and not own.where(~F.col("target_source_fighter_id").eqNullSafe(F.lit(row.get("target_source_fighter_id")))).isEmpty():
         raise Conflict("the fighter has another decision")
     store.upsert(table, row, ["source", "source_fighter_id", "target_source", "target_source_fighter_id"], stamp)
+
+
+def records(rows: DataFrame) -> DataFrame:
+    """The rows with ``record``, their JSON text: a number that is none or not finite is null, and nulls are written."""
+    kinds = {f.name: f.dataType for f in rows.schema}
+    odd = lambda c: F.isnan(c) | F.col(c).isin(float("inf"), float("-inf"))
+    clean = [F.when(~odd(c), F.col(c)).alias(c) if isinstance(kind, (T.DoubleType, T.FloatType)) else F.col(c) for c, kind in kinds.items()]
+    return rows.withColumn("record", F.to_json(F.struct(*clean), {"ignoreNullFields": "false"}))
+
+
+def decision_targets(review: DataFrame, fighters: DataFrame, rejected: DataFrame, source_fighter_id: str, text: str = "", most: int = 10) -> DataFrame:
+    """Whom a fighter under review may be linked with: suggested candidates first, then names that hold ``text``; rejected ones are marked.
+
+    ``rejected``: source_fighter_id, target_source_fighter_id. At most ``most`` rows, in a fixed order.
+    """
+    own = review.where(F.col("source_fighter_id") == source_fighter_id)
+    ids = own.select(F.explode(F.split("candidate_source_fighter_ids", ", ")).alias("fighter_id")).withColumn("suggested", F.lit(True))
+    found = fighters.where(contains("full_name", text)) if text else fighters.where("false")
+    every = found.join(ids.select("fighter_id"), "fighter_id", "left_anti").withColumn("suggested", F.lit(False)).unionByName(fighters.join(ids, "fighter_id"))
+    no = rejected.where(F.col("source_fighter_id") == source_fighter_id).select(F.col("target_source_fighter_id").alias("fighter_id"), F.lit(True).alias("is_rejected")).distinct()
+    return every.join(no, "fighter_id", "left").withColumn("is_rejected", F.coalesce("is_rejected", F.lit(False))).orderBy(F.desc("suggested"), "full_name", "fighter_id").limit(most)

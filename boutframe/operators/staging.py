@@ -47,3 +47,8 @@ def search_buckets(names: DataFrame, candidates: DataFrame, key: str = "name_key
     found = names.select(key).distinct().join(counts, key, "left")
     bucket = F.when(F.col("n").isNull(), "none").when(F.col("n") == 1, "unique").otherwise("ambiguous")
     return found.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("names"))
+
+
+def past(rows: DataFrame, today, date: str = "event_date") -> DataFrame:
+    """Rows dated before ``today``; events still to come, and those without a date, are left out."""
+    return rows.where(F.col(date) < F.lit(today).cast("date"))

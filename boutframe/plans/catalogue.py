@@ -161,7 +161,7 @@ def elo_snapshot_as_of(spark, sf_dir):
     SELECT fight_id, fighter_id, round(avg(opp) OVER w, 6) AS avg_opponent_pre_fight_elo, round(max(opp) FILTER (winner_flag) OVER w, 6) AS best_win_opponent_pre_fight_elo,
         round(min(opp) FILTER (outcome = 'L') OVER w, 6) AS worst_loss_opponent_pre_fight_elo FROM e WINDOW w AS {EARLIER}""")
 def pit_opponent_quality(spark, sf_dir):
-    rows = bout_rows(spark, sf_dir)
+    rows = materialize(bout_rows(spark, sf_dir), "bouts")
     rated = rows.join(ratings.rate(rows).select(*KEYS, "opponent_pre_fight_elo"), KEYS)
     names = ("avg_opponent_pre_fight_elo", "best_win_opponent_pre_fight_elo", "worst_loss_opponent_pre_fight_elo")
     return history.opponent_quality(rated).select(*KEYS, *[_r(n) for n in names])
@@ -184,8 +184,13 @@ _FULL = f"""{_PRE}, e AS (SELECT b.*, a.r AS pre_fight_elo, a.dr AS time_decayed
         {', '.join(_BY_RANK)} FROM e JOIN z USING (fight_id, fighter_id) WINDOW w AS {EARLIER})"""
 
 
+def _kept_bouts(spark, sf_dir):
+    """Bout rows, written once because the ratings and the features both read them."""
+    return materialize(bout_rows(spark, sf_dir), "bouts")
+
+
 def _full(spark, sf_dir):
-    rows = bout_rows(spark, sf_dir)
+    rows = _kept_bouts(spark, sf_dir)
     return history.features(rows, ratings.rate(rows))
 
 
@@ -210,7 +215,7 @@ _CARD_FEATURES = ["delta_time_decayed_elo", "delta_prior_fights", "delta_reach_i
     SELECT bout, DATE '2030-01-01' AS event_date, a::VARCHAR AS fighter_a_id, o::VARCHAR AS fighter_b_id, round(1 / (1 + pow(10, -d / 400)), 6) AS fighter_a_win_probability, round(1 - 1 / (1 + pow(10, -d / 400)), 6) AS fighter_b_win_probability,
         'rating_only' AS model_version, CASE WHEN reach IS NULL THEN 2 ELSE 3 END AS present_count, CASE WHEN reach IS NULL THEN 'delta_reach_in' ELSE '' END AS missing FROM c""")
 def predict_card(spark, sf_dir):
-    rows = bout_rows(spark, sf_dir)
+    rows = _kept_bouts(spark, sf_dir)
     people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("string").alias("fighter_id"), F.col("s_name").alias("full_name"), F.lit("ufcstats").alias("source"))
     bio = rows.select(F.col("fighter_id").cast("string").alias("fighter_id"), "dob", "height_in", "reach_in").distinct()
     card = rows.where("corner = 'red'").join(people.withColumn("fighter_id", F.col("fighter_id").cast("long")), "fighter_id")  # one side by its name, the other by its id
@@ -777,6 +782,33 @@ def scalar_parsers(spark, sf_dir):
     )
 
 
+@_query("""SELECT page_id, CASE WHEN link LIKE 'http%' THEN link WHEN link LIKE '/%' THEN regexp_extract(url, '^[a-z]+://[^/]+') || link ELSE regexp_extract(url, '^.*/') || link END AS link
+    FROM (SELECT page_id, regexp_replace(url, '^http:', 'https:') AS url, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) AS link FROM pages)""")
+def absolute_links(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", "^http:", "https:").alias("url"), F.explode(html.links(F.col("html"))).alias("link"))
+    return pages.select("page_id", X.absolute_url(F.col("url"), F.col("link")).alias("link"))
+
+
+@_query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"price":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE (o_orderkey % 7)::VARCHAR || '.5' END || ',"status":"' || o_orderstatus || '"}' AS record FROM orders WHERE o_orderdate::DATE < DATE '1998-01-01'""")
+def json_records_of_past_events(spark, sf_dir):
+    """Rows before a date as JSON texts, where a number that is none is null."""
+    price = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_orderkey") % 7 + 0.5)
+    orders = staging.past(table(spark, sf_dir, "orders").withColumn("event_date", F.col("o_orderdate").cast("date")), "1998-01-01")
+    rows = orders.select("o_orderkey", price.alias("price"), F.col("o_orderstatus").alias("status"))
+    return service.records(rows).select("o_orderkey", "record")
+
+
+@_query("""SELECT l_orderkey, l_linenumber, s_name, n_name, r_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
+    JOIN customer ON o_custkey = c_custkey WHERE s_nationkey = c_nationkey OR (o_orderstatus = 'F' AND l_returnflag = 'R')""")
+def join_chain_with_residual(spark, sf_dir):
+    """Five equi-joins, and a condition over two sides that only holds together (an OR), kept as a filter behind them."""
+    get = lambda t: table(spark, sf_dir, t)
+    lines = get("lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", "l_returnflag").join(get("orders").select("o_orderkey", "o_custkey", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sides = lines.join(get("supplier").select("s_suppkey", "s_name", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey")).join(get("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(get("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    met = sides.join(get("customer").select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey"))
+    return met.where("s_nationkey = c_nationkey or (o_orderstatus = 'F' and l_returnflag = 'R')").select("l_orderkey", "l_linenumber", "s_name", "n_name", "r_name")
+
+
 @_query("""SELECT year(o_orderdate)::INT AS year, count(*) AS fights FROM orders GROUP BY 1""")
 def fights_by_year(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy(F.year("o_orderdate").alias("year")).agg(F.count(F.lit(1)).alias("fights"))

@@ -132,6 +132,15 @@ def test_review_status_of_near_links_is_strict_on_demand(spark):
     assert audit.identity_checks(identity.review(rows, links, decided), decided.unionByName(decided.where("decision = 'approved'").withColumn("target_source_fighter_id", F.lit("2")))).where("status = 'fail'").count() == 1
 
 
+def test_review_targets_are_suggested_searched_and_marked(spark):
+    review = spark.createDataFrame([("9", "2, 3"), ("8", None)], "source_fighter_id string, candidate_source_fighter_ids string")
+    people = spark.createDataFrame([(str(k), f"Name {k}%") for k in range(1, 30)], "fighter_id string, full_name string")
+    no = spark.createDataFrame([("9", "5"), ("8", "6")], "source_fighter_id string, target_source_fighter_id string")
+    got = service.decision_targets(review, people, no, "9", "name").collect()
+    assert len(got) == 10 and [(r.fighter_id, r.suggested) for r in got[:3]] == [("2", True), ("3", True), ("1", False)]
+    assert service.decision_targets(review, people, no, "9", "5%").where("is_rejected").count() == 1 and service.decision_targets(review, people, no, "8").count() == 0
+
+
 def test_a_swap_that_was_cut_short_leaves_the_old_table(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     store.replace("t", spark.range(3))
