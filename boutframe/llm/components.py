@@ -11,6 +11,8 @@ from boutframe.session import materialize
 def components(edges: DataFrame) -> DataFrame:
     """``node, component`` (the smallest node that links reach) for every node of the edges ``a long, b long``."""
     both = materialize(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    if both.isEmpty():
+        return both.select(F.col("a").alias("node"), F.col("b").alias("component"))
     labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("c")).select(F.col("a").alias("node"), F.col("c").alias("component")), "labels")
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("component").alias("near"))

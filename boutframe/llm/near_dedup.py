@@ -325,6 +325,8 @@ def _clusters(corpus: _Corpus) -> DataFrame:
     for _ in range(ROUNDS):
         pairs = _stars(tokens, postings)
         pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "stars")
+        if pairs.isEmpty():
+            break
         links = materialize(_verified(pairs, corpus).select("a", "b"), "links")
         tried = pairs if tried is None else tried.unionByName(pairs)
         if links.isEmpty():
@@ -333,8 +335,9 @@ def _clusters(corpus: _Corpus) -> DataFrame:
         clusters = components(found)
         placed = postings.drop("cluster").join(clusters, postings["class"] == clusters["node"], "left").select("token", "class", "n", "own", "reach", F.coalesce("component", "class").alias("cluster"))
         tokens, postings = _shared(placed, "postings", "cluster")
-    rest = materialize(_across(postings).join(tried, ["a", "b"], "left_anti"), "across")
-    links = materialize(_verified(rest, corpus).select("a", "b"), "links")
+    rest = _across(postings)
+    rest = materialize(rest if tried is None else rest.join(tried, ["a", "b"], "left_anti"), "across")
+    links = rest if rest.isEmpty() else materialize(_verified(rest, corpus).select("a", "b"), "links")
     return components(links if found is None else found.unionByName(links))
 
 
