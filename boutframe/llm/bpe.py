@@ -274,10 +274,10 @@ class Encoder:
         self._trees = MergeTrees(self.vocabulary)
         self._names = [str(i) for i in range(max(self.vocabulary.bytes) + 1)]
         self._special = "|".join(re.escape(s) for s in self.vocabulary.special)
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
-        """An empty table: piece -> number, and each number's slice of the pool of ids."""
+    def forget(self) -> None:
+        """An empty table: piece -> number, and each number's slice of the pool of ids. Tasks call it at their end, as a worker lives on."""
         self._table: dict[str, int] = {}
         self._long: list[str] = []
         self._pool, self._starts, self._counts = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -354,7 +354,7 @@ class Encoder:
 
     def _group(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         if self._bytes + 200 * len(self._long) > CACHE_BYTES:
-            self._forget()
+            self.forget()
         array = pa.array([x or "" for x in texts], pa.large_string())
         odd = pc.match_substring_regex(array, f"{_ODD}|{self._special}" if self._special else _ODD)
         lists = pc.split_pattern(pc.binary_join_element_wise(pa.scalar(_MARK, pa.large_string()), array.filter(pc.invert(odd)), pa.scalar("", pa.large_string())), " ")
@@ -411,6 +411,7 @@ def bpe_encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "do
         for batch in batches:
             ids = [np.frombuffer(x, "<u4").tolist() for x in coder.packed(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([coder.decode(x) for x in ids], pa.string())], names=["doc_id", "ids", "decoded"])
+        coder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -430,5 +431,6 @@ def bpe_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "d
                 rows.append((len(ids), sha(coder.joined(ids).encode()), sha(coder.decode(ids).encode())))
             n, a, b = zip(*rows, strict=True) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        coder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -31,7 +31,7 @@ GRAM = 3
 LETTERS = 128
 SEED = 20_11
 BATCH_CHARS = 600_000
-BLOCK_GRAMS = 16384
+BLOCK_GRAMS = 8192
 BLOCK_LETTERS = 2_000_000
 MAX_LANGUAGES = 1_000
 #: A cosine up to so many standard deviations of the cosine of unrelated vectors (1 / sqrt(DIMENSIONS)) tells no language.

@@ -112,6 +112,7 @@ def pieces_of(docs: DataFrame, vocabulary: str | None = None, capacity: int = CA
                         start = stop
                     first += n
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [()] * 7, kinds, strict=True)], names=names)
+        coder.forget()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(run, PIECE)
 
