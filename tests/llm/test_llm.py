@@ -555,6 +555,20 @@ def test_licenses_are_found_inside_paragraphs_and_near_ones_are_told_apart(spark
         assert {x: got[k].license if got[k].kind in ("file", "header") else None for k, x in enumerate(cases)} == cases
 
 
+def test_real_notices_are_told_apart(spark):
+    cases = {
+        "GNU GENERAL PUBLIC LICENSE\n Version 2, June 1991\n\n Copyright (C) 1989, 1991 Free Software Foundation, Inc.": "GPL-2.0",
+        "This program is free software: you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of the License, or\n(at your option) any later version.": "GPL-3.0",
+        "This library is free software; you can redistribute it and/or\nmodify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License, or (at your option) any later version.": "LGPL-2.1",
+        "SPDX-License-Identifier: MIT": "MIT", "Mozilla Public License Version 2.0": "MPL-2.0", "Copyright (c) 2020 Foo Inc. All rights reserved.": "all-rights-reserved", "BSD 3-Clause License": "BSD-3-Clause", "MIT License": "MIT",
+        "Licensed to the Apache Software Foundation (ASF) under one\nor more contributor license agreements.  See the NOTICE file\ndistributed with this work for additional information\nregarding copyright ownership.  The ASF licenses this file\nto you under the Apache License, Version 2.0 (the\n\"License\"); you may not use this file except in compliance\nwith the License.": "Apache-2.0",
+        "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.": "ISC",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one at https://mozilla.org/MPL/2.0/.": "MPL-2.0",
+    }
+    got = by_id(licenses.scan(table(spark, list(cases)), F.concat(F.lit("d"), F.col("doc_id"), F.lit("/x.txt"))))
+    assert [got[k].license for k in range(len(cases))] == list(cases.values())
+
+
 # 7
 
 
