@@ -33,9 +33,9 @@ from pyspark.sql import functions as F
 
 from boutframe.session import ship
 
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 32 << 20
 KEPT_CHARS = 64
-GROUP_CHARS = 4_000_000
+GROUP_CHARS = 2_000_000
 #: The split that byte-level BPE files of this kind assume; a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _NO_PAIR = 1 << 62
