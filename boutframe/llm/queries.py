@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from boutframe.llm import bpe, langid, licenses, lm, media, near_dedup, packing, secrets, toxicity
+from boutframe.llm import bpe, langid, licenses, lm, media, near_dedup, packing, periodic_runs, pii, secrets, toxicity, vector_codes
 from boutframe.llm import exact_dedup as dedup
 
 
@@ -52,7 +52,25 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op2_ngram_jaccard, op3_lm_scoring, op4_media_columns, op5_secret_scan, op6_license_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing)}
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.find_runs(_documents(spark, sf_dir), plant=True)
+
+
+def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(_documents(spark, sf_dir))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_exact_dedup, op2_ngram_jaccard, op3_lm_scoring, op4_media_columns, op5_secret_scan, op6_license_scan, op7_language_id, op8_bpe, op9_toxicity, op10_best_fit_packing,
+        op11_periodic_runs, op12_pii, op13_vector_codes,
+    )
+}
 
 
 def queries() -> dict:
@@ -60,4 +78,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": dedup.oracle(), "op2_ngram_jaccard": near_dedup.oracle()}
+    return {"op1_exact_dedup": dedup.oracle(), "op2_ngram_jaccard": near_dedup.oracle(), "op13_vector_codes": vector_codes.oracle()}
