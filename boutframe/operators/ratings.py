@@ -1,23 +1,31 @@
 """Time-decayed Elo ratings. Everything of a date depends only on what was known before it.
 
-The fold is sequential in time along connected bouts. Up to ``MOST`` bouts, which is checked, it is one pass over a slim
-projection (an id, a date, two fighters and two flags a bout). Beyond that it runs date by date over a table of ratings keyed
-by fighter: a date's bouts look up their two fighters by joins, and the changed ratings are laid over the older ones, which are
-merged into one table every ``COMPACT`` dates. A column of components, where one is known, folds components apart.
+A rating depends on the fighter's earlier ratings and on those of all opponents, so a table folded in order of time is one chain.
+It is folded in bins of fighters instead: a bin goes through its fighters' bouts in order of dates with their true ratings, and
+takes the ratings of opponents in other bins from the round before (at first, the initial one). A bout is right as soon as the
+bouts that it rests on are, so rounds end at the latest after as many as the longest chain of bouts; as an opponent's error counts
+for less than a twentieth in a new rating, about twenty rounds do, whatever the number of dates. They end when a round changes no
+bit of a rating across bins: then every bout has been computed from true ratings by the formulas of the plain fold, so the
+rows equal its rows to the bit. ``PER_BIN`` bouts a bin are aimed at, so bins grow with the table; a table of fewer bouts needs one
+round.
+
+A bin is streamed in order of dates by one task, which holds the ratings of the bin's fighters only. A fighter's own bouts are a
+chain that cannot be cut, so one who has a third of all bouts takes the time of these in each round, but no more memory.
 """
 
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from boutframe.session import materialize, ship
+from boutframe.session import drop_scratch, materialize, ship
 
 INITIAL, K, HALF_LIFE = 1500.0, 32.0, 730.0
-MOST = 2_000_000
-COMPACT = 20
+PER_BIN = 50_000
 RATED = ("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo", "post_elo")
 
 
@@ -29,116 +37,111 @@ def decayed(rating: float, days: int | None) -> float:
     return rating if days is None else INITIAL + (rating - INITIAL) * 0.5 ** (max(0, days) / HALF_LIFE)
 
 
-def fold(bouts: pd.DataFrame) -> pd.DataFrame:
-    """``fight_id, event_date, blue, red, blue_won, decided`` of one component to a row a side, in order of dates.
+class Fold:
+    """Ratings of fighters in order of time. Of several bouts of a fighter on one date all start from the rating before it; the
+    later ones are not decayed again, and the last decided one sets the rating after it."""
+
+    def __init__(self):
+        self.rating: dict = {}
+        self.seen: dict = {}
+        self.after: dict = {}
+        self.today = None
+
+    def start(self, date) -> None:
+        if date != self.today:
+            self.rating.update(self.after)
+            self.after, self.today = {}, date
+
+    def before(self, fighter) -> tuple[float, float]:
+        """The rating before today, as it was and decayed."""
+        raw, last = self.rating.get(fighter, INITIAL), self.seen.get(fighter)
+        return raw, decayed(raw, None if last is None else (self.today - last).days)
 
-    Of several bouts of a fighter on one date all start from the rating before it; the later ones are not decayed again,
-    and the last decided one sets the rating after it.
-    """
+    def bout(self, date, blue, red, blue_won, decided, here=(True, True), known=(None, None)):
+        """Of blue and red: rating before, decayed, chance, opponent's, rating after (or None). ``known`` stands for who is not ``here``."""
+        self.start(date)
+        raw, own = zip(*(self.before(f) if h else (None, INITIAL if k is None else k) for f, h, k in zip((blue, red), here, known, strict=True)), strict=True)
+        chance = expected(own[0], own[1])
+        new = (own[0] + K * (float(blue_won) - chance), own[1] + K * (float(not blue_won) - (1 - chance))) if decided else (None, None)
+        for fighter, h, rating in zip((blue, red), here, new, strict=True):
+            if h:
+                self.seen[fighter] = date
+                if rating is not None:
+                    self.after[fighter] = rating
+        return (raw[0], own[0], chance, own[1], new[0]), (raw[1], own[1], 1 - chance, own[0], new[1])
+
+
+def fold(bouts: pd.DataFrame) -> pd.DataFrame:
+    """``fight_id, event_date, blue, red, blue_won, decided`` to a row a side, in order of dates: the plain fold of a small table."""
+    state, out = Fold(), []
     bouts = bouts.sort_values(["event_date", "fight_id"], kind="stable")
-    rating: dict = {}
-    seen: dict = {}
-    after: dict = {}
-    out, today = [], None
     for fight, date, blue, red, won, decided in zip(*(bouts[c].tolist() for c in ("fight_id", "event_date", "blue", "red", "blue_won", "decided")), strict=True):
-        if date != today:
-            rating.update(after)
-            after, today = {}, date
-        raw = [rating.get(blue, INITIAL), rating.get(red, INITIAL)]
-        own = [decayed(r, (date - seen[f]).days if f in seen else None) for f, r in zip((blue, red), raw, strict=True)]
-        chance = expected(own[0], own[1])
-        seen[blue] = seen[red] = date
-        new = [None, None]
-        if decided:
-            new = [own[0] + K * (float(won) - chance), own[1] + K * (float(not won) - (1 - chance))]
-            after[blue], after[red] = new
-        out.append((fight, blue, raw[0], own[0], chance, own[1], new[0], date))
-        out.append((fight, red, raw[1], own[1], 1 - chance, own[0], new[1], date))
+        sides = state.bout(date, blue, red, won, decided)
+        out += [(fight, f, *side, date) for f, side in zip((blue, red), sides, strict=True)]
     return pd.DataFrame(out, columns=["fight_id", "fighter_id", *RATED, "event_date"])
 
 
 def bout_pairs(rows: DataFrame) -> DataFrame:
-    """One slim row for each bout with exactly two sides; blue is first."""
+    """One slim row for each dated bout with exactly two sides; blue is first."""
     side = lambda corner, c: F.max(F.when(F.col("corner") == corner, F.col(c)))
     pairs = rows.groupBy("fight_id").agg(
         F.count(F.lit(1)).alias("sides"), F.first("event_date").alias("event_date"), side("blue", "fighter_id").alias("blue"), side("red", "fighter_id").alias("red"),
         side("blue", "winner_flag").alias("blue_won"), side("red", "winner_flag").alias("red_won"), F.bool_or(F.col("outcome").isin("D", "NC")).alias("open"),
     )
     decided = ~F.coalesce("open", F.lit(False)) & F.coalesce(F.col("blue_won") != F.col("red_won"), F.lit(False))
-    return pairs.where("sides = 2 and blue is not null and red is not null").select("fight_id", "event_date", "blue", "red", F.coalesce("blue_won", F.lit(False)).alias("blue_won"), decided.alias("decided"))
+    return pairs.where("sides = 2 and blue is not null and red is not null and event_date is not null").select("fight_id", "event_date", "blue", "red", F.coalesce("blue_won", F.lit(False)).alias("blue_won"), decided.alias("decided"))
 
 
 def _schema(pairs: DataFrame) -> T.StructType:
-    """Ids keep the types that they have in the input."""
+    """Ids keep the types that they have in the input. ``first``: the blue side; ``across``: the other side is of another bin; ``moved``: not as in the round before."""
     kinds = {f.name: f.dataType for f in pairs.schema}
     numbers = [T.StructField(c, T.DoubleType()) for c in RATED]
-    return T.StructType([T.StructField("fight_id", kinds["fight_id"]), T.StructField("fighter_id", kinds["blue"]), *numbers, T.StructField("event_date", T.DateType())])
+    flags = [T.StructField(c, T.BooleanType()) for c in ("first", "across", "moved")]
+    return T.StructType([T.StructField("fight_id", kinds["fight_id"]), T.StructField("fighter_id", kinds["blue"]), *numbers, T.StructField("event_date", T.DateType()), *flags])
+
+
+_READ = ("bin", "fight_id", "event_date", "blue", "red", "blue_won", "decided", "blue_here", "red_here", "blue_known", "red_known")
+
+
+def _fold_bins(kinds: list):
+    """Bouts in order of bins, dates and ids to a row for each side that is of the bin."""
+
+    def run(batches):
+        bin_, state = None, Fold()
+        for batch in batches:
+            rows = []
+            for at, fight, date, blue, red, won, decided, *rest in zip(*(batch.column(c).to_pylist() for c in _READ), strict=True):
+                if at != bin_:
+                    bin_, state = at, Fold()
+                here, known = rest[:2], rest[2:]
+                sides = state.bout(date, blue, red, won, decided, here, known)
+                rows += [(fight, f, *side, date, k == 0, not all(here), side[1] != known[k]) for k, (f, side) in enumerate(zip((blue, red), sides, strict=True)) if here[k]]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
+
+    return run
 
 
-def rate(rows: DataFrame, group: str | None = None, most: int = MOST) -> DataFrame:
-    """Ratings before each bout, a row a side. ``group`` names a column that holds each bout's component, to fold components apart."""
+def rate(rows: DataFrame, per_bin: int = PER_BIN) -> DataFrame:
+    """Ratings before each bout, a row a side."""
     ship(rows.sparkSession)
-    if group is not None:
-        pairs = bout_pairs(rows).join(rows.select("fight_id", F.col(group).alias("component")).distinct(), "fight_id")
-        return pairs.groupBy("component").applyInPandas(lambda pdf: fold(pdf), _schema(pairs))
     pairs = materialize(bout_pairs(rows), "bouts")
-    if pairs.count() > most:
-        return rate_by_date(pairs)
-    return pairs.withColumn("component", F.lit(0)).groupBy("component").applyInPandas(lambda pdf: fold(pdf), _schema(pairs))
-
-
-def rate_by_date(pairs: DataFrame) -> DataFrame:
-    """The same rows as :func:`rate` from ``bout_pairs``, by joins with a table of ratings; no task holds more than its share of a date."""
-    columns = ["fight_id", "event_date", "decided"]
-    sides = pairs.select(*columns, F.col("blue").alias("fighter_id"), F.col("red").alias("other"), F.col("blue_won").alias("won"), F.lit(True).alias("first"))
-    sides = sides.unionByName(pairs.select(*columns, F.col("red").alias("fighter_id"), F.col("blue").alias("other"), (~F.col("blue_won")).alias("won"), F.lit(False).alias("first")))
-    day = Window.partitionBy("fighter_id", "event_date")
-    sides = sides.withColumns({"later": F.row_number().over(day.orderBy("fight_id")) > 1, "last": F.col("fight_id") == F.max(F.when(F.col("decided"), F.col("fight_id"))).over(day)})
-    sides = materialize(sides.repartitionByRange("event_date").sortWithinPartitions("event_date"), "sides")  # a date's rows stand together, so a filter by date reads little
-    dates = [r["event_date"] for r in sides.select("event_date").distinct().orderBy("event_date").collect()]  # days: a few ten thousand at most
-    state, recent, done = None, [], []
-
-    def ratings_now():
-        tables = ([state] if state is not None else []) + recent
-        if not tables:
-            return None
-        every = tables[0]
-        for table in tables[1:]:
-            every = every.unionByName(table)
-        return every.groupBy("fighter_id").agg(F.max_by("rating", F.col("at")).alias("rating"), F.max("at").alias("at"))
-
-    for n, date in enumerate(dates):
-        now, today = ratings_now(), sides.where(F.col("event_date") == F.lit(date))
-        for key, rating, at in (("fighter_id", "raw", "seen"), ("other", "other_raw", "other_seen")):
-            if now is None:
-                today = today.withColumns({rating: F.lit(None).cast("double"), at: F.lit(None).cast("date")})
-            else:
-                today = today.join(now.select(F.col("fighter_id").alias(key), F.col("rating").alias(rating), F.col("at").alias(at)), key, "left")
-        late = today.select("fight_id", F.col("fighter_id").alias("other"), F.col("later").alias("other_later"))
-        today = today.join(late, ["fight_id", "other"])
-        fade = lambda r, at, later: F.when(F.col(later) | F.col(at).isNull(), F.coalesce(r, F.lit(INITIAL))).otherwise(INITIAL + (F.col(r) - INITIAL) * F.pow(F.lit(0.5), F.datediff("event_date", at) / HALF_LIFE))
-        today = today.withColumns({"own": fade("raw", "seen", "later"), "opp": fade("other_raw", "other_seen", "other_later")})
-        blue = 1 / (1 + F.pow(F.lit(10.0), F.when(F.col("first"), F.col("opp") - F.col("own")).otherwise(F.col("own") - F.col("opp")) / 400))
-        today = today.withColumn("chance", F.when(F.col("first"), blue).otherwise(1 - blue))
-        new = F.when(F.col("decided"), F.col("own") + K * (F.col("won").cast("double") - F.col("chance")))
-        rated = materialize(today.select(
-            "fight_id", "fighter_id", F.coalesce("raw", F.lit(INITIAL)).alias("pre_fight_elo"), F.col("own").alias("time_decayed_elo"), F.col("chance").alias("elo_expected_win_prob"),
-            F.col("opp").alias("opponent_pre_fight_elo"), new.alias("post_elo"), "event_date", F.coalesce("last", F.lit(False)).alias("last")), "rated")
-        changed = rated.groupBy("fighter_id").agg(F.coalesce(F.max(F.when(F.col("last"), F.col("post_elo"))), F.max("pre_fight_elo")).alias("rating"), F.max("event_date").alias("at"))
-        recent.append(changed)
-        done.append(rated.drop("last"))
-        if len(recent) == COMPACT:
-            state, recent = materialize(ratings_now(), "ratings"), []
-        if len(done) == COMPACT:
-            done = [materialize(_union(done), "rated")]
-    return _union(done) if done else pairs.sparkSession.createDataFrame([], _schema(pairs))
-
-
-def _union(tables: list[DataFrame]) -> DataFrame:
-    whole = tables[0]
-    for table in tables[1:]:
-        whole = whole.unionByName(table)
-    return whole
+    bins, schema = max(1, -(-pairs.count() // per_bin)), _schema(pairs)
+    fold_bins = _fold_bins([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
+    bin_of = lambda side: F.pmod(F.xxhash64(side), F.lit(bins))
+    bouts = pairs.withColumns({"blue_bin": bin_of("blue"), "red_bin": bin_of("red")})
+    known, last = bouts.withColumns({"blue_known": F.lit(None).cast("double"), "red_known": F.lit(None).cast("double")}), None
+    while True:
+        seen_by = known.withColumn("bin", F.explode(F.array_distinct(F.array("blue_bin", "red_bin"))))
+        seen_by = seen_by.withColumns({"blue_here": F.col("blue_bin") == F.col("bin"), "red_here": F.col("red_bin") == F.col("bin")}).select(*_READ)
+        streams = seen_by.repartition(bins, "bin").sortWithinPartitions("bin", "event_date", "fight_id")
+        rated = materialize(streams.mapInArrow(fold_bins, schema), "rated")
+        if last is not None:
+            drop_scratch(last)
+        if bins == 1 or rated.where("across and moved").isEmpty():
+            return rated.drop("first", "across", "moved")
+        own = lambda blue: F.max(F.when(F.col("first") == F.lit(blue), F.col("time_decayed_elo")))
+        across = rated.where("across").groupBy("fight_id").agg(own(True).alias("blue_known"), own(False).alias("red_known"))
+        known, last = bouts.join(across, "fight_id", "left"), rated
 
 
 def final_ratings(rated: DataFrame) -> DataFrame:

@@ -56,21 +56,20 @@ def test_snapshot_decays_to_its_date(rows):
     assert got[1].rating == 1516.0 and math.isclose(got[2].decayed_rating, 1500 - 16 * 0.5 ** (31 / 730))
 
 
-def test_ratings_by_date_equal_the_fold_and_take_any_ids(spark):
+@pytest.mark.parametrize("per_bin", [9, 60])
+def test_ratings_in_bins_equal_the_plain_fold_and_take_any_ids(spark, per_bin):
     rng, out = random.Random(4), []
     for n in range(60):
         a, b = rng.sample(range(9), 2)
         won, draw = rng.random() < 0.5, rng.random() < 0.2
         for corner, own, other, w in (("blue", a, b, won), ("red", b, a, not won)):
             out.append((f"f{n:03}", day(n // 3 + 1), corner, f"s:{own}", f"s:{other}", not draw and w, "D" if draw else "W" if w else "L"))
-    df = spark.createDataFrame(out, "fight_id string, event_date date, corner string, fighter_id string, opponent_id string, winner_flag boolean, outcome string")
-    folded, apart, dated = ratings.rate(df), ratings.rate(df.withColumn("part", F.lit("x")), "part"), ratings.rate(df, most=0)
-    take = lambda x: {(r.fight_id, r.fighter_id): [r[c] for c in ratings.RATED] for r in x.collect()}
-    want = take(folded)
-    assert len(want) == 120 and take(apart) == want
-    for key, values in take(dated).items():
-        assert all((a is None) == (b is None) and (a is None or math.isclose(a, b, rel_tol=1e-12)) for a, b in zip(values, want[key], strict=True))
-    assert ratings.rate_by_date(ratings.bout_pairs(df.where("false"))).count() == 0
+    out += [("f900", None, corner, f"s:{k}", f"s:{1 - k}", k == 0, "W" if k == 0 else "L") for k, corner in enumerate(("blue", "red"))]  # without a date: not rated
+    df = spark.createDataFrame(out, "fight_id string, event_date date, corner string, fighter_id string, opponent_id string, winner_flag boolean, outcome string").repartition(3)
+    take = lambda rows: {(r["fight_id"], r["fighter_id"]): [None if r[c] != r[c] else r[c] for c in ratings.RATED] for r in rows}
+    want = take(ratings.fold(ratings.bout_pairs(df).toPandas()).to_dict("records"))
+    assert len(want) == 120 and take(ratings.rate(df, per_bin=per_bin).collect()) == want  # to the bit
+    assert ratings.rate(df.where("false"), per_bin=per_bin).count() == 0
 
 
 def test_ratings_skip_bouts_without_two_sides(spark, rows):
