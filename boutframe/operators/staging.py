@@ -50,5 +50,16 @@ def search_buckets(names: DataFrame, candidates: DataFrame, key: str = "name_key
 
 
 def past(rows: DataFrame, today, date: str = "event_date") -> DataFrame:
-    """Rows dated before ``today``; events still to come, and those without a date, are left out."""
-    return rows.where(F.col(date) < F.lit(today).cast("date"))
+    """Rows that aren't dated after ``today``; of rows without a date nothing says that they are still to come, so they stay."""
+    return rows.where(F.coalesce(F.col(date) <= F.lit(today).cast("date"), F.lit(True)))
+
+
+def merged(rows: DataFrame, keys: list[str], rank: Column, columns: list[str] | None = None) -> DataFrame:
+    """Of the rows of each key the one with the largest ``rank``, by one aggregation that keeps one row a key and task.
+
+    Last wins with the order itself as rank, first wins with the smallest of the negated order; a struct ranks by kind, then order.
+    ``columns`` are those that the result has besides the keys.
+    """
+    columns = columns or [c for c in rows.columns if c not in keys]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*columns), rank).alias("best"))
+    return best.select(*keys, *[F.col("best")[c].alias(c) for c in columns])

@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from boutframe.functions import text as X
 from boutframe.operators import audit, dataset, evaluate, history, identity, models, ratings, service, staging
+from boutframe.plans import page_trees
 from boutframe.plans.bouts import BOUTS, EARLIER, bout_rows, table
-from boutframe.schemas import columns, conform
+from boutframe.schemas import STAGING, columns, conform
 from boutframe.session import materialize
-from boutframe.sources import html
+from boutframe.sources import bout_pages, html, result_pages
 from boutframe.sources.store import matches, upserted
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -789,7 +791,7 @@ def absolute_links(spark, sf_dir):
     return pages.select("page_id", X.absolute_url(F.col("url"), F.col("link")).alias("link"))
 
 
-@_query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"price":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE (o_orderkey % 7)::VARCHAR || '.5' END || ',"status":"' || o_orderstatus || '"}' AS record FROM orders WHERE o_orderdate::DATE < DATE '1998-01-01'""")
+@_query("""SELECT o_orderkey, '{"o_orderkey":' || o_orderkey || ',"price":' || CASE WHEN o_orderkey % 3 = 0 THEN 'null' ELSE (o_orderkey % 7)::VARCHAR || '.5' END || ',"status":"' || o_orderstatus || '"}' AS record FROM orders WHERE o_orderdate::DATE <= DATE '1998-01-01'""")
 def json_records_of_past_events(spark, sf_dir):
     """Rows before a date as JSON texts, where a number that is none is null."""
     price = F.when(F.col("o_orderkey") % 3 == 0, F.lit(float("nan"))).otherwise(F.col("o_orderkey") % 7 + 0.5)
@@ -818,3 +820,70 @@ def fights_by_year(spark, sf_dir):
 def top_n_per_group(spark, sf_dir):
     rank = F.row_number().over(history.Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
     return table(spark, sf_dir, "orders").withColumn("k", rank).where("k <= 3").select("o_custkey", "o_orderkey", "o_totalprice")
+
+
+# whole trees of pages
+
+
+@_query(f"""{page_trees.PAGES} SELECT own AS fight_id, of AS event_id, CASE outcome WHEN 'W' THEN fighter_id WHEN 'L' THEN opponent_id END::VARCHAR AS winner_id, method, (1 + fight_id % 5)::INT AS round, clock AS time,
+    CASE layout % 4 WHEN 0 THEN 'position' WHEN 1 THEN 'label' ELSE 'neighbour' END AS method_by, CASE layout % 4 WHEN 0 THEN 'position' WHEN 1 THEN 'label' ELSE 'pattern' END AS round_by,
+    CASE layout % 4 WHEN 0 THEN 'position' ELSE 'pattern' END AS time_by FROM known""")
+def parsed_fights(spark, sf_dir):
+    """Bouts of event pages in three layouts, with the extractor that each field was read by."""
+    fights = bout_pages.parse_all(page_trees.stat_pages(spark, sf_dir), page_trees.TODAY)["fights"]
+    return fights.select("fight_id", "event_id", "winner_id", "method", "round", "time", "method_by", "round_by", "time_by")
+
+
+@_query(f"""{page_trees.PAGES}, s AS (SELECT own, of, fight_id, fighter_id AS me, opponent_id AS other, 'red' AS corner, outcome AS o FROM known UNION ALL SELECT own, of, fight_id, opponent_id, fighter_id, 'blue', swapped FROM known)
+    SELECT own AS fight_id, of AS event_id, me::VARCHAR AS fighter_id, other::VARCHAR AS opponent_id, corner, 'Fighter S' || me AS full_name,
+        CASE WHEN fight_id % 9 = 0 AND fight_id % 15 <> 0 THEN false ELSE o = 'W' END AS winner_flag, CASE WHEN fight_id % 9 = 0 AND fight_id % 15 <> 0 THEN 'NC' ELSE o END AS outcome FROM s""")
+def parsed_participants(spark, sf_dir):
+    """Sides of event rows, replaced by those of a bout's own page where that can be read."""
+    sides = bout_pages.parse_all(page_trees.stat_pages(spark, sf_dir), page_trees.TODAY)["fight_participants"]
+    return sides.select("fight_id", "event_id", "fighter_id", "opponent_id", "corner", "full_name", "winner_flag", "outcome")
+
+
+@_query(f"""{page_trees.PAGES}, s AS (SELECT * FROM known WHERE fight_id % 3 = 0 AND fight_id % 15 <> 0)
+    SELECT own AS fight_id, of AS event_id, fighter_id::VARCHAR AS fighter_id, 'red' AS corner, (fight_id % 3)::INT AS kd, td_landed::INT AS sig_str_landed, td_attempted::INT AS sig_str_attempted, NULL::INT AS td_landed, NULL::INT AS td_attempted,
+        (fight_sec::BIGINT % 300)::INT AS ctrl_sec FROM s
+    UNION ALL SELECT own, of, opponent_id::VARCHAR, 'blue', (fight_id % 2)::INT, NULL, NULL, td_landed::INT, td_attempted::INT, 5 FROM s""")
+def parsed_stats(spark, sf_dir):
+    """Totals of the bouts' own pages, under the events that list the bouts."""
+    stats = bout_pages.parse_all(page_trees.stat_pages(spark, sf_dir), page_trees.TODAY)["fighter_fight_stats"]
+    return stats.select("fight_id", "event_id", "fighter_id", "corner", "kd", "sig_str_landed", "sig_str_attempted", "td_landed", "td_attempted", "ctrl_sec")
+
+
+@_query(f"""{page_trees.PAGES} SELECT 'events' AS kind, event::VARCHAR AS entity_id, 'event without a name or a date' AS reason FROM ev WHERE event % 20 = 7
+    UNION ALL SELECT 'events', event::VARCHAR, 'fight ' || fight_id || ' without a method, round or time' FROM x WHERE layout = 3 AND event % 20 <> 7
+    UNION ALL SELECT 'fights', own, 'fight ' || fight_id || ' without two fighters' FROM known WHERE fight_id % 15 = 0""")
+def parsed_quarantine(spark, sf_dir):
+    """Pages and rows that cannot be read, with the reason; everything else of a page with a broken row is kept."""
+    return bout_pages.parse_all(page_trees.stat_pages(spark, sf_dir), page_trees.TODAY)["quarantine"]
+
+
+@_query("""WITH s AS (SELECT o_custkey AS c, max(o_orderkey) AS page FROM orders GROUP BY 1), p AS (SELECT c_custkey AS c, CASE WHEN c_custkey % 2 = 0 THEN DATE '1980-01-01' + (c_custkey % 5000)::INT END AS dob FROM customer WHERE c_custkey % 3 <> 0)
+    SELECT 'fighters' AS kind, coalesce(s.c, p.c)::VARCHAR AS id, CASE WHEN s.c IS NULL OR p.dob IS NOT NULL THEN 'profile ' || p.c ELSE 'stub ' || s.page END AS value, CASE WHEN s.c IS NULL OR p.dob IS NOT NULL THEN p.dob END AS day FROM s FULL JOIN p USING (c)
+    UNION ALL SELECT 'events', (o_orderkey % 1000)::VARCHAR, 'event ' || max(o_orderkey), NULL FROM orders WHERE o_orderdate::DATE <= DATE '1997-01-01' GROUP BY o_orderkey % 1000
+    UNION ALL SELECT 'participants', l_orderkey::VARCHAR || ' ' || l_suppkey, 'line ' || min(l_linenumber), NULL FROM lineitem GROUP BY l_orderkey, l_suppkey""")
+def merged_sources(spark, sf_dir):
+    """The precedence of the source tables: last pages of events, first rows of sides, profiles with a birth date over stubs over profiles without."""
+    orders, lines, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "customer")
+    text = lambda word, c: F.concat(F.lit(word + " "), F.col(c).cast("string"))
+    own = F.lit("sherdog").alias("source")
+    events = conform(orders.select(own, (F.col("o_orderkey") % 1000).cast("string").alias("source_event_id"), text("event", "o_orderkey").alias("name"), F.col("o_orderdate").cast("date").alias("event_date"), F.col("o_orderkey").alias("page")), _with_page("source_events"))
+    sides = conform(lines.select(own, F.col("l_orderkey").cast("string").alias("source_fight_id"), F.col("l_suppkey").cast("string").alias("source_fighter_id"), F.lit("red").alias("corner"), text("line", "l_linenumber").alias("full_name"), F.col("l_linenumber").cast("long").alias("page")), _with_page("source_fight_participants"))
+    stubs = conform(orders.select(own, F.col("o_custkey").cast("string").alias("source_fighter_id"), text("stub", "o_orderkey").alias("full_name"), F.col("o_orderkey").alias("page")), _with_page("source_fighters"))
+    born = F.when(F.col("c_custkey") % 2 == 0, F.date_add(F.lit("1980-01-01").cast("date"), (F.col("c_custkey") % 5000).cast("int")))
+    profiles = conform(customers.where("c_custkey % 3 <> 0").select(own, F.col("c_custkey").cast("string").alias("source_fighter_id"), text("profile", "c_custkey").alias("full_name"), born.alias("dob"), F.col("c_custkey").alias("page")), _with_page("source_fighters"))
+    fights = conform(events.where("false").select("source"), _with_page("source_fights"))
+    found = result_pages.merge_sources(events, fights, sides, stubs, profiles, "1997-01-01")
+    show = lambda kind, key, value, day=F.lit(None).cast("date"): found[kind[0]].select(F.lit(kind[1]).alias("kind"), key.alias("id"), F.col(value).alias("value"), day.alias("day"))
+    return (
+        show(("source_fighters", "fighters"), F.col("source_fighter_id"), "full_name", F.col("dob"))
+        .unionByName(show(("source_events", "events"), F.col("source_event_id"), "name"))
+        .unionByName(show(("source_fight_participants", "participants"), F.concat_ws(" ", "source_fight_id", "source_fighter_id"), "full_name"))
+    )
+
+
+def _with_page(name: str):
+    return T.StructType([*STAGING[name].fields, T.StructField("page", T.LongType())])

@@ -1,7 +1,7 @@
-"""HTML pages as rows: titles, links and table cells by built-in expressions, and whole pages of the two sites by a parser.
+"""HTML pages as rows: titles, links and table cells by built-in expressions, and pages of the results site by lines.
 
 Simple extractions stay in the JVM. Pages that need their structure go through ``mapInPandas`` with the standard library's
-parser, which turns a page into lines of text and links; the rules over those lines are data.
+parser, which turns a page into lines of text and links. Whole trees of pages are read in ``bout_pages`` and ``result_pages``.
 """
 
 from __future__ import annotations
@@ -86,113 +86,6 @@ class Page(HTMLParser):
 
 
 _OUTCOMES = {"w": "W", "win": "W", "l": "L", "loss": "L", "d": "D", "draw": "D", "nc": "NC"}
-_EVENT, _FIGHT, _FIGHTER = (re.compile(rf"{x}-details/([A-Za-z0-9]+)") for x in ("event", "fight", "fighter"))
-_PAIR = re.compile(r"(\d+)\s+of\s+(\d+)")
-_DATE = re.compile(r"([A-Z][a-z]+ \d{1,2},? \d{4})")
-FIGHTS = "fight_id string, event_id string, winner_id string, method string, round int, time string, url string"
-SIDES = "fight_id string, event_id string, fighter_id string, opponent_id string, corner string, full_name string, winner_flag boolean, outcome string"
-EVENTS = "event_id string, name string, event_date_text string, location string, url string"
-STATS = "fight_id string, event_id string, fighter_id string, opponent_id string, corner string, kd int, sig_str_landed int, sig_str_attempted int, td_landed int, td_attempted int, sub_att int, ctrl_sec int"
-BIO = "fighter_id string, full_name string, height_text string, weight_text string, reach_text string, stance string, dob_text string"
-
-
-def index_events(html: str) -> list[dict]:
-    """Events of an index page, each once: link, date in the row, last cell as the place."""
-    out: dict[str, dict] = {}
-    for row in Page(html).rows:
-        for text, hrefs in row:
-            for href in hrefs:
-                if (m := _EVENT.search(href)) and m[1] not in out:
-                    date = next((d[1] for t, _ in row if (d := _DATE.search(t))), None)
-                    out[m[1]] = {"event_id": m[1], "name": _DATE.sub("", text).strip(), "event_date_text": date, "location": row[-1][0] if len(row) > 1 else None, "url": href}
-    return list(out.values())
-
-
-def event_bouts(html: str, event_id: str) -> tuple[list[dict], list[dict]]:
-    """Fights and sides of an event page; a winner is named only where one side won and the other lost, in this order or the other."""
-    fights, sides = [], []
-    for row in Page(html).rows:
-        hrefs = [h for _, hs in row for h in hs]
-        fight = next((m[1] for h in hrefs if (m := _FIGHT.search(h))), None)
-        ids = list(dict.fromkeys(m[1] for h in hrefs if (m := _FIGHTER.search(h))))
-        if not fight or len(ids) != 2:
-            continue
-        tokens = [_OUTCOMES[t.lower()] for text, _ in row[:1] for t in text.split() if t.lower() in _OUTCOMES][:2]
-        winner = ids[0] if tokens == ["W", "L"] else ids[1] if tokens == ["L", "W"] else None
-        texts = [t for t, _ in row]
-        clock = next((t for t in texts if re.fullmatch(r"\d+:\d{2}", t)), None)
-        at = texts.index(clock) if clock else len(texts)
-        round_ = int(texts[at - 1]) if at and texts[at - 1 : at] and texts[at - 1].isdigit() else None
-        fights.append({"fight_id": fight, "event_id": event_id, "winner_id": winner, "method": texts[at - 2] if at >= 2 and clock else None, "round": round_, "time": clock, "url": next(h for h in hrefs if _FIGHT.search(h))})
-        names = _names(html, ids)
-        for k, own in enumerate(ids):
-            outcome = tokens[k] if len(tokens) == 2 else None
-            sides.append({"fight_id": fight, "event_id": event_id, "fighter_id": own, "opponent_id": ids[1 - k], "corner": ("red", "blue")[k], "full_name": names.get(own), "winner_flag": None if outcome is None else outcome == "W", "outcome": outcome})
-    return fights, sides
-
-
-def _names(html: str, ids: list[str]) -> dict[str, str]:
-    return {m[1]: text for href, text in reversed(Page(html).links) if (m := _FIGHTER.search(href)) and m[1] in ids and text}
-
-
-def fight_stats(html: str, fight_id: str, event_id: str) -> list[dict]:
-    """Both sides' totals of a fight page: the first row below headers whose cells hold two values each."""
-    page, out = Page(html), []
-    head: list[str] = []
-    for row in page.rows:
-        texts = [t for t, _ in row]
-        ids = list(dict.fromkeys(m[1] for _, hs in row for h in hs if (m := _FIGHTER.search(h))))
-        if not ids:
-            head = [t.lower() for t in texts] or head
-            continue
-        if len(ids) != 2 or not head:
-            continue
-        column = lambda key: next((texts[k] for k, h in enumerate(head) if key in h and k < len(texts)), "")
-        for k, own in enumerate(ids):
-            pair = lambda key: (_PAIR.findall(column(key)) + [(None, None)] * 2)[k]
-            single = lambda key, k=k: (re.findall(r"-?\d+", column(key)) + [None] * 2)[k]
-            clocks = re.findall(r"(\d+):(\d{2})", column("ctrl"))
-            sig, td = pair("sig. str"), pair("td")
-            number = lambda x: None if x is None else int(x)
-            out.append({
-                "fight_id": fight_id, "event_id": event_id, "fighter_id": own, "opponent_id": ids[1 - k], "corner": ("red", "blue")[k], "kd": number(single("kd")),
-                "sig_str_landed": number(sig[0]), "sig_str_attempted": number(sig[1]), "td_landed": number(td[0]), "td_attempted": number(td[1]),
-                "sub_att": number(single("sub")), "ctrl_sec": int(clocks[k][0]) * 60 + int(clocks[k][1]) if k < len(clocks) else None,
-            })
-        return out
-    return out
-
-
-def fighter_bio(html: str, fighter_id: str) -> dict:
-    """Label and value pairs of a fighter page; blanks and dashes are missing."""
-    text = {}
-    lines = Page(html).lines
-    for line in lines:
-        if m := re.match(r"(?i)(height|weight|reach|stance|dob):\s*(.*)$", line):
-            text.setdefault(m[1].lower(), None if m[2].strip() in ("", "--") else m[2].strip())
-    name = re.sub(r"(?i)\s*Record:.*$", "", lines[0]) if lines else None
-    return {"fighter_id": fighter_id, "full_name": name} | {f"{k}_text" if k != "stance" else k: text.get(k) for k in ("height", "weight", "reach", "stance", "dob")}
-
-
-def parse(pages: DataFrame, kind: str) -> DataFrame:
-    """Rows of pages ``entity_id, html``. kind: events, fights, sides, stats or fighters."""
-    ship(pages.sparkSession)
-    schema = {"events": EVENTS, "fights": FIGHTS, "sides": SIDES, "stats": STATS, "fighters": BIO}[kind]
-    columns = [c.split()[0] for c in schema.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for own, html in zip(pdf["entity_id"], pdf["html"], strict=True):
-                rows += {
-                    "events": lambda: index_events(html), "fights": lambda: event_bouts(html, own)[0], "sides": lambda: event_bouts(html, own)[1],
-                    "stats": lambda: fight_stats(html, own, None), "fighters": lambda: [fighter_bio(html, own)],
-                }[kind]()
-            yield pd.DataFrame(rows, columns=columns).astype(object).where(lambda x: x.notna(), None)
-
-    return pages.select("entity_id", "html").mapInPandas(run, schema)
-
-
 # The results site: cards with a main event and a table of further bouts, organisation pages, fighter pages.
 
 _SLUG = re.compile(r"-(\d+)/?$")

@@ -265,23 +265,6 @@ def test_pages_filters_and_names(spark):
     assert [r.fighter_id for r in service.search(people, "ann l").collect()] == ["a", "b"]
 
 
-FIGHT_ROW = "<tr><td><p>W L</p></td><td><a href='/fighter-details/f1'>Ann</a> <a href='/fighter-details/f2'>Bo</a></td><td>KO</td><td>2</td><td>3:12</td><td><a href='/fight-details/x1'>v</a></td></tr>"
-
-
-def test_html_pages(spark):
-    pages = spark.createDataFrame([("e1", f"<table>{FIGHT_ROW}</table>")], "entity_id string, html string")
-    fight = html.parse(pages, "fights").first()
-    assert (fight.fight_id, fight.winner_id, fight.method, fight.round, fight.time) == ("x1", "f1", "KO", 2, "3:12")
-    sides = html.parse(pages, "sides").orderBy("fighter_id").collect()
-    assert [(s.fighter_id, s.full_name, s.outcome, s.winner_flag) for s in sides] == [("f1", "Ann", "W", True), ("f2", "Bo", "L", False)]
-    events = html.index_events("<tr><td><a href='/event-details/ab'>Night 1 January 01, 2020</a></td><td>Here</td></tr>")
-    assert [(e["event_id"], e["event_date_text"], e["location"]) for e in events] == [("ab", "January 01, 2020", "Here")]
-    stats = html.fight_stats("<tr><th>Fighter</th><th>KD</th><th>Sig. str.</th><th>Td</th><th>Sub. att</th><th>Ctrl</th></tr><tr><td><a href='/fighter-details/f1'>A</a><a href='/fighter-details/f2'>B</a></td><td>1 0</td><td>20 of 30 5 of 9</td><td>1 of 2 0 of 0</td><td>0 1</td><td>1:30 0:05</td></tr>", "x", "e")
-    assert [(s["sig_str_landed"], s["ctrl_sec"], s["sub_att"]) for s in stats] == [(20, 90, 0), (5, 5, 1)]
-    bio = html.fighter_bio("<h2>Ann Lee Record: 8-1-0</h2><li>Height: 5' 11\"</li><li>Reach: --</li><li>DOB: Jan 01, 1990</li>", "f1")
-    assert (bio["full_name"], bio["height_text"], bio["reach_text"], bio["dob_text"]) == ("Ann Lee", "5' 11\"", None, "Jan 01, 1990")
-
-
 def test_files(spark, tmp_path):
     (tmp_path / "card.csv").write_text("event_date,fighter_a,fighter_b\n2026-01-01,a,b\n")
     assert files.read_csv(spark, str(tmp_path / "card.csv")).first().event_date == day(1, 1, 2026)
