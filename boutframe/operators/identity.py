@@ -6,7 +6,7 @@ a count over the key; joins are on keys that are unique on the primary side, so
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from boutframe.functions.text import canonical_id, cleaned_name_key, dob_status, name_key
@@ -44,13 +44,14 @@ def check_overrides(overrides: DataFrame, primary_ids: DataFrame) -> None:
 
 
 def with_keys(fighters: DataFrame) -> DataFrame:
-    """Name keys, and how often each key occurs in the row's source."""
+    """Name keys, and how often each key occurs in the row's source; rows without a key each count once, and so don't meet in one task."""
     rows = fighters.withColumns({"exact_key": name_key(F.col("full_name")), "clean_key": cleaned_name_key(F.col("full_name"))})
     rows = rows.withColumns({k: F.nullif(F.col(k), F.lit("")) for k in ("exact_key", "clean_key")})
     sizes = {}
     for key in ("exact", "clean"):
-        sizes[f"{key}_n"] = F.count(F.lit(1)).over(Window.partitionBy("source", f"{key}_key"))
-        sizes[f"{key}_dob_n"] = F.count(F.lit(1)).over(Window.partitionBy("source", f"{key}_key", "dob"))
+        apart = F.when(F.col(f"{key}_key").isNull(), F.col("source_fighter_id"))
+        sizes[f"{key}_n"] = F.count(F.lit(1)).over(Window.partitionBy("source", f"{key}_key", apart))
+        sizes[f"{key}_dob_n"] = F.count(F.lit(1)).over(Window.partitionBy("source", f"{key}_key", apart, "dob"))
     return rows.withColumns(sizes)
 
 
@@ -90,6 +91,17 @@ def link(fighters: DataFrame, overrides: DataFrame | None = None, primary: str =
     return base.unionByName(linked)
 
 
+def match_reason(method: Column) -> Column:
+    """Why a link method links, in words."""
+    #: Fixed values.
+    said = {
+        "source_self": "source_self", "manual_override": "manual override approval", "manual_unresolved": "manual unresolved acceptance",
+        "exact_name_dob": "exact normalized full name + exact dob", "cleaned_name_dob": "cleaned full name + exact dob",
+        **{f"{key}_name_dob_{close}": f"unique {key} name + compatible dob ({close})" for key in ("exact", "cleaned") for close in CLOSE},
+    }
+    return F.try_element_at(F.create_map(*[F.lit(x) for pair in said.items() for x in pair]), method)
+
+
 def canonical_fighters(fighters: DataFrame, links: DataFrame, primary: str = PRIMARY) -> DataFrame:
     """Of each canonical fighter and column the first value that is known: primary source first, then by id."""
     joined = fighters.join(links, ["source", "source_fighter_id"])
@@ -148,7 +160,7 @@ def review(fighters: DataFrame, links: DataFrame, overrides: DataFrame, primary:
         status = status.when(method.rlike("^(exact|cleaned)_name_dob_"), "linked_near")
     decision = F.when(F.col("is_approved"), "approved").when(F.col("is_alone"), "accepted_unresolved").otherwise("none")
     return out.select(
-        "source", "source_fighter_id", "canonical_fighter_id", "full_name", "dob", "link_method", "confidence", F.col("exact_key").alias("exact_name_key"), F.col("clean_key").alias("cleaned_name_key"),
+        "source", "source_fighter_id", "canonical_fighter_id", "full_name", "dob", "link_method", "confidence", F.col("exact_key").alias("exact_name_key"), F.col("clean_key").alias("cleaned_name_key"), match_reason(method).alias("match_reason"),
         status.when(count > 0, "candidate_review").otherwise("unresolved").alias("review_status"), count.alias("candidate_count"), (count > 0).alias("has_candidate"),
         "candidate_source_fighter_ids", "candidate_canonical_fighter_ids", "candidate_full_names", decision.alias("decision_status"), "approved_target_source_fighter_id",
         canonical_id(F.lit(primary), F.col("approved_target_source_fighter_id")).alias("approved_target_canonical_fighter_id"),

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions import text as X
-from boutframe.operators import audit, dataset, evaluate, history, identity, models, ratings, service, staging
+from boutframe.operators import audit, checks, dataset, evaluate, history, identity, models, ratings, service, staging
 from boutframe.plans import page_trees
 from boutframe.plans.bouts import BOUTS, EARLIER, bout_rows, table
 from boutframe.schemas import STAGING, columns, conform
@@ -887,3 +887,88 @@ def merged_sources(spark, sf_dir):
 
 def _with_page(name: str):
     return T.StructType([*STAGING[name].fields, T.StructField("page", T.LongType())])
+
+
+# a whole warehouse, with planted faults
+
+
+def _warehouse(spark, sf_dir):
+    """The canonical and source tables seen in the order tables; every kind of check has something to find."""
+    rows, orders = bout_rows(spark, sf_dir), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", F.col("o_orderdate").cast("date").alias("event_date"))
+    day, text = F.dayofyear("event_date"), lambda c: F.col(c).cast("string")
+    days = orders.select("event_date").distinct().withColumns({"event_id": text("event_date"), "source": F.when(day % 2 == 0, "ufcstats").otherwise("sherdog"), "promotion": F.concat(F.lit("P"), (F.month("event_date") % 3).cast("string"))})
+    days = days.withColumns({"source_event_id": F.concat(F.lit("e"), (day % 300).cast("string"), F.year("event_date").cast("string")), "name": F.when(day % 50 > 0, F.concat(F.lit("Night "), "event_id"))})
+    events = days.where(day % 97 > 0).unionByName(days.where(day % 61 == 0))
+    people = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("fighter_id"), F.when(F.col("s_suppkey") % 33 > 0, F.col("s_name")).alias("full_name"), F.lit("ufcstats").alias("source"))
+    named = rows.withColumns({"event_id": text("event_date"), "source": F.when(day % 2 == 0, "ufcstats").otherwise("sherdog"), "promotion": F.concat(F.lit("P"), (F.month("event_date") % 3).cast("string"))})
+    fights = named.where("corner = 'blue'").select("fight_id", "event_id", "source", "promotion", F.when(F.col("fight_id") % 40 > 0, F.col("method")).alias("method"), (1 + F.col("fight_id") % 5).alias("round"), F.lit("1:00").alias("time"))
+    sides = named.where("fight_id % 45 > 0 or corner = 'red'").withColumn("corner", F.when(F.col("fight_id") % 30 == 0, "red").otherwise(F.col("corner")))
+    sides = sides.select("fight_id", "fighter_id", "opponent_id", "corner", "source", "promotion", F.when(F.col("fighter_id") % 50 > 0, text("fighter_id")).alias("full_name")).unionByName(
+        fights.where("fight_id % 77 = 0").select((-F.col("fight_id")).alias("fight_id"), F.lit(1).cast("long").alias("fighter_id"), F.lit(None).cast("long").alias("opponent_id"), F.lit("red").alias("corner"), "source", "promotion", F.lit("x").alias("full_name")))
+    customers = table(spark, sf_dir, "customer").select(text("c_custkey").alias("source_fighter_id"), F.col("c_custkey").alias("c"), F.lit("sherdog").alias("source"))
+    decided = customers.where("c % 5 = 0").withColumns({"target_source": F.lit("ufcstats"), "target_source_fighter_id": text("c"), "decision": F.when(F.col("c") % 3 > 0, "approved").otherwise("rejected")})
+    decided = decided.unionByName(decided.where("c % 35 = 0").withColumn("target_source_fighter_id", F.lit("other"))).unionByName(decided.where("c % 55 = 0"))
+    return {
+        "events": events, "source_events": days, "fights": fights, "fight_participants": sides, "fighters": people.where("fighter_id % 20 > 0"), "fighter_identity_links": customers.unionByName(customers.where("c % 90 = 0")),
+        "fighter_identity_manual_overrides": conform(decided, STAGING["fighter_identity_manual_overrides"]), "analysis_identity_review": customers.select(F.when(F.col("c") % 4 == 0, "unresolved").otherwise("linked_exact").alias("review_status")),
+        "parse_quarantine": orders.where("o_orderkey % 500 = 0").select(text("o_orderkey").alias("source_entity_id")), "pit_matchup_features": fights.where("fight_id % 35 > 0").select("fight_id").unionByName(fights.where("fight_id % 36 = 0").select("fight_id")),
+        "pit_fighter_features": rows.where("fight_id % 70 > 0").select("fight_id"), "fighter_fight_stats": sides.where("fight_id % 4 > 0").select("fight_id"),
+    }
+
+
+_TABLES = f"""{BOUTS}, days AS (SELECT DISTINCT o_orderdate::DATE AS event_date FROM orders),
+    source_events AS (SELECT event_date, event_date::VARCHAR AS event_id, CASE WHEN dayofyear(event_date) % 2 = 0 THEN 'ufcstats' ELSE 'sherdog' END AS source, 'P' || month(event_date) % 3 AS promotion,
+        'e' || dayofyear(event_date) % 300 || year(event_date) AS source_event_id, CASE WHEN dayofyear(event_date) % 50 > 0 THEN 'Night ' || event_date::VARCHAR END AS name FROM days),
+    events_ AS (SELECT * FROM source_events WHERE dayofyear(event_date) % 97 > 0 UNION ALL SELECT * FROM source_events WHERE dayofyear(event_date) % 61 = 0),
+    n AS (SELECT b.* REPLACE (CASE WHEN dayofyear(event_date) % 2 = 0 THEN 'ufcstats' ELSE 'sherdog' END AS source, 'P' || month(event_date) % 3 AS promotion), event_date::VARCHAR AS event_id FROM b),
+    fights AS (SELECT fight_id, event_id, source, promotion, CASE WHEN fight_id % 40 > 0 THEN method END AS method, (1 + fight_id % 5) AS round, '1:00' AS time FROM n WHERE corner = 'blue'),
+    sides AS (SELECT fight_id, fighter_id, opponent_id, CASE WHEN fight_id % 30 = 0 THEN 'red' ELSE corner END AS corner, source, promotion, CASE WHEN fighter_id % 50 > 0 THEN fighter_id::VARCHAR END AS full_name FROM n WHERE fight_id % 45 > 0 OR corner = 'red'
+        UNION ALL SELECT -fight_id, 1, NULL, 'red', source, promotion, 'x' FROM fights WHERE fight_id % 77 = 0),
+    fighters AS (SELECT s_suppkey AS fighter_id, CASE WHEN s_suppkey % 33 > 0 THEN s_name END AS full_name, 'ufcstats' AS source, 'all' AS promotion FROM supplier WHERE s_suppkey % 20 > 0),
+    matchups AS (SELECT fight_id FROM fights WHERE fight_id % 35 > 0 UNION ALL SELECT fight_id FROM fights WHERE fight_id % 36 = 0)"""
+
+
+def _unique_sql(name, source, keys, details=None, check=None):
+    return f"SELECT '{name}' AS t, '{check or 'unique_' + '_'.join(keys)}' AS c, (SELECT count(*) FROM (SELECT 1 FROM {source} GROUP BY {', '.join(keys)} HAVING count(*) > 1)) AS v, '0' AS threshold, '{details or 'duplicate key groups for ' + ', '.join(keys)}' AS details, 'fail' AS bad"
+
+
+def _one_sql(name, check, query, details, threshold="0", bad="fail"):
+    return f"SELECT '{name}', '{check}', ({query}), '{threshold}', '{details}', '{bad}'"
+
+
+_DECIDED = "(SELECT c_custkey::VARCHAR AS source_fighter_id, 'sherdog' AS source, 'ufcstats' AS target_source, unnest(CASE WHEN c_custkey % 35 = 0 THEN CASE WHEN c_custkey % 55 = 0 THEN [c_custkey::VARCHAR, 'other', c_custkey::VARCHAR] ELSE [c_custkey::VARCHAR, 'other'] END WHEN c_custkey % 55 = 0 THEN [c_custkey::VARCHAR, c_custkey::VARCHAR] ELSE [c_custkey::VARCHAR] END) AS target_source_fighter_id, c_custkey % 3 > 0 AS approved FROM customer WHERE c_custkey % 5 = 0)"
+_WHOLE = [
+    _unique_sql("events", "events_", ["event_id"]), _unique_sql("source_events", "source_events", ["source", "source_event_id"]), _unique_sql("fights", "fights", ["fight_id"]), _unique_sql("fight_participants", "sides", ["fight_id", "fighter_id"]),
+    _unique_sql("fighters", "fighters", ["fighter_id"]), _unique_sql("fighter_identity_manual_overrides", _DECIDED, ["source", "source_fighter_id", "target_source", "target_source_fighter_id"]),
+    _one_sql("fighter_identity_links", "unique_source_source_fighter_id", "SELECT count(*) FROM customer WHERE c_custkey % 90 = 0", "duplicate key groups for source, source_fighter_id"),
+    _one_sql("fights", "fight_event_fk", "SELECT count(*) FROM fights ANTI JOIN events_ USING (event_id)", "orphan rows"), _one_sql("fight_participants", "participant_fight_fk", "SELECT count(*) FROM sides ANTI JOIN fights USING (fight_id)", "orphan rows"),
+    _one_sql("fight_participants", "participant_fighter_fk", "SELECT count(*) FROM sides ANTI JOIN fighters USING (fighter_id)", "orphan rows"),
+    _one_sql("fight_participants", "fight_corner_shape", "SELECT count(*) FROM (SELECT 1 FROM sides GROUP BY fight_id HAVING count(*) <> 2 OR count(*) FILTER (corner = 'red') <> 1 OR count(*) FILTER (corner = 'blue') <> 1)", "fights must have exactly one red and one blue participant"),
+    _unique_sql("pit_matchup_features", "matchups", ["fight_id"], "one matchup row per fight_id"),
+    _one_sql("fighter_identity_links", "unresolved_sherdog_identities", "SELECT count(*) FROM customer WHERE c_custkey % 4 = 0", "fighters of the second source that no rule or decision links", "0 preferred", "warn"),
+    _unique_sql("fighter_identity_manual_overrides", f"(SELECT * FROM {_DECIDED} WHERE approved)", ["source_fighter_id"], "a fighter may have at most one approved manual target", "single_approved_target_per_source_fighter"),
+    _one_sql("parse_quarantine", "quarantined_rows", "SELECT count(*) FROM orders WHERE o_orderkey % 500 = 0", "Rows excluded from canonical analytical tables", "0 preferred", "warn"),
+    _one_sql("parse_quarantine", "schema_types_match", "5", "declared schema types must match: source, entity_type, promotion, reason, url"), _one_sql("fighter_identity_manual_overrides", "schema_types_match", "0", "declared schema types must match"),
+    *[f"SELECT '{name}', 'required_{c}_not_null', count(*) FILTER ({c} IS NULL), '0', 'source=' || source || ' promotion=' || promotion, 'fail' FROM {source} GROUP BY source, promotion"
+      for name, source, columns_ in (("events", "events_", "event_id source source_event_id promotion name event_date"), ("fights", "fights", "fight_id event_id method round time"), ("fight_participants", "sides", "fighter_id opponent_id full_name"), ("fighters", "fighters", "fighter_id full_name")) for c in columns_.split()],
+]
+
+
+@_query(f"{_TABLES} SELECT CASE WHEN v = 0 THEN 'pass' ELSE bad END AS status, t AS table_name, c AS check_name, v::DOUBLE AS metric_value, threshold, details FROM ({' UNION ALL '.join(_WHOLE)})")
+def audit_warehouse(spark, sf_dir):
+    """All checks of the registry over all tables: keys, orphans, shapes, schemas, required columns by source and promotion, identities, quarantine."""
+    return checks.run(_warehouse(spark, sf_dir))
+
+
+@_query(f"""{_TABLES}, p AS (SELECT fight_id, count(*) AS n, count(*) FILTER (corner = 'red') AS r, count(*) FILTER (corner = 'blue') AS l, min(fighter_id) FILTER (corner = 'red') AS red_fighter_id, min(fighter_id) FILTER (corner = 'blue') AS blue_fighter_id FROM sides GROUP BY 1),
+    s AS (SELECT fight_id, count(*) AS s FROM sides WHERE fight_id % 4 > 0 GROUP BY 1), q AS (SELECT fight_id, count(*) AS q FROM b WHERE fight_id % 70 > 0 GROUP BY 1), m AS (SELECT fight_id, count(*) AS m FROM matchups GROUP BY 1),
+    v AS (SELECT f.fight_id, f.event_id, e.event_date, e.name AS event_name, f.source, f.promotion, f.method, f.round, f.time, red_fighter_id, blue_fighter_id, coalesce(n, 0) AS n, coalesce(r, 0) AS r, coalesce(l, 0) AS l, coalesce(s, 0) AS s, coalesce(q, 0) AS q, coalesce(m, 0) AS m
+        FROM fights f JOIN events_ e USING (event_id) LEFT JOIN p USING (fight_id) LEFT JOIN s USING (fight_id) LEFT JOIN q USING (fight_id) LEFT JOIN m USING (fight_id)),
+    w AS (SELECT *, concat_ws(';', CASE WHEN n <> 2 THEN 'participant_count' END, CASE WHEN r <> 1 THEN 'red_count' END, CASE WHEN l <> 1 THEN 'blue_count' END, CASE WHEN q <> n THEN 'pit_rows' END,
+        CASE WHEN m <> (n = 2 AND r = 1 AND l = 1)::INT THEN 'matchup_rows' END) AS anomaly_flags FROM v)
+    SELECT fight_id, event_id, event_date, event_name, source, promotion, method, round, time, red_fighter_id, blue_fighter_id, n AS participant_count, r AS red_count, l AS blue_count, s AS stats_row_count, q AS pit_row_count, m AS matchup_row_count,
+        anomaly_flags <> '' AS has_anomaly, anomaly_flags FROM w""")
+def view_fight_audit_full(spark, sf_dir):
+    """Every bout with its event, its sides, the rows that other tables hold of it, and five flags."""
+    t = _warehouse(spark, sf_dir)
+    return checks.fight_view(t["fights"], t["events"], t["fight_participants"], t["fighter_fight_stats"], t["pit_fighter_features"], t["pit_matchup_features"])

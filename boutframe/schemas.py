@@ -25,15 +25,15 @@ STAGING = {
         "fight_id string, event_id string, fighter_id string, opponent_id string, corner string, kd int, sig_str_landed int, sig_str_attempted int,"
         " total_str_landed int, total_str_attempted int, td_landed int, td_attempted int, sub_att int, rev int, ctrl_sec int"
     ),
-    "source_events": columns("source string, promotion string, source_event_id string, name string, event_date date, location string, url string"),
+    "source_events": columns("source string, source_event_id string, name string, event_date date, location string, promotion string, url string"),
     "source_fights": columns(
-        "source string, promotion string, source_fight_id string, source_event_id string, source_winner_id string, weight_class string, method string, round int, time string, referee string, url string"
+        "source string, source_fight_id string, source_event_id string, promotion string, weight_class string, winner_source_fighter_id string, method string, round int, time string, time_format string, referee string, url string"
     ),
     "source_fight_participants": columns(
-        "source string, promotion string, source_fight_id string, source_event_id string, source_fighter_id string, source_opponent_id string, corner string, full_name string, winner_flag boolean, outcome string"
+        "source string, source_fight_id string, source_event_id string, source_fighter_id string, opponent_source_fighter_id string, promotion string, corner string, full_name string, winner_flag boolean, outcome string"
     ),
     "source_fighters": columns("source string, source_fighter_id string, full_name string, height_in int, weight_lbs int, reach_in int, stance string, dob date, url string"),
-    "parse_quarantine": columns("source string, promotion string, entity_type string, source_id string, reason string, details string"),
+    "parse_quarantine": columns("source string, entity_type string, source_entity_id string, promotion string, reason string, url string"),
     "fighter_identity_manual_overrides": columns(
         "source string, source_fighter_id string, target_source string, target_source_fighter_id string, decision string, note string, created_at_utc string, updated_at_utc string"
     ),

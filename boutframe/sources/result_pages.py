@@ -103,9 +103,9 @@ def bout_records(bout: dict, event: dict) -> tuple[dict, list[dict], list[dict],
     """Fight, sides, stubs and what is wrong with the bout, if anything."""
     own = {"source": SOURCE, "promotion": event["promotion"], "source_fight_id": f"{event['source_event_id']}:{bout['number']}", "source_event_id": event["source_event_id"]}
     winner = next((who for who, _, _, outcome in bout["sides"] if outcome == "W"), None)
-    fight = own | {k: bout[k] for k in ("weight_class", "method", "time", "referee")} | {"source_winner_id": winner, "round": int(bout["round"]), "url": f"{event['url']}#match-{bout['number']}"}
+    fight = own | {k: bout[k] for k in ("weight_class", "method", "time", "referee")} | {"winner_source_fighter_id": winner, "round": int(bout["round"]), "url": f"{event['url']}#match-{bout['number']}"}
     sides = [
-        own | {"source_fighter_id": who, "source_opponent_id": bout["sides"][1 - k][0], "corner": ("red", "blue")[k], "full_name": name, "winner_flag": winner == who, "outcome": outcome}
+        own | {"source_fighter_id": who, "opponent_source_fighter_id": bout["sides"][1 - k][0], "corner": ("red", "blue")[k], "full_name": name, "winner_flag": winner == who, "outcome": outcome}
         for k, (who, name, _, outcome) in enumerate(bout["sides"])
     ]
     stubs = [{"source": SOURCE, "source_fighter_id": who, "full_name": name, "url": url} for who, name, url, _ in bout["sides"]]
@@ -149,7 +149,7 @@ class ResultRows:
             elif kind == "fighters":
                 yield self.row(profile=profile(html, (FIGHTER.search(f"/fighter/{entity_id}") or [None, entity_id])[1]))
         except BrokenPage as fault:
-            yield self.fault(kind[:-1], entity_id, promotion, "broken_page", str(fault))
+            yield self.fault(kind[:-1], entity_id, promotion, str(fault), None)
 
     def event(self, entity_id, promotion, html):
         page = parsed(html)
@@ -175,8 +175,8 @@ class ResultRows:
             yield self.row(fight=fight)
             yield from (self.row(side=side) for side in sides[own].values())
 
-    def fault(self, kind, own, promotion, reason, details):
-        return self.row(fault={"source": SOURCE, "promotion": promotion, "entity_type": kind, "source_id": own, "reason": reason, "details": details})
+    def fault(self, kind, own, promotion, reason, url):
+        return self.row(fault={"source": SOURCE, "entity_type": kind, "source_entity_id": own, "promotion": promotion, "reason": reason, "url": url})
 
     @staticmethod
     def row(**parts):

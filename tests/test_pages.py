@@ -134,12 +134,14 @@ def test_a_tree_of_result_pages(spark):
     got = result_pages.parse_all(frame, TODAY)
     take = lambda name, *columns: sorted((tuple(r[c] for c in columns) for r in got[name].collect()), key=str)
     assert take("source_events", "source_event_id", "location", "url") == [("7", "Hall, Town", "https://www.sherdog.com/events/Night-7"), ("8", "Hall, Town", "https://www.sherdog.com/events/N-8")]
-    assert take("source_fights", "source_fight_id", "source_winner_id", "method", "referee", "weight_class", "round") == [("7:1", None, "KO", "Ref A", "Light", 2), ("7:2", "1", "KO", "Ref A", "Light", 2), ("7:3", "1", "KO", "Ref A", "Light", 2)]
+    assert take("source_fights", "source_fight_id", "winner_source_fighter_id", "method", "referee", "weight_class", "round") == [("7:1", None, "KO", "Ref A", "Light", 2), ("7:2", "1", "KO", "Ref A", "Light", 2), ("7:3", "1", "KO", "Ref A", "Light", 2)]
     assert len(take("source_fight_participants", "source_fight_id", "corner")) == 6
     people = {r.source_fighter_id: r for r in got["source_fighters"].collect()}
     assert {k: r.full_name for k, r in people.items()} == {"1": "Al One", "2": "Bo", "3": "Cy", "4": "Di", "5": "Ed", "77": "New One"}
     assert (people["1"].height_in, people["1"].weight_lbs, people["1"].stance, people["1"].dob) == (71, 170, "Boxing", date(1990, 1, 1))
-    assert take("parse_quarantine", "entity_type", "source_id", "reason") == [("event", "6", "broken_page"), ("fight", "8:1", "ambiguous_or_non_mma_one_bout"), ("fighter", "None-78", "broken_page")]
+    assert take("parse_quarantine", "entity_type", "source_entity_id", "reason", "url") == [
+        ("event", "6", "event without a name, a promotion or a date", None), ("fight", "8:1", "ambiguous_or_non_mma_one_bout", "https://www.sherdog.com/events/N-8#match-1"), ("fighter", "None-78", "fighter 78 without a name", None),
+    ]
 
 
 def test_precedence_of_merged_rows(spark):
