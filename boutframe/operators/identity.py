@@ -166,3 +166,28 @@ def review(fighters: DataFrame, links: DataFrame, overrides: DataFrame, primary:
         canonical_id(F.lit(primary), F.col("approved_target_source_fighter_id")).alias("approved_target_canonical_fighter_id"),
         "manual_note", "manual_created_at_utc", "manual_updated_at_utc", F.coalesce("rejected_pair_count", F.lit(0)).alias("rejected_pair_count"),
     )
+
+
+def suggestions(fighters: DataFrame, links: DataFrame, overrides: DataFrame, seen: DataFrame, primary: str = PRIMARY, secondary: str = SECONDARY) -> DataFrame:
+    """Whom each fighter of the secondary source may be: primary fighters born on the same day whose exact *or* cleaned name key is equal.
+
+    The OR is a union of two equi-joins that share no pair: the second leaves out what the first finds. Rejected pairs go, other
+    decisions on a pair are shown. ``seen``: ``fighter_id`` with counts of bouts, joined by the canonical id, where there is one.
+    """
+    keyed = with_keys(fighters)
+    own = keyed.where((F.col("source") == secondary) & F.col("dob").isNotNull()).select("source_fighter_id", "exact_key", "clean_key", "dob")
+    main = keyed.where((F.col("source") == primary) & F.col("dob").isNotNull()).join(links.where(F.col("source") == primary).select("source_fighter_id", "canonical_fighter_id"), "source_fighter_id")
+    shown = [c for c in ("full_name", "url") if c in fighters.columns]
+    main = main.select(F.col("source_fighter_id").alias("target_source_fighter_id"), F.col("canonical_fighter_id").alias("target_canonical_fighter_id"), *shown, F.col("exact_key").alias("their_exact"), F.col("clean_key").alias("their_clean"), "dob")
+    exact = own.join(main.withColumn("exact_key", F.col("their_exact")), ["exact_key", "dob"]).withColumn("candidate_reason", F.lit("exact_name_dob"))
+    clean = own.join(main.withColumn("clean_key", F.col("their_clean")), ["clean_key", "dob"]).where(~F.coalesce(F.col("exact_key") == F.col("their_exact"), F.lit(False))).withColumn("candidate_reason", F.lit("cleaned_name_dob"))
+    columns = ("source_fighter_id", "target_source_fighter_id", "target_canonical_fighter_id", *shown, "dob", "candidate_reason")
+    pairs = exact.select(*columns).unionByName(clean.select(*columns))
+    decided = overrides.where((F.col("source") == secondary) & (F.col("target_source") == primary)).select("source_fighter_id", "target_source_fighter_id", F.col("decision").alias("manual_decision"), F.col("note").alias("manual_note"))
+    pairs = pairs.join(decided, ["source_fighter_id", "target_source_fighter_id"], "left").where("coalesce(manual_decision, '') <> 'rejected'")
+    return pairs.join(seen.withColumnRenamed("fighter_id", "target_canonical_fighter_id"), "target_canonical_fighter_id", "left")
+
+
+def ordered_suggestions(found: DataFrame, source_fighter_id: str) -> DataFrame:
+    """Those of one fighter, in the order of a review screen."""
+    return found.where(F.col("source_fighter_id") == source_fighter_id).orderBy("candidate_reason", "full_name", "target_source_fighter_id")

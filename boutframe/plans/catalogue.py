@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions import text as X
-from boutframe.operators import audit, checks, dataset, evaluate, history, identity, models, ratings, service, staging
+from boutframe.operators import audit, checks, dataset, evaluate, history, identity, models, ratings, service, staging, trigrams
 from boutframe.plans import page_trees
 from boutframe.plans.bouts import BOUTS, EARLIER, bout_rows, table
 from boutframe.schemas import STAGING, columns, conform
@@ -972,3 +972,43 @@ def view_fight_audit_full(spark, sf_dir):
     """Every bout with its event, its sides, the rows that other tables hold of it, and five flags."""
     t = _warehouse(spark, sf_dir)
     return checks.fight_view(t["fights"], t["events"], t["fight_participants"], t["fighter_fight_stats"], t["pit_fighter_features"], t["pit_matchup_features"])
+
+
+_PATTERNS = """SELECT '%' || right(s_name, 3) || '%' AS pattern FROM supplier UNION SELECT unnest(['%m_ch%', '%0_9%', 'FURN%1', '%z%', '_U%7', '%%', '__', '%BLIND#%', 'build\\_%', '%1%', '%absent%', ''])"""
+
+
+@_query(f"""SELECT pattern, c_custkey AS id FROM ({_PATTERNS.replace(chr(92) * 2, chr(92))}) JOIN (SELECT c_custkey, CASE WHEN c_custkey % 9 = 0 THEN replace(c_mktsegment, 'L', '_') ELSE c_mktsegment || CASE WHEN c_custkey % 4 > 0 THEN right(c_name, 4) ELSE '' END END AS name FROM customer)
+    ON name ILIKE pattern ESCAPE '{chr(92)}'""")
+def trigram_search(spark, sf_dir):
+    """All matches of a table of patterns in a table of names, by rare trigrams; short, absent, escaped and empty patterns among them."""
+    k, segment = F.col("c_custkey"), F.col("c_mktsegment")
+    name = F.when(k % 9 == 0, F.replace(segment, F.lit("L"), F.lit("_"))).otherwise(F.concat(segment, F.when(k % 4 > 0, F.right("c_name", F.lit(4))).otherwise("")))
+    names = table(spark, sf_dir, "customer").select(k, name.alias("name"))
+    patterns = table(spark, sf_dir, "supplier").select(F.concat(F.lit("%"), F.right("s_name", F.lit(3)), F.lit("%")).alias("pattern"))
+    patterns = patterns.unionByName(spark.createDataFrame([(p,) for p in ("%m_ch%", "%0_9%", "FURN%1", "%z%", "_U%7", "%%", "__", "%BLIND#%", "build\\_%", "%1%", "%absent%", "")], "pattern string"))
+    return trigrams.TrigramIndex.build(names, "c_custkey", "name").search(patterns).select("pattern", "id")
+
+
+_SUGGESTED = """WITH p AS (SELECT s_suppkey AS id, 'Person ' || (s_suppkey % 80) AS name, DATE '1980-01-01' + (s_suppkey % 40)::INT AS dob FROM supplier),
+    q AS (SELECT c_custkey AS id, c_custkey % 90 AS k, c_custkey % 3 = 0 AS plain, CASE WHEN c_custkey % 7 > 0 THEN DATE '1980-01-01' + (c_custkey % 40)::INT END AS dob FROM customer)"""
+
+
+@_query(f"""{_SUGGESTED}, pairs AS (SELECT q.id AS a, p.id AS b, p.name, p.dob, q.plain FROM q JOIN p ON p.name = 'Person ' || q.k AND p.dob = q.dob),
+    seen AS (SELECT l_suppkey AS b, count(*) AS fight_count FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1)
+    SELECT a::VARCHAR AS source_fighter_id, b::VARCHAR AS target_source_fighter_id, 'ufcstats:' || b AS target_canonical_fighter_id, name AS full_name, CASE WHEN plain THEN 'exact_name_dob' ELSE 'cleaned_name_dob' END AS candidate_reason,
+        CASE WHEN a % 5 = 0 AND a % 2 = 1 THEN 'approved' END AS manual_decision, fight_count FROM pairs LEFT JOIN seen USING (b) WHERE NOT (a % 5 = 0 AND a % 2 = 0)""")
+def identity_suggestions(spark, sf_dir):
+    """Candidates by exact or cleaned name with the same birth date, as two equi-joins; with decisions and counts of bouts."""
+    start = F.lit("1980-01-01").cast("date")
+    text = lambda c: F.col(c).cast("string")
+    people = table(spark, sf_dir, "supplier").select(F.lit("ufcstats").alias("source"), text("s_suppkey").alias("source_fighter_id"), F.concat(F.lit("Person "), (F.col("s_suppkey") % 80).cast("string")).alias("full_name"), F.date_add(start, (F.col("s_suppkey") % 40).cast("int")).alias("dob"))
+    others = table(spark, sf_dir, "customer").withColumn("k", (F.col("c_custkey") % 90).cast("string"))
+    name = F.when(F.col("c_custkey") % 3 == 0, F.concat(F.lit("Person "), "k")).otherwise(F.concat(F.lit('Person "Nick" '), "k", F.lit(" Record: 1-0-0")))
+    rows = others.select(F.lit("sherdog").alias("source"), text("c_custkey").alias("source_fighter_id"), name.alias("full_name"), F.when(F.col("c_custkey") % 7 > 0, F.date_add(start, (F.col("c_custkey") % 40).cast("int"))).alias("dob"))
+    fighters = materialize(people.unionByName(rows), "fighters")
+    links = people.select("source", "source_fighter_id", F.concat(F.lit("ufcstats:"), "source_fighter_id").alias("canonical_fighter_id"))
+    pairs = others.where("c_custkey % 5 = 0").join(people.select(F.col("source_fighter_id").alias("target_source_fighter_id"), "full_name"), F.concat(F.lit("Person "), "k") == F.col("full_name"))
+    decided = pairs.select(F.lit("sherdog").alias("source"), text("c_custkey").alias("source_fighter_id"), F.lit("ufcstats").alias("target_source"), "target_source_fighter_id", F.when(F.col("c_custkey") % 2 == 0, "rejected").otherwise("approved").alias("decision"), F.lit(None).cast("string").alias("note"))
+    seen = table(spark, sf_dir, "lineitem").where("l_suppkey % 2 = 0").groupBy(F.concat(F.lit("ufcstats:"), text("l_suppkey")).alias("fighter_id")).agg(F.count(F.lit(1)).alias("fight_count"))
+    found = identity.suggestions(fighters, links, decided, seen)
+    return found.select("source_fighter_id", "target_source_fighter_id", "target_canonical_fighter_id", "full_name", "candidate_reason", "manual_decision", "fight_count")

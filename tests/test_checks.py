@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from boutframe.operators import checks, identity
+from boutframe.operators import checks, identity, trigrams
 from boutframe.schemas import STAGING, empty
 
 
@@ -53,3 +53,30 @@ def test_match_reasons(spark):
     methods = ["manual_override", "cleaned_name_dob_near", "exact_name_dob", "other", None]
     got = spark.createDataFrame([(m,) for m in methods], "m string").select(identity.match_reason(F.col("m")).alias("x")).collect()
     assert [r.x for r in got] == ["manual override approval", "unique cleaned name + compatible dob (near)", "exact normalized full name + exact dob", None, None]
+
+
+def test_trigram_search_equals_ilike(spark):
+    words = ["", "a", "ab", "Abc", "aBcd", "100% sure", "under_score", "back\\slash", "ÉCOLE étude", "línea\nnueva", "x" * 300 + "needle", None, "Abc"]
+    patterns = ["%", "", "_", "__", "%a%", "a%", "%b", "%bc%", "ab_", "%ABC%", "%école%", "%é%", "%\\%%", "%\\_s%", "%\\\\%", "100\\%%", "%needle", "%nope%", "%a%b%c%", "_b%", "%ea%ue%", "%\n%", None, "___%", "%x%dle"]
+    names = spark.createDataFrame(list(enumerate(words)), "n int, w string")
+    wanted = spark.createDataFrame([(p,) for p in patterns], "pattern string")
+    got = sorted((r.pattern, r.id) for r in trigrams.TrigramIndex.build(names, "n", "w").search(wanted.unionByName(wanted)).collect())
+    assert got == sorted((r.pattern, r.n) for r in wanted.crossJoin(names).where(F.expr("w ilike pattern")).collect())
+    none = trigrams.TrigramIndex.build(names.where("false"), "n", "w")
+    assert none.search(wanted).count() == 0
+    plan = trigrams.TrigramIndex.build(names, "n", "w").search(wanted)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_suggestions_are_two_joins_without_repeats(spark):
+    day = date(1990, 1, 1)
+    people = [("ufcstats", "1", "Ann Lee", day), ("ufcstats", "2", 'Ann "Ace" Lee', day), ("ufcstats", "3", "Bo", None), ("sherdog", "a", "Ann Lee", day), ("sherdog", "b", "Bo", None), ("sherdog", "c", 'Ann "X" Lee', day), ("sherdog", "d", None, day), ("ufcstats", "4", None, day)]
+    fighters = spark.createDataFrame(people, "source string, source_fighter_id string, full_name string, dob date")
+    links = fighters.select("source", "source_fighter_id", F.concat_ws(":", "source", "source_fighter_id").alias("canonical_fighter_id"))
+    decided = spark.createDataFrame([("sherdog", "a", "ufcstats", "2", "rejected", None), ("sherdog", "c", "ufcstats", "1", "approved", "sure")], "source string, source_fighter_id string, target_source string, target_source_fighter_id string, decision string, note string")
+    seen = spark.createDataFrame([("ufcstats:1", 3)], "fighter_id string, fight_count int")
+    found = identity.suggestions(fighters, links, decided, seen)
+    rows = sorted((r.source_fighter_id, r.target_source_fighter_id, r.candidate_reason, r.manual_decision, r.fight_count) for r in found.collect())
+    assert rows == [("a", "1", "exact_name_dob", None, 3), ("c", "1", "cleaned_name_dob", "approved", 3), ("c", "2", "cleaned_name_dob", None, None)]
+    assert [r.target_source_fighter_id for r in identity.ordered_suggestions(found, "c").collect()] == ["2", "1"]
+    assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
