@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from boutframe.operators.staging import free_name
+
 #: What may not be in a feature's name, because it tells the result, the side or where the row came from.
 FORBIDDEN = ("red_", "blue_", "corner", "winner", "outcome", "source", "promotion")
 
@@ -65,12 +67,13 @@ def late_rows(train: DataFrame, share: float = 0.15, date: str = "event_date", t
 
     Rows are numbered within their date; what comes before a date is a running sum over the dates, of which there are few.
     """
-    dates = train.groupBy(date).agg(F.count(F.lit(1)).alias("__n"))
+    n, earlier, total = (free_name(train, x) for x in ("n", "earlier", "total"))
+    dates = train.groupBy(date).agg(F.count(F.lit(1)).alias(n))
     every = Window.orderBy(date)  # over dates: bounded
-    before = dates.select(date, (F.sum("__n").over(every) - F.col("__n")).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
-    place = F.col("__before") + F.row_number().over(Window.partitionBy(date).orderBy(then))
+    before = dates.select(date, (F.sum(n).over(every) - F.col(n)).alias(earlier), F.sum(n).over(Window.partitionBy(F.lit(0))).alias(total))
+    place = F.col(earlier) + F.row_number().over(Window.partitionBy(date).orderBy(then))
     rows = train.join(F.broadcast(before), date)  # dates: bounded
-    return rows.withColumn("is_validation", place > F.col("__all") * (1 - share)).drop("__before", "__all")
+    return rows.withColumn("is_validation", place > F.col(total) * (1 - share)).drop(earlier, total)
 
 
 def forbidden_features(columns: list[str]) -> list[str]:

@@ -9,8 +9,17 @@ from pyspark.sql import functions as F
 def keep_first(df: DataFrame, keys: list[str], order: list[Column | str], last: bool = False) -> DataFrame:
     """One row a key: the first (or last) by ``order``; null keys are a group like any other."""
     order = [F.desc(c) if last and isinstance(c, str) else c for c in order]
-    ranked = df.withColumn("__rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return ranked.where("__rank = 1").drop("__rank")
+    rank = free_name(df, "rank")
+    ranked = df.withColumn(rank, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return ranked.where(F.col(rank) == 1).drop(rank)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column is called so in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
 
 
 def replace_rows(base: DataFrame, better: DataFrame, key: str) -> DataFrame:

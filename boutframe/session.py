@@ -34,13 +34,19 @@ def local_session(cores: int = 8, partitions: int = 8) -> SparkSession:
     )
 
 
+def size_of(text: str) -> int:
+    """A number or size as Spark's settings give it (``4m``, ``64MB``, ``2000``), in bytes or units."""
+    number, unit = re.fullmatch(r"\s*(-?\d+)\s*([kmgtp]?)i?b?\s*", text.lower()).groups()
+    return int(number) << 10 * " kmgtp".index(unit or " ")
+
+
 def ship(spark: SparkSession) -> None:
     """Send this package to the executors once per application, so that Python workers can import it.
 
     It also lowers the session's limits of Arrow batches to those of ``ARROW``, on purpose: kernels here count on small batches.
     """
     for key, value in ARROW.items():
-        if not 0 < int(spark.conf.get(key).rstrip("b")) <= int(value):
+        if not 0 < size_of(spark.conf.get(key)) <= int(value):
             spark.conf.set(key, value)
     context = spark.sparkContext
     if context.applicationId in _shipped:

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 import __spark_entry__
 from boutframe.operators import audit, dataset, evaluate, history, identity, models, ratings, service
 from boutframe.plans import catalogue
-from boutframe.sources.store import Store
 
 SF = "/root/testdata/sf0.001"
 
@@ -141,15 +140,6 @@ def test_review_targets_are_suggested_searched_and_marked(spark):
     assert service.decision_targets(review, people, no, "9", "5%").where("is_rejected").count() == 1 and service.decision_targets(review, people, no, "8").count() == 0
 
 
-def test_a_swap_that_was_cut_short_leaves_the_old_table(spark, tmp_path):
-    store = Store(spark, str(tmp_path))
-    store.replace("t", spark.range(3))
-    (tmp_path / "t").rename(tmp_path / "_old-t")
-    assert store.exists("t") and store.tables() == ["t"] and store.read("t").count() == 3
-    store.replace("t", store.read("t").where("id > 0"))
-    assert store.read("t").count() == 2 and not (tmp_path / "_old-t").exists()
-
-
 def test_entry_imports_without_the_text_subpackage(tmp_path):
     import shutil
     import subprocess
