@@ -2,7 +2,9 @@
 
 Pieces of one length are interchangeable, so the packing is decided on the histogram of lengths (at most ``capacity``
 numbers, whatever the input's size): a bin is filled greedily, the longest piece that fits first; then, while a gap is
-left, its smallest piece gives way to two unpacked pieces whose lengths together fill the expanded gap more tightly. A
+left, its smallest piece gives way to two unpacked pieces whose lengths together fill the expanded gap more tightly. Every
+swap spends a small piece that later bins may need, so how large a gap has to be for one is tried: the histogram is planned for
+each of ``GAPS`` (shares of the capacity) and the plan with the fewest bins is taken, the first of equal ones. A
 bin pattern repeats as often as the histogram allows. Pieces then take their places by rank among the pieces of their
 length: a running count inside each task, plus the counts of the tasks before it, so no group is gathered anywhere.
 
@@ -30,12 +32,20 @@ from boutframe.session import materialize, ship
 
 CAPACITY = 1024
 END_ID = 2
+#: The smallest gaps that are worth a swap, as parts of the capacity; the first means any gap.
+GAPS = (0, 1 / 256, 1 / 64, 1 / 16)
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, nth long"
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
 def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Best-two-fit on a histogram of lengths: (lengths in a bin, number of such bins) until nothing is left."""
+    """Best-two-fit on a histogram of lengths: (lengths in a bin, number of such bins), the smallest of the plans of ``GAPS``."""
+    plans = [plan_with(histogram, capacity, max(1, round(gap * capacity))) for gap in GAPS]
+    return min(plans, key=lambda plan: sum(times for _, times in plan))
+
+
+def plan_with(histogram: dict[int, int], capacity: int, least_gap: int) -> list[tuple[tuple[int, ...], int]]:
+    """A plan that swaps in bins with a gap of ``least_gap`` or more."""
     left = {length: n for length, n in histogram.items() if n > 0}
     if any(not 0 < length <= capacity for length in left):
         raise ValueError("a length is not within the capacity")
@@ -54,7 +64,7 @@ def plan_bins(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple
         while gap and (length := longest(gap)):
             used[length] += 1
             gap -= length
-        while gap and (pair := _tighter_pair(sizes, left, used, min(+used), gap)):
+        while gap >= least_gap and (pair := _tighter_pair(sizes, left, used, min(+used), gap)):
             smallest = min(+used)
             used[smallest] -= 1
             used.update(pair)

@@ -1,5 +1,6 @@
 """Periodic runs, personal data and vector codes against brute force and hand-made cases."""
 
+import collections
 import hashlib
 import random
 import re
@@ -7,12 +8,15 @@ import zlib
 
 import duckdb
 import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
+import tokenizers
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from boutframe.llm import periodic_runs, pii, vector_codes
+from boutframe.llm import packing, periodic_runs, pii, vector_codes
 
 SCHEMA = "doc_id long, text string, n_runs long, label string"
 ODD = [None, "", " ", "\n\t ", "a", "a " * 3000, "é é é é é é", "x  y z", "a b " * 4 + "c", "12 " * 20]
@@ -241,3 +245,32 @@ def test_decoding_is_near(spark):
     books, codes = vector_codes.train(df)
     near = {r.vec_id: r.vector for r in vector_codes.decode(codes, books).collect()}
     assert all(np.abs(np.array(r.embedding) - near[r.vec_id]).max() < 1e-3 for r in df.collect())
+
+
+# best-fit packing
+
+
+def best_fit_decreasing(histogram, capacity):
+    free, bins = [], 0
+    for length in sorted((x for x, n in histogram.items() for _ in range(n)), reverse=True):
+        fitting = [g for g in free if g >= length]
+        if fitting:
+            free.remove(min(fitting))
+            free.append(min(fitting) - length)
+        else:
+            bins += 1
+            free.append(capacity - length)
+    return bins
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_plans_are_no_larger_than_best_fit_decreasing(folder):
+    ids = tokenizers.Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    texts = pq.read_table(f"/root/testdata/{folder}/documents.parquet", columns=["text"])["text"].to_pylist()
+    histogram = collections.Counter()
+    for found in ids.encode_batch([t or "" for t in texts], add_special_tokens=False):
+        whole, rest = divmod(len(found.ids) + 1, 1024)
+        histogram.update({1024: whole} | ({rest: 1} if rest else {}))
+    plan = packing.plan_bins(histogram, 1024)
+    assert collections.Counter(x for lengths, times in plan for x in lengths for _ in range(times)) == +histogram and all(sum(lengths) <= 1024 for lengths, _ in plan)
+    assert sum(times for _, times in plan) <= best_fit_decreasing(+histogram, 1024)
