@@ -7,7 +7,7 @@ The battery looks at every other maximal run of 20 or more characters of the bas
 value is looked at apart from its name; '=' at the end is padding and belongs to the span. A run that holds characters of both
 base-64 alphabets ('+' or '/' as well as '-' or '_') is split twice, into the runs of 20 or more of the one and of the other,
 and all these parts are looked at; their spans may overlap. A token's encoding is inferred
-from the characters present (hex, base 32, base 36, base 62, base 64; base 32 and 36 in either case), the smallest alphabet that has them all, and its characters become numbers; three tests then ask whether they could be uniform draws:
+from the characters present (hex, letters of one case, base 32, base 36, base 62, base 64; base 32 and 36 in either case), the smallest alphabet that has them all, and its characters become numbers; three tests then ask whether they could be uniform draws:
 chi-squared uniformity over the alphabet, the runs test about the alphabet's middle, and lag-one serial correlation. Their
 smallest p-value times three is the token's; below ``UNIFORM`` the token is not random, whatever else speaks for it.
 
@@ -55,7 +55,7 @@ FIRST = {"l": 0.5, "u": 0.3, "d": 0.15, "s": 0.05}
 BEGUN = {"l": {"l": 0.90, "u": 0.03, "d": 0.03, "s": 0.04}, "u": {"l": 0.80, "u": 0.12, "d": 0.04, "s": 0.04}, "d": {"l": 0.14, "u": 0.10, "d": 0.60, "s": 0.16}, "s": {"l": 0.50, "u": 0.20, "d": 0.25, "s": 0.05}}
 LASTED = {"l": {"l": 0.79, "u": 0.11, "d": 0.04, "s": 0.06}, "u": {"l": 0.33, "u": 0.55, "d": 0.06, "s": 0.06}, "d": {"l": 0.09, "u": 0.07, "d": 0.72, "s": 0.12}, "s": {"l": 0.35, "u": 0.13, "d": 0.12, "s": 0.40}}
 ALPHABETS = {
-    16: "0123456789abcdef", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
+    16: "0123456789abcdef", 26: "ABCDEFGHIJKLMNOPQRSTUVWXYZ", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", 62: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789",
     64: "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 NO_SPANS = "array<struct<start:int,end:int,kind:int,hit:string>>"
@@ -122,6 +122,7 @@ def _encoding(core: Column) -> Column:
     return (
         F.when(F.char_length(core) < TOKEN_LEAST, F.lit(None).cast("int"))
         .when(core.rlike("^([0-9a-f]+|[0-9A-F]+)$") & digit & (lower | upper), F.lit(16))
+        .when(core.rlike("^([a-z]+|[A-Z]+)$"), F.lit(26))
         .when(core.rlike("^([A-Z2-7]+|[a-z2-7]+)$") & digit & (lower | upper), F.lit(32))
         .when(core.rlike("^([A-Z0-9]+|[a-z0-9]+)$") & digit & (lower | upper), F.lit(36))
         .when(core.rlike("^[A-Za-z0-9]+$") & lower & upper, F.lit(62))
@@ -129,6 +130,14 @@ def _encoding(core: Column) -> Column:
     )
 
 
+def _encodes_prose(core: Column) -> Column:
+    """Whether base 64 hides plain prose: the bytes are words of printable characters between single spaces or line ends."""
+    plain = F.translate(core, "-_", "+/")
+    padded = F.rpad(plain, (F.ceil(F.char_length(plain) / 4) * 4).cast("int"), "=")
+    word = "(?:2[1-9A-F]|3[0-9A-F]|[46][1-9A-F]|[57][0-9A-E]){1,24}"
+    return F.coalesce(F.hex(F.try_to_binary(padded, F.lit("base64"))).rlike(f"^(?:{word}(?:20|0A|0D0A)){{2,}}(?:{word})?$"), F.lit(False))
+
+
 def _numbers(t: Column) -> Column:
     plain = F.when(t["size"] == 16, F.lower(t["core"])).when(t["size"] <= 36, F.upper(t["core"])).otherwise(F.translate(t["core"], "-_", "+/"))
     letters = F.filter(F.split(plain, ""), lambda c: c != "")
@@ -162,6 +171,7 @@ def _judged(spans: Column) -> Column:
     at = ("start", "end")
     rows = _with(spans, at, core=lambda t: F.regexp_replace(t["hit"], "=+$", ""))
     rows = F.filter(_with(rows, (*at, "core"), size=lambda t: _encoding(t["core"])), lambda t: t["size"].isNotNull())
+    rows = F.filter(rows, lambda t: ~((t["size"] >= 62) & _encodes_prose(t["core"])))
     rows = _with(rows, (*at, "size"), x=_numbers, bits=_bits)
     at = (*at, "bits")
     rows = _with(

@@ -1,5 +1,6 @@
 """Periodic runs, personal data and vector codes against brute force and hand-made cases."""
 
+import base64
 import collections
 import hashlib
 import random
@@ -16,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from boutframe.llm import packing, periodic_runs, pii, vector_codes
+from boutframe.llm import packing, periodic_runs, pii, secrets, vector_codes
 
 SCHEMA = "doc_id long, text string, n_runs long, label string"
 ODD = [None, "", " ", "\n\t ", "a", "a " * 3000, "é é é é é é", "x  y z", "a b " * 4 + "c", "12 " * 20]
@@ -274,3 +275,20 @@ def test_plans_are_no_larger_than_best_fit_decreasing(folder):
     plan = packing.plan_bins(histogram, 1024)
     assert collections.Counter(x for lengths, times in plan for x in lengths for _ in range(times)) == +histogram and all(sum(lengths) <= 1024 for lengths, _ in plan)
     assert sum(times for _, times in plan) <= best_fit_decreasing(+histogram, 1024)
+
+
+# secrets
+
+
+def test_tokens_of_one_case_and_encoded_prose(spark):
+    rng = random.Random(9)
+    small = "abcdefghijklmnopqrstuvwxyz"
+    cases = ["".join(rng.choice(letters) for _ in range(n)) for letters in (small, small.upper()) for n in (24, 32, 48, 64) for _ in range(12)]
+    prose = [base64.b64encode(x).decode() for x in (b"the quick brown fox jumps over the lazy dog and on", b"Meet me at noon, by the old bridge; bring all the papers!", b"two lines\nof plain text are here for you")]
+    names = ["donaudampfschifffahrtsgesellschaft", "antidisestablishmentarianism", "internationalizationandlocalization", "PNEUMONOULTRAMICROSCOPICSILICOVOLCANOCONIOSIS", "heitheitscheinauunderungkeitlich"]
+    key = base64.b64encode(bytes(rng.randrange(256) for _ in range(30))).decode()
+    texts = [f"see {x} there" for x in (*cases, key, *prose, *names)] + names * 40
+    rows = {r.doc_id: r.spans for r in secrets.scan(table(spark, texts)).collect()}
+    found = [k for k in range(len(cases)) if rows[k] == f"random:4:{4 + len(cases[k])}"]
+    assert len(found) >= 0.95 * len(cases), [cases[k] for k in range(len(cases)) if k not in found]
+    assert rows[len(cases)] == f"random:4:{4 + len(key)}" and not any(rows[k] for k in range(len(cases) + 1, len(texts)))
