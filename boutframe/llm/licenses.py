@@ -5,8 +5,10 @@ which may begin or end inside a line or cross lines); a line or window states a
 template is ``THRESHOLD`` or more, it has all numbers of the template, and it has no word of ``VARIANTS`` that the template
 lacks. Only lines and windows with a *cue* word are compared: the cues are each template's heaviest words, taken until the
 rest of its vector is too short to reach the threshold, so what has no cue can't reach it either. An SPDX tag states the
-license expression that it names, whether or not that has a template, with cosine 1. Full license texts are known by their
-titles and main sentences; they are not compared as a whole.
+license expression that it names, whether or not that has a template, with cosine 1; so do the addresses where licenses are
+published and their unmistakable short names (``GPL-2.0-or-later``), unless the word before says no. A line with a word of
+``NO``, or a window after one, states nothing. Full license texts are known by their titles and main sentences; they are not
+compared as a whole.
 
 "All rights reserved" counts only where nothing else is stated. The redistribution sentence of the BSD licenses is
 BSD-2-Clause where the text has the clause on binary forms and not the one on names.
@@ -68,11 +70,29 @@ TEMPLATES = [
     ("LGPL-2.1", "GNU Lesser General Public License, Version 2.1, February 1999"),
     ("AGPL-3.0", "GNU Affero General Public License, Version 3, 19 November 2007"),
     ("MPL-2.0", "Mozilla Public License, Version 2.0"),
+    ("MIT", "Licensed under the MIT License"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0"),
+    ("Artistic-2.0", "Released under the Artistic License 2.0"),
+    ("Zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable"),
+    ("Zlib", "Licensed under the zlib License"),
+    ("EUPL-1.2", "Licensed under the EUPL, Version 1.2"),
+    ("EUPL-1.2", "European Union Public Licence, Version 1.2"),
     ("all-rights-reserved", "Copyright. All rights reserved"),
     ("all-rights-reserved", "All rights reserved"),
 ]
 #: Words by which licenses of one family differ.
 VARIANTS = frozenset("lesser library affero sa nc nd sharealike noncommercial noderivatives".split())
+#: Words that deny a license, and how many words before it they reach.
+NO, REACH = ("not", "never", "nor"), 3
+#: Short names that stand for nothing else, and the addresses of licenses: a pattern, what to put before its groups (joined by a hyphen), and whether they are in capitals.
+NAMES = r"(?<![A-Za-z0-9./-])(?<!\b(?i:not|never|nor)\x20)((?:AGPL|LGPL|GPL)-[123]\.[01](?:-only|-or-later|\+)?|Apache-2\.0|MPL-[12]\.[01]|EPL-[12]\.0|BSD-[23]-Clause|CC0-1\.0|CC-BY(?:-NC)?(?:-SA|-ND)?-[1-4]\.0|EUPL-1\.[12]|BSL-1\.0|Artistic-2\.0)(?![A-Za-z0-9-])"
+ADDRESSES = (
+    (r"apache\.org/licenses/license-([12]\.[01])", "Apache", False), (r"creativecommons\.org/licenses/(by(?:-nc)?(?:-sa|-nd)?)/([1-4]\.0)", "CC", True), (r"creativecommons\.org/publicdomain/(zero)/1\.0", "CC0-1.0", False),
+    (r"gnu\.org/licenses/(?:old-licenses/)?((?:a|l)?gpl)-([123]\.[01])", "", True), (r"mozilla\.org/(?:en-us/)?mpl/([12]\.[01])", "MPL", False), (r"opensource\.org/licen[cs]es?/([a-z0-9.-]+?)(?:\.html|\.php)?(?![a-z0-9.-])", "", False),
+    (r"spdx\.org/licenses/([a-z0-9.+-]+?)(?:\.html)?(?![a-z0-9.+-])", "", False), (r"boost\.org/(license)_1_0\.txt", "BSL-1.0", False), (r"eclipse\.org/legal/epl-([12]\.0)", "EPL", False),
+)
+ADDRESS = r"(?i)(?:apache|creativecommons|gnu|mozilla|opensource|spdx|boost|eclipse)\.org/"
 RESERVED, BSD = "all-rights-reserved", "Redistribution and use in source and binary forms, with or without modification, are permitted"
 BINARY_CLAUSE, NAME_CLAUSE = r"(?i)redistributions\W+in\W+binary\W+form", r"(?i)(neither\W+the\W+names?|names?\W+of\W+(its|the)\W+contributors)"
 SPDX = r"(?i:SPDX-License-Identifier):[\x20\t]*(\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*(?:\x20+(?:AND|OR|WITH)\x20+\(*[A-Za-z0-9][A-Za-z0-9.+-]*\)*)*)"
@@ -134,7 +154,7 @@ def _templates(templates, vectors: list[dict[str, float]]) -> Column:
     """``license, size, vector, numbers, others`` of each template, as one constant array."""
 
     def one(name: str, text: str, vector: dict[str, float]) -> Column:
-        numbers, others = [w for w in vector if w.isdigit()], sorted(VARIANTS - vector.keys())
+        numbers, others = [w for w in vector if w.isdigit()], sorted((VARIANTS | set(NO)) - vector.keys())
         return F.struct(
             F.lit(name).alias("license"), F.lit(len(_split(text))).alias("size"), F.create_map(*[F.lit(x) for pair in vector.items() for x in pair]).alias("vector"),
             F.array(*map(F.lit, numbers)).cast("array<string>").alias("numbers"), F.array(*map(F.lit, others)).alias("others"),
@@ -143,21 +163,29 @@ def _templates(templates, vectors: list[dict[str, float]]) -> Column:
     return F.array(*[one(name, text, vector) for (name, text), vector in zip(templates, vectors, strict=True)])
 
 
-def _lines(lines: Column, known: Column, weights: Column, unseen: float) -> Column:
-    """``cosine, rank, license, words`` of each line with its best template."""
+def _holders(vectors: list[dict[str, float]], threshold: float, made) -> Column:
+    """A map from each cue to what ``made`` gives for the templates that have it."""
+    holders: dict[str, list[int]] = {}
+    for k, vector in enumerate(vectors):
+        for word in cues([vector], threshold):
+            holders.setdefault(word, []).append(k)
+    return F.create_map(*[x for w, ks in holders.items() for x in (F.lit(w), F.array(*[made(k) for k in ks]))])
+
+
+def _lines(lines: Column, known: Column, weights: Column, unseen: float, threshold: float, vectors: list[dict[str, float]]) -> Column:
+    """``cosine, rank, license, words`` of each line with its best template, among those of which it has a cue."""
+    held = _holders(vectors, threshold, F.lit)
     sized = _vectors(F.transform(lines, _words), weights, unseen)
     against = lambda x, t, at: F.struct(_cosine(x, t).alias("cosine"), (-at).alias("rank"), t["license"].alias("license"), x["n"].alias("words"))
-    return F.transform(sized, lambda x: F.array_max(F.transform(known, lambda t, at: against(x, t, at))))
+    met = lambda x: F.array_distinct(F.flatten(F.transform(x["vector"], lambda t: F.coalesce(F.try_element_at(held, t["word"]), F.array().cast("array<int>")))))
+    best = F.transform(sized, lambda x: F.array_max(F.transform(met(x), lambda at: against(x, F.element_at(known, at + 1), at))))
+    return F.filter(best, lambda x: x.isNotNull())
 
 
 def _windows(words: Column, known: Column, weights: Column, unseen: float, threshold: float, templates, vectors: list[dict[str, float]]) -> Column:
     """``cosine, rank, license, start, size`` of the runs of a template's length that reach the threshold with it."""
-    holders: dict[str, list[int]] = {}
-    for k, vector in enumerate(vectors):
-        for word in cues([vector], threshold):
-            holders.setdefault(word, []).append(k)
     sizes = [len(_split(text)) for _, text in templates]
-    held = F.create_map(*[x for w, ks in holders.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sizes[k]).alias("size")) for k in ks]))])
+    held = _holders(vectors, threshold, lambda k: F.struct(F.lit(k).alias("k"), F.lit(sizes[k]).alias("size")))
     places = F.filter(F.transform(words, lambda w, at: F.struct(at.alias("at"), F.try_element_at(held, w).alias("held"))), lambda x: x["held"].isNotNull())
 
     def around(place: Column, k: Column) -> Column:
@@ -171,7 +199,32 @@ def _windows(words: Column, known: Column, weights: Column, unseen: float, thres
     cut = F.transform(spots, lambda x: F.struct(x["k"].alias("k"), x["t"].alias("t"), x["start"].alias("start"), _vectors(F.array(F.slice(words, x["start"] + 1, x["t"]["size"])), weights, unseen)[0].alias("x")))
     found = F.transform(cut, lambda c: F.struct(
         _cosine(c["x"], c["t"]).alias("cosine"), (-c["k"]).alias("rank"), c["t"]["license"].alias("license"), c["start"].alias("start"), c["x"]["n"].alias("size")))
-    return F.filter(found, lambda x: x["cosine"] >= threshold)
+    before = lambda x: F.slice(words, F.greatest(F.lit(1), x["start"] + 1 - REACH), F.least(x["start"], F.lit(REACH)))
+    return F.filter(found, lambda x: (x["cosine"] >= threshold) & ~F.arrays_overlap(before(x), F.array(*map(F.lit, NO))))
+
+
+def _known_names() -> Column:
+    """The templates' license names by their lower-case forms, to give addresses their capitals back."""
+    return F.create_map(*[F.lit(x) for name in sorted({n for n, _ in TEMPLATES}) for x in (name.lower(), name)])
+
+
+def _named(text: Column) -> Column:
+    """What short names and addresses of licenses state."""
+    small = F.lower(text)
+    groups = [(re.compile(pattern).groups, pattern, front, capitals) for pattern, front, capitals in ADDRESSES]
+
+    def parts(n: int, pattern: str, front: str, capitals: bool) -> Column:
+        hits = [F.regexp_extract_all(small, F.lit(pattern), F.lit(k + 1)) for k in range(n)]
+        shown = lambda x: F.upper(x) if capitals else x
+        if front[-1:].isdigit():
+            return F.transform(hits[0], lambda _: F.lit(front))
+        if n == 2:
+            return F.zip_with(hits[0], hits[1], lambda a, b: F.concat_ws("-", *([F.lit(front)] if front else []), shown(a), b))
+        return F.transform(hits[0], lambda a: F.concat_ws("-", *([F.lit(front)] if front else []), F.coalesce(F.try_element_at(_known_names(), a), shown(a))))
+
+    addresses = F.when(text.rlike(ADDRESS), F.concat(*[parts(*g) for g in groups])).otherwise(F.array().cast("array<string>"))
+    found = F.concat(F.regexp_extract_all(text, F.lit(NAMES), F.lit(1)), addresses)
+    return F.transform(found, lambda x: F.struct(F.lit(1.0).alias("cosine"), F.lit(0).alias("rank"), x.alias("license"), F.lit(1).alias("words")))
 
 
 def _tags(text: Column) -> Column:
@@ -188,13 +241,13 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(cues(vectors, threshold)) + r")(?![a-z0-9])"
     text = F.coalesce(F.col(text_col), F.lit(""))
     lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(cue))
-    stated = F.filter(_lines(lines, known, weights, unseen), lambda x: x["cosine"] >= threshold)
+    stated = F.filter(_lines(lines, known, weights, unseen, threshold, vectors), lambda x: x["cosine"] >= threshold)
     # the words once, by an array of one
     parts = F.transform(F.array(_words(text)), lambda w: F.struct(_windows(w, known, weights, unseen, threshold, templates, vectors).alias("windows"), F.size(w).alias("n")))[0]
-    worth = text.rlike(cue) | text.rlike(SPDX)
+    worth = text.rlike(cue) | text.rlike(SPDX) | text.rlike(ADDRESS) | text.rlike(NAMES)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"),
-        F.when(worth, F.concat(_tags(text), stated)).alias("stated"), F.when(worth, parts).alias("parts"),
+        F.when(worth, F.concat(_tags(text), _named(text), stated)).alias("stated"), F.when(worth, parts).alias("parts"),
         (worth & text.rlike(BINARY_CLAUSE) & ~text.rlike(NAME_CLAUSE)).alias("two_clauses"),
     )
     plain = lambda x: F.struct(x["cosine"].alias("cosine"), x["rank"].alias("rank"), x["license"].alias("license"))

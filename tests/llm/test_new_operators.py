@@ -17,7 +17,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from boutframe.llm import packing, periodic_runs, pii, secrets, vector_codes
+from boutframe.llm import licenses, packing, periodic_runs, pii, secrets, vector_codes
 
 SCHEMA = "doc_id long, text string, n_runs long, label string"
 ODD = [None, "", " ", "\n\t ", "a", "a " * 3000, "é é é é é é", "x  y z", "a b " * 4 + "c", "12 " * 20]
@@ -292,3 +292,19 @@ def test_tokens_of_one_case_and_encoded_prose(spark):
     found = [k for k in range(len(cases)) if rows[k] == f"random:4:{4 + len(cases[k])}"]
     assert len(found) >= 0.95 * len(cases), [cases[k] for k in range(len(cases)) if k not in found]
     assert rows[len(cases)] == f"random:4:{4 + len(key)}" and not any(rows[k] for k in range(len(cases) + 1, len(texts)))
+
+
+# licenses
+
+NOTICES = {
+    "Licensed under the MIT license.": "MIT", "This package is GPL-2.0-or-later": "GPL-2.0-or-later", "See http://www.apache.org/licenses/LICENSE-2.0 for details": "Apache-2.0",
+    "Texts: https://creativecommons.org/licenses/by-sa/4.0/": "CC-BY-SA-4.0", "https://www.gnu.org/licenses/lgpl-3.0.html": "LGPL-3.0", "https://opensource.org/licenses/MIT": "MIT", "https://opensource.org/license/bsd-3-clause": "BSD-3-Clause",
+    "Released under the Artistic License 2.0": "Artistic-2.0", "Distributed under the Boost Software License, Version 1.0.": "BSL-1.0", "Licensed under the zlib license": "Zlib", "Licensed under the EUPL, Version 1.2": "EUPL-1.2",
+    "Not licensed under the Apache License, Version 2.0": None, "It is not yet licensed under the Apache License, Version 2.0, sorry": None, "never GPL-3.0 again": None,
+    "You may not use this file.\nLicensed under the Apache License, Version 2.0": "Apache-2.0", "https://example.org/licenses/by-sa/4.0": None, "the license of the driver": None,
+}
+
+
+def test_short_notices_addresses_and_denials(spark):
+    rows = {r.doc_id: r.license for r in licenses.scan(table(spark, list(NOTICES)), F.concat_ws("/", F.col("doc_id").cast("string"), F.lit("x"))).collect()}
+    assert {text: rows[k] for k, text in enumerate(NOTICES)} == NOTICES
