@@ -6,8 +6,8 @@ spelling (last letter's kind, letters beyond ASCII, length). The context is the
 the one before that. Each of these has a vector for its position; their sum is the prediction, and a target class's score is
 its vector's product with the prediction plus a bias. The vectors are trained on the counts of *all* training documents'
 contexts and targets, by telling each observed class from ``NOISE`` drawn ones; positives are drawn by their counts, as many
-as ``EPOCHS`` times the number of different ones (and ``LEAST_STEPS`` batches at least), so training grows with what the
-corpus holds. Batched matrix products of all contexts with all targets then give every context's normaliser, with which a
+as ``EPOCHS`` times the number of different ones, and a batch for every ``LEAST_TOKENS`` tokens up to ``LEAST_STEPS``, so
+training grows with what the corpus holds. Batched matrix products of all contexts with all targets then give every context's normaliser, with which a
 token's score is a log-probability.
 
 P(word | class) comes from the counts of all words by absolute discounting (the discount from the numbers of words met once
@@ -42,7 +42,7 @@ DIMENSIONS = 32
 NOISE = 16
 BATCH = 4096
 EPOCHS = 2
-LEAST_STEPS = 400
+LEAST_STEPS, LEAST_TOKENS = 1600, 200
 RATE = 0.2
 SEED = 5
 END_HASH = hashes_of([b"\n"])[0]
@@ -193,7 +193,7 @@ def train_nce(cell: np.ndarray, n: np.ndarray, size: int, steps: int | None = No
     if not len(n):
         return Bilinear(size, np.zeros((size, 1), f), np.zeros((SPELLINGS + 1, 1), f), np.zeros((size, 1), f), np.zeros(size, f))
     rng = np.random.default_rng(seed)
-    steps = steps or max(LEAST_STEPS, -(-EPOCHS * len(n) // BATCH))
+    steps = steps or max(50, min(LEAST_STEPS, int(n.sum()) // LEAST_TOKENS), -(-EPOCHS * len(n) // BATCH))
     unigram = np.bincount(cell % size, n, size) + 0.5
     noise = unigram / unigram.sum()
     before, earlier, target = (rng.normal(0, 0.1, (k, DIMENSIONS)).astype(f) for k in (size, SPELLINGS + 1, size))
