@@ -135,7 +135,7 @@ def benchmark(rows: DataFrame, specs: dict[str, list[str]], fit: Callable[[str,
     parts = dataset.temporal_split(rows)
     train, test, out = parts.where("split <> 'test'"), parts.where("split = 'test'"), []
     for name, features in specs.items():
-        results = scored(test, fit(name, train, features), source)
+        results = materialize(scored(test, fit(name, train, features), source), "scored")
         whole = evaluate.metrics(results).withColumn("source", F.lit(None).cast("string"))
         out.append((whole.unionByName(evaluate.metrics(results, ["source"])) if source else whole).withColumns({"model": F.lit(name), "feature_count": F.lit(len(features))}))
     return audit.union_all(out)
@@ -175,7 +175,7 @@ def walk_forward(rows: DataFrame, features: list[str], fit: Callable[[str, DataF
         if calibrate:
             late = dataset.late_rows(train)
             early = fit(f"fold_{k}_early", late.where("not is_validation").drop("is_validation"), features)
-            held = scored(late.where("is_validation").drop("is_validation"), early)
+            held = materialize(scored(late.where("is_validation").drop("is_validation"), early), "held")  # both curves read it again and again
             results = evaluate.apply_isotonic(results, evaluate.isotonic(held)).withColumnRenamed("calibrated", "isotonic")
             results = evaluate.apply_platt(results, evaluate.platt(held)).withColumnRenamed("calibrated", "platt")
         out.append(results.withColumn("fold", F.lit(k)))

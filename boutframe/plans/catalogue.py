@@ -317,7 +317,7 @@ def leakage_recount(spark, sf_dir):
 @_query(f"""{_RECOUNT} SELECT fight_id, event_date, fighter_id, opponent_id, source, promotion, prior_fights + (fight_id % 10 = 0)::INT AS prior_fights, expected AS expected_prior_fights, same_day AS same_day_history_count,
     prior_fights + (fight_id % 10 = 0)::INT <> expected AS has_anomaly FROM x JOIN e USING (fight_id, fighter_id)""")
 def view_pit_audit(spark, sf_dir):
-    rows = bout_rows(spark, sf_dir)
+    rows = _kept_bouts(spark, sf_dir)  # the features and the recount read it
     return audit.pit_view(_spoilt(history.prior_record(rows)), rows)
 
 
