@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from boutframe.functions.text import name_key
+from boutframe.operators.trigrams import TrigramIndex
 
 #: Columns whose filter is a case-insensitive search for a part of the value.
 PARTIAL = ("promotion", "reason", "details")
@@ -50,11 +51,25 @@ def page(df: DataFrame, wanted: dict | None = None, limit: int = 100, offset: in
     return rows.offset(max(0, offset)).limit(max(1, min(MOST, limit)))
 
 
-def search(fighters: DataFrame, text: str, limit: int = 25) -> DataFrame:
-    """Fighters whose name or name key holds the text."""
-    key = F.lit(text)
-    hit = contains("full_name", text) | F.contains(name_key(F.col("full_name")), name_key(key))
-    return fighters.where(hit).orderBy("full_name", "fighter_id").limit(limit)
+def search(fighters: DataFrame, text: str, limit: int = 25, names: TrigramIndex | None = None, keys: TrigramIndex | None = None) -> DataFrame:
+    """Fighters whose name or name key holds the text.
+
+    With indexes of both by ``fighter_id`` (:func:`name_indexes`) the fighters are looked up by rare trigrams instead of read through.
+    """
+    key = name_key(F.lit(text))
+    if names is None or keys is None:
+        hit = contains("full_name", text) | F.contains(name_key(F.col("full_name")), key)
+        return fighters.where(hit).orderBy("full_name", "fighter_id").limit(limit)
+    one = fighters.sparkSession.range(1)
+    whole = lambda part: F.concat(F.lit("%"), F.regexp_replace(part, r"([\\%_])", r"\\$1"), F.lit("%"))
+    found = names.search(one.select(whole(F.lit(text)).alias("pattern"))).select("id").unionByName(keys.search(one.select(whole(key).alias("pattern"))).select("id"))
+    return fighters.join(found.select(F.col("id").alias("fighter_id")).distinct(), "fighter_id", "left_semi").orderBy("full_name", "fighter_id").limit(limit)
+
+
+def name_indexes(fighters: DataFrame) -> tuple[TrigramIndex, TrigramIndex]:
+    """Indexes of names and of name keys for :func:`search`."""
+    keyed = fighters.select("fighter_id", "full_name", name_key(F.col("full_name")).alias("key"))
+    return TrigramIndex.build(keyed, "fighter_id", "full_name"), TrigramIndex.build(keyed, "fighter_id", "key")
 
 
 def resolve(wanted: DataFrame, fighters: DataFrame, prefer: str) -> DataFrame:

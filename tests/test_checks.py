@@ -5,7 +5,7 @@ from datetime import date
 
 from pyspark.sql import functions as F
 
-from boutframe.operators import checks, identity, trigrams
+from boutframe.operators import checks, identity, service, trigrams
 from boutframe.schemas import STAGING, empty
 
 
@@ -80,3 +80,10 @@ def test_suggestions_are_two_joins_without_repeats(spark):
     assert rows == [("a", "1", "exact_name_dob", None, 3), ("c", "1", "cleaned_name_dob", "approved", 3), ("c", "2", "cleaned_name_dob", None, None)]
     assert [r.target_source_fighter_id for r in identity.ordered_suggestions(found, "c").collect()] == ["2", "1"]
     assert "NestedLoop" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_indexed_search_equals_a_scan(spark):
+    people = spark.createDataFrame([("a", "Ann Lee"), ("b", "ann  LEEDS"), ("c", "B.J. Ox"), ("d", "100% \\ Real_Name"), ("e", None), ("f", "Éva")], "fighter_id string, full_name string")
+    indexes = service.name_indexes(people)
+    for text in ("ann l", "LEE", "bj ox", "b j", "0%", "l_n", "\\", "é", "x", "nobody", "a"):
+        assert [r.fighter_id for r in service.search(people, text, 25, *indexes).collect()] == [r.fighter_id for r in service.search(people, text).collect()], text
