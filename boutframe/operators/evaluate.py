@@ -14,15 +14,21 @@ def _clipped() -> Column:
     return F.least(F.greatest(F.col("p"), F.lit(EPS)), F.lit(1 - EPS))
 
 
-def metrics(df: DataFrame, groups: list[str] = ()) -> DataFrame:
+def _ln(x: Column) -> Column:
+    """The logarithm of a probability; minus infinity at 0, where Spark's own is null and would leave the row out of an average."""
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.log(x))
+
+
+def metrics(df: DataFrame, groups: list[str] = (), clip: bool = True) -> DataFrame:
     """Rows, accuracy, log-loss, Brier score and AUC (null with one class only); null groups are groups.
 
-    AUC comes from counts by distinct probability, so its window runs over distinct values, not rows.
+    AUC comes from counts by distinct probability, so its window runs over distinct values, not rows. Log-loss is that of p kept
+    ``EPS`` away from 0 and 1; without ``clip`` it is the bare formula: infinite once a sure row is wrong, NaN once one is right.
     """
-    p, y = _clipped(), F.col("y").cast("double")
+    p, y = _clipped() if clip else F.col("p"), F.col("y").cast("double")
     plain = df.groupBy(*groups).agg(
         F.count(F.lit(1)).alias("rows"), F.avg(((F.col("p") >= 0.5).cast("int") == F.col("y").cast("int")).cast("double")).alias("accuracy"),
-        F.avg(-(y * F.log(p) + (1 - y) * F.log(1 - p))).alias("log_loss"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"),
+        F.avg(-(y * _ln(p) + (1 - y) * _ln(1 - p))).alias("log_loss"), F.avg((F.col("p") - y) * (F.col("p") - y)).alias("brier"),
     )
     by_value = df.groupBy(*groups, "p").agg(F.sum(y).alias("pos"), F.sum(1 - y).alias("neg"))
     below = F.coalesce(F.sum("neg").over(Window.partitionBy(*groups).orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
