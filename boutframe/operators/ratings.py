@@ -1,23 +1,24 @@
 """Time-decayed Elo ratings. Everything of a date depends only on what was known before it.
 
 A rating depends on the fighter's earlier ratings and on those of all opponents, so a table folded in order of time is one chain.
-It is folded in bins of fighters instead: a bin goes through its fighters' bouts in order of dates with their true ratings, and
-takes the ratings of opponents in other bins from the round before (at first, the initial one). A bout is right as soon as the
-bouts that it rests on are, so rounds end at the latest after as many as the longest chain of bouts; as an opponent's error counts
-for less than a twentieth in a new rating, about twenty rounds do, whatever the number of dates. They end when a round changes no
-bit of a rating across bins: then every bout has been computed from true ratings by the formulas of the plain fold, so the
-rows equal its rows to the bit. ``PER_BIN`` bouts a bin are aimed at, so bins grow with the table; a table of fewer bouts needs one
-round.
-
-A bin is streamed in order of dates by one task, which holds the ratings of the bin's fighters only. A fighter's own bouts are a
-chain that cannot be cut, so one who has a third of all bouts takes the time of these in each round, but no more memory.
+A table of up to ``PER_BIN`` bouts is folded so. In a larger one every fighter's bouts are a chain of their own, which goes in order of
+dates with the fighter's true ratings and takes the opponents' ratings from the round before (at first, the initial one). A bout is
+right as soon as the bouts that it rests on are, so rounds end at the latest after as many as the longest chain of bouts; as an
+opponent's error counts for less than a twentieth in a new rating, about twenty rounds do, whatever the number of dates. They end
+when no rating differs by a bit from that of two rounds before. Then rounds would repeat for ever what they have, and as the first
+bouts are right, then those that rest on them, and so on, all are: the rows equal those of the plain fold to the bit.
+
+A round is one shuffle. A side's row holds what both sides need (days since the last bout, result), so a task folds its fighters'
+rows as they come in order and sends each on to the opponent, with sides swapped and the rating that the opponent has to know. It
+holds two numbers and a batch of rows, also for a fighter with a third of all bouts, whose chain takes the time of these in each round.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -57,17 +58,16 @@ class Fold:
         raw, last = self.rating.get(fighter, INITIAL), self.seen.get(fighter)
         return raw, decayed(raw, None if last is None else (self.today - last).days)
 
-    def bout(self, date, blue, red, blue_won, decided, here=(True, True), known=(None, None)):
-        """Of blue and red: rating before, decayed, chance, opponent's, rating after (or None). ``known`` stands for who is not ``here``."""
+    def bout(self, date, blue, red, blue_won, decided):
+        """Of blue and red: rating before, decayed, chance, opponent's, rating after (or None)."""
         self.start(date)
-        raw, own = zip(*(self.before(f) if h else (None, INITIAL if k is None else k) for f, h, k in zip((blue, red), here, known, strict=True)), strict=True)
+        raw, own = zip(*(self.before(f) for f in (blue, red)), strict=True)
         chance = expected(own[0], own[1])
         new = (own[0] + K * (float(blue_won) - chance), own[1] + K * (float(not blue_won) - (1 - chance))) if decided else (None, None)
-        for fighter, h, rating in zip((blue, red), here, new, strict=True):
-            if h:
-                self.seen[fighter] = date
-                if rating is not None:
-                    self.after[fighter] = rating
+        for fighter, rating in zip((blue, red), new, strict=True):
+            self.seen[fighter] = date
+            if rating is not None:
+                self.after[fighter] = rating
         return (raw[0], own[0], chance, own[1], new[0]), (raw[1], own[1], 1 - chance, own[0], new[1])
 
 
@@ -93,55 +93,102 @@ def bout_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _schema(pairs: DataFrame) -> T.StructType:
-    """Ids keep the types that they have in the input. ``first``: the blue side; ``across``: the other side is of another bin; ``moved``: not as in the round before."""
+    """Ids keep the types that they have in the input."""
     kinds = {f.name: f.dataType for f in pairs.schema}
-    numbers = [T.StructField(c, T.DoubleType()) for c in RATED]
-    flags = [T.StructField(c, T.BooleanType()) for c in ("first", "across", "moved")]
-    return T.StructType([T.StructField("fight_id", kinds["fight_id"]), T.StructField("fighter_id", kinds["blue"]), *numbers, T.StructField("event_date", T.DateType()), *flags])
+    return T.StructType([T.StructField("fight_id", kinds["fight_id"]), T.StructField("fighter_id", kinds["blue"]), *[T.StructField(c, T.DoubleType()) for c in RATED], T.StructField("event_date", T.DateType())])
 
 
-_READ = ("bin", "fight_id", "event_date", "blue", "red", "blue_won", "decided", "blue_here", "red_here", "blue_known", "red_known")
-
-
-def _fold_bins(kinds: list):
-    """Bouts in order of bins, dates and ids to a row for each side that is of the bin."""
+def _fold_all(schema: T.StructType):
+    """Bouts in order of dates and ids to a row a side."""
+    kinds = [(f.name, to_arrow_type(f.dataType)) for f in schema.fields]
 
     def run(batches):
-        bin_, state = None, Fold()
+        state = Fold()
         for batch in batches:
             rows = []
-            for at, fight, date, blue, red, won, decided, *rest in zip(*(batch.column(c).to_pylist() for c in _READ), strict=True):
-                if at != bin_:
-                    bin_, state = at, Fold()
-                here, known = rest[:2], rest[2:]
-                sides = state.bout(date, blue, red, won, decided, here, known)
-                rows += [(fight, f, *side, date, k == 0, not all(here), side[1] != known[k]) for k, (f, side) in enumerate(zip((blue, red), sides, strict=True)) if here[k]]
+            for fight, date, blue, red, won, decided in zip(*(batch.column(c).to_pylist() for c in ("fight_id", "event_date", "blue", "red", "blue_won", "decided")), strict=True):
+                rows += [(fight, f, *side, date) for f, side in zip((blue, red), state.bout(date, blue, red, won, decided), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, (_, kind) in enumerate(kinds)], names=[name for name, _ in kinds])
 
     return run
 
 
+def _sides(pairs: DataFrame) -> DataFrame:
+    """A row a side with what both sides need. ``step``: 2 in a fighter's first bout, 1 in the first of a later date, else 0; ``result``: 1 won, 0 lost, -1 undecided.
+
+    ``known``: the opponent's rating; ``used``: what the opponent took the own one to be, two rounds before.
+    """
+    side = lambda own, first: F.struct(F.col(own).alias("id"), F.lit(first).alias("first"), F.when(~F.col("decided"), -1).otherwise((F.col("blue_won") == F.lit(first)).cast("int")).alias("result"))
+    own = pairs.select("fight_id", "event_date", F.explode(F.array(side("blue", True), side("red", False))).alias("x")).select("fight_id", "event_date", "x.*")
+    order = Window.partitionBy("id").orderBy("event_date", "fight_id", F.desc("first"))
+    seen = F.lag("event_date").over(order)
+    of_both = F.lag("fight_id").over(order) == F.col("fight_id")  # whoever meets themselves: both sides start from the bout before
+    days = F.coalesce(F.datediff("event_date", F.when(of_both, F.lag("event_date", 2).over(order)).otherwise(seen)), F.lit(0))
+    own = own.withColumns({"days": days, "step": F.when(seen.isNull(), 2).otherwise((seen != F.col("event_date")).cast("int"))})
+    take = lambda first: F.max(F.when(F.col("first") == F.lit(first), F.struct("id", "days", "step", "result")))
+    both = own.groupBy("fight_id", "event_date").agg(take(True).alias("blue"), take(False).alias("red"))
+    view = lambda a, b, first: F.struct(
+        *[F.col(f"{s}.{c}").alias(f"{name}_{c}") for s, name in ((a, "own"), (b, "other")) for c in ("id", "days", "step")], F.col(f"{a}.result").alias("result"), F.lit(first).alias("first"),
+    )
+    rows = both.select("fight_id", "event_date", F.explode(F.array(view("blue", "red", True), view("red", "blue", False))).alias("x")).select("fight_id", "event_date", "x.*")
+    return rows.withColumns({"known": F.lit(INITIAL), "used": F.lit(float("nan")), "moved": F.lit(True)})
+
+
+def _fold_chains(schema: T.StructType | None):
+    """Sides in order of fighters, dates and bouts to the opponents' rows of the next round, or with a schema to rated rows."""
+
+    def run(batches):
+        rating = after = INITIAL
+        left: dict = {}
+        for batch in batches:
+            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            days, first, result, known = (column(c) for c in ("own_days", "first", "result", "known"))
+            left.update((d, 0.5 ** (d / HALF_LIFE)) for d in set(days.tolist()) - left.keys())
+            raw, own, chances, new = [], [], [], []
+            for d, step, blue, won, other in zip(days.tolist(), column("own_step").tolist(), first.tolist(), result.tolist(), known.tolist(), strict=True):
+                if step:
+                    rating = after = INITIAL if step == 2 else after
+                mine = INITIAL + (rating - INITIAL) * left[d]
+                chance = expected(mine, other) if blue else 1 - expected(other, mine)
+                if won >= 0:
+                    after = mine + K * (won - chance)
+                own.append(mine)
+                if schema is not None:
+                    raw.append(rating)
+                    chances.append(chance)
+                    new.append(after if won >= 0 else None)
+            if schema is not None:
+                made = {"fight_id": batch.column("fight_id"), "fighter_id": batch.column("own_id"), "event_date": batch.column("event_date"), "opponent_pre_fight_elo": batch.column("known")}
+                made |= dict(zip(("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "post_elo"), (pa.array(x, pa.float64()) for x in (raw, own, chances, new)), strict=True))
+                yield pa.RecordBatch.from_arrays([made[name] for name in schema.names], names=schema.names)
+                continue
+            swapped = {f"{a}_{c}": batch.column(f"{b}_{c}") for a, b in (("own", "other"), ("other", "own")) for c in ("id", "days", "step")}
+            sent = np.array(own, float)
+            swapped |= {"first": pa.array(~first.astype(bool)), "result": pa.array(np.where(result < 0, -1, 1 - result).astype(np.int32)), "known": pa.array(sent), "used": batch.column("known"), "moved": pa.array(sent != column("used"))}
+            yield pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+
+    return run
+
+
 def rate(rows: DataFrame, per_bin: int = PER_BIN) -> DataFrame:
-    """Ratings before each bout, a row a side."""
-    ship(rows.sparkSession)
+    """Ratings before each bout, a row a side. A table of up to ``per_bin`` bouts is one stream; larger ones go in rounds."""
+    spark = rows.sparkSession
+    ship(spark)
     pairs = materialize(bout_pairs(rows), "bouts")
-    bins, schema = max(1, -(-pairs.count() // per_bin)), _schema(pairs)
-    fold_bins = _fold_bins([(f.name, to_arrow_type(f.dataType)) for f in schema.fields])
-    bin_of = lambda side: F.pmod(F.xxhash64(side), F.lit(bins))
-    bouts = pairs.withColumns({"blue_bin": bin_of("blue"), "red_bin": bin_of("red")})
-    known, last = bouts.withColumns({"blue_known": F.lit(None).cast("double"), "red_known": F.lit(None).cast("double")}), None
+    schema, bins = _schema(pairs), -(-pairs.count() // per_bin)
+    if bins <= 1:
+        return materialize(pairs.repartition(1).sortWithinPartitions("event_date", "fight_id").mapInArrow(_fold_all(schema), schema), "rated")
+    parts = max(bins, spark.sparkContext.defaultParallelism)
+    streams = lambda df: df.repartition(parts, "own_id").sortWithinPartitions("own_id", "event_date", "fight_id", F.desc("first"))
+    sides = materialize(_sides(pairs), "sides")
     while True:
-        seen_by = known.withColumn("bin", F.explode(F.array_distinct(F.array("blue_bin", "red_bin"))))
-        seen_by = seen_by.withColumns({"blue_here": F.col("blue_bin") == F.col("bin"), "red_here": F.col("red_bin") == F.col("bin")}).select(*_READ)
-        streams = seen_by.repartition(bins, "bin").sortWithinPartitions("bin", "event_date", "fight_id")
-        rated = materialize(streams.mapInArrow(fold_bins, schema), "rated")
-        if last is not None:
-            drop_scratch(last)
-        if bins == 1 or rated.where("across and moved").isEmpty():
-            return rated.drop("first", "across", "moved")
-        own = lambda blue: F.max(F.when(F.col("first") == F.lit(blue), F.col("time_decayed_elo")))
-        across = rated.where("across").groupBy("fight_id").agg(own(True).alias("blue_known"), own(False).alias("red_known"))
-        known, last = bouts.join(across, "fight_id", "left"), rated
+        following = materialize(streams(sides).mapInArrow(_fold_chains(None), sides.schema), "sides")
+        drop_scratch(sides)
+        sides = following
+        if sides.where("moved").isEmpty():
+            rated = materialize(streams(sides).mapInArrow(_fold_chains(schema), schema), "rated")
+            drop_scratch(sides)
+            return rated
 
 
 def final_ratings(rated: DataFrame) -> DataFrame:
