@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from datetime import date, datetime
+from functools import lru_cache
 from urllib.parse import urljoin
 
 from pyspark.sql import DataFrame
@@ -35,6 +36,7 @@ class BrokenPage(ValueError):
     """A page or row lacks what it has to have."""
 
 
+@lru_cache(4096)
 def absolute(url: str) -> str:
     for other in ("https://www.ufcstats.com", "https://ufcstats.com"):
         url = urljoin(SITE, url).replace(other, SITE)
