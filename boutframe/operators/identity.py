@@ -172,20 +172,27 @@ def suggestions(fighters: DataFrame, links: DataFrame, overrides: DataFrame, see
     """Whom each fighter of the secondary source may be: primary fighters born on the same day whose exact *or* cleaned name key is equal.
 
     The OR is a union of two equi-joins that share no pair: the second leaves out what the first finds. Rejected pairs go, other
-    decisions on a pair are shown. ``seen``: ``fighter_id`` with counts of bouts, joined by the canonical id, where there is one.
+    decisions on a pair are shown. A decision without a target stands for all of the fighter's candidates that have none of their
+    own; of several on one pair the last in the alphabet counts, so a rejection does. ``seen``: ``fighter_id`` with counts of bouts,
+    by the canonical id, where there is one. As pairs may be many, decisions and counts are joined to the fighters, before these meet:
+    no pair is shuffled.
     """
     keyed = with_keys(fighters)
-    own = keyed.where((F.col("source") == secondary) & F.col("dob").isNotNull()).select("source_fighter_id", "exact_key", "clean_key", "dob")
+    decided = overrides.where((F.col("source") == secondary) & (F.col("target_source") == primary))
+    said = decided.groupBy("source_fighter_id", F.col("target_source_fighter_id").alias("target")).agg(F.max(F.struct("decision", "note")).alias("said"))
+    said = said.groupBy("source_fighter_id").agg(
+        F.map_from_entries(F.collect_list(F.when(F.col("target").isNotNull(), F.struct("target", "said")))).alias("of_pair"), F.max(F.when(F.col("target").isNull(), F.col("said"))).alias("of_all"),
+    )
+    own = keyed.where((F.col("source") == secondary) & F.col("dob").isNotNull()).select("source_fighter_id", "exact_key", "clean_key", "dob").join(said, "source_fighter_id", "left")
     main = keyed.where((F.col("source") == primary) & F.col("dob").isNotNull()).join(links.where(F.col("source") == primary).select("source_fighter_id", "canonical_fighter_id"), "source_fighter_id")
-    shown = [c for c in ("full_name", "url") if c in fighters.columns]
-    main = main.select(F.col("source_fighter_id").alias("target_source_fighter_id"), F.col("canonical_fighter_id").alias("target_canonical_fighter_id"), *shown, F.col("exact_key").alias("their_exact"), F.col("clean_key").alias("their_clean"), "dob")
+    shown, counts = [c for c in ("full_name", "url") if c in fighters.columns], [c for c in seen.columns if c != "fighter_id"]
+    main = main.join(seen.withColumnRenamed("fighter_id", "canonical_fighter_id"), "canonical_fighter_id", "left")
+    main = main.select(F.col("source_fighter_id").alias("target_source_fighter_id"), F.col("canonical_fighter_id").alias("target_canonical_fighter_id"), *shown, *counts, F.col("exact_key").alias("their_exact"), F.col("clean_key").alias("their_clean"), "dob")
     exact = own.join(main.withColumn("exact_key", F.col("their_exact")), ["exact_key", "dob"]).withColumn("candidate_reason", F.lit("exact_name_dob"))
     clean = own.join(main.withColumn("clean_key", F.col("their_clean")), ["clean_key", "dob"]).where(~F.coalesce(F.col("exact_key") == F.col("their_exact"), F.lit(False))).withColumn("candidate_reason", F.lit("cleaned_name_dob"))
-    columns = ("source_fighter_id", "target_source_fighter_id", "target_canonical_fighter_id", *shown, "dob", "candidate_reason")
-    pairs = exact.select(*columns).unionByName(clean.select(*columns))
-    decided = overrides.where((F.col("source") == secondary) & (F.col("target_source") == primary)).select("source_fighter_id", "target_source_fighter_id", F.col("decision").alias("manual_decision"), F.col("note").alias("manual_note"))
-    pairs = pairs.join(decided, ["source_fighter_id", "target_source_fighter_id"], "left").where("coalesce(manual_decision, '') <> 'rejected'")
-    return pairs.join(seen.withColumnRenamed("fighter_id", "target_canonical_fighter_id"), "target_canonical_fighter_id", "left")
+    decision = F.coalesce(F.try_element_at("of_pair", F.col("target_source_fighter_id")), F.col("of_all"))
+    columns = ("target_canonical_fighter_id", "source_fighter_id", "target_source_fighter_id", *shown, "dob", "candidate_reason", decision["decision"].alias("manual_decision"), decision["note"].alias("manual_note"), *counts)
+    return exact.select(*columns).unionByName(clean.select(*columns)).where("coalesce(manual_decision, '') <> 'rejected'")
 
 
 def ordered_suggestions(found: DataFrame, source_fighter_id: str) -> DataFrame:
