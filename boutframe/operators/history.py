@@ -16,6 +16,15 @@ def before(key: str = "fighter_id", date: str = "event_date"):
     return Window.partitionBy(key).orderBy(F.unix_date(date)).rangeBetween(Window.unboundedPreceding, -1)
 
 
+#: A column of day numbers. Rows that have it are ordered by it in all windows, so that one sort serves them all; an expression would be sorted by anew in each.
+DAY = "__day"
+
+
+def _earlier(rows: DataFrame):
+    """:func:`before` of a fighter's rows."""
+    return Window.partitionBy("fighter_id").orderBy(DAY).rangeBetween(Window.unboundedPreceding, -1) if DAY in rows.columns else before()
+
+
 def fight_seconds(round_: Column, seconds: Column) -> Column:
     return (round_ - 1) * 300 + seconds
 
@@ -25,7 +34,7 @@ def _won() -> Column:
 
 
 def prior_record(rows: DataFrame) -> DataFrame:
-    h = before()
+    h = _earlier(rows)
     count = lambda c: F.coalesce(F.sum(c.cast("long")).over(h), F.lit(0)).cast("long")
     return rows.withColumns({
         "prior_fights": F.count(F.lit(1)).over(h), "prior_wins": count(_won()), "prior_losses": count(F.col("outcome") == "L"),
@@ -35,25 +44,25 @@ def prior_record(rows: DataFrame) -> DataFrame:
 
 def method_wins(rows: DataFrame) -> DataFrame:
     """Wins by how the method's name reads; a bout may count in several."""
-    h, method = before(), F.upper(F.coalesce(F.col("method"), F.lit("")))
+    h, method = _earlier(rows), F.upper(F.coalesce(F.col("method"), F.lit("")))
     tests = {"wins_by_ko_tko": method.contains("KO") | method.contains("TKO"), "wins_by_sub": method.contains("SUB"), "wins_by_dec": method.contains("DEC")}
     return rows.withColumns({k: F.coalesce(F.sum((_won() & t).cast("long")).over(h), F.lit(0)) for k, t in tests.items()})
 
 
 def averages(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Means of earlier values that are known; null if none is. ``columns``: feature name -> column."""
-    return rows.withColumns({name: F.avg(c).over(before()) for name, c in columns.items()})
+    return rows.withColumns({name: F.avg(c).over(_earlier(rows)) for name, c in columns.items()})
 
 
 def rates(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
     """Totals by time: feature name -> (column, minutes). The time is that of all earlier bouts, also those without the value."""
-    h = before()
+    h = _earlier(rows)
     minutes = F.sum("fight_sec").over(h) / 60
     return rows.withColumns({name: F.when(minutes > 0, F.sum(c).over(h) / minutes * by) for name, (c, by) in columns.items()})
 
 
 def recency(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("days_since_last_fight", F.datediff("event_date", F.max("event_date").over(before())))
+    return rows.withColumn("days_since_last_fight", F.datediff("event_date", F.max("event_date").over(_earlier(rows))))
 
 
 def age_years(dob: Column, date: Column) -> Column:
@@ -69,9 +78,9 @@ def uncertainty(prior_fights: Column, days: Column) -> tuple[Column, Column]:
 
 def _last(rows: DataFrame, n: int, value: Column, name: str) -> DataFrame:
     """Mean of ``value`` (where it is known) over the last n earlier bouts by date and bout; null if it is known in none."""
-    frame = Window.partitionBy("fighter_id").orderBy("event_date", "fight_id").rowsBetween(1 - n, Window.currentRow)
+    frame = Window.partitionBy("fighter_id").orderBy(DAY if DAY in rows.columns else "event_date", "fight_id").rowsBetween(1 - n, Window.currentRow)
     ending_here = F.struct("event_date", "fight_id", F.avg(value).over(frame).alias("mean"))
-    return rows.withColumn(name, ending_here).withColumn(name, F.max(name).over(before())["mean"])
+    return rows.withColumn(name, ending_here).withColumn(name, F.max(name).over(_earlier(rows))["mean"])
 
 
 def recent_win_rate(rows: DataFrame, n: int, name: str) -> DataFrame:
@@ -85,7 +94,7 @@ def recent_mean(rows: DataFrame, n: int, column: str, name: str) -> DataFrame:
 
 def opponent_quality(rows: DataFrame) -> DataFrame:
     """From ``opponent_pre_fight_elo``: mean, mean of the last 3, best beaten, worst lost to."""
-    h, elo = before(), F.col("opponent_pre_fight_elo")
+    h, elo = _earlier(rows), F.col("opponent_pre_fight_elo")
     rows = rows.withColumns({
         "avg_opponent_pre_fight_elo": F.avg(elo).over(h), "best_win_opponent_pre_fight_elo": F.max(F.when(_won(), elo)).over(h),
         "worst_loss_opponent_pre_fight_elo": F.min(F.when(F.col("outcome") == "L", elo)).over(h),
@@ -118,10 +127,16 @@ def features(rows: DataFrame, rated: DataFrame) -> DataFrame:
     """
     rows = rows.join(rated.select("fight_id", "fighter_id", "pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo"), ["fight_id", "fighter_id"], "left")
     rows = rows.withColumns({c: F.coalesce(c, F.lit(1500.0)) for c in ("pre_fight_elo", "time_decayed_elo")})
-    rows = rates(averages(method_wins(recency(prior_record(rows))), AVERAGES), RATES)
+    return _windows(rows).drop(DAY)
+
+
+def _windows(rows: DataFrame) -> DataFrame:
+    """Windows by rank come first: they sort by fighter, date and bout, which serves all others too, so a task holds one sort buffer. ``DAY`` stays for more windows."""
+    rows = rows.withColumn(DAY, F.unix_date("event_date"))
+    rows = recent_win_rate(recent_win_rate(rows, 3, "recent_3_win_rate"), 5, "recent_5_win_rate")
+    rows = rates(averages(method_wins(recency(prior_record(opponent_quality(rows)))), AVERAGES), RATES)
     doubt, deviation = uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
-    rows = opponent_quality(rows).withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
-    return recent_win_rate(recent_win_rate(rows, 3, "recent_3_win_rate"), 5, "recent_5_win_rate")
+    return rows.withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
 
 
 def future_features(rows: DataFrame, rated: DataFrame, future: DataFrame) -> DataFrame:
@@ -132,15 +147,12 @@ def future_features(rows: DataFrame, rated: DataFrame, future: DataFrame) -> Dat
     """
     both = with_future(rows, future)
     both = both.join(rated.select("fight_id", "fighter_id", "opponent_pre_fight_elo", "post_elo"), ["fight_id", "fighter_id"], "left")
-    h = before()
+    both = _windows(both)
+    h = _earlier(both)
     last = F.max(F.when(F.col("post_elo").isNotNull(), F.struct("event_date", "fight_id", "post_elo"))).over(h)
     days = F.datediff("event_date", F.max("event_date").over(h))
     both = both.withColumn("pre_fight_elo", F.coalesce(last["post_elo"], F.lit(1500.0)))
-    both = both.withColumn("time_decayed_elo", 1500.0 + (F.col("pre_fight_elo") - 1500.0) * F.pow(F.lit(0.5), F.coalesce(days, F.lit(0)) / 730.0))
-    both = rates(averages(method_wins(recency(prior_record(both))), AVERAGES), RATES)
-    doubt, deviation = uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
-    both = opponent_quality(both).withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
-    both = recent_win_rate(recent_win_rate(both, 3, "recent_3_win_rate"), 5, "recent_5_win_rate").where("is_future")
+    both = both.withColumn("time_decayed_elo", 1500.0 + (F.col("pre_fight_elo") - 1500.0) * F.pow(F.lit(0.5), F.coalesce(days, F.lit(0)) / 730.0)).drop(DAY).where("is_future")
     other = F.sum("time_decayed_elo").over(Window.partitionBy("fight_id")) - F.col("time_decayed_elo")
     return both.withColumn("elo_expected_win_prob", 1 / (1 + F.pow(F.lit(10.0), (other - F.col("time_decayed_elo")) / 400)))
 
