@@ -1,8 +1,8 @@
 """Second-order gradient boosting over histograms, with a learned side for missing values at every split.
 
 Features are cut into at most ``BINS`` bins by approximate quantiles, once; rows are kept as bytes of bins with their margin.
-For each level of a tree, every task adds up gradients, second derivatives and counts by node, feature and bin of its rows, and
-one small aggregation joins the tasks; the driver sees a histogram of ``nodes x features x bins``, never rows. Both sides are
+For each level of a tree, every task adds up gradients, second derivatives and counts by node, feature and bin of its rows, a
+row a node and feature, and one small shuffle adds up those of the tasks; the driver sees a histogram of ``nodes x features x bins``, never rows. Both sides are
 tried for the missing values of each split and the better one is kept, as is the side without any where nothing was missing.
 Leaves follow from the last level's histogram. Every ``KEEP`` trees the rows' margins are written anew, so that a pass looks
 at the last few trees only; the table before is removed.
@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import math
 import random
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -48,16 +49,25 @@ class Tree:
             for values, value in ((self.feature, -1), (self.bin, 0), (self.cut, 0.0), (self.left_default, True), (self.left, 0), (self.weight, weight)):
                 values.append(value)
 
-    def nodes(self, values: np.ndarray, missing: np.ndarray, binned: bool) -> np.ndarray:
-        """The leaf of each row of ``values`` (rows x features)."""
-        feature, limit, default, left = (np.array(x) for x in (self.feature, self.bin if binned else self.cut, self.left_default, self.left))
-        node, rows = np.zeros(len(values), np.int64), np.arange(len(values))
-        while (inner := feature[node] >= 0).any():
-            at, who = node[inner], rows[inner]
-            gone, value = missing[who, feature[at]], values[who, feature[at]]
-            goes_left = np.where(gone, default[at], value <= limit[at])
-            node[inner] = left[at] + ~goes_left
-        return node
+    def nodes(self, goes_left: Callable[[int], np.ndarray]) -> np.ndarray:
+        """The leaf of each row (one number for all in a tree of one leaf). ``goes_left`` gives a node's decision for all rows."""
+
+        def below(node: int) -> np.ndarray:
+            if self.feature[node] < 0:
+                return np.uint16(node)
+            return np.where(goes_left(node), below(self.left[node]), below(self.left[node] + 1))
+
+        return below(0)
+
+    def nodes_of_bins(self, bins: np.ndarray) -> np.ndarray:
+        """:meth:`nodes` of ``bins`` (features x rows), by a table of 256 decisions a node."""
+
+        def goes_left(node: int) -> np.ndarray:
+            sides = np.arange(256) <= self.bin[node]
+            sides[MISSING] = self.left_default[node]
+            return sides[bins[self.feature[node]]]
+
+        return self.nodes(goes_left)
 
 
 @dataclass
@@ -67,10 +77,12 @@ class Booster:
     trees: list[Tree]
 
     def margins(self, values: np.ndarray) -> np.ndarray:
-        missing = np.isnan(values)
+        columns = np.ascontiguousarray(values.T)
+        missing = np.isnan(columns)
         total = np.full(len(values), self.base)
         for tree in self.trees:
-            total += np.array(tree.weight)[tree.nodes(values, missing, False)]
+            side = lambda k, t=tree: np.where(missing[t.feature[k]], t.left_default[k], columns[t.feature[k]] <= t.cut[k])
+            total += np.array(tree.weight)[tree.nodes(side)]
         return total
 
     def score(self, df: DataFrame, column: str = "p") -> DataFrame:
@@ -111,8 +123,9 @@ def _binned(df: DataFrame, features: list[str], label: str, key: str, cuts: list
                 values = batch.column(k + 2).to_numpy(zero_copy_only=False).astype(np.float64)
                 known = ~np.isnan(values)
                 out[known, k] = np.searchsorted(cuts[k], values[known], side="left")
-            rows = [r.tobytes() for r in out]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), batch.column(1), pa.array(np.full(batch.num_rows, base))], names=["key", "bins", "y", "margin"])
+            ends = np.arange(batch.num_rows + 1, dtype=np.int32) * len(features)
+            rows = pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), rows, batch.column(1), pa.array(np.full(batch.num_rows, base))], names=["key", "bins", "y", "margin"])
 
     chosen = df.where(F.col(label).isNotNull()).select(F.xxhash64(key).alias("key"), F.col(label).cast("double").alias("y"), *[F.col(f).cast("double").alias(f"f{k}") for k, f in enumerate(features)])
     return chosen.mapInArrow(run, "key long, bins binary, y double, margin double")
@@ -133,44 +146,76 @@ class _Rows:
         self.width, self.pending = width, pending
 
     def read(self, batch) -> tuple[np.ndarray, np.ndarray]:
-        bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(batch.num_rows, self.width)
+        """Bins (features x rows) and margins. Bins are taken from Arrow's buffer, as every row has as many."""
+        rows = batch.column("bins").cast(pa.large_binary())
+        first = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset]
+        bins = np.ascontiguousarray(np.frombuffer(rows.buffers()[2], np.uint8, batch.num_rows * self.width, first).reshape(batch.num_rows, self.width).T)
         margin = batch.column("margin").to_numpy(zero_copy_only=False).copy()
         for tree in self.pending:
-            margin += np.array(tree.weight)[tree.nodes(bins, bins == MISSING, True)]
+            margin += np.array(tree.weight)[tree.nodes_of_bins(bins)]
         return bins, margin
 
 
+def _joined(batches: Iterator[pa.RecordBatch], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """Batches of about ``rows`` rows: what is done once a batch, node and column counts for less."""
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= rows:
+            yield pa.concat_batches(held)
+            held, n = [], 0
+    if n:
+        yield pa.concat_batches(held)
+
+
 def _histogram(rows: DataFrame, width: int, pending: list[Tree], tree: Tree, nodes: list[int], columns: list[int], number: int, share: float, seed: int) -> dict[int, np.ndarray]:
     """For each of ``nodes``: features x bins x (gradient, second derivative, count), in units."""
     reader = _Rows(width, pending)
 
     def run(batches):
         total = np.zeros((len(nodes), len(columns), 256, 3), np.int64)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _joined(batches):
             bins, margin = reader.read(batch)
             p = 1 / (1 + np.exp(-np.clip(margin, -700, 700)))
             y = batch.column("y").to_numpy(zero_copy_only=False)
-            at = tree.nodes(bins, bins == MISSING, True)
-            place = np.full(max(nodes) + 1, -1)
+            at = np.broadcast_to(tree.nodes_of_bins(bins), batch.num_rows)
+            place = np.full(len(tree.feature), -1)
             place[nodes] = np.arange(len(nodes))
-            here = np.where(at <= max(nodes), place[np.minimum(at, max(nodes))], -1)
-            chosen = (here >= 0) & _taken(batch.column("key").to_numpy(zero_copy_only=False), number, share, seed)
-            here, sums = here[chosen] * 256, (np.rint((p - y) * UNIT)[chosen], np.rint(p * (1 - p) * UNIT)[chosen], np.ones(chosen.sum()))
+            here = place[at]
+            chosen = np.flatnonzero((here >= 0) & _taken(batch.column("key").to_numpy(zero_copy_only=False), number, share, seed))
+            here, p, y = here[chosen] * 256, p[chosen], y[chosen]
+            sums = np.rint((p - y) * UNIT), np.rint(p * (1 - p) * UNIT), None
             for k, c in enumerate(columns):
+                slot = here + bins[c][chosen]
                 for m, weights in enumerate(sums):
-                    total[:, k, :, m] += np.bincount(here + bins[chosen, c], weights=weights, minlength=len(nodes) * 256).astype(np.int64).reshape(len(nodes), 256)
-        slots = np.flatnonzero(total[..., 2].ravel())
-        found = total.reshape(-1, 3)[slots]
-        yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int64()), *(pa.array(found[:, m], pa.int64()) for m in range(3))], names=["slot", "g", "h", "n"])
-
-    sums = rows.mapInArrow(run, "slot long, g long, h long, n long").groupBy("slot").agg(*[F.sum(c).alias(c) for c in "ghn"]).toArrow()  # nodes x features x bins at most
-    total = np.zeros((len(nodes) * len(columns) * 256, 3), np.int64)
-    total[sums.column("slot").to_numpy()] = np.stack([sums.column(c).to_numpy() for c in "ghn"], 1)
+                    total[:, k, :, m] += np.bincount(slot, weights, len(nodes) * 256).astype(np.int64).reshape(len(nodes), 256)
+        yield _packed(dict(enumerate(total.reshape(-1, 256, 3))))
+
+    sums: dict[int, np.ndarray] = {}
+    for batch in rows.mapInArrow(run, "slot int, sums binary").repartition("slot").mapInArrow(_added, "slot int, sums binary").toArrow().to_batches():  # nodes x features at most
+        _add(sums, batch)
+    total = np.stack([sums.get(slot, np.zeros((256, 3), np.int64)) for slot in range(len(nodes) * len(columns))])
     return dict(zip(nodes, total.reshape(len(nodes), len(columns), 256, 3), strict=True))
 
 
+def _packed(sums: dict[int, np.ndarray]) -> pa.RecordBatch:
+    """A row a node and feature, with its bins' sums as bytes."""
+    return pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["slot", "sums"])
+
+
+def _add(sums: dict[int, np.ndarray], batch: pa.RecordBatch) -> None:
+    for slot, packed in zip(batch.column("slot").to_pylist(), batch.column("sums").to_pylist(), strict=True):
+        sums[slot] = sums.get(slot, 0) + np.frombuffer(packed, np.int64).reshape(256, 3)
+
+
+def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    sums: dict[int, np.ndarray] = {}
+    for batch in batches:
+        _add(sums, batch)
+    yield _packed(sums)
+
+
 def best_split(hist: np.ndarray, ridge: float, least: float) -> tuple[float, int, int, bool, tuple[float, float]] | None:
     """``gain, column, bin, missing left?, leaf values`` of the best split of a node's histogram; None without a gain."""
     best = None

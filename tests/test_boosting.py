@@ -83,3 +83,25 @@ def test_tables_without_anything_to_learn(spark):
     assert sure["fighter_a_win_probability"] > 0.999 and sure["feature_count"] == 5
     flat = boosting.fit(df, ["same", "none"], trees=2)
     assert all(t.feature == [-1] for t in flat.trees)
+
+
+def test_a_histogram_is_a_row_a_node_and_feature_and_leaves_follow_from_tables(spark):
+    """What a pass moves doesn't depend on the number of bins in use, and a tree is walked by its decisions of each bin."""
+    rng = random.Random(7)
+    bins = np.array([[rng.choice([*range(256), boosting.MISSING]) for _ in range(200)] for _ in range(3)], np.uint8)
+    tree = boosting.Tree()
+    for node, feature, bin_, left in ((0, 1, 90, False), (2, 0, 20, True), (4, 2, 254, False)):
+        tree.split(node, feature, bin_, 0.0, left, (0.1, 0.2))
+
+    def walk(row):
+        node = 0
+        while tree.feature[node] >= 0:
+            value = row[tree.feature[node]]
+            node = tree.left[node] + (not (tree.left_default[node] if value == boosting.MISSING else value <= tree.bin[node]))
+        return node
+
+    assert tree.nodes_of_bins(bins).tolist() == [walk(row) for row in bins.T]
+    packed = boosting._packed({k: np.full((256, 3), k) for k in range(4)})
+    assert packed.num_rows == 4
+    (added,) = boosting._added(iter([packed, packed]))
+    assert [np.frombuffer(x, np.int64).tolist() for x in added.column("sums").to_pylist()] == [[2 * k] * 768 for k in range(4)]
