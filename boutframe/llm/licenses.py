@@ -4,7 +4,9 @@ Every line of a text is compared with the templates, and so is every run of as m
 which may begin or end inside a line or cross lines); a line or window states a license when its cosine with the best
 template is ``THRESHOLD`` or more, it has all numbers of the template, and it has no word of ``VARIANTS`` that the template
 lacks. Only lines and windows with a *cue* word are compared: the cues are each template's heaviest words, taken until the
-rest of its vector is too short to reach the threshold, so what has no cue can't reach it either. An SPDX tag states the
+rest of its vector is too short to reach the threshold, so what has no cue can't reach it either. In the same way a template is
+tried only in texts that have all its numbers and enough of its words: by Cauchy and Schwarz, a line's cosine with it is at most
+the length of that part of the template's unit vector whose words the line, and so the text, has. An SPDX tag states the
 license expression that it names, whether or not that has a template, with cosine 1. Full license texts are known by their
 titles and main sentences; they are not compared as a whole.
 
@@ -131,33 +133,42 @@ def _cosine(x: Column, template: Column) -> Column:
 
 
 def _templates(templates, vectors: list[dict[str, float]]) -> Column:
-    """``license, size, vector, numbers, others`` of each template, as one constant array."""
+    """``k, license, size, vector, numbers, others`` of each template, as one constant array."""
 
-    def one(name: str, text: str, vector: dict[str, float]) -> Column:
+    def one(k: int, name: str, text: str, vector: dict[str, float]) -> Column:
         numbers, others = [w for w in vector if w.isdigit()], sorted(VARIANTS - vector.keys())
         return F.struct(
-            F.lit(name).alias("license"), F.lit(len(_split(text))).alias("size"), F.create_map(*[F.lit(x) for pair in vector.items() for x in pair]).alias("vector"),
+            F.lit(k).alias("k"), F.lit(name).alias("license"), F.lit(len(_split(text))).alias("size"), F.create_map(*[F.lit(x) for pair in vector.items() for x in pair]).alias("vector"),
             F.array(*map(F.lit, numbers)).cast("array<string>").alias("numbers"), F.array(*map(F.lit, others)).alias("others"),
         )
 
-    return F.array(*[one(name, text, vector) for (name, text), vector in zip(templates, vectors, strict=True)])
+    return F.array(*[one(k, name, text, vector) for k, ((name, text), vector) in enumerate(zip(templates, vectors, strict=True))])
 
 
-def _lines(lines: Column, known: Column, weights: Column, unseen: float) -> Column:
-    """``cosine, rank, license, words`` of each line with its best template."""
+def _possible(words: Column, known: Column, vocabulary: list[str], threshold: float) -> Column:
+    """The templates that a line or window of a text of these words can reach the threshold with, and maybe more."""
+    held = lambda t, p: F.aggregate(F.map_entries(t["vector"]), F.lit(0.0), lambda a, e: a + F.when(F.array_contains(p, e["key"]), e["value"] * e["value"]).otherwise(0.0))
+    near = lambda t, p: (F.size(F.array_except(t["numbers"], p)) == 0) & (held(t, p) >= threshold * threshold - 1e-8)
+    present = F.array_intersect(words, F.array(*map(F.lit, vocabulary)))
+    return F.transform(F.array(present), lambda p: F.filter(known, lambda t: near(t, p)))[0]  # an array of one, so that it is computed once
+
+
+def _lines(lines: Column, possible: Column, weights: Column, unseen: float) -> Column:
+    """``cosine, rank, license, words`` of each line with its best template of those ``possible``."""
     sized = _vectors(F.transform(lines, _words), weights, unseen)
-    against = lambda x, t, at: F.struct(_cosine(x, t).alias("cosine"), (-at).alias("rank"), t["license"].alias("license"), x["n"].alias("words"))
-    return F.transform(sized, lambda x: F.array_max(F.transform(known, lambda t, at: against(x, t, at))))
+    against = lambda x, t: F.struct(_cosine(x, t).alias("cosine"), (-t["k"]).alias("rank"), t["license"].alias("license"), x["n"].alias("words"))
+    return F.transform(sized, lambda x: F.array_max(F.transform(possible, lambda t: against(x, t))))
 
 
-def _windows(words: Column, known: Column, weights: Column, unseen: float, threshold: float, templates, vectors: list[dict[str, float]]) -> Column:
-    """``cosine, rank, license, start, size`` of the runs of a template's length that reach the threshold with it."""
+def _windows(words: Column, known: Column, possible: Column, weights: Column, unseen: float, threshold: float, templates, vectors: list[dict[str, float]]) -> Column:
+    """``cosine, rank, license, start, size`` of the runs of a template's length that reach the threshold with it; only those ``possible`` are tried."""
     holders: dict[str, list[int]] = {}
     for k, vector in enumerate(vectors):
         for word in cues([vector], threshold):
             holders.setdefault(word, []).append(k)
     sizes = [len(_split(text)) for _, text in templates]
     held = F.create_map(*[x for w, ks in holders.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(k).alias("k"), F.lit(sizes[k]).alias("size")) for k in ks]))])
+    allowed = lambda ks: F.filter(ks, lambda k: F.exists(possible, lambda t: t["k"] == k["k"]))
     places = F.filter(F.transform(words, lambda w, at: F.struct(at.alias("at"), F.try_element_at(held, w).alias("held"))), lambda x: x["held"].isNotNull())
 
     def around(place: Column, k: Column) -> Column:
@@ -166,7 +177,7 @@ def _windows(words: Column, known: Column, weights: Column, unseen: float, thres
         starts = F.sequence(F.least(last, F.greatest(F.lit(0), place["at"] - size + 1)), last)
         return F.transform(starts, lambda a: k["k"].cast("long") * (1 << 32) + a)
 
-    tried = F.array_distinct(F.flatten(F.transform(places, lambda p: F.flatten(F.transform(p["held"], lambda k: around(p, k))))))
+    tried = F.array_distinct(F.flatten(F.transform(places, lambda p: F.flatten(F.transform(allowed(p["held"]), lambda k: around(p, k))))))
     spots = F.transform(tried, lambda x: F.struct(F.shiftright(x, 32).cast("int").alias("k"), F.element_at(known, F.shiftright(x, 32).cast("int") + 1).alias("t"), x.bitwiseAND((1 << 32) - 1).cast("int").alias("start")))
     cut = F.transform(spots, lambda x: F.struct(x["k"].alias("k"), x["t"].alias("t"), x["start"].alias("start"), _vectors(F.array(F.slice(words, x["start"] + 1, x["t"]["size"])), weights, unseen)[0].alias("x")))
     found = F.transform(cut, lambda c: F.struct(
@@ -187,13 +198,16 @@ def scan(docs: DataFrame, path: Column, id_col: str = "doc_id", text_col: str =
     weights = F.create_map(*[F.lit(x) for w, v in idf.items() for x in (w, v)])
     cue = r"(?i)(?<![a-z0-9])(?:" + "|".join(cues(vectors, threshold)) + r")(?![a-z0-9])"
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, r"\r?\n"), lambda x: x.rlike(cue))
-    stated = F.filter(_lines(lines, known, weights, unseen), lambda x: x["cosine"] >= threshold)
-    # the words once, by an array of one
-    parts = F.transform(F.array(_words(text)), lambda w: F.struct(_windows(w, known, weights, unseen, threshold, templates, vectors).alias("windows"), F.size(w).alias("n")))[0]
-    worth = text.rlike(cue) | text.rlike(SPDX)
-    rows = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"),
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(path, F.lit("")).alias("path"), text.alias("text"), _words(text).alias("words"))
+    lines = F.filter(F.split("text", r"\r?\n"), lambda x: x.rlike(cue))
+    text = F.col("text")
+    stated = F.filter(_lines(lines, F.col("possible"), weights, unseen), lambda x: x["cosine"] >= threshold)
+    parts = F.struct(_windows(F.col("words"), known, F.col("possible"), weights, unseen, threshold, templates, vectors).alias("windows"), F.size("words").alias("n"))
+    rows = rows.withColumn("possible", _possible(F.col("words"), known, sorted(idf), threshold))
+    rows = rows.withColumn("worth", ((F.size("possible") > 0) & text.rlike(cue)) | text.rlike(SPDX))
+    worth = F.col("worth")
+    rows = rows.select(
+        "doc_id", "path",
         F.when(worth, F.concat(_tags(text), stated)).alias("stated"), F.when(worth, parts).alias("parts"),
         (worth & text.rlike(BINARY_CLAUSE) & ~text.rlike(NAME_CLAUSE)).alias("two_clauses"),
     )

@@ -537,6 +537,22 @@ def test_license_cosine_matches_brute_force_and_cues_lose_nothing(spark):
         assert best < 0.75 or counts.keys() & cues
 
 
+def test_license_templates_are_tried_only_where_they_can_match(spark):
+    """A text with a cue word alone tries the one template that this may reach, or none; no template that a text matches is left out."""
+    idf, vectors = licenses.model()
+    texts = [t for _, t in licenses.TEMPLATES] + [f"der {t} und mit" for _, t in licenses.TEMPLATES] + ["der hund mit dem ball", "nd mit the license", "", "version 3 of the 4 0 cc nd"]
+    known = licenses._templates(licenses.TEMPLATES, vectors)
+    words = licenses._words(F.col("text"))
+    got = by_id(table(spark, texts).select("doc_id", F.transform(licenses._possible(words, known, sorted(idf), licenses.THRESHOLD), lambda t: t["k"]).alias("ks")))
+    for k, text in enumerate(texts):
+        counts = collections.Counter(licenses._split(text))
+        weight = {w: n * idf.get(w, math.log(1 + len(vectors)) + 1) for w, n in counts.items()}
+        norm = math.sqrt(sum(x * x for x in weight.values())) or 1.0
+        reach = [j for j, v in enumerate(vectors) if sum(x * v.get(w, 0.0) for w, x in weight.items()) / norm >= licenses.THRESHOLD and all(w in counts for w in v if w.isdigit())]
+        assert set(reach) <= set(got[k].ks)
+    assert [got[len(texts) - n].ks for n in (4, 2)] == [[0], []]  # MIT's word weighs enough alone
+
+
 def test_licenses_are_found_inside_paragraphs_and_near_ones_are_told_apart(spark):
     mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction."
     bsd = "Copyright (c) 2020, Jane Doe. All rights reserved.\nRedistribution and use in source and binary\nforms, with or without modification, are permitted provided that: 1. Redistributions of source code must retain this. 2. Redistributions in binary form must reproduce this."
