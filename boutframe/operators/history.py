@@ -33,36 +33,56 @@ def _won() -> Column:
     return F.coalesce(F.col("winner_flag"), F.lit(False))
 
 
-def prior_record(rows: DataFrame) -> DataFrame:
+def _record(rows: DataFrame) -> dict[str, Column]:
     h = _earlier(rows)
     count = lambda c: F.coalesce(F.sum(c.cast("long")).over(h), F.lit(0)).cast("long")
-    return rows.withColumns({
+    return {
         "prior_fights": F.count(F.lit(1)).over(h), "prior_wins": count(_won()), "prior_losses": count(F.col("outcome") == "L"),
         "prior_draws": count(F.col("outcome") == "D"), "prior_nc": count(F.col("outcome") == "NC"),
-    })
+    }
 
 
-def method_wins(rows: DataFrame) -> DataFrame:
-    """Wins by how the method's name reads; a bout may count in several."""
+def prior_record(rows: DataFrame) -> DataFrame:
+    return rows.withColumns(_record(rows))
+
+
+def _method_wins(rows: DataFrame) -> dict[str, Column]:
     h, method = _earlier(rows), F.upper(F.coalesce(F.col("method"), F.lit("")))
     tests = {"wins_by_ko_tko": method.contains("KO") | method.contains("TKO"), "wins_by_sub": method.contains("SUB"), "wins_by_dec": method.contains("DEC")}
-    return rows.withColumns({k: F.coalesce(F.sum((_won() & t).cast("long")).over(h), F.lit(0)) for k, t in tests.items()})
+    return {k: F.coalesce(F.sum((_won() & t).cast("long")).over(h), F.lit(0)) for k, t in tests.items()}
+
+
+def method_wins(rows: DataFrame) -> DataFrame:
+    """Wins by how the method's name reads; a bout may count in several."""
+    return rows.withColumns(_method_wins(rows))
+
+
+def _averages(rows: DataFrame, columns: dict[str, str]) -> dict[str, Column]:
+    return {name: F.avg(c).over(_earlier(rows)) for name, c in columns.items()}
 
 
 def averages(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Means of earlier values that are known; null if none is. ``columns``: feature name -> column."""
-    return rows.withColumns({name: F.avg(c).over(_earlier(rows)) for name, c in columns.items()})
+    return rows.withColumns(_averages(rows, columns))
 
 
-def rates(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
-    """Totals by time: feature name -> (column, minutes). The time is that of all earlier bouts, also those without the value."""
+def _rates(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> dict[str, Column]:
     h = _earlier(rows)
     minutes = F.sum("fight_sec").over(h) / 60
-    return rows.withColumns({name: F.when(minutes > 0, F.sum(c).over(h) / minutes * by) for name, (c, by) in columns.items()})
+    return {name: F.when(minutes > 0, F.sum(c).over(h) / minutes * by) for name, (c, by) in columns.items()}
+
+
+def rates(rows: DataFrame, columns: dict[str, tuple[str, int]]) -> DataFrame:
+    """Totals by time: feature name -> (column, minutes). The time is that of all earlier bouts, also those without the value."""
+    return rows.withColumns(_rates(rows, columns))
+
+
+def _recency(rows: DataFrame) -> dict[str, Column]:
+    return {"days_since_last_fight": F.datediff("event_date", F.max("event_date").over(_earlier(rows)))}
 
 
 def recency(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("days_since_last_fight", F.datediff("event_date", F.max("event_date").over(_earlier(rows))))
+    return rows.withColumns(_recency(rows))
 
 
 def age_years(dob: Column, date: Column) -> Column:
@@ -76,30 +96,41 @@ def uncertainty(prior_fights: Column, days: Column) -> tuple[Column, Column]:
     return 1 / root, F.greatest(F.lit(70.0), F.least(F.lit(350.0), 350 / root + years * 20))
 
 
-def _last(rows: DataFrame, n: int, value: Column, name: str) -> DataFrame:
-    """Mean of ``value`` (where it is known) over the last n earlier bouts by date and bout; null if it is known in none."""
-    frame = Window.partitionBy("fighter_id").orderBy(DAY if DAY in rows.columns else "event_date", "fight_id").rowsBetween(1 - n, Window.currentRow)
-    ending_here = F.struct("event_date", "fight_id", F.avg(value).over(frame).alias("mean"))
-    return rows.withColumn(name, ending_here).withColumn(name, F.max(name).over(_earlier(rows))["mean"])
+def _last(rows: DataFrame, values: dict[str, tuple[int, Column]], more: dict[str, Column] | None = None) -> DataFrame:
+    """Means of values (where they are known) over the last n earlier bouts by date and bout; null if they are known in none. ``values``: name -> (n, value).
+
+    ``more``: columns over :func:`_earlier`, made in the window that takes the means to the later rows.
+    """
+    order = Window.partitionBy("fighter_id").orderBy(DAY if DAY in rows.columns else "event_date", "fight_id")
+    ending_here = lambda n, value: F.struct("event_date", "fight_id", F.avg(value).over(order.rowsBetween(1 - n, Window.currentRow)).alias("mean"))
+    rows = rows.withColumns({name: ending_here(n, value) for name, (n, value) in values.items()})
+    return rows.withColumns({name: F.max(name).over(_earlier(rows))["mean"] for name in values} | (more or {}))
+
+
+def _decided_win() -> Column:
+    return F.when(F.col("outcome").isin("W", "L"), _won().cast("double"))
 
 
 def recent_win_rate(rows: DataFrame, n: int, name: str) -> DataFrame:
     """Share of wins among those of the last n that were won or lost; null if none was."""
-    return _last(rows, n, F.when(F.col("outcome").isin("W", "L"), _won().cast("double")), name)
+    return _last(rows, {name: (n, _decided_win())})
 
 
 def recent_mean(rows: DataFrame, n: int, column: str, name: str) -> DataFrame:
-    return _last(rows, n, F.col(column).cast("double"), name)
+    return _last(rows, {name: (n, F.col(column).cast("double"))})
 
 
-def opponent_quality(rows: DataFrame) -> DataFrame:
-    """From ``opponent_pre_fight_elo``: mean, mean of the last 3, best beaten, worst lost to."""
+def _quality(rows: DataFrame) -> dict[str, Column]:
     h, elo = _earlier(rows), F.col("opponent_pre_fight_elo")
-    rows = rows.withColumns({
+    return {
         "avg_opponent_pre_fight_elo": F.avg(elo).over(h), "best_win_opponent_pre_fight_elo": F.max(F.when(_won(), elo)).over(h),
         "worst_loss_opponent_pre_fight_elo": F.min(F.when(F.col("outcome") == "L", elo)).over(h),
-    })
-    return recent_mean(rows, 3, "opponent_pre_fight_elo", "recent_3_opponent_pre_fight_elo")
+    }
+
+
+def opponent_quality(rows: DataFrame) -> DataFrame:
+    """From ``opponent_pre_fight_elo``: mean, mean of the last 3, best beaten, worst lost to."""
+    return recent_mean(rows.withColumns(_quality(rows)), 3, "opponent_pre_fight_elo", "recent_3_opponent_pre_fight_elo")
 
 
 #: Names of the features of one side, in their order.
@@ -131,10 +162,13 @@ def features(rows: DataFrame, rated: DataFrame) -> DataFrame:
 
 
 def _windows(rows: DataFrame) -> DataFrame:
-    """Windows by rank come first: they sort by fighter, date and bout, which serves all others too, so a task holds one sort buffer. ``DAY`` stays for more windows."""
+    """Windows by rank come first: they sort by fighter, date and bout, which serves all others too, so a task holds one sort buffer. ``DAY`` stays for more windows.
+
+    All columns over earlier dates are made at once, so that rows are copied from window to window as seldom as possible.
+    """
     rows = rows.withColumn(DAY, F.unix_date("event_date"))
-    rows = recent_win_rate(recent_win_rate(rows, 3, "recent_3_win_rate"), 5, "recent_5_win_rate")
-    rows = rates(averages(method_wins(recency(prior_record(opponent_quality(rows)))), AVERAGES), RATES)
+    last = {"recent_3_win_rate": (3, _decided_win()), "recent_5_win_rate": (5, _decided_win()), "recent_3_opponent_pre_fight_elo": (3, F.col("opponent_pre_fight_elo").cast("double"))}
+    rows = _last(rows, last, _quality(rows) | _record(rows) | _recency(rows) | _method_wins(rows) | _averages(rows, AVERAGES) | _rates(rows, RATES))
     doubt, deviation = uncertainty(F.col("prior_fights"), F.col("days_since_last_fight"))
     return rows.withColumns({"elo_uncertainty": doubt, "glicko_like_rd": deviation, "age_years": age_years(F.col("dob"), F.col("event_date"))})
 
@@ -157,10 +191,10 @@ def future_features(rows: DataFrame, rated: DataFrame, future: DataFrame) -> Dat
     return both.withColumn("elo_expected_win_prob", 1 / (1 + F.pow(F.lit(10.0), (other - F.col("time_decayed_elo")) / 400)))
 
 
-def matchups(rows: DataFrame, features: list[str], keep: list[str] = ("event_date",)) -> DataFrame:
-    """One row a bout: red and blue features and their difference; one grouping instead of a self-join."""
+def matchups(rows: DataFrame, features: list[str], keep: list[str] = ("event_date",), sides: list[str] = ()) -> DataFrame:
+    """One row a bout: red and blue features and their difference, and both sides' ``sides``; one grouping instead of a self-join."""
     side = lambda corner, c: F.max(F.when(F.col("corner") == corner, F.col(c)))
-    made = [side(s, c).alias(f"{s}_{c}") for s in ("red", "blue") for c in ("fighter_id", *features)]
+    made = [side(s, c).alias(f"{s}_{c}") for s in ("red", "blue") for c in ("fighter_id", *sides, *features)]
     wide = rows.groupBy("fight_id").agg(*[F.first(c).alias(c) for c in keep], *made)
     return wide.withColumns({f"delta_{c}": F.col(f"red_{c}") - F.col(f"blue_{c}") for c in features})
 

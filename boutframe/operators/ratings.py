@@ -5,12 +5,14 @@ A table of up to ``PER_BIN`` bouts is folded so. In a larger one every fighter's
 dates with the fighter's true ratings and takes the opponents' ratings from the round before (at first, the initial one). A bout is
 right as soon as the bouts that it rests on are, so rounds end at the latest after as many as the longest chain of bouts; as an
 opponent's error counts for less than a twentieth in a new rating, about twenty rounds do, whatever the number of dates. They end
-when no rating differs by a bit from that of two rounds before. Then rounds would repeat for ever what they have, and as the first
+when no rating differs by a bit from that of the round before. Then rounds would repeat for ever what they have, and as the first
 bouts are right, then those that rest on them, and so on, all are: the rows equal those of the plain fold to the bit.
 
-A round is one shuffle. A side's row holds what both sides need (days since the last bout, result), so a task folds its fighters'
-rows as they come in order and sends each on to the opponent, with sides swapped and the rating that the opponent has to know. It
-holds two numbers and a batch of rows, also for a fighter with a third of all bouts, whose chain takes the time of these in each round.
+A round is one shuffle of blocks, as those of ALS are. Sides are numbered once in order of fighters, dates and bouts; ``BLOCK`` of them
+that follow each other are a block, a row of packed columns, and a side knows its opponent's number. A round folds the blocks of a bin of
+fighters one after the other and sends the opponents' blocks only those ratings that differ from the round before, so no row a side is
+made, sorted or written. A task holds a block, two ratings and one block's changes, also for a fighter with a third of all
+bouts, whose chain takes the time of these in each round.
 """
 
 from __future__ import annotations
@@ -27,6 +29,12 @@ from boutframe.session import drop_scratch, materialize, ship
 
 INITIAL, K, HALF_LIFE = 1500.0, 32.0, 730.0
 PER_BIN = 50_000
+BLOCK = 1 << 16
+#: What a part of a block holds, in the order in which a task reads them.
+NAMES, CHAIN, STATE, CHANGES = range(4)
+PARTS = "bin int, block long, kind int, data binary"
+#: A side's number has its bin in the bits from this one on, as ``monotonically_increasing_id`` gives it.
+BIN_BIT = 33
 RATED = ("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "opponent_pre_fight_elo", "post_elo")
 
 
@@ -113,39 +121,102 @@ def _fold_all(schema: T.StructType):
     return run
 
 
-def _sides(pairs: DataFrame) -> DataFrame:
-    """A row a side with what both sides need. ``step``: 2 in a fighter's first bout, 1 in the first of a later date, else 0; ``result``: 1 won, 0 lost, -1 undecided.
-
-    ``known``: the opponent's rating; ``used``: what the opponent took the own one to be, two rounds before.
-    """
-    side = lambda own, first: F.struct(F.col(own).alias("id"), F.lit(first).alias("first"), F.when(~F.col("decided"), -1).otherwise((F.col("blue_won") == F.lit(first)).cast("int")).alias("result"))
+def _placed(pairs: DataFrame, bins: int) -> DataFrame:
+    """A row a side with its number (``place``). ``step``: 2 in a fighter's first bout, 1 in the first of a later date, else 0; ``result``: 1 won, 0 lost, -1 undecided."""
+    side = lambda own, first: F.struct(F.col(own).alias("fighter_id"), F.lit(first).alias("first"), F.when(~F.col("decided"), -1).otherwise((F.col("blue_won") == F.lit(first)).cast("int")).alias("result"))
     own = pairs.select("fight_id", "event_date", F.explode(F.array(side("blue", True), side("red", False))).alias("x")).select("fight_id", "event_date", "x.*")
-    order = Window.partitionBy("id").orderBy("event_date", "fight_id", F.desc("first"))
+    by = ["event_date", "fight_id", F.desc("first")]
+    order = Window.partitionBy("fighter_id").orderBy(*by)
     seen = F.lag("event_date").over(order)
     of_both = F.lag("fight_id").over(order) == F.col("fight_id")  # whoever meets themselves: both sides start from the bout before
     days = F.coalesce(F.datediff("event_date", F.when(of_both, F.lag("event_date", 2).over(order)).otherwise(seen)), F.lit(0))
-    own = own.withColumns({"days": days, "step": F.when(seen.isNull(), 2).otherwise((seen != F.col("event_date")).cast("int"))})
-    take = lambda first: F.max(F.when(F.col("first") == F.lit(first), F.struct("id", "days", "step", "result")))
-    both = own.groupBy("fight_id", "event_date").agg(take(True).alias("blue"), take(False).alias("red"))
-    view = lambda a, b, first: F.struct(
-        *[F.col(f"{s}.{c}").alias(f"{name}_{c}") for s, name in ((a, "own"), (b, "other")) for c in ("id", "days", "step")], F.col(f"{a}.result").alias("result"), F.lit(first).alias("first"),
-    )
-    rows = both.select("fight_id", "event_date", F.explode(F.array(view("blue", "red", True), view("red", "blue", False))).alias("x")).select("fight_id", "event_date", "x.*")
-    return rows.withColumns({"known": F.lit(INITIAL), "used": F.lit(float("nan")), "moved": F.lit(True)})
+    own = own.repartition(bins, "fighter_id").withColumns({"days": days, "step": F.when(seen.isNull(), 2).otherwise((seen != F.col("event_date")).cast("int"))})
+    return own.sortWithinPartitions("fighter_id", *by).withColumn("place", F.monotonically_increasing_id())
+
+
+def _by_bin(df: DataFrame, bins: int, *order: str) -> DataFrame:
+    return df.repartitionById(bins, "bin").sortWithinPartitions(*order)
+
+
+def _packed(columns: dict) -> bytes:
+    batch, sink = pa.RecordBatch.from_pydict(columns), pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as out:
+        out.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(data: bytes) -> dict[str, np.ndarray]:
+    table = pa.ipc.open_stream(data).read_all()
+    return {name: table.column(name).to_numpy() for name in table.column_names}
+
+
+def _parts(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = zip(("bin", "block", "kind", "data"), (pa.int32(), pa.int64(), pa.int32(), pa.binary()), strict=True)
+    return pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate(kinds)})
+
 
+def _pack(size: int):
+    """Sides in order of their numbers to the blocks' names and chains."""
 
-def _fold_chains(schema: T.StructType | None):
-    """Sides in order of fighters, dates and bouts to the opponents' rows of the next round, or with a schema to rated rows."""
+    def packed(block: int, held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.concat_batches(held)
+        take = lambda *names: _packed({name: rows.column(name) for name in names})
+        bin_ = block * size >> BIN_BIT
+        return _parts([(bin_, block, NAMES, take("fight_id", "fighter_id", "event_date")), (bin_, block, CHAIN, take("days", "step", "first", "result", "other"))])
+
+    def run(batches):
+        at, held = None, []
+        for batch in batches:
+            blocks = batch.column("place").to_numpy() // size
+            cuts = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), batch.num_rows]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                if start == end:
+                    continue
+                if held and at != blocks[start]:
+                    yield packed(at, held)
+                    held = []
+                at = int(blocks[start])
+                held.append(batch.slice(start, end - start))
+        if held:
+            yield packed(at, held)
+
+    return run
+
+
+def _blocks(batches):
+    """Parts in order of blocks and kinds to ``bin, block, names, chain, known, sent``: the opponents' ratings by the round before, and what was sent of the own ones."""
+    at, names, chain, known, sent = None, None, None, None, None
+    for batch in batches:
+        for bin_, block, kind, data in zip(*(batch.column(c) for c in ("bin", "block", "kind", "data")), strict=True):
+            if at is not None and at[1] != block.as_py():
+                yield *at, names, chain, known, sent
+            at = bin_.as_py(), block.as_py()
+            if kind.as_py() == NAMES:
+                names = pa.ipc.open_stream(data.as_buffer()).read_all()
+                continue
+            part = _unpacked(data.as_buffer())
+            if kind.as_py() == CHAIN:
+                chain = part
+                known, sent = np.full(len(chain["days"]), INITIAL), np.full(len(chain["days"]), np.nan)
+            elif kind.as_py() == STATE:
+                known, sent = part["known"].copy(), part["sent"]
+            else:
+                known[part["at"]] = part["rating"]
+    if at is not None:
+        yield *at, names, chain, known, sent
+
+
+def _fold_chains(size: int, schema: T.StructType | None):
+    """A bin's blocks to what their next round starts from and the changes for the opponents' blocks, or with a schema to rated rows."""
 
     def run(batches):
         rating = after = INITIAL
         left: dict = {}
-        for batch in batches:
-            column = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
-            days, first, result, known = (column(c) for c in ("own_days", "first", "result", "known"))
-            left.update((d, 0.5 ** (d / HALF_LIFE)) for d in set(days.tolist()) - left.keys())
+        for bin_, block, names, chain, known, sent in _blocks(batches):
+            days = chain["days"].tolist()
+            left.update((d, 0.5 ** (d / HALF_LIFE)) for d in set(days) - left.keys())
             raw, own, chances, new = [], [], [], []
-            for d, step, blue, won, other in zip(days.tolist(), column("own_step").tolist(), first.tolist(), result.tolist(), known.tolist(), strict=True):
+            for d, step, blue, won, other in zip(days, *(chain[c].tolist() for c in ("step", "first", "result")), known.tolist(), strict=True):
                 if step:
                     rating = after = INITIAL if step == 2 else after
                 mine = INITIAL + (rating - INITIAL) * left[d]
@@ -158,36 +229,49 @@ def _fold_chains(schema: T.StructType | None):
                     chances.append(chance)
                     new.append(after if won >= 0 else None)
             if schema is not None:
-                made = {"fight_id": batch.column("fight_id"), "fighter_id": batch.column("own_id"), "event_date": batch.column("event_date"), "opponent_pre_fight_elo": batch.column("known")}
+                made = {c: names.column(c).combine_chunks() for c in names.column_names} | {"opponent_pre_fight_elo": pa.array(known)}
                 made |= dict(zip(("pre_fight_elo", "time_decayed_elo", "elo_expected_win_prob", "post_elo"), (pa.array(x, pa.float64()) for x in (raw, own, chances, new)), strict=True))
                 yield pa.RecordBatch.from_arrays([made[name] for name in schema.names], names=schema.names)
                 continue
-            swapped = {f"{a}_{c}": batch.column(f"{b}_{c}") for a, b in (("own", "other"), ("other", "own")) for c in ("id", "days", "step")}
-            sent = np.array(own, float)
-            swapped |= {"first": pa.array(~first.astype(bool)), "result": pa.array(np.where(result < 0, -1, 1 - result).astype(np.int32)), "known": pa.array(sent), "used": batch.column("known"), "moved": pa.array(sent != column("used"))}
-            yield pa.RecordBatch.from_arrays([swapped.get(c, batch.column(c)) for c in batch.schema.names], names=batch.schema.names)
+            now = np.array(own, float)
+            changed = np.flatnonzero(now != sent)
+            changed = changed[np.argsort(chain["other"][changed] // size, kind="stable")]
+            to = chain["other"][changed]
+            cuts = [0, *(np.flatnonzero(np.diff(to // size)) + 1).tolist(), len(to)] if len(to) else [0]
+            rows = [(bin_, block, STATE, _packed({"known": known, "sent": now}))]
+            for start, end in zip(cuts[:-1], cuts[1:], strict=True):
+                rows.append((int(to[start]) >> BIN_BIT, int(to[start]) // size, CHANGES, _packed({"at": to[start:end] % size, "rating": now[changed[start:end]]})))
+            yield _parts(rows)
 
     return run
 
 
-def rate(rows: DataFrame, per_bin: int = PER_BIN) -> DataFrame:
-    """Ratings before each bout, a row a side. A table of up to ``per_bin`` bouts is one stream; larger ones go in rounds."""
+def rate(rows: DataFrame, per_bin: int = PER_BIN, block: int = BLOCK) -> DataFrame:
+    """Ratings before each bout, a row a side. A table of up to ``per_bin`` bouts is one stream; larger ones go in rounds, in blocks of ``block`` (a power of two) sides."""
     spark = rows.sparkSession
     ship(spark)
     pairs = materialize(bout_pairs(rows), "bouts")
     schema, bins = _schema(pairs), -(-pairs.count() // per_bin)
     if bins <= 1:
         return materialize(pairs.repartition(1).sortWithinPartitions("event_date", "fight_id").mapInArrow(_fold_all(schema), schema), "rated")
-    parts = max(bins, spark.sparkContext.defaultParallelism)
-    streams = lambda df: df.repartition(parts, "own_id").sortWithinPartitions("own_id", "event_date", "fight_id", F.desc("first"))
-    sides = materialize(_sides(pairs), "sides")
+    bins = max(bins, spark.sparkContext.defaultParallelism)
+    placed = materialize(_placed(pairs, bins), "sides")
+    bin_ = F.shiftright("place", BIN_BIT).cast("int")
+    met = materialize(placed.withColumns({"other": F.sum("place").over(Window.partitionBy("fight_id")) - F.col("place"), "bin": bin_}), "sides")
+    blocks = materialize(_by_bin(met, bins, "place").mapInArrow(_pack(block), PARTS), "blocks")
+    drop_scratch(placed)
+    drop_scratch(met)
+    chains, sent = blocks.where(F.col("kind") == CHAIN), None
+    folded = lambda parts, form, kind: _by_bin(parts, bins, "block", "kind").mapInArrow(_fold_chains(block, form), kind)
     while True:
-        following = materialize(streams(sides).mapInArrow(_fold_chains(None), sides.schema), "sides")
-        drop_scratch(sides)
-        sides = following
-        if sides.where("moved").isEmpty():
-            rated = materialize(streams(sides).mapInArrow(_fold_chains(schema), schema), "rated")
-            drop_scratch(sides)
+        following = materialize(folded(chains if sent is None else chains.unionByName(sent), None, PARTS), "round")
+        if sent is not None:
+            drop_scratch(sent)
+        sent = following
+        if sent.where(F.col("kind") == CHANGES).isEmpty():
+            rated = materialize(folded(blocks.unionByName(sent), schema, schema), "rated")
+            drop_scratch(sent)
+            drop_scratch(blocks)
             return rated
 
 

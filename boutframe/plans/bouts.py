@@ -2,7 +2,7 @@
 
 A bout is an order of exactly two line items of different suppliers; its date is the order's, its sides are the suppliers.
 The larger quantity wins, equal ones draw. One shuffle of the line items by order gives both sides: what a side needs of
-the other one comes from the same window.
+the other one comes from the same window. Only items of orders with two are put in order.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ def bout_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = Window.partitionBy("l_orderkey")
     side = lambda n, c: F.max(F.when(F.col("rn") == n, F.col(c))).over(every)
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity", "l_returnflag", "l_linestatus")
-    lines = lines.withColumns({"rn": F.row_number().over(order), "n": F.count(F.lit(1)).over(every), "low": F.min("l_suppkey").over(every), "high": F.max("l_suppkey").over(every)})
-    lines = lines.where("n = 2 and low <> high").withColumn("landed", F.when(F.col("l_returnflag") != "N", F.col("l_quantity")))
+    lines = lines.withColumns({"n": F.count(F.lit(1)).over(every), "low": F.min("l_suppkey").over(every), "high": F.max("l_suppkey").over(every)}).where("n = 2 and low <> high")
+    lines = lines.withColumns({"rn": F.row_number().over(order), "landed": F.when(F.col("l_returnflag") != "N", F.col("l_quantity"))})
     lines = lines.withColumns({f"{c}{n}": side(n, c) for c in ("l_suppkey", "l_quantity", "landed", "l_linenumber", "l_returnflag") for n in (1, 2)})
     own = F.col("rn") == 1
     other = lambda c: F.when(own, F.col(f"{c}2")).otherwise(F.col(f"{c}1"))
